@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import sharding, simhash
+from folio.llm import sentencepiece_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": sentencepiece_scan.op1_sentencepiece,
     "op2_simhash": simhash.op2_simhash,
     "op5_sharding": sharding.op5_sharding,
 }
