@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import pii, sentencepiece_scan, sharding, simhash
+from folio.llm import decontaminate, pii, sentencepiece_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_scan.op1_sentencepiece,
     "op2_simhash": simhash.op2_simhash,
     "op3_pii": pii.op3_pii,
     "op5_sharding": sharding.op5_sharding,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
 }
 
 ORACLES: dict[str, str] = {}
