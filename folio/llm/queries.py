@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontaminate, pii, sentencepiece_scan, sharding, simhash
+from folio.llm import decontaminate, pii, quality, sentencepiece_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_scan.op1_sentencepiece,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pii": pii.op3_pii,
     "op5_sharding": sharding.op5_sharding,
     "op6_decontaminate": decontaminate.op6_decontaminate,
+    "op8_quality": quality.op8_quality,
 }
 
 ORACLES: dict[str, str] = {}
