@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontaminate, pii, quality, sentencepiece_scan, sharding, simhash
+from folio.llm import decontaminate, pii, ppm, quality, sentencepiece_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_scan.op1_sentencepiece,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sharding": sharding.op5_sharding,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op8_quality": quality.op8_quality,
+    "op4_ppm": ppm.op4_ppm,
 }
 
 ORACLES: dict[str, str] = {}
