@@ -34,7 +34,7 @@ MARK = "▁"
 CHUNK = 1 << 15
 BLOCK = 256
 #: Remembered words and pairs; beyond them the memory starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: A state is (characters by which its piece passes the cut) * 256 + (characters of the piece); at a text's start 0.
 STATE = 256
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -66,63 +66,79 @@ class Pieces(dict):
             raise ValueError("this vocabulary has pieces that run over word marks")
         self.longest = max(map(len, self.ids))
         self.tails = {x[k:] for x in self.ids for k in range(len(x))}
-        self.agreed: dict[tuple[str, str], bool] = {}
+        self.pairs = {x[k : k + 2] for x in self.ids for k in range(len(x) - 1)}
+        self.texts = {i: x for x, i in self.ids.items()}
+        self.agreed: dict[int, bool] = {}
+        self.older: dict[str, bytes] = {}
 
     def agree(self, a: str, b: str) -> bool:
         """Whether merging a + b by rank gives back a and b."""
-        if (a, b) not in self.agreed:
-            parts = list(a + b)
-            while True:
-                least = min(((r, i) for i in range(len(parts) - 1) if (r := self.rank.get(parts[i] + parts[i + 1])) is not None), default=None)
-                if least is None:
-                    break
-                i = least[1]
-                parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            self.agreed[a, b] = parts == [a, b]
-        return self.agreed[a, b]
-
-    def search(self, text: str, start: int, before: int, end: int) -> list[int]:
-        """For each place from start to end, the length of the piece by which the path reaches it, or 0.
-
-        before: the length of the piece that ends at start; 0 if any may.
+        parts = list(a + b)
+        while True:
+            least = min(((r, i) for i in range(len(parts) - 1) if (r := self.rank.get(parts[i] + parts[i + 1])) is not None), default=None)
+            if least is None:
+                return parts == [a, b]
+            i = least[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    def search(self, text: str, start: int, before: int, end: int) -> tuple[list[int], list[int]]:
+        """For each place from start to end, the length and id of the piece by which the path reaches it.
+
+        Length 0: no path does. Id -1: a character that is no piece, beside which all agrees. before: the length of
+        the piece that ends at start; 0 if any may.
         """
-        by, ids, tails, agreed = [0] * (end - start + 1), self.ids, self.tails, self.agreed
+        by, last, get, tails, agreed = [0] * (end - start + 1), [-1] * (end - start + 1), self.ids.get, self.tails, self.agreed
+        by[0], last[0] = 1, get(text[start - before : start], -1) if before else -1
         for i in range(start + 1, end + 1):
             for s in range(i - 1, start - 1, -1):
-                piece = text[s:i]
-                if piece not in tails and s < i - 1:
+                prior = last[s - start]
+                if (piece := get(text[s:i])) is None:
+                    if s == i - 1 and by[s - start]:
+                        by[i - start] = 1
+                        break
+                    if text[s:i] in tails:
+                        continue
+                    if s == i - 1:
+                        continue
                     break
-                last = by[s - start] if s > start else before
-                if s > start and not last or piece not in ids and s < i - 1:
+                if not by[s - start]:
                     continue
-                if not last or piece not in ids or (prior := text[s - last : s]) not in ids:
-                    by[i - start] = i - s
-                    break
-                if (agreed[prior, piece] if (prior, piece) in agreed else self.agree(prior, piece)):
-                    by[i - start] = i - s
-                    break
-        return by
+                if prior >= 0:
+                    if (yes := agreed.get(pair := prior << 32 | piece)) is None:
+                        yes = agreed[pair] = self.agree(self.texts[prior], self.texts[piece])
+                    if not yes:
+                        continue
+                by[i - start], last[i - start] = i - s, piece
+                break
+        by[0] = 0
+        return by, last
 
     def trace(self, text: str, start: int, before: int, end: int) -> list[int]:
-        by, out, at = self.search(text, start, before, end), [], end
+        (by, last), out, at = self.search(text, start, before, end), [], end
         while at > start:
-            n = by[at - start]
-            piece = text[at - n : at]
-            out += [self.ids[piece]] if piece in self.ids else [self.byte_id[x] for x in reversed(piece.encode())]
-            at -= n
+            i = at - start
+            out += [last[i]] if last[i] >= 0 else [self.byte_id[x] for x in reversed(text[at - 1].encode())]
+            at -= by[i]
         return out[::-1]
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = found = np.array(self.trace(word, 0, 0, len(word)), "<i4").tobytes()
+        if (found := self.older.pop(word, None)) is None:
+            cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
+            if cuts:  # no piece holds these two characters side by side, so none runs over the place between
+                found = b"".join(self[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True))
+            else:
+                found = np.array(self.trace(word, 0, 0, len(word)), "<i4").tobytes()
+        self[word] = found
         return found
 
     def words(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, WORDS.findall(text)))
 
     def tidy(self) -> None:
-        if len(self) > REMEMBERED:
+        if len(self) > REMEMBERED:  # what is still in use comes back from there
+            self.older = dict(self)
             self.clear()
-        if len(self.agreed) > REMEMBERED:
+        if len(self.agreed) > 4 * REMEMBERED:
             self.agreed.clear()
 
     def states(self, text: str, at: int) -> list[int]:
@@ -131,7 +147,7 @@ class Pieces(dict):
 
     def ends(self, text: str, start: int, before: int, at: int) -> list[int]:
         """The states at a cut that a path from start reaches."""
-        by = self.search(text, start, before, min(len(text), at + self.longest - 1))
+        by, _ = self.search(text, start, before, min(len(text), at + self.longest - 1))
         return [(i - at) * STATE + n for i in range(at, start + len(by)) if (n := by[i - start]) and i - n < at]
 
     def transfer(self, text: str, first: int, last: int) -> list[tuple[int, int]]:
@@ -140,7 +156,7 @@ class Pieces(dict):
         inner = breaks(text, first + self.longest, last) if first else breaks(text, first, last)
         if not inner:
             return [(e, x) for e in entries for x in self.ends(text, first + e // STATE, e % STATE, last)]
-        alive = [e for e in entries if self.search(text, first + e // STATE, e % STATE, inner[0])[-1]]
+        alive = [e for e in entries if self.search(text, first + e // STATE, e % STATE, inner[0])[0][-1] or first + e // STATE == inner[0]]
         return [(e, x) for e in alive for x in self.ends(text, inner[1], 0, last)]
 
     def between(self, text: str, first: int, last: int, entry: int, leave: int) -> bytes:
