@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontaminate, language_id, perplexity, pii, ppm, quality, sentencepiece_scan, sharding, simhash
+from folio.llm import decontaminate, language_id, licenses, perplexity, pii, ppm, quality, sentencepiece_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_scan.op1_sentencepiece,
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ppm": ppm.op4_ppm,
     "op10_perplexity": perplexity.op10_perplexity,
     "op7_language_id": language_id.op7_language_id,
+    "op9_licenses": licenses.op9_licenses,
 }
 
 ORACLES: dict[str, str] = {}
