@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.plans import report_queries
+
 FLAGSHIP = "d9_hybrid_search"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+_MODULES = (report_queries,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
