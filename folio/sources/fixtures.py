@@ -22,7 +22,11 @@ from benchmark cross join (select 0 as n union all select 1 union all select 2 u
   || case when doc_id % 3 = 0 then '| id | chars |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || cast(doc_id as string) || ' | ' || cast(n_chars as string) || ' |' || chr(10) || chr(10) else '' end
   || '### part' || chr(10) || chr(10)
   || case when doc_id % 5 = 0 then '- one' || chr(10) || '  - nested' || chr(10) || '- two' || chr(10) || chr(10) || 'mid' || chr(10) || chr(10) || '3. three' || chr(10) || '4. four' || chr(10) || chr(10) else '' end
-  || case when doc_id % 7 = 0 then '""",
+  || case when doc_id % 7 = 0 then '```sql' || chr(10) || '# not a header' || chr(10) || 'select 1' || chr(10) || '```' || chr(10) || chr(10) else '' end
+  || case when doc_id % 4 = 1 then 'See ![alt ' || lang || '](img/' || cast(doc_id as string) || '.png) <!-- slide: break -->' || chr(10) || chr(10) else '' end
+  || case when doc_id % 8 = 2 then '# second' || chr(10) || chr(10) else '' end
+  || substr(text, cast(floor(n_chars / 2) as int) + 1) as md
+from documents""",
     "fx_vec": r"""select vec_id, embedding, 't' || cast(label % 3 as string) as tenant_id,
        case when vec_id % 2 = 0 then '1,2' else '2,3' end as roles_csv
 from embeddings""",
@@ -48,7 +52,11 @@ from orders o join customer c on o.o_custkey = c.c_custkey""",
     when 2 then 'no json here'
     else '{"answer": 1' end as raw_answer,
   case turn % 4
-    when 0 then '""",
+    when 0 then '```sql' || chr(10) || 'select TOP 3 n_name from dbo.nation' || chr(10) || '```'
+    when 1 then 'SQL: SELECT r_name FROM region;'
+    when 2 then 'DROP TABLE nation'
+    else '' end as raw_sql
+from conversations""",
     "fx_template": r"""select 1 as tpl_id, 0 as part_no, 'Dear {{ name }} of {{segment}}' as part union all
 select 1, 1, 'Balance {{  balance  }}; again {{name}}; {{ missing }}' union all
 select 2, 0, '{{intro}}' union all select 2, 1, 'No fields, cost ' || chr(92) || '1 $5'""",
