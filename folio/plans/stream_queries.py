@@ -18,7 +18,8 @@ def _folder(s) -> str:
 
 
 def _stream(s, d, name):
-    return s.readStream.schema(table(s, d, name).schema).parquet(f"{d}/{name}.parquet")
+    """The table as a stream; the pattern also takes a table that is one file."""
+    return s.readStream.schema(table(s, d, name).schema).parquet(f"{d}/{name}.parque[t]")
 
 
 def _ingest(s, d):
