@@ -113,7 +113,7 @@ def extract_blocks(docs: DataFrame, key: str = "doc_id", text: str = "md") -> Da
         .when(F.col("kind") == "table", F.array(_block("table", F.col("table_text"))))
         .otherwise(_paragraph_parts())
     )
-    found = lined.join(texts, [key, "line_no"], "left").join(tables, [key, "line_no"], "left").select(key, "line_no", F.posexplode(parts).alias("part", "b"))
+    found = lined.join(texts.hint("merge"), [key, "line_no"], "left").join(tables.hint("merge"), [key, "line_no"], "left").select(key, "line_no", F.posexplode(parts).alias("part", "b"))
     number = F.row_number().over(Window.partitionBy(key).orderBy("line_no", "part"))
     return found.select(key, "line_no", number.alias("block_no"), *(F.col(f"b.{c}").alias(c) for c in FIELDS)).withColumn("id", F.format_string("src-%04d", "block_no"))
 

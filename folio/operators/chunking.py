@@ -99,7 +99,7 @@ def merge_small(sections: DataFrame, key: str, idx: str, keep: tuple[str, ...] =
     grouped = sections.groupBy(key).agg(sizes.alias("sections")).withColumn("ids", merge_groups("sections"))
     ids = grouped.select(key, F.explode(F.zip_with("sections", "ids", lambda x, g: F.struct(x.idx.alias("i"), g.alias("g")))).alias("x")).select(key, F.col("x.i").alias(idx), F.col("x.g").alias("merged"))
     first = [F.min_by(c, idx).alias(c) for c in keep]
-    return sections.join(ids, [key, idx]).groupBy(key, "merged").agg(F.min(idx).alias("idx"), F.count(F.lit(1)).cast("int").alias("n_sections"), *first, _joined(idx, "content", "\n\n").alias("content"))
+    return sections.join(ids.hint("merge"), [key, idx]).groupBy(key, "merged").agg(F.min(idx).alias("idx"), F.count(F.lit(1)).cast("int").alias("n_sections"), *first, _joined(idx, "content", "\n\n").alias("content"))
 
 
 def split_semantic(sections: DataFrame, by: tuple[str, ...], least: int = LARGE) -> DataFrame:
@@ -115,10 +115,10 @@ def split_semantic(sections: DataFrame, by: tuple[str, ...], least: int = LARGE)
     counts = sentences.select(*by, "n", F.explode(terms("sentence")).alias("term")).groupBy(*by, "n", "term").agg(F.count(F.lit(1)).cast("double").alias("c"))
     norms = counts.groupBy(*by, "n").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
     after = counts.select(*by, (F.col("n") - 1).alias("n"), "term", F.col("c").alias("c2"))
-    dots = counts.join(after, [*by, "n", "term"]).groupBy(*by, "n").agg(F.sum(F.col("c") * F.col("c2")).alias("dot"))
+    dots = counts.join(after.hint("merge"), [*by, "n", "term"]).groupBy(*by, "n").agg(F.sum(F.col("c") * F.col("c2")).alias("dot"))
     order = Window.partitionBy(*by).orderBy("n")
     whole = Window.partitionBy(*by)
-    rows = sentences.join(norms, [*by, "n"], "left").join(dots, [*by, "n"], "left").withColumn("norm2", F.lead("norm").over(order))
+    rows = sentences.join(norms.hint("merge"), [*by, "n"], "left").join(dots.hint("merge"), [*by, "n"], "left").withColumn("norm2", F.lead("norm").over(order))
     cosine = F.coalesce(F.col("dot") / (F.col("norm") * F.col("norm2")), F.lit(0.0))
     rows = rows.withColumn("pairs", F.count(F.lit(1)).over(whole) - 1)
     rows = rows.withColumn("distance", F.when(F.col("n") < F.col("pairs"), F.round(1 - cosine, 9)))
@@ -159,11 +159,11 @@ def chunk_documents(docs: DataFrame) -> DataFrame:
     merged = merge_small(numbered, "doc_id", "idx", ("h1", "h2")).drop("n_sections", "merged")
     fits = token_count("content") <= LARGE
     kept = merged.where(fits).select("doc_id", "idx", F.lit(0).alias("part"), F.lit(0).alias("run"), "h1", "h2", "content", label_method(token_count("content")).alias("method"))
-    cut = split_semantic(merged.where(~fits), ("doc_id", "idx")).join(merged.select("doc_id", "idx", "h1", "h2"), ["doc_id", "idx"])
+    cut = split_semantic(merged.where(~fits), ("doc_id", "idx")).join(merged.select("doc_id", "idx", "h1", "h2").hint("merge"), ["doc_id", "idx"])
     too_long = token_count("content") > CAP
     runs = cut.select("doc_id", "idx", "part", F.posexplode(F.when(too_long, hard_cap("content")).otherwise(F.array("content"))).alias("run", "piece"), "h1", "h2", F.when(too_long, "hard_cap_fallback").otherwise("hybrid_semantic").alias("method"))
     both = kept.unionByName(runs.withColumnRenamed("piece", "content"))
     order = Window.partitionBy("doc_id").orderBy("idx", "part", "run")
-    named = both.withColumn("chunk_idx", F.row_number().over(order) - 1).join(docs.select("doc_id", "tenant_id", "src_file"), "doc_id")
+    named = both.withColumn("chunk_idx", F.row_number().over(order) - 1).join(docs.select("doc_id", "tenant_id", "src_file").hint("merge"), "doc_id")
     none = lambda c: F.coalesce(c, F.lit(""))
     return named.select("tenant_id", "src_file", "chunk_idx", chunk_id("tenant_id", "src_file", "chunk_idx").alias("chunk_id"), inject_context("content", "h1", "h2").alias("content"), "method", token_count("content").alias("token_count"), none("h1").alias("h1"), none("h2").alias("h2"), F.lit("").alias("h3"))

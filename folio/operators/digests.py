@@ -22,7 +22,7 @@ def pack(rows: DataFrame, key: str, idx: str, size: str, limit: int = PACK, name
     listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(size).cast("long").alias("size")))).alias("l"))
     numbered = listed.select(key, F.col("l.i").alias("i"), F.col("l.size").alias("sizes")).withColumn("p", pack_numbers("sizes", limit))
     each = numbered.select(key, F.explode(F.zip_with("i", "p", lambda i, p: F.struct(i.alias("i"), p.alias("p")))).alias("x"))
-    return rows.join(each.select(key, F.col("x.i").alias(idx), F.col("x.p").alias(name)), [key, idx])
+    return rows.join(each.select(key, F.col("x.i").alias(idx), F.col("x.p").alias(name)).hint("merge"), [key, idx])
 
 
 def budget_gate(docs: DataFrame, text: str, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
@@ -49,8 +49,8 @@ def digest(packs: DataFrame, key: tuple[str, ...]) -> DataFrame:
     sentences = packs.select(*key, F.posexplode(F.filter(F.split("content", r"(?<=[.!?])\s+"), lambda x: F.trim(x) != "")).alias("n", "sentence"))
     each = sentences.select(*key, "n", F.explode(terms("sentence")).alias("term"))
     counts = each.groupBy(*key, "term").agg(F.log1p(F.count(F.lit(1)).cast("double")).alias("w"))
-    weight = each.join(counts, [*key, "term"]).groupBy(*key, "n").agg(F.round(F.avg("w"), 9).alias("weight"))
-    rows = sentences.join(weight, [*key, "n"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))).withColumn("fact", F.col("sentence").rlike("[0-9]"))
+    weight = each.join(counts.hint("merge"), [*key, "term"]).groupBy(*key, "n").agg(F.round(F.avg("w"), 9).alias("weight"))
+    rows = sentences.join(weight.hint("merge"), [*key, "n"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))).withColumn("fact", F.col("sentence").rlike("[0-9]"))
     best = Window.partitionBy(*key).orderBy(F.desc("weight"), "n")
     facts = Window.partitionBy(*key).orderBy(F.desc("fact"), F.desc("weight"), "n")
     rows = rows.withColumn("best", F.row_number().over(best)).withColumn("fact_no", F.when(F.col("fact"), F.row_number().over(facts)))

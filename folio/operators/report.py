@@ -81,7 +81,7 @@ def asset_distributions(listing: DataFrame) -> DataFrame:
 def percent_share(parts: DataFrame, by: tuple[str, ...] = (*DEPARTMENT, "kind"), value: str = "value") -> DataFrame:
     """parts with share: value in percent of its group, to one decimal."""
     totals = parts.groupBy(*by).agg(F.sum(value).alias("_total"))
-    return parts.join(totals, list(by)).withColumn("share", F.round(F.col(value) * 100 / F.col("_total"), 1)).drop("_total")
+    return parts.join(totals.hint("merge"), list(by)).withColumn("share", F.round(F.col(value) * 100 / F.col("_total"), 1)).drop("_total")
 
 
 def chart_series(staff: DataFrame, assets: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def department_report(requests: DataFrame, employees: DataFrame, departments: Da
     whole = lines.groupBy(*DEPARTMENT).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "\n").alias("lines"))
     named = department_names(whole.select(*DEPARTMENT), departments)
     done = whole.join(named, list(DEPARTMENT))
-    return resolve(requests, employees).join(done, list(DEPARTMENT), "left").select("req_id", "status", "department", "lines")
+    return resolve(requests, employees).join(done.hint("merge"), list(DEPARTMENT), "left").select("req_id", "status", "department", "lines")
 
 
 def report_intent(questions: DataFrame, text: str = "question", words: tuple[str, ...] = REPORT_WORDS) -> DataFrame:

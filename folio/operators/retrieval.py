@@ -33,7 +33,7 @@ def acl_join(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 def allowed(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """qid, n_allowed: how many chunks each question may see. Chunks are counted by tenant and role first."""
     seen = chunks.select("tenant_id", F.explode(F.array_distinct("accessed_role")).alias("role_id")).groupBy("tenant_id", "role_id").count()
-    return questions.join(seen, ["tenant_id", "role_id"], "left").select("qid", F.coalesce("count", F.lit(0)).alias("n_allowed"))
+    return questions.join(seen.hint("merge"), ["tenant_id", "role_id"], "left").select("qid", F.coalesce("count", F.lit(0)).alias("n_allowed"))
 
 
 def _ranked(scored: DataFrame, n: int, by: str = "qid", key: str = "point_id") -> DataFrame:
@@ -50,9 +50,9 @@ def _dense(sent, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, tenants, roles, matrix = sent.value
         for batch in batches:
-            rows = np.array(batch.column("vector").to_pylist(), float).reshape(batch.num_rows, -1)
             if not batch.num_rows:
                 continue
+            rows = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             ids, of = batch.column("point_id").to_numpy(zero_copy_only=False), np.array(batch.column("tenant_id").to_pylist(), object)
             may = [set(x or ()) for x in batch.column("accessed_role").to_pylist()]
             out = []
@@ -74,7 +74,7 @@ def dense_topk(questions: DataFrame, chunks: DataFrame, n: int = 40) -> DataFram
     """qid, point_id, score, rank: the n chunks of largest cosine that each question may see.
 
     questions: qid, tenant_id, role_id, vector; chunks: point_id, tenant_id, accessed_role, vector. A zero vector
-    has cosine 0 with all.
+    has cosine 0 with all, and a null one is left out.
     """
     spark, found = chunks.sparkSession, []
     unit = lambda v: F.expr(f"transform({v}, x -> cast(x as double) / greatest(sqrt(aggregate({v}, 0D, (s, y) -> s + cast(y as double) * cast(y as double))), 1e-300D))")
@@ -83,7 +83,7 @@ def dense_topk(questions: DataFrame, chunks: DataFrame, n: int = 40) -> DataFram
         if not rows:
             continue
         sent = spark.sparkContext.broadcast(([r.qid for r in rows], np.array([r.tenant_id for r in rows], object), [r.role_id for r in rows], np.array([r.vector for r in rows], float)))
-        data = chunks.select(F.col("point_id").cast("long"), "tenant_id", "accessed_role", unit("vector").alias("vector"))
+        data = chunks.where("vector is not null").select(F.col("point_id").cast("long"), "tenant_id", "accessed_role", unit("vector").alias("vector"))
         found.append(data.mapInArrow(_dense(sent, n), "qid long, point_id long, score double"))
     out = found[0] if found else spark.createDataFrame([], "qid long, point_id long, score double")
     for more in found[1:]:
@@ -102,7 +102,7 @@ def sparse_topk(questions: DataFrame, chunks: DataFrame, n: int = 40) -> DataFra
     questions: qid, tenant_id, role_id, question; chunks: point_id, tenant_id, accessed_role, content. The questions'
     terms are broadcast when there are BLOCK_TERMS at most, and joined by shuffle beyond that.
     """
-    asked = sparse_encode(questions, "qid", "question").join(questions.select("qid", "tenant_id", "role_id"), "qid").withColumnRenamed("weight", "asked")
+    asked = sparse_encode(questions, "qid", "question").join(questions.select("qid", "tenant_id", "role_id").hint("merge"), "qid").withColumnRenamed("weight", "asked")
     small = asked.count() <= BLOCK_TERMS
     postings = sparse_encode(chunks, "point_id", "content").join(chunks.select("point_id", "tenant_id", "accessed_role").hint("merge"), "point_id")
     hit = postings.join(F.broadcast(asked) if small else asked.hint("merge"), ["tenant_id", "term"]).where(F.array_contains("accessed_role", F.col("role_id")))
@@ -132,9 +132,14 @@ def rerank(hits: DataFrame, score: Column | None = None, top: int = 5) -> DataFr
 
 
 def hybrid_search(questions: DataFrame, chunks: DataFrame, k: int = 20, top: int = 5) -> DataFrame:
-    """The `top` chunks of each question after dense and sparse candidates (2k each), fusion to k and reranking."""
-    asked = questions.join(hashed_vectors(questions, "qid", "question"), "qid")
-    held = chunks.join(hashed_vectors(chunks, "point_id", "content").hint("merge"), "point_id")
+    """The `top` chunks of each question after dense and sparse candidates (2k each), fusion to k and reranking.
+
+    Both tables' column vector is used if they have one, and hashed term vectors otherwise.
+    """
+    asked, held = questions, chunks
+    if "vector" not in questions.columns or "vector" not in chunks.columns:
+        asked = questions.drop("vector").join(hashed_vectors(questions, "qid", "question").hint("merge"), "qid")
+        held = chunks.drop("vector").join(hashed_vectors(chunks, "point_id", "content").hint("merge"), "point_id")
     fused = rrf([dense_topk(asked, held, 2 * k), sparse_topk(questions, chunks, 2 * k)], k).drop("score")
     texts = fused.join(chunks.select("point_id", "content").hint("merge"), "point_id").join(questions.select("qid", "question"), "qid")
     return rerank(texts, top=top)

@@ -14,7 +14,7 @@ def placeholders(parts: DataFrame) -> DataFrame:
     found = parts.select("tpl_id", "part_no", F.posexplode(F.regexp_extract_all("part", F.lit(MARKER), F.lit(1))).alias("pos", "name"))
     first = found.groupBy("tpl_id", "name").agg(F.min(F.struct("part_no", "pos")).alias("first"))
     fields = first.groupBy("tpl_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "name"))), lambda x: x["name"]).alias("fields"))
-    return parts.select("tpl_id").distinct().join(fields, "tpl_id", "left").select("tpl_id", F.coalesce("fields", F.array().cast("array<string>")).alias("fields"))
+    return parts.select("tpl_id").distinct().join(fields.hint("merge"), "tpl_id", "left").select("tpl_id", F.coalesce("fields", F.array().cast("array<string>")).alias("fields"))
 
 
 def fill(text: str, values: str) -> Column:
@@ -43,11 +43,11 @@ def place_paragraphs(parts: DataFrame, made: DataFrame, key: str = "tpl_id") ->
     one of smaller made_no is placed first.
     """
     hits = parts.join(made, key).where(F.contains("part", F.col("marker"))).groupBy(key, "made_no").agg(F.min("part_no").alias("part_no"))
-    placed = made.join(hits, [key, "made_no"]).groupBy(key, "part_no").agg(F.array_sort(F.collect_list(F.struct("made_no", "marker", "text"))).alias("edits"))
+    placed = made.join(hits.hint("merge"), [key, "made_no"]).groupBy(key, "part_no").agg(F.array_sort(F.collect_list(F.struct("made_no", "marker", "text"))).alias("edits"))
     edited = F.expr("aggregate(coalesce(edits, array()), part, (t, e) -> replace(t, e.marker, e.text))")
-    kept = parts.join(placed, [key, "part_no"], "left").select(key, "part_no", edited.alias("part"))
+    kept = parts.join(placed.hint("merge"), [key, "part_no"], "left").select(key, "part_no", edited.alias("part"))
     last = parts.groupBy(key).agg(F.max("part_no").alias("last"))
-    rest = made.join(hits.select(key, "made_no"), [key, "made_no"], "left_anti").where("text <> ''").join(last, key, "left")
+    rest = made.join(hits.select(key, "made_no").hint("merge"), [key, "made_no"], "left_anti").where("text <> ''").join(last, key, "left")
     return kept.unionByName(rest.select(key, (F.coalesce("last", F.lit(-1)) + 1 + F.col("made_no")).cast("int").alias("part_no"), F.col("text").alias("part")))
 
 
