@@ -152,8 +152,8 @@ def approx_topk(questions: DataFrame, chunks: DataFrame, n: int, buckets: float
 
     from folio.functions.text import l2_normalize
 
-    unit = lambda rows: rows.withColumn("unit", array_to_vector(l2_normalize("vector")))
-    asked, held = unit(questions), unit(chunks)
+    unit = lambda rows: rows.withColumn("unit", array_to_vector(F.coalesce(l2_normalize("vector"), F.array(F.lit(0.0)))))
+    asked, held = (unit(x.where("vector is not null")) for x in (questions, chunks))
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=buckets, numHashTables=tables, seed=1).fit(held)
     pairs = model.approxSimilarityJoin(asked, held, reach, "distance")
     seen = (F.col("datasetA.tenant_id") == F.col("datasetB.tenant_id")) & F.array_contains("datasetB.accessed_role", F.col("datasetA.role_id"))
