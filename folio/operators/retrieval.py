@@ -146,14 +146,17 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, k: int = 20, top: int
 
 
 def approx_topk(questions: DataFrame, chunks: DataFrame, n: int, buckets: float = 0.6, tables: int = 6, reach: float = 1.3) -> DataFrame:
-    """qid, point_id, score, rank by random-projection hashing of unit vectors, with exact cosines of its candidates."""
+    """qid, point_id, score, rank by random-projection hashing of unit vectors, with exact cosines of its candidates.
+
+    No vector may be null.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
     from folio.functions.text import l2_normalize
 
-    unit = lambda rows: rows.withColumn("unit", array_to_vector(F.coalesce(l2_normalize("vector"), F.array(F.lit(0.0)))))
-    asked, held = (unit(x.where("vector is not null")) for x in (questions, chunks))
+    unit = lambda rows: rows.withColumn("unit", array_to_vector(l2_normalize("vector")))
+    asked, held = unit(questions), unit(chunks)
     model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=buckets, numHashTables=tables, seed=1).fit(held)
     pairs = model.approxSimilarityJoin(asked, held, reach, "distance")
     seen = (F.col("datasetA.tenant_id") == F.col("datasetB.tenant_id")) & F.array_contains("datasetB.accessed_role", F.col("datasetA.role_id"))

@@ -131,5 +131,6 @@ def test_upserts_and_access(spark):
     assert [(r.point_id, r.score) for r in V.dense_topk(q, chunks, 9).collect()] == [(1, 1.0)]
     assert [r.point_id for r in V.sparse_topk(q, chunks, 9).collect()] == [1]
     assert [(r.point_id, r.rank) for r in V.hybrid_search(q, chunks).collect()] == [(1, 1)]
-    approx = V.approx_topk(q, chunks.where("vector is not null"), 9).collect()
+    full = spark.createDataFrame([(1, "t", [1], [1.0, 0.0]), (2, "t", [2], [0.0, 1.0])], "point_id long, tenant_id string, accessed_role array<int>, vector array<double>")
+    approx = V.approx_topk(q, full, 9).collect()
     assert [r.point_id for r in approx] == [1]
