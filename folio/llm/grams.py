@@ -27,10 +27,22 @@ def grams(text: bytes, order: int) -> Iterator[np.ndarray]:
         yield out
 
 
-def joined(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The grams of all texts, and how many each has."""
-    parts = [list(grams(t, order)) for t in texts]
-    return np.concatenate([x for p in parts for x in p]) if parts else np.empty(0, np.uint64), np.array([sum(map(len, p)) for p in parts], np.int64)
+def pieces(texts: list[bytes], order: int) -> Iterator[tuple[np.ndarray, list[int], list[int]]]:
+    """The grams of all texts in runs of about BLOCK: the grams, whose they are, and how many in a row are.
+
+    Short texts share a run and long ones have several, so memory is bounded.
+    """
+    held, owners, total = [], [], 0
+    for k, text in enumerate(texts):
+        for x in grams(text, order):
+            held.append(x)
+            owners.append(k)
+            total += len(x)
+            if total >= BLOCK:
+                yield np.concatenate(held), owners, [len(y) for y in held]
+                held, owners, total = [], [], 0
+    if held:
+        yield np.concatenate(held), owners, [len(y) for y in held]
 
 
 def slices(batch: pa.RecordBatch, column: str, size: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -87,6 +99,10 @@ class Memo:
         return out
 
 
-def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The sum of each run of values."""
-    return np.add.reduceat(np.append(values, 0.0), np.concatenate([[0], np.cumsum(counts)[:-1]])) if len(counts) else np.empty(0)
+def sums(texts: list[bytes], order: int, memo: Memo) -> np.ndarray:
+    """For each text, the sum of its grams' values."""
+    out = np.zeros(len(texts))
+    for found, owners, lengths in pieces(texts, order):
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        np.add.at(out, owners, np.add.reduceat(memo(found), starts))
+    return out

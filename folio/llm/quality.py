@@ -91,7 +91,9 @@ def features(data: bytes, s: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
     ranges, gram = np.array(_ranges(s)), np.frombuffer(data, np.uint8)
     if len(gram) < 4:
         return ranges, np.full(len(ranges), 0.1, np.float32)
-    counts = np.bincount(_grams(gram), minlength=BUCKETS)
+    counts = np.zeros(BUCKETS, np.int64)
+    for i in range(0, len(gram) - 3, 1 << 20):
+        counts += np.bincount(_grams(gram[i : i + (1 << 20) + 3]), minlength=BUCKETS)
     at = np.flatnonzero(counts)
     return np.concatenate([at, ranges]), np.concatenate([counts[at] / (len(gram) - 3), np.full(len(ranges), 0.1)]).astype(np.float32)
 
