@@ -23,6 +23,7 @@ WIDTHS, FILTERS, EMBEDDED = (2, 3, 4), 16, 8
 #: For each language, so many windows train the network: those of least hash, up to WINDOWS_OF_ONE from a document.
 WINDOWS_PER_LANGUAGE, WINDOWS_OF_ONE = 800, 2
 UNKNOWN = "und"
+OVER = 4
 #: Windows that run through the network at once.
 TOGETHER = 64
 
@@ -125,14 +126,18 @@ def fit(docs: DataFrame, per_language: int = WINDOWS_PER_LANGUAGE) -> Network |
     """
     data = F.col("text").cast("binary")
     some = docs.where("lang is not null and text is not null and text <> ''").withColumn("nth", F.explode(F.expr(f"sequence(0, {WINDOWS_OF_ONE - 1})")))
-    chosen = F.xxhash64("doc_id", "text", "nth")
+    chosen = F.pmod(F.xxhash64("doc_id", "text", "nth"), F.lit(1 << 62))
     start = F.pmod(F.xxhash64("nth", "text"), F.greatest(F.lit(1), F.octet_length("text") - WINDOW + 1)).cast("int") + 1
     cuts = some.select("lang", chosen.alias("chosen"), F.substring(data, start, WINDOW).alias("piece"))
+    # Least hashes are found among those below a bound that leaves about OVER times as many as are wanted.
+    found = {r.lang: r["count"] for r in cuts.groupBy("lang").count().collect()}
+    if not found:
+        return None
+    bounds = F.create_map(*(F.lit(x) for lang, n in sorted(found.items()) for x in (lang, min(1.0, OVER * per_language / n))))
+    cuts = cuts.where(F.col("chosen") <= bounds[F.col("lang")] * float(1 << 62))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("chosen", "piece"))
     rows = sorted((r.lang, bytes(r.piece)) for r in cuts.withColumn("n", first).where(F.col("n") <= per_language).select("lang", "piece").collect())
     languages = sorted({x for x, _ in rows})
-    if not languages:
-        return None
     return train(np.stack([windows_of(x)[0][0] for _, x in rows]), np.array([languages.index(x) for x, _ in rows]), languages)
 
 
