@@ -113,6 +113,12 @@ _ANSWER = """select conv_id, turn, case when turn % 4 = 0 then coalesce(json_ext
 _EMPTY = "nullif(array_to_string(%s, ''), '')"
 
 ORACLES = {
+    "a6_plan_sink": oracle("select deck_id, to_json({'schema_version': '2.0', 'total_slides': count(*), 'slides': list({'slide_no': slide_no, 'slide_id': slide_id, 'kind': kind, 'title': title} order by slide_no)})::varchar as plan from fx_slide group by deck_id", "fx_slide"),
+    "h3_message_build": oracle(
+        f"""select qid, [{{'role': 'system', 'content': '{X.INTRO}' || chr(10) || chr(10) || 'NGỮ CẢNH:' || chr(10) || chr(10) || context || chr(10) || chr(10) || '{X.OUTPUT_RULE}'}}, {{'role': 'human', 'content': '? ' || qid}}] as messages
+        from ({_BLOCKS}) where qid <> 'none'""",
+        CONV,
+    ),
     "a1_upload_gate": oracle("select page_id, filename, size_bytes, case when filename = '' then 'no_name' when not lower(filename) like '%.pdf' then 'suffix' when size_bytes > 52428800 then 'too_large' end as reject_reason from fx_file", "fx_file"),
     "a2_parse_role_list": oracle("select page_id, case when len(list_filter(l, lambda x: x is null)) = 0 then l end as roles from (select page_id, list_transform(string_split(roles_csv, ','), lambda x: try_cast(trim(x) as int)) as l from fx_file)", "fx_file"),
     "a3_relational_scan": "select c_custkey, c_name, c_nationkey from customer where c_acctbal > 0",
