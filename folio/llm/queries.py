@@ -21,4 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": licenses.op9_licenses,
 }
 
-ORACLES: dict[str, str] = {}
+#: CRC-32 in SQL: its table from its polynomial, then a step for each byte.
+_CRC = """with t as (select list(c order by i) as t from (select i, list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) as c from range(256) r(i))),
+  d as (select doc_id, octet_length(encode(coalesce(text, ''))) + 8 as size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda y: ('0x' || y)::bigint) as bytes from documents),
+  z as (select doc_id, size::bigint as size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t.t[xor(c & 255, x) + 1]), 4294967295), 4294967295)::bigint as text_crc32 from d, t)"""
+
+ORACLES: dict[str, str] = {
+    "op5_sharding": f"""{_CRC}, p as (select *, sum(size) over (order by doc_id) - size as first_byte, sum(size) over () as total from z)
+        select doc_id, size, text_crc32, 'bytes' as law, (first_byte * 24 // total)::int as shard, row_number() over (partition by first_byte * 24 // total order by doc_id) - 1 as slot, null::int as grown_shard, first_byte::bigint as first_byte from p""",
+}
