@@ -29,7 +29,7 @@ QUERIES = {
     "b7_hard_cap_split": lambda s, d: table(s, d, "documents").select("doc_id", F.posexplode(K.hard_cap("text", 300, 20)).alias("run", "content")),
     "b8_inject_header_context": lambda s, d: _sections(s, d).select("doc_id", "section", K.inject_context("content", "h1", "h2").alias("content")),
     "b9_chunk_method": lambda s, d: fixture(s, d, "fx_doc").select("doc_id", K.label_method(token_count("content")).alias("method")),
-    "b11_chunk_documents": lambda s, d: K.chunk_documents(fixture(s, d, MD)).drop("content"),
+    "b11_chunk_documents": lambda s, d: K.chunk_documents(fixture(s, d, MD)),
 }
 
 _ISOLATED = r"regexp_replace(md, '(?m)((?:^\|.*\|$\n)*^\|.*\|$)\n?', chr(10) || chr(10) || '\1' || chr(10) || chr(10), 'g')"
@@ -74,30 +74,58 @@ ORACLES = {
     "b9_chunk_method": oracle("select doc_id, case when t > 1200 then 'hybrid_semantic' when t > 200 then 'markdown_adaptive' else 'merged_small' end as method from (select doc_id, greatest(1, (length(content) + 2) // 3) as t from fx_doc)", "fx_doc"),
 }
 
-#: Greedy packing of paragraphs, then lines, then sentences, as a recursion over the pieces.
-_P0 = "select doc_id, 0 as a, unnest(string_split(replace(text, chr(10) || chr(10), chr(1) || chr(10) || chr(10)), chr(1))) as p, generate_subscripts(string_split(replace(text, chr(10) || chr(10), chr(1) || chr(10) || chr(10)), chr(1)), 1) as i from documents where (length(text) + 2) // 3 > 1200"
 
 
-def _cut(source: str, mark: str, keys: str) -> str:
+def _cut(source: str, mark: str) -> str:
+    """Pieces p (by d, i) of more than 2,000 characters cut before a mark."""
     parts = f"case when length(p) > 2000 then string_split(replace(p, {mark}, chr(1) || {mark}), chr(1)) else [p] end"
-    return f"select doc_id, {keys} as i, p from (select doc_id, i, unnest({parts}) as p, generate_subscripts({parts}, 1) as j from ({source}))"
-
-
-_P2 = _cut(_cut(_P0, "chr(10)", "i * 10000 + j"), "'. '", "i * 10000 + j")
-ORACLES["b3_split_structural"] = f"""with recursive ps as (select doc_id, p, row_number() over (partition by doc_id order by i) as n from ({_P2}) where p <> ''),
-  r as (select doc_id, n, 0 as piece, length(p)::bigint as size from ps where n = 1
-    union all select s.doc_id, s.n, case when r.size + length(s.p) > 2000 then r.piece + 1 else r.piece end, case when r.size + length(s.p) > 2000 then length(s.p) else r.size + length(s.p) end from r join ps s on s.doc_id = r.doc_id and s.n = r.n + 1)
-  select r.doc_id, r.piece::int as piece, string_agg(ps.p, '' order by r.n) as content from r join ps on ps.doc_id = r.doc_id and ps.n = r.n group by r.doc_id, r.piece
-  union all select doc_id, 0, text from documents where (length(text) + 2) // 3 <= 1200"""
-ORACLES["b6_split_semantic"] = r"""with s as (select doc_id, unnest(l) as sentence, generate_subscripts(l, 1) - 1 as n from (
-    select doc_id, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) as l from documents where (length(text) + 2) // 3 > 1200)),
-  t as (select doc_id, n, term, count(*)::double as c from (select doc_id, n, unnest(list_filter(regexp_split_to_array(lower(sentence), '[^\p{L}\p{N}]+'), lambda x: x <> '')) as term from s) group by all),
-  m as (select doc_id, n, sqrt(sum(c * c)) as norm from t group by all),
-  dots as (select a.doc_id, a.n, sum(a.c * b.c) as dot from t a join t b on a.doc_id = b.doc_id and b.n = a.n + 1 and a.term = b.term group by all),
-  d as (select s.doc_id, s.n, s.sentence, case when s.n < count(*) over (partition by s.doc_id) - 1 then round(1 - coalesce(dot / (m.norm * m2.norm), 0), 9) end as distance
-    from s left join m on m.doc_id = s.doc_id and m.n = s.n left join m m2 on m2.doc_id = s.doc_id and m2.n = s.n + 1 left join dots on dots.doc_id = s.doc_id and dots.n = s.n),
-  e as (select *, lag(distance) over w as b, lead(distance) over w as f from d window w as (partition by doc_id order by n)),
-  g as (select *, case when distance is not null then round(coalesce(case when f is null then distance - b when b is null then f - distance else (f - b) / 2 end, 0), 9) end as slope from e),
-  k as (select *, coalesce(slope > round(quantile_cont(slope, 0.95) over (partition by doc_id), 9), false)::int as cut from g),
-  p as (select *, coalesce(sum(cut) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0)::int as part from k)
-  select doc_id, part, string_agg(sentence, ' ' order by n) as content from p group by all"""
+    return f"select d, i * 10000 + j as i, p from (select d, i, unnest({parts}) as p, generate_subscripts({parts}, 1) as j from ({source}))"
+
+
+def _structural(source: str) -> str:
+    """The CTEs of greedy packing over source (d, text): ps the pieces, pk (d, piece, content) the packed ones."""
+    marked = "string_split(replace(text, chr(10) || chr(10), chr(1) || chr(10) || chr(10)), chr(1))"
+    pieces = _cut(_cut(f"select d, unnest({marked}) as p, generate_subscripts({marked}, 1) as i from ({source}) where (length(text) + 2) // 3 > 1200", "chr(10)"), "'. '")
+    return f"""ps as (select d, p, row_number() over (partition by d order by i) as n from ({pieces}) where p <> ''),
+      pr as (select d, n, 0 as piece, length(p)::bigint as size from ps where n = 1
+        union all select s.d, s.n, case when r.size + length(s.p) > 2000 then r.piece + 1 else r.piece end, case when r.size + length(s.p) > 2000 then length(s.p) else r.size + length(s.p) end from pr r join ps s on s.d = r.d and s.n = r.n + 1),
+      pk as (select r.d, r.piece::int as piece, string_agg(ps.p, '' order by r.n) as content from pr r join ps on ps.d = r.d and ps.n = r.n group by r.d, r.piece
+        union all select d, 0, text from ({source}) where (length(text) + 2) // 3 <= 1200)"""
+
+
+def _semantic(source: str) -> str:
+    """The CTEs of semantic cuts over source (d, text): sp (d, part, content)."""
+    return rf"""s1 as (select d, unnest(l) as sentence, generate_subscripts(l, 1) - 1 as n from (select d, string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) as l from ({source}) where (length(text) + 2) // 3 > 1200)),
+      s2 as (select d, n, term, count(*)::double as c from (select d, n, unnest(list_filter(regexp_split_to_array(lower(sentence), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) as term from s1) group by all),
+      s3 as (select d, n, sqrt(sum(c * c)) as norm from s2 group by all),
+      s4 as (select a.d, a.n, sum(a.c * b.c) as dot from s2 a join s2 b on a.d = b.d and b.n = a.n + 1 and a.term = b.term group by all),
+      s5 as (select s1.d, s1.n, s1.sentence, case when s1.n < count(*) over (partition by s1.d) - 1 then round(1 - coalesce(dot / (m.norm * m2.norm), 0), 9) end as distance
+        from s1 left join s3 m on m.d = s1.d and m.n = s1.n left join s3 m2 on m2.d = s1.d and m2.n = s1.n + 1 left join s4 on s4.d = s1.d and s4.n = s1.n),
+      s6 as (select *, lag(distance) over w as b, lead(distance) over w as f from s5 window w as (partition by d order by n)),
+      s7 as (select *, case when distance is not null then round(coalesce(case when f is null then distance - b when b is null then f - distance else (f - b) / 2 end, 0), 9) end as slope from s6),
+      s8 as (select *, coalesce(slope > round(quantile_cont(slope, 0.95) over (partition by d), 9), false)::int as cut from s7),
+      s9 as (select *, coalesce(sum(cut) over (partition by d order by n rows between unbounded preceding and 1 preceding), 0)::int as part from s8),
+      sp as (select d, part, string_agg(sentence, ' ' order by n) as content from s9 group by all)"""
+
+
+_ALL = "select doc_id as d, text from documents"
+ORACLES["b3_split_structural"] = f"with recursive {_structural(_ALL)} select d as doc_id, piece, content from pk"
+ORACLES["b6_split_semantic"] = f"with recursive {_semantic(_ALL)} select d as doc_id, part, content from sp"
+ORACLES["b11_chunk_documents"] = oracle(
+    rf"""with sec as ({_headers(f"select doc_id, {_ISOLATED} as md from fx_md")}),
+      keyed as (select *, doc_id * 100000 + section as d, content as text from sec), {_structural("select d, text from keyed")},
+      num as (select k.doc_id, row_number() over (partition by k.doc_id order by k.section, p.piece) - 1 as idx, k.h1, k.h2, p.content from pk p join keyed k on k.d = p.d),
+      {_merged("select * from num", "doc_id")},
+      mg as (select r.doc_id, min(r.idx) as idx, first(s.h1 order by r.idx) as h1, first(s.h2 order by r.idx) as h2, string_agg(s.content, chr(10) || chr(10) order by r.idx) as content from r join src s on s.doc_id = r.doc_id and s.idx = r.idx group by r.doc_id, r.merged),
+      mk as (select *, doc_id * 100000 + idx as d, content as text, greatest(1, (length(content) + 2) // 3) as tok from mg), {_semantic("select d, text from mk")},
+      sx as (select k.doc_id, k.idx, sp.part, k.h1, k.h2, sp.content, greatest(1, (length(sp.content) + 2) // 3) as tok from sp join mk k on k.d = sp.d),
+      hc as (select doc_id, idx, part, start // 1400 as run, h1, h2, array_to_string(w[start + 1 : start + 1500], ' ') as content from (
+        select *, unnest(range(0, len(w), 1400)) as start from (select *, regexp_split_to_array(trim(content), '\s+') as w from sx where tok > 1500)) where start = 0 or start + 100 < len(w)),
+      fin as (select doc_id, idx, 0 as part, 0 as run, h1, h2, content, case when tok > 200 then 'markdown_adaptive' else 'merged_small' end as method from mk where tok <= 1200
+        union all select doc_id, idx, part, 0, h1, h2, content, 'hybrid_semantic' from sx where tok <= 1500
+        union all select doc_id, idx, part, run, h1, h2, content, 'hard_cap_fallback' from hc),
+      nm as (select f.*, m.tenant_id, m.src_file, row_number() over (partition by f.doc_id order by idx, part, run) - 1 as chunk_idx, concat_ws(' > ', h1, h2) as p from fin f join fx_md m using (doc_id))
+      select tenant_id, src_file, chunk_idx::int as chunk_idx, regexp_replace(md5(tenant_id || '_' || src_file || '_' || chunk_idx::varchar), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5') as chunk_id,
+        case when p <> '' and not contains(substr(content, 1, 300), p) then '**Bối cảnh: ' || p || '**' || chr(10) || chr(10) || content else content end as content, method, greatest(1, (length(content) + 2) // 3)::int as token_count, coalesce(h1, '') as h1, coalesce(h2, '') as h2, '' as h3 from nm""",
+    MD,
+)
