@@ -13,7 +13,7 @@ def token_count(text: Column | str) -> Column:
 
 def terms(text: Column | str) -> Column:
     """The letter-and-digit runs of a text, lower case."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def l2_normalize(vector: Column | str) -> Column:

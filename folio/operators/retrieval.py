@@ -104,8 +104,12 @@ def sparse_topk(questions: DataFrame, chunks: DataFrame, n: int = 40) -> DataFra
     """
     asked = sparse_encode(questions, "qid", "question").join(questions.select("qid", "tenant_id", "role_id").hint("merge"), "qid").withColumnRenamed("weight", "asked")
     small = asked.count() <= BLOCK_TERMS
-    postings = sparse_encode(chunks, "point_id", "content").join(chunks.select("point_id", "tenant_id", "accessed_role").hint("merge"), "point_id")
-    hit = postings.join(F.broadcast(asked) if small else asked.hint("merge"), ["tenant_id", "term"]).where(F.array_contains("accessed_role", F.col("role_id")))
+    side = F.broadcast if small else (lambda rows: rows.hint("merge"))
+    # Words that no question of the tenant has go before any shuffle.
+    words = chunks.select("point_id", "tenant_id", "accessed_role", F.explode(terms("content")).alias("term"))
+    words = words.join(side(asked.select("tenant_id", "term").distinct()), ["tenant_id", "term"], "left_semi")
+    postings = words.groupBy("point_id", "tenant_id", "term").agg(F.first("accessed_role").alias("accessed_role"), F.log1p(F.count(F.lit(1)).cast("double")).alias("weight"))
+    hit = postings.join(side(asked), ["tenant_id", "term"]).where(F.array_contains("accessed_role", F.col("role_id")))
     scored = hit.groupBy("qid", "point_id").agg(F.round(F.sum(F.col("weight") * F.col("asked")), PLACES).alias("score"))
     return _ranked(scored, n)
 
