@@ -53,7 +53,8 @@ def structural_pieces(text: Column | str, size: int = PIECE) -> Column:
     Only paragraphs that are too long are cut at lines, and only such lines at sentences. What marks a cut stays with
     what follows. A sentence that is too long stands alone.
     """
-    pieces = F.split(text, r"(?<!\n)(?=\n\n)")
+    # Before each blank line; of more newlines in a row, before every second one.
+    pieces = F.split(text, r"(?=\n\n)(?<=(?:^|[^\n])(?:\n\n){0,64})")
 
     def cut_long(mark: str):
         return lambda p: F.when(F.length(p) > size, F.split(p, mark)).otherwise(F.array(p))
