@@ -106,3 +106,22 @@ def sums(texts: list[bytes], order: int, memo: Memo) -> np.ndarray:
         starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         np.add.at(out, owners, np.add.reduceat(memo(found), starts))
     return out
+
+
+def parts(texts: list[bytes], order: int, memo: Memo) -> tuple[np.ndarray, pa.ListArray]:
+    """For each text, the sum of its grams' values, and those without one (nan) as (word, gram, n); word is empty."""
+    out, keys, counts = np.zeros(len(texts)), [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for found, owners, lengths in pieces(texts, order):
+        values = memo(found)
+        rare = np.isnan(values)
+        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+        np.add.at(out, owners, np.add.reduceat(np.where(rare, 0, values), starts))
+        whose = np.repeat(np.array(owners, np.uint64), lengths)[rare]
+        key, n = np.unique(whose << np.uint64(BITS * order) | found[rare], return_counts=True)
+        keys.append(key)
+        counts.append(n)
+    key, n = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    ends = np.searchsorted(key >> np.uint64(BITS * order), np.arange(len(texts) + 1, dtype=np.uint64)).astype(np.int32)
+    gram = (key & np.uint64((1 << BITS * order) - 1)).view(np.int64)
+    rows = pa.StructArray.from_arrays([pa.array([b""] * len(key), pa.binary()), pa.array(gram), pa.array(n)], ["word", "gram", "n"])
+    return out, pa.ListArray.from_arrays(pa.array(ends), rows)

@@ -1,11 +1,15 @@
 """Scores of texts by prediction by partial matching (PPM, method C, with exclusion) over bytes.
 
-Spark counts all byte n-grams of the training documents. The trie holds, for contexts of up to ORDER bytes, the next
-bytes whose n-gram makes up at least SHARE of all symbols, so its size has a bound whatever the size of the input;
-the rest of a context's counts goes to its escape. A byte is coded in the longest context that the trie has; where
-that lacks the byte, an escape is coded and the next shorter context follows, without the bytes already ruled out.
-As the model is fixed once trained, all of this depends on the last ORDER + 1 symbols alone, and a document's score
-is the sum of its n-grams' logarithms. A text's end is coded as one more symbol.
+Spark counts all byte n-grams of the training documents, and all stay in the model. It holds, for contexts of up to
+ORDER bytes, the next bytes and their counts. A byte is coded in the longest context that the model has; where that
+lacks the byte, an escape is coded and the next shorter context follows, without the bytes already ruled out. As the
+model is fixed once trained, all of this depends on the last ORDER + 1 symbols alone, and a document's score is the
+sum of its n-grams' logarithms. A text's end is coded as one more symbol.
+
+What an n-gram's value depends on ends in the same two symbols before the last one, but for contexts of one byte or
+none. So counts are dealt out by these two; each task builds the trie of its share, with the short contexts (SYMBOLS
+squared at most) beside it, and gives the values of its n-grams. Values of frequent n-grams (COMMON of all symbols,
+so 1 / COMMON at most) are looked up in a broadcast, and the others joined.
 
 Beside it stands a word unigram model as a base. Frequent words (at least WORD_SHARE of all tokens, so 1 / WORD_SHARE
 at most) are looked up in a broadcast, and the others joined, so no word heats a join.
@@ -23,11 +27,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm.common import cut, id_bucket, read, whole
-from folio.llm.grams import BITS, Counter, Memo, pieces, slices, sums
+from folio.llm.grams import BITS, Counter, Memo, parts, pieces, slices
 from folio.llm.simhash import word_blocks
 
 ORDER = 4
-SHARE = 1e-6
+COMMON = 1e-6
 WORD_SHARE = 5e-6
 SYMBOLS = 257
 #: Words that a task counts before it passes them on.
@@ -100,25 +104,55 @@ class Trie:
 
 
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counter = Counter()
+    counters = Counter(), Counter()
     for batch in batches:
-        for _, texts in slices(batch, "text"):
-            for found, _, _ in pieces(texts, ORDER + 1):
-                counter.add(found)
-    keys, n = counter.merge()
-    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["gram", "n"])
+        for part, texts in slices(batch, "text"):
+            held = part.column("held_out").to_pylist()
+            for k, counter in enumerate(counters):
+                for found, _, _ in pieces([t for t, h in zip(texts, held, strict=True) if h is (k == 1)], ORDER + 1):
+                    counter.add(found)
+    for k, counter in enumerate(counters):
+        keys, n = counter.merge()
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n * (k == 0)), pa.array(n)], ["gram", "n", "uses"])
+
 
+def _summed(grams: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, inverse = np.unique(grams, return_inverse=True)
+    return keys, np.bincount(inverse, n, len(keys)).astype(np.int64)
 
-def fit_trie(training: DataFrame, share: float = SHARE) -> Trie:
-    """The trie over column text (binary) of training. The driver gets its (ORDER + 1) / share cells at most."""
-    full = training.select("text").mapInArrow(_count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    each = F.expr(f"explode(transform(sequence(0, {ORDER}), m -> struct(m as m, gram & (shiftleft(1L, {BITS} * (m + 1)) - 1) as gram)))")
-    cells = cut(full.select(each.alias("x"), "n").groupBy("x.m", "x.gram").agg(F.sum("n").alias("n")))
-    symbols = cells.where("m = 0").agg(F.sum("n")).first()[0] or 0
-    contexts = cells.groupBy("m", F.shiftright("gram", BITS).alias("context")).agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("q"))
-    kept = cells.where(F.col("n") >= max(2, share * symbols)).withColumn("context", F.shiftright("gram", BITS))
-    rows = kept.join(contexts.hint("merge"), ["m", "context"]).select("m", "gram", "n", "all", "q").toPandas()
-    return Trie.build(rows.m.to_numpy(), rows.gram.to_numpy(np.int64).view(np.uint64), rows.n.to_numpy(), rows["all"].to_numpy(), rows.q.to_numpy())
+
+def _values(sent, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, held = sent.value, list(batches)
+        if not held:
+            return
+        gram, n, uses = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(3))
+        gram, rows = gram.view(np.uint64), []
+        for m in range(ORDER + 1):
+            of, count = pairs if m < 2 else (gram[n > 0], n[n > 0])
+            cell, count = _summed(_low(of, m + 1), count)
+            _, context, q = np.unique(cell >> np.uint64(BITS), return_inverse=True, return_counts=True)
+            kept = count >= least
+            rows.append(tuple(x[kept] for x in (np.full(len(cell), m), cell, count, np.bincount(context, count, len(q))[context].astype(np.int64), q[context])))
+        trie = Trie.build(*(np.concatenate(x) for x in zip(*rows, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(uses), pa.array(trie.value(gram))], ["gram", "uses", "value"])
+
+    return run
+
+
+def gram_values(texts: DataFrame, share: float = 0.0) -> DataFrame:
+    """gram, uses, value (log10) of each n-gram of texts (text as binary, held_out), which is trained on those not held out.
+
+    A share above 0 leaves n-grams that make up less of all symbols, and single ones, to the escapes.
+    """
+    counted = cut(texts.select("text", F.coalesce("held_out", F.lit(True)).alias("held_out")).mapInArrow(_count_grams, "gram long, n long, uses long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses")))
+    last = F.col("gram").bitwiseAND((1 << 2 * BITS) - 1).alias("gram")
+    pairs = counted.where("n > 0").groupBy(last).agg(F.sum("n").alias("n")).toPandas()
+    pairs = pairs.gram.to_numpy(np.int64).view(np.uint64), pairs.n.to_numpy(np.int64)
+    least = max(2, share * pairs[1].sum()) if share else 1
+    sent = texts.sparkSession.sparkContext.broadcast(pairs)
+    before = F.shiftright("gram", BITS).bitwiseAND((1 << 2 * BITS) - 1)
+    return cut(counted.repartition(before).select("gram", "n", "uses").mapInArrow(_values(sent, least), "gram long, uses long, value double"))
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,11 +172,18 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _score(sent):
-    names = ["doc_id", "held_out", "n_tokens", "n_known", "sure", "score", "rare"]
+    names = ["doc_id", "held_out", "n_tokens", "n_known", "sure", "score", "rare", "rare_grams"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, common = sent.value
-        memo = Memo(trie.value)
+        (known_grams, known_values), common = sent.value
+
+        def value(found: np.ndarray) -> np.ndarray:
+            if not len(known_grams):
+                return np.full(len(found), np.nan)
+            at = np.minimum(np.searchsorted(known_grams, found), len(known_grams) - 1)
+            return np.where(known_grams[at] == found, known_values[at], np.nan)
+
+        memo = Memo(value)
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 rows = []
@@ -159,13 +200,14 @@ def _score(sent):
                         sure += sum(values)
                     rows.append((tokens, known, sure, list(rare.items())))
                 columns = list(zip(*rows, strict=True))
-                rare = pa.array([[{"word": w, "n": n} for w, n in x] for x in columns[3]], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(sums(texts, ORDER + 1, memo)), rare], names)
+                rare = pa.array([[{"word": w, "gram": -1, "n": n} for w, n in x] for x in columns[3]], pa.list_(pa.struct([("word", pa.binary()), ("gram", pa.int64()), ("n", pa.int64())])))
+                score, rare_grams = parts(texts, ORDER + 1, memo)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(score), rare, rare_grams], names)
 
     return run
 
 
-def score(docs: DataFrame, held_out: str = "held_out", share: float = SHARE, word_share: float = WORD_SHARE) -> DataFrame:
+def score(docs: DataFrame, held_out: str = "held_out", share: float = 0.0, word_share: float = WORD_SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs.
 
     docs has doc_id, text and the boolean column held_out; the other rows train both models. Null text counts as
@@ -175,7 +217,10 @@ def score(docs: DataFrame, held_out: str = "held_out", share: float = SHARE, wor
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long"), F.col(held_out).alias("held_out"), whole("text").cast("binary").alias("text"))
     training = texts.where("not held_out")
-    trie = fit_trie(training, share)
+    values = gram_values(texts, share)
+    often = COMMON * (values.agg(F.sum("uses")).first()[0] or 0)
+    found = values.where(F.col("uses") >= often).select("gram", "value").orderBy("gram").toPandas()
+    frequent = found.gram.to_numpy(np.int64).view(np.uint64), found.value.to_numpy(float)
 
     words = cut(training.select("text").mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c")))
     ends = training.count()
@@ -184,24 +229,27 @@ def score(docs: DataFrame, held_out: str = "held_out", share: float = SHARE, wor
     least = max(1, word_share * total)
     common = {bytes(r.word): float(np.log10(r.c + ADD)) for r in words.where(F.col("c") >= least).collect()}
 
-    sent = spark.sparkContext.broadcast((trie, common))
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, sure double, score double, rare array<struct<word: binary, n: long>>"
+    sent = spark.sparkContext.broadcast((frequent, common))
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, sure double, score double, rare array<struct<word: binary, gram: long, n: long>>, rare_grams array<struct<word: binary, gram: long, n: long>>"
     scored = texts.mapInArrow(_score(sent), schema).withColumn("row", F.monotonically_increasing_id())
-    # A document's own row travels with its rare words, under a key that is no word and falls together with none.
-    own = F.struct(F.concat(F.lit("\n"), F.col("row").cast("string")).cast("binary").alias("word"), F.lit(0).cast("long").alias("n"))
-    parts = scored.select("row", F.posexplode(F.concat(F.array(own), "rare")).alias("at", "x"), "doc_id", "held_out", "n_tokens", "n_known", "sure", "score")
+    # A document's own row travels with its rare words and grams, under a key that is no word and falls together with none.
+    own = F.struct(F.concat(F.lit("\n"), F.col("row").cast("string")).cast("binary").alias("word"), F.lit(-1).cast("long").alias("gram"), F.lit(0).cast("long").alias("n"))
+    pieces_ = scored.select("row", F.posexplode(F.concat(F.array(own), "rare", "rare_grams")).alias("at", "x"), "doc_id", "held_out", "n_tokens", "n_known", "sure", "score")
     first = [F.when(F.col("at") == 0, F.col(c)).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "sure", "score")]
-    parts = parts.select("row", "x.word", "x.n", *first)
-    joined_ = parts.join(words.where(F.col("c") < least).hint("merge"), "word", "left")
+    pieces_ = pieces_.select("row", "x.word", "x.gram", "x.n", *first)
+    known = words.where(F.col("c") < least).select("word", F.lit(-1).cast("long").alias("gram"), "c", F.lit(None).cast("double").alias("value"))
+    known = known.union(values.where(F.col("uses") < often).select(F.expr("X''"), "gram", F.lit(None).cast("long"), "value"))
+    joined_ = pieces_.join(known.hint("merge"), ["word", "gram"], "left")
     c = F.coalesce("c", F.lit(0))
     rows = joined_.groupBy("row").agg(
         *(F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens", "n_known", "sure", "score")),
         F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("more_known"),
-        F.sum(F.col("n") * F.log10(c + F.lit(ADD))).alias("more"),
+        F.sum(F.when(F.col("gram") < 0, F.col("n") * F.log10(c + F.lit(ADD))).otherwise(0)).alias("more"),
+        F.sum(F.col("n") * F.coalesce("value", F.lit(0.0))).alias("more_score"),
     )
     end, norm = float(np.log10(ends + ADD)), float(np.log10(total + ADD * (distinct + 1)))
     tokens = F.col("n_tokens") + 1
-    return rows.select("doc_id", "held_out", tokens.alias("n_tokens"), (F.col("n_known") + F.col("more_known") + int(ends > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("sure") + F.col("more") + F.lit(end) - tokens * F.lit(norm)).alias("base_score"), "score")
+    return rows.select("doc_id", "held_out", tokens.alias("n_tokens"), (F.col("n_known") + F.col("more_known") + int(ends > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("sure") + F.col("more") + F.lit(end) - tokens * F.lit(norm)).alias("base_score"), (F.col("score") + F.col("more_score")).alias("score"))
 
 
 def op4_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,3 +90,24 @@ def test_grams_in_blocks(monkeypatch):
     assert np.allclose(grams.sums(texts, 3, grams.Memo(lambda g: np.sqrt(g.astype(float)), 4)), whole_sums)
     assert len(whole) == 11 and whole[-1] == (105 << 18 | 106 << 9 | 256)
     assert len(np.concatenate(list(grams.grams(b"abcd", 3)))) == 5 and len(np.concatenate(list(grams.grams(b"", 3)))) == 1
+
+
+class Whole(Plain):
+    """The plain model of all n-grams, single ones as well."""
+
+    def __init__(self, texts):
+        super().__init__(texts, 0)
+        self.kept = {}
+        for g, c in self.counts.items():
+            self.kept.setdefault(g[:-1], {})[g[-1]] = c
+
+
+def test_all_grams_count(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = ["only once: zq\u00fcx", *[" ".join(rng.choice(["the", "cat", "sat", "r%d" % rng.randint(0, 99)]) for _ in range(30)) for _ in range(40)], "only twice zq\u00fcy"]
+    frame = docs(spark, texts).withColumn("held_out", F.col("doc_id") % 4 == 2)
+    model = Whole([t.encode() for i, t in enumerate(texts, 1) if i % 4 != 2])
+    for common in (ppm.COMMON, 0.002, 1.0):  # all in the broadcast, some, none
+        monkeypatch.setattr(ppm, "COMMON", common)
+        got = {r.doc_id: r.score for r in ppm.score(frame).collect()}
+        assert all(got[i] == pytest.approx(model.score(t.encode()), abs=1e-8) for i, t in enumerate(texts, 1))
