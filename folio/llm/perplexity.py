@@ -1,10 +1,11 @@
 """Quality rules: counts of words, lines and repeats, then n-gram perplexity within a band for the language.
 
-A modified Kneser-Ney model over byte n-grams is counted by Spark on the documents that pass the plain rules. An
-n-gram is held as one number (its symbols' codes side by side, so without collisions) in sorted arrays. Those that
-make up less than SHARE of all symbols are left to the interpolation with the next shorter context, so the model has
-at most (ORDER + 1) / SHARE entries whatever the size of the input; counts, continuation counts, discounts and
-contexts cover all.
+A modified Kneser-Ney model over byte n-grams is counted by Spark on the documents that pass the plain rules, and all
+n-grams stay in it. An n-gram is held as one number (its symbols' codes side by side, so without collisions). What its
+value depends on ends in the same two symbols before the last one, but for contexts of one byte or none; so counts are
+dealt out by these two, and each task builds its share of the model, with the short contexts (SYMBOLS squared at most)
+beside it, and gives the values of its n-grams. Those of frequent n-grams (COMMON of all symbols, so 1 / COMMON at
+most) are looked up in a broadcast, and the others joined.
 
 A document's perplexity is that of its bytes and end. Quartiles of its logarithm over each language's documents give
 the language's band, and documents beyond it on either side are rejected.
@@ -21,10 +22,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folio.llm.common import cut, read, whole
-from folio.llm.grams import BITS, Counter, Memo, pieces, slices, sums
+from folio.llm.grams import BITS, Counter, Memo, parts, pieces, slices
 
 ORDER = 4
-SHARE = 1e-6
+COMMON = 2e-7
 SYMBOLS = 257
 #: A band reaches this many interquartile ranges beyond the quartiles of a language's log10 perplexities.
 REACH = 3.0
@@ -111,33 +112,96 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["gram", "n"])
 
 
-def fit(docs: DataFrame, share: float = SHARE) -> Model:
-    """The model of the documents that pass the plain rules. The driver gets (ORDER + 1) / share cells at most."""
+def _uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counter = Counter()
+    for batch in batches:
+        for _, texts in slices(batch, "text"):
+            for found, _, _ in pieces(texts, ORDER + 1):
+                counter.add(found)
+    keys, n = counter.merge()
+    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["gram", "uses"])
+
+
+@dataclass
+class Counts:
+    """What the model is made of: gram, n of the longest n-grams, rows of the two shortest levels, discounts by level."""
+
+    full: DataFrame
+    short: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # gram, n, count
+    discounts: dict[int, np.ndarray]
+    least: float
+
+
+def fit(docs: DataFrame, share: float = 0.0) -> Counts:
+    """The model of the documents that pass the plain rules.
+
+    A share above 0 leaves n-grams that make up less of all symbols, and single ones, to the interpolation.
+    """
     texts = docs.select(whole("text").cast("binary").alias("text"))
     # For the longest n-grams `count` is how often they occur, for others how many symbols they follow.
     level = texts.mapInArrow(_count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).withColumn("count", F.col("n"))
-    full = level = cut(level.withColumn("m", F.lit(ORDER)))
+    longest = full = level = cut(level.withColumn("m", F.lit(ORDER)))
     for m in range(ORDER - 1, -1, -1):
         level = cut(level.groupBy(F.col("gram").bitwiseAND((1 << BITS * (m + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("count")).withColumn("m", F.lit(m)))
         full = full.unionByName(level)
-    symbols = level.agg(F.sum("n")).first()[0] or 0
     found = {r.m: discounts(*r[1:]) for r in full.groupBy("m").agg(*(F.sum((F.col("count") == k).cast("long")) for k in (1, 2, 3, 4))).collect()}
-    contexts = full.groupBy("m", F.shiftright("gram", BITS).alias("context")).agg(F.sum("count").alias("all"))
-    kept = full.where(F.col("n") >= max(2, share * symbols)).withColumn("context", F.shiftright("gram", BITS))
-    rows = kept.join(contexts.hint("merge"), ["m", "context"]).select("m", "gram", "count", "all").toPandas()
-    return Model.build(rows.m.to_numpy(), rows.gram.to_numpy(np.int64).view(np.uint64), rows["count"].to_numpy(), rows["all"].to_numpy(), found)
+    rows = full.where("m < 2").toPandas()
+    short = [tuple(rows[rows.m == m][c].to_numpy(np.int64) for c in ("gram", "n", "count")) for m in (0, 1)]
+    return Counts(longest.select("gram", "n"), [(g.view(np.uint64), n, c) for g, n, c in short], found, max(2, share * short[0][1].sum()) if share else 1)
+
+
+def _values(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (short, by_level, least), held = sent.value, list(batches)
+        if not held:
+            return
+        gram, n, uses = (np.concatenate([x.column(k).to_numpy() for x in held]) for k in range(3))
+        gram, inverse = np.unique(gram.view(np.uint64), return_inverse=True)
+        n, uses = (np.bincount(inverse, x, len(gram)).astype(np.int64) for x in (n, uses))
+        level = (gram[n > 0], n[n > 0], n[n > 0])
+        levels = {ORDER: level, 0: short[0], 1: short[1]}
+        for m in range(ORDER - 1, 1, -1):
+            key, inverse, count = np.unique(level[0] & np.uint64((1 << BITS * (m + 1)) - 1), return_inverse=True, return_counts=True)
+            levels[m] = level = key, np.bincount(inverse, level[1], len(key)).astype(np.int64), count
+        rows = []
+        for m, (cell, often, count) in levels.items():
+            _, context = np.unique(cell >> np.uint64(BITS), return_inverse=True)
+            kept = often >= least
+            rows.append(tuple(x[kept] for x in (np.full(len(cell), m), cell, count, np.bincount(context, count)[context] if len(cell) else count)))
+        model = Model.build(*(np.concatenate(x) for x in zip(*rows, strict=True)), by_level)
+        used = uses > 0
+        yield pa.RecordBatch.from_arrays([pa.array(gram[used].view(np.int64)), pa.array(uses[used]), pa.array(model.value(gram[used]))], ["gram", "uses", "value"])
+
+    return run
+
+
+def gram_values(texts: DataFrame, model: Counts) -> DataFrame:
+    """gram, uses, value (log10) of each n-gram of texts (binary)."""
+    uses = texts.select("text").mapInArrow(_uses, "gram long, uses long").groupBy("gram").agg(F.sum("uses").alias("uses"))
+    both = model.full.select("gram", "n", F.lit(0).cast("long").alias("uses")).union(uses.select("gram", F.lit(0).cast("long"), "uses"))
+    sent = texts.sparkSession.sparkContext.broadcast((model.short, model.discounts, model.least))
+    before = F.shiftright("gram", BITS).bitwiseAND((1 << 2 * BITS) - 1)
+    return cut(both.repartition(before).mapInArrow(_values(sent), "gram long, uses long, value double"))
 
 
 def _score(sent):
-    names = ["doc_id", "language", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "log_perplexity"]
+    names = ["doc_id", "language", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "sure", "size", "rare"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(sent.value.value)
+        known, known_values = sent.value
+
+        def value(found: np.ndarray) -> np.ndarray:
+            if not len(known):
+                return np.full(len(found), np.nan)
+            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            return np.where(known[at] == found, known_values[at], np.nan)
+
+        memo = Memo(value)
         for batch in batches:
             for part, texts in slices(batch, "text"):
                 columns = list(zip(*map(base, texts), strict=True))
-                mean = -sums(texts, ORDER + 1, memo) / [len(t) + 1 for t in texts]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("language"), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.bool_()), pa.array(mean)], names)
+                sure, rare = parts(texts, ORDER + 1, memo)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("language"), *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.bool_()), pa.array(sure), pa.array([len(t) + 1 for t in texts], pa.int64()), rare], names)
 
     return run
 
@@ -154,7 +218,7 @@ def bands(scored: DataFrame, reach: float = REACH) -> DataFrame:
     return ends.select("language", (F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"))
 
 
-def judge(docs: DataFrame, model: Model | None = None, reach: float = REACH) -> DataFrame:
+def judge(docs: DataFrame, model: Counts | None = None, reach: float = REACH) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, perplexity of docs' rows.
 
     docs has doc_id, text and lang; a null lang is a language of its own. The model is fitted on docs if none is
@@ -162,10 +226,21 @@ def judge(docs: DataFrame, model: Model | None = None, reach: float = REACH) ->
     count and are judged each. An empty table gives no rows. Other columns are not read.
     """
     model = model or fit(docs)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("")).alias("language"), whole("text").cast("binary").alias("text"))
-    schema = "doc_id long, language string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, log_perplexity double"
-    scored = cut(texts.mapInArrow(_score(sent), schema))
+    values = gram_values(texts, model)
+    often = COMMON * (values.agg(F.sum("uses")).first()[0] or 0)
+    found = values.where(F.col("uses") >= often).select("gram", "value").orderBy("gram").toPandas()
+    sent = docs.sparkSession.sparkContext.broadcast((found.gram.to_numpy(np.int64).view(np.uint64), found.value.to_numpy(float)))
+    schema = "doc_id long, language string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, sure double, size long, rare array<struct<word: binary, gram: long, n: long>>"
+    read_ = texts.mapInArrow(_score(sent), schema).withColumn("row", F.monotonically_increasing_id())
+    # A document's own row travels with its rare n-grams, under a number that no n-gram has.
+    own = F.struct(F.expr("X''").alias("word"), (-1 - F.col("row")).alias("gram"), F.lit(0).cast("long").alias("n"))
+    columns = [c for c in read_.columns if c not in ("rare", "row")]
+    dealt = read_.select("row", F.posexplode(F.concat(F.array(own), "rare")).alias("at", "x"), *columns)
+    dealt = dealt.select("row", "x.gram", "x.n", *(F.when(F.col("at") == 0, F.col(c)).alias(c) for c in columns))
+    joined = dealt.join(values.where(F.col("uses") < often).select("gram", "value").hint("merge"), "gram", "left")
+    rows = joined.groupBy("row").agg(*(F.max(c).alias(c) for c in columns), F.sum(F.col("n") * F.coalesce("value", F.lit(0.0))).alias("more"))
+    scored = cut(rows.select(*columns[:-2], (-(F.col("sure") + F.col("more")) / F.col("size")).alias("log_perplexity")))
     # One language may have most rows, so each is dealt out by a hash of the row.
     limits = cut(bands(scored, reach)).withColumn("salt", F.explode(F.expr(f"sequence(0, {SALT - 1})")))
     salted = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id", "log_perplexity"), F.lit(SALT)).cast("int"))

@@ -103,3 +103,21 @@ def test_null_language_and_empty_table(spark):
 def test_many_distinct_words():
     words = [b"%d" % (k % 50) for k in range(400)]
     assert P.repeated_words(words) == 400 and P.repeated_words(words[:51]) == 0 and P.repeated_words(words[:53]) == 6
+
+
+class Whole(Plain):
+    """The plain model of all n-grams: none occurs less than once, so the bar of two goes."""
+
+    def __init__(self, texts, monkeypatch):
+        monkeypatch.setitem(globals(), "max", lambda *x: 0 if x[0] == 2 else __builtins__["max"](*x))
+        super().__init__(texts, 0)
+        monkeypatch.delitem(globals(), "max")
+
+
+def test_all_grams_count(spark, monkeypatch):
+    texts = corpus(random.Random(2))
+    model = Whole([(t or "").encode() for t in texts if not plain_base(t)[-1]], monkeypatch)
+    for common in (P.COMMON, 0.002, 1.0):  # all in the broadcast, some, none
+        monkeypatch.setattr(P, "COMMON", common)
+        for r in P.judge(docs(spark, texts)).collect():
+            assert math.log10(r.perplexity) == pytest.approx(model.mean((texts[r.doc_id - 1] or "").encode()), abs=1e-9)
