@@ -41,4 +41,31 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-4.0 (named)": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0 (named)": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-NC-4.0 (named)": "Licensed under CC BY-NC 4.0.",
+    "GPL-2.0": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU
+        General Public License as published by the Free Software Foundation; either version 2 of the License, or (at
+        your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT
+        ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+        the GNU General Public License for more details.""",
+    "GPL-2.0 (named)": "This work is licensed under the GNU General Public License, version 2.",
+    "CC-BY-NC-4.0 (full name)": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-ND-4.0 (full name)": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-SA-4.0 (full name)": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-NC-ND-4.0 (full name)": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+    "MIT (licensed)": "Licensed under the MIT License.",
+    "BSD-2-Clause (named)": "Licensed under the BSD 2-Clause License.",
+    "BSD-3-Clause (named)": "Licensed under the BSD 3-Clause License.",
+    "CC-BY-4.0 (short)": "Licensed under CC BY 4.0.",
+    "CC-BY-SA-4.0 (short)": "Licensed under CC BY-SA 4.0.",
+    "CC-BY-ND-4.0 (short)": "Licensed under CC BY-ND 4.0.",
+    "CC-BY-NC-SA-4.0 (short)": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-NC-ND-4.0 (short)": "Licensed under CC BY-NC-ND 4.0.",
+}
+
+#: Words in a row that tell a long notice from others of its kind; a match must have them.
+REQUIRED: dict[str, str] = {
+    "Apache-2.0": "Apache License, Version 2.0",
+    "GPL-2.0": "version 2 of",
+    "GPL-3.0": "version 3 of",
+    "LGPL-2.1": "version 2.1 of",
+    "MPL-2.0": "Mozilla Public License, v. 2.0",
 }

@@ -19,11 +19,13 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import read, whole
 from folio.llm.decontaminate import tokens
-from folio.llm.license_templates import TEMPLATES
+from folio.llm.license_templates import REQUIRED, TEMPLATES
 
 GRAM, WINDOWED = 3, 2
 #: The share of a template's tokens that must match.
 COVERAGE = 0.8
+#: Templates of fewer tokens must match exactly, as one token tells licenses apart.
+SHORT = 20
 #: Half the width of the band, and its growth with the template.
 BAND, BAND_SHARE = 4, 0.1
 #: Weights of a token that matches, one that differs, and one that only one side has.
@@ -82,6 +84,7 @@ class Index:
     def __init__(self, templates: list[tuple[str, str]]) -> None:
         self.names = [n for n, _ in templates]
         self.texts = [tokens().of(t) for _, t in templates]
+        self.required = [tokens().of(REQUIRED.get(n, "")) for n in self.names]
         self.places: dict[int, list[tuple[int, int]]] = {}
         for k, hashes in enumerate(self.texts):
             for fp, at in zip(*(x.tolist() for x in fingerprints(hashes)), strict=True):
@@ -101,13 +104,19 @@ class Index:
         out = []
         for k, of in shifts.items():
             tried, spans = None, []
+            n, required = len(self.texts[k]), self.required[k]
             for shift in sorted(of):
+                if n < SHORT:
+                    if shift >= 0 and np.array_equal(hashes[shift : shift + n], self.texts[k]):
+                        spans.append((1.0, shift, shift + n))
+                    continue
                 if tried is not None and shift - tried <= BAND // 2:  # the same band, all but for its edge
                     continue
                 tried = shift
                 matched, first, end = align(self.texts[k], hashes, shift)
-                if matched >= COVERAGE * len(self.texts[k]):
-                    spans.append((matched / len(self.texts[k]), first, end))
+                named = any(np.array_equal(hashes[x : x + len(required)], required) for x in range(first, end - len(required) + 1))
+                if matched >= COVERAGE * n and named:
+                    spans.append((matched / n, first, end))
             taken: list[tuple[float, int, int]] = []
             for span in sorted(spans, key=lambda s: (-s[0], s[1])):
                 if all(span[2] <= t[1] or span[1] >= t[2] for t in taken):

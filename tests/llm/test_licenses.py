@@ -55,3 +55,11 @@ def test_shared_runs_share_a_fingerprint():
         run = rng.integers(0, 2**63, C.GRAM + C.WINDOWED - 1).astype(np.uint64)
         a, b = (np.concatenate([rng.integers(0, 2**63, 9).astype(np.uint64), run, rng.integers(0, 2**63, 9).astype(np.uint64)]) for _ in range(2))
         assert np.intersect1d(C.fingerprints(a)[0], C.fingerprints(b)[0]).size
+
+
+def test_the_token_that_names_the_license_must_match(spark):
+    gpl = " ".join(TEMPLATES["GPL-3.0"].split())
+    cc = "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."
+    texts = ["x Licensed under CC BY-SA 4.0.", "Licensed under CC BY 4.0.", "This work is licensed under the GNU General Public License, version 2.", cc, gpl, gpl.replace("version 3", "version 2"), gpl.replace("version 3", "version 7"), "Licensed under CC BY-XX 4.0."]
+    got = {(r.doc_id, r.license.split(" ")[0]) for r in C.scan(docs(spark, texts)).collect()}
+    assert got == {(1, "CC-BY-SA-4.0"), (2, "CC-BY-4.0"), (3, "GPL-2.0"), (4, "CC-BY-NC-4.0"), (5, "GPL-3.0"), (6, "GPL-2.0")}
