@@ -11,7 +11,8 @@ document's blocks, which fixes the one state at each cut that lies on the whole
 traced back by itself.
 
 No piece holds a word mark after another character, so between the first and last such place of a chunk the search
-falls apart into words, whose encodings are remembered.
+falls apart into words, whose encodings are remembered. New words are searched together, place by place: a trie of the
+pieces gives the steps, and a table says which neighbours agree.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,12 @@ MARK = "▁"
 #: Characters of a chunk, and chunks of a block.
 CHUNK = 1 << 15
 BLOCK = 256
-#: Remembered words and pairs; beyond them the memory starts anew.
+#: Remembered words; beyond them those not in use go.
 REMEMBERED = 200_000
+#: Places of words that are searched together, and the longest run of places that joins them.
+TOGETHER, WIDE = 1 << 17, 64
+#: Remembered pairs, as a power of two; a pair's place is a hash of it, and what stood there goes.
+PAIR_BITS = 20
 #: A state is (characters by which its piece passes the cut) * 256 + (characters of the piece); at a text's start 0.
 STATE = 256
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -47,6 +52,163 @@ def default_model() -> str:
     return public_tokenizers.path(PIECE_MODEL)
 
 
+class Steps:
+    """The search over many words at once, on arrays: pieces by a trie, agreement of neighbours by a table."""
+
+    def __init__(self, ids: dict[str, int], rank: dict[str, float], byte_id: list[int]) -> None:
+        self.byte_id = np.array(byte_id, "<i4")
+        # The trie: (node, character) -> node, and each node's piece.
+        node, nodes, ends = {"": 0}, [], [-1]
+        for piece, i in ids.items():
+            for k in range(1, len(piece) + 1):
+                if piece[:k] not in node:
+                    node[piece[:k]] = len(ends)
+                    nodes.append((node[piece[: k - 1]] << 21 | ord(piece[k - 1]), len(ends)))
+                    ends.append(-1)
+            ends[node[piece]] = i
+        nodes.sort()
+        self.edge, self.child = (np.array(x, np.int64) for x in zip(*nodes, strict=True))
+        self.ends = np.array(ends, np.int64)
+        self.beside = np.unique(np.array([ord(x[k]) << 21 | ord(x[k + 1]) for x in ids for k in range(len(x) - 1)], np.int64))
+        # Merges: (symbol, symbol) -> rank and symbol. A symbol is a piece, by its id, or one of their other characters.
+        number = dict(ids)
+        for c in sorted({c for x in ids for c in x}):
+            number.setdefault(c, len(byte_id) + 256 + len(number))
+        self.characters = {i: [number[c] for c in x] for x, i in ids.items()}
+        merges = sorted((number[x[:k]] << 32 | number[x[k:]], rank[x], i) for x, i in ids.items() for k in range(1, len(x)) if x[:k] in number and x[k:] in number)
+        self.pair, self.pair_rank, self.merged = np.array([m[0] for m in merges], np.int64), np.array([m[1] for m in merges]), np.array([m[2] for m in merges], np.int64)
+        self.known, self.agreed = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
+
+    def _rank(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        at, key = self._merge(x, y)
+        return np.where(self.pair[at] == key, self.pair_rank[at], np.inf)
+
+    def _merge(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        key = x << 32 | y
+        return np.minimum(np.searchsorted(self.pair, key), len(self.pair) - 1), key
+
+    def _merging(self, pairs: np.ndarray) -> np.ndarray:
+        """For each pair (a << 32 | b), whether merging a + b by rank gives back a and b."""
+        a, b = pairs >> 32, pairs & 0xFFFFFFFF
+        parts = [self.characters[x] + self.characters[y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        width, out = max(map(len, parts)), np.zeros(len(pairs), bool)
+        symbols = np.full((len(parts), width + 1), -1, np.int64)
+        for k, x in enumerate(parts):
+            symbols[k, : len(x)] = x
+        rank = np.where(symbols[:, 1:] >= 0, self._rank(symbols[:, :-1], symbols[:, 1:]), np.inf)
+        of, places = np.arange(len(parts)), np.arange(width)
+        while len(of):
+            at = rank.argmin(1)
+            going = rank[np.arange(len(of)), at] < np.inf
+            done = ~going
+            out[of[done]] = (symbols[done, 0] == a[of[done]]) & (symbols[done, 1] == b[of[done]]) & (symbols[done, 2] < 0 if width > 1 else True)
+            of, symbols, rank, at = of[going], symbols[going], rank[going], at[going]
+            row = np.arange(len(of))
+            found, _ = self._merge(symbols[row, at], symbols[row, at + 1])
+            symbols[:, :-1] = np.where(places > at[:, None], symbols[:, 1:], symbols[:, :-1])
+            symbols[:, -1] = -1
+            symbols[row, at] = self.merged[found]
+            rank[:, :-1] = np.where(places[:-1] > at[:, None], rank[:, 1:], rank[:, :-1])
+            rank[:, -1] = np.inf
+            rank[row, at] = np.where(symbols[row, at + 1] >= 0, self._rank(symbols[row, at], symbols[row, at + 1]), np.inf)
+            before = np.flatnonzero(at > 0)
+            rank[before, at[before] - 1] = self._rank(symbols[before, at[before] - 1], symbols[before, at[before]])
+        return out
+
+    def agree(self, pairs: np.ndarray) -> np.ndarray:
+        at = (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).view(np.int64)
+        out, new = self.agreed[at], self.known[at] != pairs
+        if new.any():
+            fresh, inverse = np.unique(pairs[new], return_inverse=True)
+            found = np.concatenate([self._merging(fresh[k : k + 65536]) for k in range(0, len(fresh), 65536)])
+            out[new] = found[inverse]
+            to = (fresh.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PAIR_BITS)).view(np.int64)
+            self.known[to], self.agreed[to] = fresh, found
+        return out
+
+    def encode(self, words: list[str], alone) -> list[bytes]:
+        """The ids of each word (little-endian int32); runs of more than WIDE places go to alone(text, 0, 0, length)."""
+        text = "".join(words)
+        code = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+        n, ends = len(code), np.cumsum([len(w) for w in words])
+        # Runs: words, cut where no piece holds the two characters side by side, so none runs over the place between.
+        key = code[:-1] << 21 | code[1:]
+        starts = np.zeros(n + 1, bool)
+        starts[1:-1] = self.beside[np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)] != key
+        starts[0] = starts[ends] = True
+        first = np.flatnonzero(starts[:-1])
+        stop = np.append(first[1:], n)
+        run = np.repeat(np.arange(len(first)), stop - first)
+        begin, wide = first[run], (stop - first > WIDE)[run]
+        # Steps (start, end, piece) by walking the trie from all places at once. A place is a character's left side.
+        place, at = np.flatnonzero(~wide), np.zeros(int((~wide).sum()), np.int64)
+        steps, length = [], 0
+        while len(place):
+            key = at << 21 | code[place + length]
+            to = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+            there = self.edge[to] == key
+            place, at = place[there], self.child[to[there]]
+            length += 1
+            piece = self.ends[at]
+            whole_ = piece >= 0
+            steps.append((place[whole_], np.full(int(whole_.sum()), length), piece[whole_]))
+            more = place + length < stop[run[place]]
+            place, at = place[more], at[more]
+        start, size, piece = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.empty(0, np.int64),) * 3
+        single = np.zeros(n, bool)
+        single[start[size == 1]] = True
+        alone_ = ~single & ~wide  # characters that are no piece, beside which all agrees
+        start, size, piece = np.concatenate([start, np.flatnonzero(alone_)]), np.concatenate([size, np.ones(int(alone_.sum()), np.int64)]), np.concatenate([piece, np.full(int(alone_.sum()), -1)])
+        # The step by which each end is reached: its length (0: not yet), and its piece. Places within a run go in turn.
+        by, last = np.zeros(n + 1, np.int64), np.full(n + 1, -1, np.int64)
+        inner = start - begin[start] + size
+        order = np.argsort(inner, kind="stable")
+        start, size, piece, inner = start[order], size[order], piece[order], inner[order]
+        bounds = np.searchsorted(inner, np.arange(1, (int(inner[-1]) if len(inner) else 0) + 2))
+        for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            s, z, p = start[low:high], size[low:high], piece[low:high]
+            opens = s == begin[s]
+            prior = np.where(opens, -1, last[s - 1])  # what ends at place s is held by its last character
+            fine = opens | (by[s - 1] > 0)
+            ask = np.flatnonzero(fine & (prior >= 0) & (p >= 0))
+            if len(ask):
+                fine[ask] = self.agree(prior[ask] << 32 | p[ask])
+            to = s[fine] + z[fine] - 1
+            by[to], last[to] = z[fine], p[fine]
+        # Back from each run's end.
+        on, walk = np.zeros(n, bool), stop[~wide[first]] - 1
+        low = first[~wide[first]]
+        while len(walk):
+            if not by[walk].all():
+                raise ValueError("no path of weight 0")
+            on[walk] = True
+            walk = walk - by[walk]
+            more = walk >= low
+            walk, low = walk[more], low[more]
+        at = np.flatnonzero(on)
+        ids = last[at]
+        code_ = code[at]
+        counts = np.where(ids >= 0, 1, 1 + (code_ > 0x7F) + (code_ > 0x7FF) + (code_ > 0xFFFF))
+        out = np.repeat(ids, counts).astype("<i4")
+        if (ids < 0).any():
+            out[out < 0] = self.byte_id[np.frombuffer("".join(map(chr, code_[ids < 0].tolist())).encode(), np.uint8)]
+        upto = np.concatenate([[0], np.cumsum(counts)])
+        data, ends_ = out.tobytes(), (4 * upto[np.searchsorted(at, ends)]).tolist()
+        found = [data[a:b] for a, b in zip([0, *ends_[:-1]], ends_, strict=True)]
+        if wide.any():
+            word_of = np.searchsorted(ends, np.flatnonzero(wide), side="right")
+            for k in np.unique(word_of).tolist():
+                low, high = int(ends[k]) - len(words[k]), int(ends[k])
+                parts = []
+                for a, b in zip(first[(first >= low) & (first < high)].tolist(), stop[(first >= low) & (first < high)].tolist(), strict=True):
+                    if wide[a]:
+                        parts.append(np.array(alone(text[a:b], 0, 0, b - a), "<i4").tobytes())
+                    else:
+                        parts.append(data[4 * int(upto[np.searchsorted(at, a)]) : 4 * int(upto[np.searchsorted(at, b)])])
+                found[k] = b"".join(parts)
+        return found
+
+
 class Pieces(dict):
     """Encodings of words (little-endian int32 ids), found when first asked for."""
 
@@ -66,8 +228,8 @@ class Pieces(dict):
             raise ValueError("this vocabulary has pieces that run over word marks")
         self.longest = max(map(len, self.ids))
         self.tails = {x[k:] for x in self.ids for k in range(len(x))}
-        self.pairs = {x[k : k + 2] for x in self.ids for k in range(len(x) - 1)}
         self.texts = {i: x for x, i in self.ids.items()}
+        self.steps = Steps(self.ids, self.rank, self.byte_id)
         self.agreed: dict[int, bool] = {}
         self.older: dict[str, bytes] = {}
 
@@ -122,23 +284,38 @@ class Pieces(dict):
         return out[::-1]
 
     def __missing__(self, word: str) -> bytes:
-        if (found := self.older.pop(word, None)) is None:
-            cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.pairs]
-            if cuts:  # no piece holds these two characters side by side, so none runs over the place between
-                found = b"".join(self[word[a:b]] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True))
-            else:
-                found = np.array(self.trace(word, 0, 0, len(word)), "<i4").tobytes()
-        self[word] = found
-        return found
+        self.learn([word])
+        return self[word]
 
     def words(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, WORDS.findall(text)))
+        return self.all_words([text])[0]
+
+    def all_words(self, texts: list[str]) -> list[bytes]:
+        """The encodings of texts that fall apart into words."""
+        found = list(map(WORDS.findall, texts))
+        self.learn(list(set().union(*found).difference(self.keys())))
+        return [b"".join(map(self.__getitem__, x)) for x in found]
+
+    def learn(self, words: list[str]) -> None:
+        """Remembers the encodings of words."""
+        new, size = [], 0
+        for word in words:
+            if (known := self.older.pop(word, None)) is not None:
+                self[word] = known
+                continue
+            new.append(word)
+            size += len(word)
+            if size > TOGETHER:
+                self.update(zip(new, self.steps.encode(new, self.trace), strict=True))
+                new, size = [], 0
+        if new:
+            self.update(zip(new, self.steps.encode(new, self.trace), strict=True))
 
     def tidy(self) -> None:
         if len(self) > REMEMBERED:  # what is still in use comes back from there
             self.older = dict(self)
             self.clear()
-        if len(self.agreed) > 4 * REMEMBERED:
+        if len(self.agreed) > REMEMBERED:
             self.agreed.clear()
 
     def states(self, text: str, at: int) -> list[int]:
@@ -201,7 +378,7 @@ def _encode_short(path: str):
             for at in range(0, whole_batch.num_rows, 512):
                 batch = whole_batch.slice(at, 512)
                 pieces.tidy()
-                ids = _lists([pieces.words(marked(x)) for x in batch.column("text").to_pylist()])
+                ids = _lists(pieces.all_words([marked(x) for x in batch.column("text").to_pylist()]))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_crc32"), ids], ["doc_id", "text_crc32", "ids"])
 
     return run
@@ -256,30 +433,38 @@ def along(steps: list[list[tuple[int, int]]], entry: int, leaves: set[int]) -> l
     return out[::-1]
 
 
-def _pairs(x) -> list[tuple[int, int]]:
-    return list(zip(x.entry, x.leave, strict=True))
+def _lists_of(batch: pa.RecordBatch) -> list[list[list[tuple[int, int]]]]:
+    """For each row, the matrices of its steps in order."""
+    return [[list(zip(x["entry"], x["leave"], strict=True)) for x in steps] for steps in batch.column("steps").to_pylist()]
+
 
+def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The product of each block's chunks."""
+    of = pa.list_(pa.int32())
+    for batch in batches:
+        products = [reduce(combine, steps) for steps in _lists_of(batch)]
+        ends = [pa.array([[x[k] for x in p] for p in products], of) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("block"), *ends], ["row", "block", "entry", "leave"])
 
-def _compose(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("chunk")
-    steps = [_pairs(x) for x in group.itertuples()]
-    product = steps[0]
-    for step in steps[1:]:
-        product = combine(product, step)
-    return pd.DataFrame({"row": [group.row.iat[0]], "block": [group.block.iat[0]], "entry": [[e for e, _ in product]], "leave": [[e for _, e in product]]})
 
+def _resolve(step: str):
+    """The states at both ends of each step (block or chunk) of a row, from its start to its end; no end: that of the text."""
 
-def _resolve_blocks(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("block")
-    steps = [_pairs(x) for x in group.itertuples()]
-    path = along(steps, 0, {y for _, y in steps[-1] if y < STATE})
-    return pd.DataFrame({"row": group.row, "block": group.block, "start": [x for x, _ in path], "end": [y for _, y in path]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            numbers = [[x[step] for x in steps] for steps in batch.column("steps").to_pylist()]
+            for row, start, end, number, steps in zip(*(batch.column(c).to_pylist() for c in ("row", "start", "end")), numbers, _lists_of(batch), strict=True):
+                ends = {y for _, y in steps[-1] if y < STATE} if end is None else {end}
+                rows += [(row, n, x, y) for n, (x, y) in zip(number, along(steps, start, ends), strict=True)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[1:])], ["row", step, "start", "end"])
+
+    return run
 
 
-def _resolve_chunks(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("chunk")
-    path = along([_pairs(x) for x in group.itertuples()], int(group.start.iat[0]), {int(group.end.iat[0])})
-    return pd.DataFrame({"row": group.row, "chunk": group.chunk, "start": [x for x, _ in path], "end": [y for _, y in path]})
+def _in_order(step: str):
+    return F.array_sort(F.collect_list(F.struct(step, "entry", "leave"))).alias("steps")
 
 
 def _backtrace(path: str):
@@ -306,12 +491,15 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
     short = texts.where(F.length("text") < chunk).mapInArrow(_encode_short(path), schema)
 
     giant = texts.where(F.length("text") >= chunk).withColumn("row", F.monotonically_increasing_id())
-    chunks = cut(giant.mapInArrow(_chunks(chunk, load(path).longest), "row long, doc_id long, text_crc32 long, chunk int, first int, last int, text string").repartition("row", "chunk"))
-    steps = cut(chunks.mapInPandas(_transfers(path), "row long, block int, chunk int, entry array<int>, leave array<int>"))
-    blocks = steps.groupBy("row", "block").applyInPandas(_compose, "row long, block int, entry array<int>, leave array<int>")
-    ends = blocks.groupBy("row").applyInPandas(_resolve_blocks, "row long, block int, start int, end int")
-    states = steps.join(ends.hint("merge"), ["row", "block"]).groupBy("row", "block").applyInPandas(_resolve_chunks, "row long, chunk int, start int, end int")
-    traced = chunks.join(states.hint("merge"), ["row", "chunk"]).mapInPandas(_backtrace(path), "row long, doc_id long, text_crc32 long, chunk int, ids array<int>")
+    # Chunks cost much time for their bytes, so the number of their tasks is set.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = cut(giant.mapInArrow(_chunks(chunk, load(path).longest), "row long, doc_id long, text_crc32 long, chunk int, first int, last int, text string").repartition(tasks, "row", "chunk"))
+    steps = chunks.mapInPandas(_transfers(path), "row long, block int, chunk int, entry array<int>, leave array<int>")
+    blocks = cut(steps.groupBy("row", "block").agg(_in_order("chunk")))
+    products = blocks.mapInArrow(_compose, "row long, block int, entry array<int>, leave array<int>").groupBy("row").agg(_in_order("block"))
+    ends = products.select("row", F.lit(0).alias("start"), F.lit(None).cast("int").alias("end"), "steps").mapInArrow(_resolve("block"), "row long, block int, start int, end int")
+    states = blocks.join(ends.hint("merge"), ["row", "block"]).mapInArrow(_resolve("chunk"), "row long, chunk int, start int, end int")
+    traced = chunks.repartition(tasks, "row", "chunk").join(states.hint("merge"), ["row", "chunk"]).mapInPandas(_backtrace(path), "row long, doc_id long, text_crc32 long, chunk int, ids array<int>")
     # A group is one document, whose text was one row before.
     rows = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_crc32").alias("text_crc32"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     return short.union(rows.select("doc_id", "text_crc32", F.flatten("parts.ids").alias("ids")))
