@@ -15,18 +15,41 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder that the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate data: the context's checkpoint folder, or the one that spark.checkpoint.dir names.
 
-    A folder of this machine is set only where the session names none, as in tests.
+    Where the session names none, a local master gets a folder of this machine, as in tests, and any other an error.
     """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    if (held := context._jsc.sc().getCheckpointDir()).isEmpty():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+        held = context._jsc.sc().getCheckpointDir()
+    return held.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+#: Ids that are sent to all tasks at once (16 MB or so); more are joined by a shuffle.
+SENT_IDS = 500_000
+
+
+def without(docs: DataFrame, go: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key is not in go (key as a long, distinct). Rows without a key stay.
+
+    go is counted first: up to SENT_IDS keys are broadcast, so that no text crosses the network.
+    """
+    go = cut(go.select(F.col(key).alias("_go")))
+    few = go.count() <= SENT_IDS
+    return docs.join(F.broadcast(go) if few else go.hint("merge"), F.col(key).cast("long") == F.col("_go"), "left_anti")
+
+
 def id_bucket(doc_id: Column | str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus: the fixed folds of the contracts. A null id counts as ''."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

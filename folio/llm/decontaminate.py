@@ -6,30 +6,37 @@ places of the documents; around each hit, document and test text are laid along
 is taken in which enough tokens agree.
 
 The test texts are sent to all tasks in blocks of a bounded number of tokens, with one pass over the documents for
-each block, so a large benchmark needs more passes and no more memory.
+each block, so a large benchmark needs more passes and no more memory. (A token takes 100 bytes or so there; the usual
+public test sets are a few million tokens.)
+
+What the masks find: of 13 tokens and more, any two substitutions; three in a stretch of 15 but for 6 of 455 choices
+of places. Test texts of OVERLAP tokens and less are sought by their first tokens, and all found.
 """
 
 from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from folio.llm.common import read, whole
 
-#: Each chooses 6 of 9 to 12 places. Of 13 tokens with one substitution, some mask has a hit; likewise for most two.
+#: Each chooses 6 of 9 to 12 places. Of 13 tokens with two substitutions, some mask has a hit.
 MASKS = ("110110011", "1101001011", "10110100101", "111000100101")
 #: A stretch counts from so many tokens on, or all of a shorter test text, if this share of its tokens agree.
 OVERLAP = 13
 AGREE = 0.8
 #: Tokens of the test texts that are sent to the tasks at once.
 BLOCK_TOKENS = 1_000_000
+#: Pairs of tokens that are looked at at once.
+CELLS = 1 << 20
 REMEMBERED = 300_000
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -76,58 +83,107 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.ids = [i for i, _ in items]
         self.texts = [tokens().of(t) for _, t in items]
-        self.short = {}  # texts that no mask fits, by their first token
         found, where = [np.empty(0, np.uint64)], [np.empty((0, 2), np.int64)]
+        singles, single_where = [np.empty(0, np.uint64)], [np.empty((0, 2), np.int64)]
         for k, hashes in enumerate(self.texts):
-            if 0 < len(hashes) < max(map(len, MASKS)):
-                self.short.setdefault(int(hashes[0]), []).append(k)
+            n = len(hashes)
+            if 0 < n <= OVERLAP:  # one of the first tokens must agree
+                some = n - needed(n) + 1
+                singles.append(hashes[:some])
+                single_where.append(np.stack([np.full(some, k), np.arange(some)], 1))
             for mask in MASKS:
                 found.append(seeds(hashes, mask))
                 where.append(np.stack([np.full(len(found[-1]), k), np.arange(len(found[-1]))], 1))
-        all_found, all_where = np.concatenate(found), np.concatenate(where)
-        order = np.argsort(all_found, kind="stable")
-        self.keys, self.where = all_found[order], all_where[order]
-        self.firsts = np.array(sorted(self.short), np.uint64)
+        self.keys, self.where = _sorted(np.concatenate(found), np.concatenate(where))
+        self.singles, self.single_where = _sorted(np.concatenate(singles), np.concatenate(single_where))
         self.maybe = np.zeros(1 << 22, bool)  # which leading bits any key has
         self.maybe[self.keys >> np.uint64(42)] = True
 
-    def hits(self, hashes: np.ndarray) -> set[tuple[int, int]]:
-        """(number of the test text, place in hashes less place in the test text) of each diagonal with a hit."""
-        out = set()
+    def hits(self, hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Distinct (number of the test text, owner of the hit's place, place in hashes less place in the test text), sorted."""
+        out = [np.empty((0, 3), np.int64)]
         for mask in MASKS if len(self.keys) else ():
             found = seeds(hashes, mask)
             near = np.flatnonzero(self.maybe[found >> np.uint64(42)])
-            at = np.searchsorted(self.keys, found[near])
-            true = self.keys[np.minimum(at, len(self.keys) - 1)] == found[near]
-            for p, a in zip(near[true].tolist(), at[true].tolist(), strict=True):
-                while a < len(self.keys) and self.keys[a] == found[p]:
-                    k, q = self.where[a].tolist()
-                    out.add((k, p - q))
-                    a += 1
-        for p in np.flatnonzero(np.isin(hashes, self.firsts)).tolist() if len(self.firsts) else ():
-            out.update((k, p) for k in self.short[int(hashes[p])])
-        return out
+            out += _meet(self.keys, self.where, found[near], near, owner)
+        if len(self.singles):
+            out += _meet(self.singles, self.single_where, hashes, np.arange(len(hashes)), owner)
+        return _distinct(np.concatenate(out))
 
     def overlaps(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int, int, int]]:
         """(number of the document, item_id, first token, tokens, tokens that agree, tokens of the item).
 
-        The longest of each document and item. The documents' tokens stand one after the other, so a diagonal may
-        touch several of them.
+        The longest of each document and item; of equal ones, that of which more agrees, and then the first.
         """
-        best: dict[tuple[int, int], tuple] = {}
-        ends = np.cumsum([len(x) for x in docs])
-        for k, shift in self.hits(np.concatenate(docs)) if docs else ():
-            item = self.texts[k]
-            d = int(np.searchsorted(ends, max(0, shift), side="right"))
-            while d < len(docs) and ends[d] - len(docs[d]) < shift + len(item):
-                own = shift - int(ends[d] - len(docs[d]))
-                low, high = max(0, -own), min(len(item), len(docs[d]) - own)
-                if high > low and (span := stretch(item[low:high] == docs[d][low + own : high + own], min(OVERLAP, len(item)))):
-                    found = (low + own + span[0], span[1] - span[0], span[2], len(item))
-                    if (d, k) not in best or (found[1:3], -found[0]) > (best[d, k][1:3], -best[d, k][0]):
-                        best[d, k] = found
-                d += 1
-        return [(d, self.ids[k], *x) for (d, k), x in sorted(best.items())]
+        if not docs:
+            return []
+        sizes = [len(x) for x in docs]
+        every, ends = np.concatenate(docs), np.cumsum(sizes)
+        lines, out = self.hits(every, np.repeat(np.arange(len(docs)), sizes)), []
+        bounds = np.flatnonzero(np.concatenate([[True], lines[1:, 0] != lines[:-1, 0], [True]])) if len(lines) else [0]
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            k = int(lines[low, 0])
+            item, best = self.texts[k], {}
+            step = max(1, CELLS // len(item))
+            for at in range(low, high, step):
+                for d, *row in _along(item, every, ends - sizes, ends, lines[at : min(high, at + step)]):
+                    if d not in best or (row[1], row[2], -row[0]) > (best[d][1], best[d][2], -best[d][0]):
+                        best[d] = row
+            out += [(d, self.ids[k], *x, len(item)) for d, x in best.items()]
+        return sorted(out)
+
+
+def needed(n: int) -> int:
+    """How many of n tokens must agree."""
+    return -int(-AGREE * n * (1 - 1e-12) // 1)
+
+
+def _sorted(keys: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    return keys[order], where[order]
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))]
+    return rows[np.concatenate([[True], (rows[1:] != rows[:-1]).any(1)])] if len(rows) else rows
+
+
+def _meet(keys: np.ndarray, where: np.ndarray, found: np.ndarray, places: np.ndarray, owner: np.ndarray) -> Iterator[np.ndarray]:
+    """The distinct (text, owner, diagonal) of all found that are among the sorted keys, in runs of CELLS pairs: a hot seed may stand for many."""
+    low, high = np.searchsorted(keys, found), np.searchsorted(keys, found, side="right")
+    hit = high > low
+    low, n, places = low[hit], (high - low)[hit], places[hit]
+    upto, at = np.cumsum(n), 0
+    while at < len(n):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CELLS, side="right")))
+        of = n[at:end]
+        k = np.arange(of.sum()) - np.repeat(np.cumsum(of) - of, of) + np.repeat(low[at:end], of)
+        place = np.repeat(places[at:end], of)
+        yield _distinct(np.stack([where[k, 0], owner[place], place - where[k, 1]], 1))
+        at = end
+
+
+def _along(item: np.ndarray, every: np.ndarray, starts: np.ndarray, ends: np.ndarray, lines: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(document, first token, tokens, agreeing) of an item laid along documents; lines hold item, document, diagonal."""
+    n, d = len(item), lines[:, 1]
+    at = lines[:, 2, None] + np.arange(n)
+    inside = (at >= starts[d][:, None]) & (at < ends[d][:, None])
+    same = inside & (every[np.clip(at, 0, len(every) - 1)] == item)
+    may = np.flatnonzero(same.sum(1) >= needed(min(OVERLAP, n)))
+    # Texts that repeat themselves have few kinds of rows.
+    kinds, kind = np.unique(np.packbits(np.concatenate([same, inside], 1)[may], axis=1), axis=0, return_inverse=True)
+    first = np.full(len(kinds), -1)
+    first[kind.ravel()[::-1]] = may[::-1]
+    spans = []
+    for row in first.tolist():
+        low, high = int(np.argmax(inside[row])), int(n - np.argmax(inside[row][::-1]))
+        span = None
+        if n > OVERLAP:
+            span = stretch(same[row, low:high], OVERLAP)
+        elif high - low == n and same[row].sum() >= needed(n):  # a short item counts as a whole
+            span = 0, n, int(same[row].sum())
+        spans.append(None if span is None else (low + span[0], span[1] - span[0], span[2]))
+    return [(int(d[r]), int(lines[r, 2] - starts[d[r]]) + spans[x][0], *spans[x][1:]) for r, x in zip(may.tolist(), kind.ravel().tolist(), strict=True) if spans[x]]
 
 
 def stretch(same: np.ndarray, least: int) -> tuple[int, int, int] | None:
@@ -162,35 +218,57 @@ def _scan(sent):
     return run
 
 
+def _indexes(docs: DataFrame, benchmark: DataFrame, block_tokens: int) -> Iterator:
+    """A broadcast index for each block of the test texts."""
+    items = benchmark.select(F.col("item_id").cast("long"), whole("text").alias("text"), F.size(F.split("text", r"\s+")).alias("n")).where("text <> ''")
+    blocks = -(-(items.agg(F.sum("n")).first()[0] or 0) // block_tokens)
+    for k in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        yield docs.sparkSession.sparkContext.broadcast(Index([(r.item_id, r.text) for r in part.collect()]))
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """doc_id, item_id, first_token, n_tokens, n_agree, item_tokens: the longest overlap of each document and test text.
 
-    Null and empty texts overlap nothing. Test texts of less than OVERLAP tokens must occur as a whole (up to
-    1 - AGREE of their tokens). Repeated rows are reported each. An empty table on either side gives no rows. Other
-    columns are not read.
+    Test texts of more than OVERLAP tokens: the longest stretch of OVERLAP or more whose ends agree and of which the
+    share AGREE agrees. Shorter ones must occur as a whole, of which that share agrees. Of equal stretches, that of
+    which more agrees counts, and then the first. Null and empty texts overlap nothing; a null id is reported as null.
+    Repeated rows are reported each. A document is read whole, and held by its task. An empty table on either side
+    gives no rows. Other columns are not read.
     """
-    spark = docs.sparkSession
+    schema = "doc_id long, item_id long, first_token long, n_tokens long, n_agree long, item_tokens long"
     texts = docs.select(F.col("doc_id").cast("long"), whole("text").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long"), whole("text").alias("text"), F.size(F.split("text", r"\s+")).alias("n")).where("text <> ''")
-    blocks = -(-(items.agg(F.sum("n")).first()[0] or 0) // block_tokens)
-    found = []
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        sent = spark.sparkContext.broadcast(Index([(r.item_id, r.text) for r in part.collect()]))
-        found.append(texts.mapInArrow(_scan(sent), "doc_id long, item_id long, first_token long, n_tokens long, n_agree long, item_tokens long"))
-    if not found:
-        return spark.createDataFrame([], "doc_id long, item_id long, first_token long, n_tokens long, n_agree long, item_tokens long")
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out
+    found = [texts.mapInArrow(_scan(sent), schema) for sent in _indexes(docs, benchmark, block_tokens)]
+    return reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that overlap no test text. Rows without an id that overlap cannot be named, and stay."""
-    go = overlaps(docs, benchmark).select("doc_id").distinct()
-    return docs.join(go.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+def _keep(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, memory = sent.value, tokens()
+        for batch in batches:
+            kept = np.ones(batch.num_rows, bool)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.column("_text").slice(at, 256)
+                kept[[at + d for d, *_ in index.overlaps([memory.of(t.as_py()) for t in part])]] = False
+            yield batch.select(["doc"]).filter(pa.array(kept))
+
+    return run
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """The rows of docs that overlap no test text, as `overlaps` has it.
+
+    Each row is decided where it is read, so rows without an id and repeated rows go too, and nothing is shuffled.
+    Rows with null or empty texts stay. All columns are kept, whatever their names.
+    """
+    for sent in _indexes(docs, benchmark, block_tokens):
+        names = [F.col(f"`{c}`") for c in docs.columns]
+        rows = docs.select(F.struct(*names).alias("doc"), whole("text").alias("_text"))
+        schema = StructType([rows.schema["doc"]])
+        docs = rows.mapInArrow(_keep(sent), schema).select("doc.*")
+    return docs
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`overlaps` of all documents with all test texts of benchmark."""
     return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

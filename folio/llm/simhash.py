@@ -1,17 +1,17 @@
 """SimHash near-duplicates found with a Gray-order hierarchical index.
 
-Two fingerprints of 64 bits at 2 or fewer differences agree on at least two of four 16-bit blocks, so each distinct
-fingerprint goes to the six groups named by its pairs of blocks. Within a group, fingerprints are sorted by Gray
+Two fingerprints of 64 bits at 2 or fewer differences agree on at least one of three blocks, so each distinct
+fingerprint goes to the three groups named by the leading bits of its blocks; the number of these bits follows the
+number of fingerprints, so that a group holds some thousands. Within a group, fingerprints are sorted by Gray
 rank and stand in a tree whose nodes hold the bits that all fingerprints below share; pairs of nodes are walked
 from the top, differences accumulate over the newly shared bits, and pairs beyond the bound are left with all that
-is below them. A group gives a spanning forest of its links, never all pairs, and the forests' union gives the
-components.
+is below them, as are pairs whose fingerprints already hang together. A group gives a spanning forest of its links,
+never all pairs, and the forests' union gives the components.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -19,16 +19,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import cut, read, whole
+from folio.llm.common import cut, read, whole, without
 from folio.llm.components import components
 
 SEED = 42
 SHINGLE = 3
 DISTANCE = 2
 #: Children of a node of the index.
-FAN = 16
-#: Groups beyond this many fingerprints are dealt out again by 16 of their other 32 bits, and then hold 65,536 at most.
-GROUP = 4096
+FAN = 4
+#: Blocks (lowest bit, bits): two fingerprints at DISTANCE agree on one of them at least.
+BLOCKS = ((43, 21), (22, 21), (0, 22))
+#: Fingerprints that a group holds on average, and how many times as many make it crowded.
+GROUP, CROWDED = 4096, 4
 #: Bytes of a text that are split into words at once.
 BLOCK = 1 << 20
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -81,8 +83,11 @@ def gray_rank(fps: np.ndarray) -> np.ndarray:
     return rank
 
 
-def forest(fps: np.ndarray, distance: int = DISTANCE, fan: int = FAN, chunk: int = 1 << 16) -> np.ndarray:
-    """For each of the distinct fps, the index of one member of its component under links of distance or less."""
+def forest(fps: np.ndarray, distance: int = DISTANCE, fan: int = FAN, chunk: int = 1 << 16, seen: list | None = None) -> np.ndarray:
+    """For each of the distinct fps, the index of one member of its component under links of distance or less.
+
+    seen takes (level, pairs of nodes looked at, pairs left within the distance) for each step of the walk.
+    """
     order = np.argsort(gray_rank(fps), kind="stable")
     every = np.ascontiguousarray(fps[order])
     tree = [(every, every)]  # for each level, from the leaves: what all below have as 1, what any has
@@ -97,6 +102,12 @@ def forest(fps: np.ndarray, distance: int = DISTANCE, fan: int = FAN, chunk: int
             i = root[i]
         return i
 
+    def flat_roots() -> np.ndarray:
+        nonlocal root
+        while (root[root] != root).any():
+            root = root[root]
+        return root
+
     zero = np.zeros(1, np.int64)
     stack = [(len(tree) - 1, zero, zero, np.zeros(1, np.uint8), np.zeros(1, np.uint64))]
     while stack:
@@ -108,7 +119,15 @@ def forest(fps: np.ndarray, distance: int = DISTANCE, fan: int = FAN, chunk: int
         shared = ~(ones[a] ^ some[a]) & ~(ones[b] ^ some[b])
         differ = differ + np.bitwise_count((ones[a] ^ ones[b]) & shared & ~counted)
         near = differ <= distance
+        if seen is not None:
+            seen.append((level, len(a), int(near.sum())))
         a, b, differ, shared = a[near], b[near], differ[near], shared[near]
+        if level == 1 and len(a):  # nodes whose leaves all hang together need no second look
+            tops = flat_roots()
+            starts = np.arange(0, len(every), fan)
+            low, high = np.minimum.reduceat(tops, starts), np.maximum.reduceat(tops, starts)
+            apart = (low[a] != high[b]) | (low[b] != high[a])
+            a, b, differ, shared = a[apart], b[apart], differ[apart], shared[apart]
         if level == 0:
             for x, y in zip(a.tolist(), b.tolist(), strict=True) if len(a) else ():
                 x, y = top(x), top(y)
@@ -119,8 +138,8 @@ def forest(fps: np.ndarray, distance: int = DISTANCE, fan: int = FAN, chunk: int
         i, j = np.divmod(np.arange(fan * fan), fan)
         x, y = (a[:, None] * fan + i).ravel(), (b[:, None] * fan + j).ravel()
         keep = (x <= y) & (x < below) & (y < below) if level > 1 else (x < y) & (x < below) & (y < below)
-        if level == 1:  # leaves that are already linked need no second look
-            flat = np.fromiter((top(k) for k in range(below)), np.int64, below) if len(a) * fan > below else root
+        if level == 1:  # nor do such leaves
+            flat = flat_roots()
             keep &= flat[np.minimum(x, below - 1)] != flat[np.minimum(y, below - 1)]
         stack.append((level - 1, x[keep], y[keep], np.repeat(differ, fan * fan)[keep], np.repeat(shared, fan * fan)[keep]))
     out = np.empty(len(every), np.int64)
@@ -139,24 +158,37 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
-def _blocks(width: int, count: int, fp: str) -> str:
-    """An array of (combination, value) for each pair of the `count` lowest blocks of `width` bits of fp."""
-    block = [f"(shiftrightunsigned({fp}, {width * k}) & {(1 << width) - 1}L)" for k in range(count)]
-    return ", ".join(f"struct({n} as pair, shiftleft({block[i]}, {width}) | {block[j]} as bits)" for n, (i, j) in enumerate(combinations(range(count), 2)))
+def _dealt(fp: str, low: int, width: int, bits: str) -> str:
+    """The `bits` leading bits of the `width` bits of fp from bit `low` on."""
+    return f"shiftrightunsigned({fp} & {_signed(((1 << width) - 1) << low)}L, {low} + {width} - {bits})"
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
 
 def near_links(nodes: DataFrame, group: int = GROUP) -> DataFrame:
-    """Links (a, b) between distinct fingerprints fp that connect all at 2 or fewer differing bits."""
-    dealt = nodes.select("fp", F.expr(f"explode(array({_blocks(16, 4, 'fp')})) as at")).select("fp", "at.pair", "at.bits")
-    sizes = cut(dealt.groupBy("pair", "bits").count().where("count > 1"))
-    shared = dealt.join(sizes.hint("merge"), ["pair", "bits"])
-    # The bits outside a pair of blocks, as four blocks of 8: two of these agree too.
-    rest = [[k for k in range(4) if k not in ij] for ij in combinations(range(4), 2)]
-    others = "case pair " + " ".join(f"when {n} then (shiftleft(shiftrightunsigned(fp, {16 * j}) & 65535L, 16) | (shiftrightunsigned(fp, {16 * i}) & 65535L))" for n, (i, j) in enumerate(rest)) + " end"
-    some = shared.where(F.col("count") <= group).select("pair", "bits", F.lit(-1).alias("more"), F.lit(0).cast("long").alias("more_bits"), "fp")
-    many = shared.where(F.col("count") > group).withColumn("others", F.expr(others)).select("pair", "bits", "fp", F.expr(f"explode(array({_blocks(8, 4, 'others')})) as at"))
-    many = many.select("pair", "bits", F.col("at.pair").alias("more"), F.col("at.bits").cast("long").alias("more_bits"), "fp")
-    groups = some.union(many).groupBy("pair", "bits", "more", "more_bits").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    """Links (a, b) between distinct fingerprints fp that connect all at 2 or fewer differing bits.
+
+    The fingerprints are counted, and dealt by so many bits that a group holds about `group` of them. Crowded groups,
+    of more than CROWDED times that, are dealt again by the whole block and one of three blocks of the rest.
+    """
+    bits = max(1, min(BLOCKS[-1][1], (nodes.count() // group).bit_length()))
+    parts = ", ".join(f"struct({k} as block, {_dealt('fp', low, width, str(min(bits, width)))} as bits)" for k, (low, width) in enumerate(BLOCKS))
+    dealt = nodes.select("fp", F.expr(f"explode(array({parts})) as at")).select("fp", "at.block", "at.bits")
+    sizes = cut(dealt.groupBy("block", "bits").count().where("count > 1"))
+    shared = dealt.join(sizes.hint("merge"), ["block", "bits"])
+    none = F.lit(None).cast("int")
+    some = shared.where(F.col("count") <= CROWDED * group).select("block", "bits", none.alias("inner"), F.lit(0).cast("long").alias("more"), "fp")
+    again = []
+    for k, (low, width) in enumerate(BLOCKS):  # what is outside the block lies in two runs of bits; three blocks of them
+        rest = [b for b in range(64) if not low <= b < low + width]
+        inner = [rest[i * len(rest) // 3 : (i + 1) * len(rest) // 3] for i in range(3)]
+        masks = ", ".join(f"struct({i} as inner, fp & {_signed(sum(1 << b for b in x))}L as more)" for i, x in enumerate(inner))
+        again.append(f"when {k} then array({masks})")
+    full = "case block " + " ".join(f"when {k} then fp & {_signed(((1 << width) - 1) << low)}L" for k, (low, width) in enumerate(BLOCKS)) + " end"
+    many = shared.where(F.col("count") > CROWDED * group).select("block", F.expr(full).alias("bits"), "fp", F.expr(f"explode(case block {' '.join(again)} end) as at"))
+    groups = some.union(many.select("block", "bits", "at.inner", "at.more", "fp")).groupBy("block", "bits", "inner", "more").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
     return groups.select("fps").mapInArrow(_links, "a long, b long")
 
 
@@ -184,7 +216,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """
     groups = simhash_groups(docs)
     go = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(go.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    return without(docs, go)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

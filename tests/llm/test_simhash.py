@@ -76,3 +76,42 @@ def test_empty_table_and_null_ids(spark):
     frame = docs(spark, ["a", "a"]).selectExpr("if(doc_id = 1, null, doc_id) doc_id", "text")
     assert {(r.doc_id, r.component_id) for r in simhash.simhash_groups(frame).collect()} == {(None, 2), (2, 2)}
     assert simhash.keep_one(frame).count() == 2
+
+
+def test_the_tree_prunes():
+    rng = np.random.default_rng(9)
+    fps = np.unique(np.concatenate([x := rng.integers(0, 2**50, 3000, dtype=np.uint64), x[:300] ^ np.uint64(3 << 20), x[0] ^ (np.uint64(1) << rng.integers(0, 50, 900).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 50, 900).astype(np.uint64))]))
+    seen = []
+    got = simhash.forest(fps, seen=seen)
+    near = np.bitwise_count(fps[:, None] ^ fps) <= 2
+    label = np.arange(len(fps))
+    while (new := np.where(near, label, len(fps)).min(1)).tolist() != label.tolist():
+        label = new
+    first = {}
+    for i, r in enumerate(got.tolist()):
+        first.setdefault(r, i)
+    assert [first[r] for r in got.tolist()] == label.tolist()
+    looked = {level: sum(n for at, n, _ in seen if at == level) for level in (0, 1, 2)}
+    left = {level: sum(n for at, _, n in seen if at == level) for level in (1, 2)}
+    assert left[1] < looked[1] / 2 and looked[0] < len(fps) ** 2 / 6, (looked, left)
+
+
+def test_groups_of_thousands(spark):
+    """Groups of thousands through the whole search, with a crowd that shares a block, against all pairs."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 2**63, 6000, dtype=np.uint64)
+    crowd = np.uint64(0x7FFFF << 43) | rng.integers(0, 2**20, 500, dtype=np.uint64)
+    fps = np.unique(np.concatenate([x, x[:900] ^ (np.uint64(1) << rng.integers(0, 63, 900).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 900).astype(np.uint64)), crowd]))
+    near = np.bitwise_count(fps[:, None] ^ fps) <= 2
+    label = np.arange(len(fps))
+    while (new := np.where(near, label, len(fps)).min(1)).tolist() != label.tolist():
+        label = new
+    from folio.llm.components import components
+
+    frame = spark.createDataFrame([(v,) for v in fps.view(np.int64).tolist()], "fp long")
+    for group in (4096, 64):
+        found = {r.node: r.root for r in components(simhash.near_links(frame, group)).collect()}
+        first, want = {}, label.tolist()
+        for k, v in enumerate(fps.view(np.int64).tolist()):
+            first.setdefault(found.get(v, v), k)
+        assert [first[found.get(v, v)] for v in fps.view(np.int64).tolist()] == want
