@@ -151,9 +151,11 @@ def _predict(sent):
                 batch = whole_batch.slice(begin, 256)
                 names, sure = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
                 known = [k for k, (text, letters) in enumerate(zip(batch.column("text"), batch.column("letters").to_pylist(), strict=True)) if letters and network]
-                for k in known:
-                    windows, held = windows_of(batch.column("text")[k].as_py())
-                    p = _softmax(held @ network.scores(windows) / max(1, held.sum()))
+                cut = [windows_of(batch.column("text")[k].as_py()) for k in known]
+                scores = network.scores(np.concatenate([w for w, _ in cut])) if cut else None
+                ends = np.cumsum([len(w) for w, _ in cut]).tolist()
+                for k, (_, held), end in zip(known, cut, ends, strict=True):
+                    p = _softmax(held @ scores[end - len(held) : end] / max(1, held.sum()))
                     names[k], sure[k] = network.languages[int(p.argmax())], float(p.max())
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names), pa.array(sure)], ["doc_id", "held_out", "lang_pred", "score"])
 

@@ -1,4 +1,7 @@
-"""License notices that scans look for: public texts of notices and headers, and the short forms that name a license."""
+"""License notices that scans look for: public texts of notices and headers, the short forms that name a license, and
+full license texts (license_texts/, whose origin is stated there)."""
+
+from pathlib import Path
 
 TEMPLATES: dict[str, str] = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
@@ -68,4 +71,18 @@ REQUIRED: dict[str, str] = {
     "GPL-3.0": "version 3 of",
     "LGPL-2.1": "version 2.1 of",
     "MPL-2.0": "Mozilla Public License, v. 2.0",
+    "Apache-2.0 (full text)": "Apache License Version 2.0, January 2004",
+    "CC0-1.0 (full text)": "CC0 1.0 Universal",
+    "GFDL-1.2 (full text)": "Version 1.2, November 2002",
+    "GFDL-1.3 (full text)": "Version 1.3, 3 November 2008",
+    "GPL-1 (full text)": "GNU GENERAL PUBLIC LICENSE Version 1, February 1989",
+    "GPL-2 (full text)": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "GPL-3 (full text)": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "LGPL-2 (full text)": "GNU LIBRARY GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "LGPL-2.1 (full text)": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "LGPL-3 (full text)": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "MPL-1.1 (full text)": "MOZILLA PUBLIC LICENSE Version 1.1",
+    "MPL-2.0 (full text)": "Mozilla Public License Version 2.0",
 }
+
+TEMPLATES |= {f"{x.stem} (full text)": x.read_text("utf-8") for x in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}

@@ -30,6 +30,7 @@ SHORT = 20
 BAND, BAND_SHARE = 4, 0.1
 #: Weights of a token that matches, one that differs, and one that only one side has.
 MATCH, DIFFER, GAP = 2, -1, -1
+ONE = 1 << 20
 #: Tokens of templates that go to the tasks at once.
 BLOCK_TOKENS = 500_000
 
@@ -50,9 +51,41 @@ def fingerprints(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return grams[places], places
 
 
+def band_of(n: int) -> int:
+    return BAND + int(BAND_SHARE * n)
+
+
+def least_hits(n: int) -> int:
+    """How many fingerprints a template of n tokens shares with a match of enough coverage.
+
+    An edit spoils GRAM grams at most, and e edits leave e + 1 runs of grams, each of which shares a fingerprint for
+    every WINDOWED of its grams at least, rounded down. A match may have 1 - COVERAGE of n edits; more than that, as
+    many tokens added, may leave it no candidate.
+    """
+    edits = n - int(np.ceil(COVERAGE * n - 1e-9))
+    return max(1, -(-(n - GRAM + 1 - GRAM * edits - (WINDOWED - 1) * (edits + 1)) // WINDOWED))
+
+
+def candidates(shifts: np.ndarray, n: int) -> list[int]:
+    """Diagonals, out of sorted ones of hits, to align a template of n tokens along: with enough hits in their band.
+
+    Two that lie less than half a band apart have the same band, all but for its edges, so one is enough.
+    """
+    band, out = band_of(n), []
+    enough = np.searchsorted(shifts, shifts + band, side="right") - np.searchsorted(shifts, shifts - band) >= least_hits(n)
+    for shift in shifts[enough].tolist():
+        if not out or shift - out[-1] > band // 2:
+            out.append(shift)
+    return out
+
+
 def align(template: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int, int]:
-    """(matched, first, end) of the best local alignment of template[i] with doc[i + shift + d], |d| within the band."""
-    band = BAND + int(BAND_SHARE * len(template))
+    """(matched, first, end) of the best local alignment of template[i] with doc[i + shift + d], |d| within the band.
+
+    Of alignments of one score, one that matches most counts: scores are taken ONE times, and a match adds 1.
+    """
+    match, differ, gap = MATCH * ONE + 1, DIFFER * ONE, GAP * ONE
+    band = band_of(len(template))
     width = 2 * band + 1
     offsets = np.arange(width)
     score = np.zeros((len(template) + 1, width), np.int64)
@@ -61,18 +94,18 @@ def align(template: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int,
         at = i + shift - band + offsets
         inside = (at >= 0) & (at < len(doc))
         same[i] = inside & (doc[np.clip(at, 0, len(doc) - 1)] == template[i])
-        best = np.maximum(score[i] + np.where(same[i], MATCH, DIFFER), 0)
-        best[:-1] = np.maximum(best[:-1], score[i, 1:] + GAP)
+        best = np.maximum(score[i] + np.where(same[i], match, differ), 0)
+        best[:-1] = np.maximum(best[:-1], score[i, 1:] + gap)
         best[~inside] = 0
-        score[i + 1] = np.maximum(best, np.maximum.accumulate(best - GAP * offsets) + GAP * offsets)
+        score[i + 1] = np.maximum(best, np.maximum.accumulate(best - gap * offsets) + gap * offsets)
         score[i + 1][~inside] = 0
     i, d = np.unravel_index(int(score.argmax()), score.shape)
     matched, end, first = 0, int(i - 1 + shift - band + d + 1), 0
     while i > 0 and score[i, d] > 0:
         first = int(i - 1 + shift - band + d)
-        if d > 0 and score[i, d] == score[i, d - 1] + GAP:
+        if d > 0 and score[i, d] == score[i, d - 1] + gap:
             d -= 1
-        elif score[i, d] == max(0, score[i - 1, d] + (MATCH if same[i - 1, d] else DIFFER)):
+        elif score[i, d] == max(0, score[i - 1, d] + (match if same[i - 1, d] else differ)):
             matched += bool(same[i - 1, d])
             i -= 1
         else:
@@ -97,26 +130,22 @@ class Index:
         """(template, coverage, first token, end token) of every match; of those that overlap, a template's best."""
         found, places = fingerprints(hashes)
         near = self.maybe[found >> np.uint64(42)]
-        shifts: dict[int, set[int]] = {}
+        shifts: dict[int, list[int]] = {}
         for fp, p in zip(found[near].tolist(), places[near].tolist(), strict=True):
             for k, at in self.places.get(fp, ()):
-                shifts.setdefault(k, set()).add(p - at)
+                shifts.setdefault(k, []).append(p - at)
         out = []
         for k, of in shifts.items():
-            tried, spans = None, []
+            spans = []
             n, required = len(self.texts[k]), self.required[k]
-            for shift in sorted(of):
-                if n < SHORT:
-                    if shift >= 0 and np.array_equal(hashes[shift : shift + n], self.texts[k]):
-                        spans.append((1.0, shift, shift + n))
-                    continue
-                if tried is not None and shift - tried <= BAND // 2:  # the same band, all but for its edge
-                    continue
-                tried = shift
-                matched, first, end = align(self.texts[k], hashes, shift)
-                named = any(np.array_equal(hashes[x : x + len(required)], required) for x in range(first, end - len(required) + 1))
-                if matched >= COVERAGE * n and named:
-                    spans.append((matched / n, first, end))
+            if n < SHORT:
+                spans = [(1.0, x, x + n) for x in sorted(set(of)) if x >= 0 and np.array_equal(hashes[x : x + n], self.texts[k])]
+            elif len(of) >= least_hits(n):
+                for shift in candidates(np.sort(np.array(of)), n):
+                    matched, first, end = align(self.texts[k], hashes, shift)
+                    named = any(np.array_equal(hashes[x : x + len(required)], required) for x in range(first, end - len(required) + 1))
+                    if matched >= COVERAGE * n and named:
+                        spans.append((matched / n, first, end))
             taken: list[tuple[float, int, int]] = []
             for span in sorted(spans, key=lambda s: (-s[0], s[1])):
                 if all(span[2] <= t[1] or span[1] >= t[2] for t in taken):
@@ -128,7 +157,7 @@ class Index:
 def _characters(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Where spans of tokens begin and end in text."""
     memory = tokens()
-    at = [m.span() for m in re.finditer(r"\S+", text.lower()) if memory[m.group()]]
+    at = [m.span() for m in re.finditer(r"\S+", text) if memory[m.group().lower()]]
     return [(at[a][0], at[b - 1][1]) for a, b in spans]
 
 
@@ -155,8 +184,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """doc_id, license, coverage, first_token, n_tokens, first_char, n_chars of each match of a template in docs.
 
     Templates have GRAM tokens at least (ValueError otherwise) and are sent to the tasks in blocks of BLOCK_TOKENS,
-    with a pass over docs for each. Null and empty texts match nothing, repeated rows match each, and an empty table
-    gives no rows. Characters count in the lower-case text. Other columns are not read.
+    with a pass over docs for each. Null and empty texts match nothing, repeated rows match each, a null id is reported
+    as null, and an empty table gives no rows. A document is read whole, and held by its task. Of a template's matches
+    that overlap, the one of most coverage counts, and then the first; matches of different templates are all
+    reported. Characters are those of the text as it is. Other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long"), whole("text").alias("text"))
     out, block, held = None, [], 0
@@ -175,4 +206,5 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`scan` of all documents for the templates of license_templates."""
     return scan(read(spark, sf_dir, "documents"))

@@ -31,8 +31,8 @@ SYMBOLS = 257
 REACH = 3.0
 #: Steps of log10 perplexity in which quartiles are counted, and the narrowest range that counts.
 STEP, NARROWEST = 0.001, 0.02
-#: A language's rows are dealt out to so many keys when they meet its band.
-SALT = 16
+#: Bands of so many languages are broadcast (64 bytes each); of more, a language's rows meet its band in runs of so many.
+SENT_LANGUAGES, SALTED_ROWS = 50_000, 10_000_000
 MARKS = b"#*$%&|<>"
 OUTSIDE = b"\x20\x09\x0a\x0b\x0c\x0d" + bytes(range(0x80, 0xC0))
 
@@ -241,15 +241,20 @@ def judge(docs: DataFrame, model: Counts | None = None, reach: float = REACH) ->
     joined = dealt.join(values.where(F.col("uses") < often).select("gram", "value").hint("merge"), "gram", "left")
     rows = joined.groupBy("row").agg(*(F.max(c).alias(c) for c in columns), F.sum(F.col("n") * F.coalesce("value", F.lit(0.0))).alias("more"))
     scored = cut(rows.select(*columns[:-2], (-(F.col("sure") + F.col("more")) / F.col("size")).alias("log_perplexity")))
-    # One language may have most rows, so each is dealt out by a hash of the row.
-    limits = cut(bands(scored, reach)).withColumn("salt", F.explode(F.expr(f"sequence(0, {SALT - 1})")))
-    salted = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id", "log_perplexity"), F.lit(SALT)).cast("int"))
+    limits = cut(bands(scored, reach))
+    if limits.count() <= SENT_LANGUAGES:
+        placed = scored.join(F.broadcast(limits), "language", "left")
+    else:  # one language may have most rows, so each is dealt out by a hash of the row
+        salt = max(16, scored.count() // SALTED_ROWS)
+        limits = limits.withColumn("salt", F.explode(F.expr(f"sequence(0L, {salt - 1}L)")))
+        placed = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id", "log_perplexity"), F.lit(salt))).join(limits.hint("merge"), ["language", "salt"], "left")
     within = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
-    return salted.join(limits.hint("merge"), ["language", "salt"], "left").select(
+    return placed.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & within).alias("kept"), F.pow(F.lit(10.0), "log_perplexity").alias("perplexity"), "low", "high",
     )
 
 
 def op10_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`judge` on all documents, with the model of those that pass the plain rules."""
     return judge(read(spark, sf_dir, "documents"))

@@ -29,7 +29,7 @@ SYMBOLS = b"#*$%&|<>"
 LETTERS = bytes(range(65, 91)) + bytes(range(97, 123)) + bytes(range(128, 256))
 #: Hash buckets of the scorer; the last ones are for statistics.
 BUCKETS = 1 << 15
-#: About so many documents, chosen by a hash of id and text, train the scorer. The counts for the labellers cover all.
+#: So many documents at most, those of the least hashes of id and text, train the scorer. The counts for the labellers cover all.
 TRAINING_ROWS = 3000
 #: Documents below this probability of good quality are rejected.
 KEEP = 0.3
@@ -62,7 +62,10 @@ def statistics(data: bytes) -> dict[str, float]:
 
 
 def votes(s: dict[str, float]) -> str:
-    """One letter for each labeller."""
+    """One letter for each labeller.
+
+    The share of distinct words falls with length in any text, so its labeller calls bad only what is below 3,000 words.
+    """
 
     def vote(good: bool, bad: bool) -> str:
         return GOOD if good else BAD if bad else NONE
@@ -171,17 +174,25 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at, x = features(data, s)
             rows.append((votes(s), at.astype("<u2").tobytes(), x.astype("<f4").tobytes()))
         columns = list(zip(*rows, strict=True)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["votes", "at", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column("chosen"), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary())], ["chosen", "votes", "at", "x"])
 
 
 def fit(docs: DataFrame, training_rows: int = TRAINING_ROWS) -> Model:
-    """The model for docs. At most 3**9 patterns and the training rows' hashed features come to the driver."""
+    """The model for docs.
+
+    At most 3**9 patterns and training_rows rows of hashed features (6 bytes for each of BUCKETS at most, 200 KB) come
+    to the driver. Where most rows are repeated, fewer rows may train.
+    """
     texts = docs.select(whole("text").cast("binary").alias("text"), F.xxhash64("doc_id", whole("text")).alias("chosen"))
     counts = {r.votes: r["count"] for r in texts.select("text").mapInArrow(_votes, "votes string").groupBy("votes").count().collect()}
     posterior = posteriors(counts)
-    share = training_rows / max(1, sum(counts.values()))
-    sample = texts.where(F.pmod("chosen", F.lit(1 << 30)) < int(share * (1 << 30))) if share < 1 else texts
-    rows = sample.select("text").mapInArrow(_features, "votes string, at binary, x binary").collect()
+    # The sample is the rows of the training_rows least hashes; of rows with one hash (repeated rows) one counts.
+    share = 2 * training_rows / max(1, sum(counts.values()))
+    texts = texts.withColumn("chosen", F.pmod("chosen", F.lit(1 << 62)))
+    near = texts.where(F.col("chosen") < int(min(1.0, share) * (1 << 62))).select("chosen").distinct()
+    chosen = [r.chosen for r in near.orderBy("chosen").limit(training_rows).collect()]
+    sample = texts.where(F.col("chosen") <= (chosen[-1] if chosen else -1)).mapInArrow(_features, "chosen long, votes string, at binary, x binary")
+    rows = sample.groupBy("chosen").agg(F.first(F.struct("votes", "at", "x")).alias("f")).select("f.*").collect()
     rows = sorted((r.votes, bytes(r.at), bytes(r.x)) for r in rows)
     w, bias = train([(np.frombuffer(at, "<u2").astype(np.int64), np.frombuffer(x, "<f4"), posterior[v]) for v, at, x in rows])
     return Model(posterior, w, bias)
@@ -216,11 +227,16 @@ def score(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",))
 
 
 def keep_good(docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of docs that the model, fitted on docs if none is given, does not reject."""
+    """The rows of docs that the model, fitted on docs if none is given, does not reject.
+
+    Null and empty texts are judged as texts without words, equal texts alike, with or without an id. All columns are
+    kept, whatever their names. A text is held whole by its task, with all its distinct words and lines.
+    """
     scored = score(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text"), model or fit(docs), ("doc",))
     return scored.where("kept").select("doc.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`score` of all documents by the model fitted on them."""
     docs = read(spark, sf_dir, "documents")
     return score(docs, fit(docs))

@@ -48,3 +48,25 @@ def test_hard_rows(spark):
     none = frame.withColumn("lang", F.lit(None).cast("string"))
     assert L.fit(none) is None and L.predict(docs(spark, []).withColumn("held_out", F.lit(True)), None).count() == 0
     assert L.windows_of(b"x" * 700)[1].tolist() == [256, 256, 188]
+
+
+def test_query_like_a_plain_pass(spark, tmp_path):
+    """Every row of the query: windows one by one through embedding, filters, maxima and softmax, averaged by their letters."""
+    rng = random.Random(5)
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(texts(rng, 25))] + [(900, None, "en"), (901, "123 !", "en"), (902, "the and of " * 100, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs_ = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", "text", "lang", (L.id_bucket("doc_id", 4) == 2).alias("held_out"))
+    net = L.fit(docs_.where("not held_out"))
+    net.tables()
+    got = {r.doc_id: r for r in L.op7_language_id(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) and got[900].lang_pred == got[901].lang_pred == "und"
+    for i, t, _ in rows:
+        if got[i].lang_pred == "und":
+            continue
+        windows, held = L.windows_of(t.encode())
+        total = 0
+        for w, h in zip(windows, held):
+            pooled = np.concatenate([np.max([sum(net.embedding[w[p + j]] @ f[j] for j in range(width)) for p in range(L.WINDOW - width + 1)], 0) for width, f in zip(L.WIDTHS, net.filters)])
+            total = total + h * net.scores(w[None])[0] if i % 5 else total + h * (np.maximum(pooled + net.bias, 0) @ net.out + net.out_bias)
+        p = L._softmax(total / max(1, held.sum()))
+        assert got[i].lang_pred == net.languages[int(p.argmax())] and abs(got[i].score - p.max()) < 1e-3

@@ -63,3 +63,65 @@ def test_the_token_that_names_the_license_must_match(spark):
     texts = ["x Licensed under CC BY-SA 4.0.", "Licensed under CC BY 4.0.", "This work is licensed under the GNU General Public License, version 2.", cc, gpl, gpl.replace("version 3", "version 2"), gpl.replace("version 3", "version 7"), "Licensed under CC BY-XX 4.0."]
     got = {(r.doc_id, r.license.split(" ")[0]) for r in C.scan(docs(spark, texts)).collect()}
     assert got == {(1, "CC-BY-SA-4.0"), (2, "CC-BY-4.0"), (3, "GPL-2.0"), (4, "CC-BY-NC-4.0"), (5, "GPL-3.0"), (6, "GPL-2.0")}
+
+
+def plain_table(template, doc):
+    """The score of the best local alignment without a band, and the most tokens that one of that score matches."""
+    n, m = len(template), len(doc)
+    best = [[(0, 0)] * (m + 1) for _ in range(n + 1)]
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            same = template[i - 1] == doc[j - 1]
+            up, left, across = best[i - 1][j], best[i][j - 1], best[i - 1][j - 1]
+            best[i][j] = max((across[0] + (C.MATCH if same else C.DIFFER), across[1] + same), (up[0] + C.GAP, up[1]), (left[0] + C.GAP, left[1]), (0, 0))
+    return max(max(row) for row in best)
+
+
+def test_align_like_the_best_of_the_whole_table():
+    rng = random.Random(11)
+    for _ in range(60):
+        t = rng.sample(range(1000), rng.randint(20, 40))
+        body = [x for x in t if rng.random() > 0.08]
+        for _ in range(2):
+            body.insert(rng.randrange(len(body) + 1), 5000 + rng.randint(0, 99))
+        doc = rng.sample(range(2000, 3000), 5) + body + rng.sample(range(3000, 4000), 5)
+        matched, first, end = C.align(np.array(t, np.uint64), np.array(doc, np.uint64), 5)
+        assert matched == plain_table(t, doc)[1]
+        assert doc[first] in t and doc[end - 1] in t
+
+
+def test_query_like_full_alignment_with_all_templates(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(3000)]
+    templates = {f"t{k}": rng.sample(vocabulary, n) for k, n in enumerate((20, 24, 33, 50, 80))}
+    bodies = []
+    for words in [*templates.values()] * 8:
+        edits, body = rng.choice([0, 0.05, 0.1, 0.25, 0.4]), []
+        for w in words:
+            u = rng.random()
+            body += [] if u < edits / 2 else [rng.choice(vocabulary)] if u < edits else [w]
+        bodies.append([*rng.sample(vocabulary, 6), *body, *rng.sample(vocabulary, 6)])
+    got = {}
+    for r in C.scan(docs(spark, [" ".join(b) for b in bodies]), {n: " ".join(w) for n, w in templates.items()}).collect():
+        got[r.doc_id, r.license] = round(r.coverage * len(templates[r.license]))
+    want = {}
+    for i, body in enumerate(bodies, 1):
+        for name, words in templates.items():
+            if (matched := plain_table(words, body)[1]) >= C.COVERAGE * len(words):
+                want[i, name] = matched
+    assert len(want) > 15 and got == want
+
+
+def test_full_texts_and_spans_in_the_text_as_it_is(spark):
+    gpl, mpl = TEMPLATES["GPL-3 (full text)"], TEMPLATES["MPL-2.0 (full text)"]
+    mit = " ".join(TEMPLATES["MIT"].split())
+    texts = ["İİİİİ start " + mit + " end", "Preface.\n" + gpl + "\nthe end", mpl[:2000], TEMPLATES["LGPL-2.1 (full text)"]]
+    got = {(r.doc_id, r.license): r for r in C.scan(docs(spark, texts)).collect()}
+    r = got[1, "MIT"]
+    assert texts[0][r.first_char :][: r.n_chars] == mit
+    assert {x for x in got if "full" in x[1]} == {(2, "GPL-3 (full text)"), (4, "LGPL-2.1 (full text)")} and got[2, "GPL-3 (full text)"].coverage > 0.99
+
+
+def test_many_hits_are_few_alignments():
+    shifts = np.sort(np.concatenate([np.full(50, 7), np.arange(100_000, 100_003), np.full(3, 900)]))
+    assert C.candidates(shifts, 200) == [7] and C.least_hits(20) == 1 and C.least_hits(200) == 19 and C.least_hits(40) == 3
