@@ -19,33 +19,64 @@ def clean_sql(text: str = "raw_sql") -> Column:
     return F.when(F.upper(bare).startswith("SELECT"), F.concat(bare, F.lit(";"))).otherwise("")
 
 
+#: What a parsed SELECT may consist of, by the parser's names. Commands, scripts, time travel, functions as tables, inline
+#: files and WITH (whose names could hide others) are not among it.
+PLANS = {
+    "Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Offset", "Distinct", "SubqueryAlias", "Join", "Union", "Intersect", "Except",
+    "UnresolvedHaving", "WithWindowDefinition", "UnresolvedSubqueryColumnAliases", "UnresolvedHint", "UnresolvedRelation", "OneRowRelation",
+}
+#: Functions that call code outside Spark.
+UNSAFE = {"reflect", "java_method", "try_reflect"}
+
+
 def guarded_select(spark: SparkSession, sql: str, views: dict[str, DataFrame], empty: str = "row_no long") -> DataFrame:
     """The rows of one SELECT over `views` (already filtered for the caller); anything else gives no rows.
 
-    `TOP n` becomes LIMIT, N'...' a plain literal, and dbo. goes. What the plan reads must be among views.
+    `TOP n` becomes LIMIT, N'...' a plain literal, and dbo. goes. Spark's parser reads the statement, and every relation
+    in it, those of subqueries included, must be one of the views by its bare name. It runs in a session of its own
+    that has these views and no others, where a cast that fails gives null.
     """
     none = spark.createDataFrame([], empty)
     one = sql.strip().rstrip(";").strip()
-    if ";" in one or not re.match(r"(?is)select\b", one):
+    if not re.match(r"(?is)select\b", one):
         return none
     one = re.sub(r"(?i)\bdbo\.", "", re.sub(r"(?i)\bN'", "'", one))
     if top := re.match(r"(?is)select\s+top\s*\(?(\d+)\)?\s+(.*)", one):
         one = f"select {top[2]} limit {top[1]}"
-    reads = {x.lower() for x in re.findall(r"(?is)\b(?:from|join)\s+([`\w.]+)", one)}
-    if not reads <= {v.lower() for v in views}:
-        return none
     try:
-        return _run(spark, one, views)
+        if not _allowed(spark._jsparkSession.sessionState().sqlParser().parsePlan(one), {v.lower() for v in views}):
+            return none
+        session = spark.newSession()
+        session.conf.set("spark.sql.ansi.enabled", "false")
+        for name, rows in views.items():
+            spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(session._jsparkSession, rows._jdf.queryExecution().analyzed()).createOrReplaceTempView(name)
+        return session.sql(one)
     except PySparkException:
         return none
 
 
-def _run(spark: SparkSession, sql: str, views: dict[str, DataFrame]) -> DataFrame:
-    """sql with each view's name bound to its DataFrame, whatever else has that name in the session."""
-    names = {v.lower(): v for v in views}
-    bound = re.sub(r"(?is)\b(from|join)\s+(`?)(\w+)\2(?!\s*\()", lambda m: f"{m[1]} {{{names[m[3].lower()]}}} as {m[3]}" if m[3].lower() in names else m[0], sql)
-    bound = re.sub(r"(?is)(\}\s+as\s+)\w+\s+(as\s+)?(?!(?:where|group|order|limit|join|left|right|inner|full|cross|on|having|union|window)\b)(\w+)", r"\1\3", bound)
-    return spark.sql(bound, **views)
+def _each(sequence) -> list:
+    return [sequence.apply(k) for k in range(sequence.size())]
+
+
+def _allowed(plan, names: set[str]) -> bool:
+    """Whether a parsed plan and all its subqueries consist of PLANS over the given names."""
+    kind = plan.getClass().getSimpleName().rstrip("$")
+    if kind not in PLANS:
+        return False
+    if kind == "UnresolvedRelation":
+        parts = _each(plan.multipartIdentifier())
+        return len(parts) == 1 and parts[0].lower() in names
+    return all(_allowed(x, names) for x in _each(plan.children())) and all(_harmless(x, names) for x in _each(plan.expressions()))
+
+
+def _harmless(expression, names: set[str]) -> bool:
+    kind = expression.getClass().getSimpleName()
+    if kind in ("ScalarSubquery", "ListQuery", "Exists"):
+        return _allowed(expression.plan(), names) and all(_harmless(x, names) for x in _each(expression.children()))
+    if "Subquery" in kind and kind != "InSubquery" or kind == "UnresolvedFunction" and (expression.nameParts().size() > 1 or expression.nameParts().head().lower() in UNSAFE):
+        return False
+    return all(_harmless(x, names) for x in _each(expression.children()))
 
 
 def rows_to_context(rows: DataFrame, columns: list[str], key: str) -> DataFrame:
