@@ -99,10 +99,10 @@ def _block(kind: str, text: Column, **more: Column) -> Column:
 
 
 def extract_blocks(docs: DataFrame, key: str = "doc_id", text: str = "md") -> DataFrame:
-    """key, block_no (from 1), id, kind, text, level, language, url, alt of each block in order; none of a blank text."""
+    """key, block_no (from 1), id, kind, text, level, language, url, alt, headers, rows of each block in order; none of a blank text."""
     lined = line_blocks(docs, key, text)
     texts = list_text(list_items(lined, key), key)
-    tables = extract_tables(lined, key).select(key, "line_no", F.col("text").alias("table_text"))
+    tables = extract_tables(lined, key).select(key, "line_no", F.col("text").alias("table_text"), "headers", "rows")
     first = F.col("lines")[0]
     closed = (F.size("lines") > 1) & F.ltrim(F.element_at("lines", -1)).startswith(FENCE)
     code = F.array_join(F.slice("lines", F.lit(2), F.size("lines") - 1 - closed.cast("int")), "\n")
@@ -113,9 +113,9 @@ def extract_blocks(docs: DataFrame, key: str = "doc_id", text: str = "md") -> Da
         .when(F.col("kind") == "table", F.array(_block("table", F.col("table_text"))))
         .otherwise(_paragraph_parts())
     )
-    found = lined.join(texts.hint("merge"), [key, "line_no"], "left").join(tables.hint("merge"), [key, "line_no"], "left").select(key, "line_no", F.posexplode(parts).alias("part", "b"))
+    found = lined.join(texts.hint("merge"), [key, "line_no"], "left").join(tables.hint("merge"), [key, "line_no"], "left").select(key, "line_no", "headers", "rows", F.posexplode(parts).alias("part", "b"))
     number = F.row_number().over(Window.partitionBy(key).orderBy("line_no", "part"))
-    return found.select(key, "line_no", number.alias("block_no"), *(F.col(f"b.{c}").alias(c) for c in FIELDS)).withColumn("id", F.format_string("src-%04d", "block_no"))
+    return found.select(key, "line_no", number.alias("block_no"), *(F.col(f"b.{c}").alias(c) for c in FIELDS), "headers", "rows").withColumn("id", F.format_string("src-%04d", "block_no"))
 
 
 def with_section_path(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -168,6 +168,7 @@ def compact_block(blocks: DataFrame) -> DataFrame:
     base = (F.col("id"), F.col("kind"))
     compact = (
         F.when(F.col("kind") == "list", F.to_json(F.struct(*base, F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("items")), opts))
+        .when(F.col("kind") == "table", F.to_json(F.struct(*base, F.col("headers"), F.col("rows")), opts))
         .when(F.col("kind") == "image", F.to_json(F.struct(*base, F.col("alt"), F.col("url")), opts))
         .when(F.col("kind") == "code", F.to_json(F.struct(*base, F.col("language"), F.substring("text", 1, CODE_CHARS).alias("code")), opts))
         .otherwise(F.to_json(F.struct(*base, F.col("text")), opts))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.text import token_count
 from folio.operators.index import chunk_id
+from folio.operators.packing import number_groups
 
 SMALL, IDEAL, LARGE, CAP, OVERLAP = 200, 700, 1200, 1500, 100
 #: Characters of a structural piece.
@@ -76,19 +77,15 @@ def split_structural(sections: DataFrame, by: tuple[str, ...] = ("doc_id", "sect
     return sections.select(*by, "h1", "h2", F.posexplode(pieces).alias("piece", "content"))
 
 
-def merge_groups(sections: str) -> Column:
-    """For a column that lists (chars, h1) in order, the number of the merged section each goes to.
+def _tokens(chars: int) -> int:
+    return max(1, (chars + 2) // 3)
 
-    The next goes to the current one if both have one H1, they have less than CAP tokens together, and the current
-    one has less than SMALL or both have less than IDEAL. Texts are joined by two characters.
-    """
-    start = "named_struct('ids', array(-1), 'chars', -1L, 'h1', cast(null as string))"
-    tokens = "greatest(1L, ({} + 2) div 3)"
-    now, new = tokens.format("s.chars"), tokens.format("x.chars")
-    joins = f"s.chars >= 0 and s.h1 <=> x.h1 and {now} + {new} < {CAP} and ({now} < {SMALL} or {now} + {new} < {IDEAL})"
-    last = "element_at(s.ids, -1)"
-    step = f"if({joins}, named_struct('ids', concat(s.ids, array({last})), 'chars', s.chars + 2 + x.chars, 'h1', s.h1), named_struct('ids', concat(s.ids, array({last} + 1)), 'chars', x.chars, 'h1', x.h1))"
-    return F.expr(f"aggregate({sections}, {start}, (s, x) -> {step}, s -> slice(s.ids, 2, size(s.ids)))")
+
+def _merges(held: tuple, chars: int, h1: str | None) -> tuple | None:
+    """The next section goes to the current one if both have one H1, they have less than CAP tokens together, and the
+    current one has less than SMALL or both have less than IDEAL. Texts are joined by two characters."""
+    now, both = _tokens(held[0]), _tokens(held[0]) + _tokens(chars)
+    return (held[0] + 2 + chars, h1) if h1 == held[1] and both < CAP and (now < SMALL or both < IDEAL) else None
 
 
 def merge_small(sections: DataFrame, key: str, idx: str, keep: tuple[str, ...] = ("h1",)) -> DataFrame:
@@ -96,9 +93,8 @@ def merge_small(sections: DataFrame, key: str, idx: str, keep: tuple[str, ...] =
 
     The first section's metadata hold. Only sizes and H1 come together to decide; texts join once the groups are known.
     """
-    sizes = F.array_sort(F.collect_list(F.struct(F.col(idx).alias("idx"), F.length("content").cast("long").alias("chars"), "h1")))
-    grouped = sections.groupBy(key).agg(sizes.alias("sections")).withColumn("ids", merge_groups("sections"))
-    ids = grouped.select(key, F.explode(F.zip_with("sections", "ids", lambda x, g: F.struct(x.idx.alias("i"), g.alias("g")))).alias("x")).select(key, F.col("x.i").alias(idx), F.col("x.g").alias("merged"))
+    sizes = sections.select(key, idx, F.length("content").cast("long").alias("chars"), "h1")
+    ids = number_groups(sizes, [key], idx, ["chars", "h1"], lambda chars, h1: (chars, h1), _merges, "merged")
     first = [F.min_by(c, idx).alias(c) for c in keep]
     return sections.join(ids.hint("merge"), [key, idx]).groupBy(key, "merged").agg(F.min(idx).alias("idx"), F.count(F.lit(1)).cast("int").alias("n_sections"), *first, _joined(idx, "content", "\n\n").alias("content"))
 
@@ -132,10 +128,26 @@ def split_semantic(sections: DataFrame, by: tuple[str, ...], least: int = LARGE)
 
 
 def hard_cap(text: Column | str, cap: int = CAP, overlap: int = OVERLAP) -> Column:
-    """The text's words in runs of at most `cap`, each but the first beginning with the last `overlap` of the one before."""
-    words = F.split(F.trim(text), r"\s+")
-    starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1, F.lit(cap - overlap)), lambda s: (s == 0) | (s + overlap < F.size(words)))
-    return F.transform(starts, lambda s: F.array_join(F.slice(words, s + 1, F.lit(cap)), " "))
+    """The text's words in runs of at most `cap` estimated tokens, which share up to `overlap` with the one before.
+
+    A token is three characters (functions.text.token_count). Runs begin every cap - overlap tokens and hold the words
+    that lie in them as a whole; a word of more than the overlap, 200 characters at most, counts as several.
+    """
+    size, step, longest = 3 * cap, 3 * (cap - overlap), min(200, 3 * overlap - 2)
+    edge = "\x01"
+    marked = F.regexp_replace(F.trim(F.regexp_replace(text, r"\s+", " ")), rf"(\S{{{longest}}})", f"$1{edge}")
+
+    def run(m: Column, s: Column) -> Column:
+        part = F.substr(m, s + 1, F.lit(size))
+        part = F.when((s > 0) & ~F.substr(m, s, F.lit(1)).isin(" ", edge), F.regexp_replace(part, f"^[^ {edge}]+", "")).otherwise(part)
+        part = F.when((s + size < F.length(m)) & ~F.substr(m, s + size + 1, F.lit(1)).isin(" ", edge), F.regexp_replace(part, f"[^ {edge}]+$", "")).otherwise(part)
+        return F.trim(F.replace(part, F.lit(edge), F.lit("")))
+
+    def runs(m: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length(m), F.lit(1)) - 1, F.lit(step)), lambda s: (s == 0) | (s + 3 * overlap < F.length(m)))
+        return F.transform(starts, lambda s: run(m, s))
+
+    return F.flatten(F.transform(F.array(marked), runs))
 
 
 def inject_context(text: Column | str, *headers: Column | str) -> Column:

@@ -6,23 +6,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions.text import terms, token_count
+from folio.operators.packing import pack
 
 BUDGET, PACK, VERSION = 3600, 4200, "v1"
 TITLE, SUMMARY, KEYS, FACTS, SOURCES = 120, 600, 6, 8, 12
 
 
-def pack_numbers(sizes: str, limit: int) -> Column:
-    """For a column that lists sizes in order, the number of the pack each goes to; one that is too large stands alone."""
-    step = f"if(s.n > 0 and s.total + x > {limit}, named_struct('ids', concat(s.ids, array(s.id + 1)), 'id', s.id + 1, 'total', cast(x as bigint), 'n', 1), named_struct('ids', concat(s.ids, array(s.id)), 'id', s.id, 'total', s.total + x, 'n', s.n + 1))"
-    return F.expr(f"aggregate({sizes}, named_struct('ids', cast(array() as array<int>), 'id', 0, 'total', 0L, 'n', 0), (s, x) -> {step}, s -> s.ids)")
+def pack_sections(blocks: DataFrame, key: str = "doc_id", limit: int = PACK, size: str = "size") -> DataFrame:
+    """blocks (key, section_no, block_no, size in tokens) with part and pack.
 
-
-def pack(rows: DataFrame, key: str, idx: str, size: str, limit: int = PACK, name: str = "pack") -> DataFrame:
-    """rows with the number of their pack within key. Only sizes come together to decide."""
-    listed = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), F.col(size).cast("long").alias("size")))).alias("l"))
-    numbered = listed.select(key, F.col("l.i").alias("i"), F.col("l.size").alias("sizes")).withColumn("p", pack_numbers("sizes", limit))
-    each = numbered.select(key, F.explode(F.zip_with("i", "p", lambda i, p: F.struct(i.alias("i"), p.alias("p")))).alias("x"))
-    return rows.join(each.select(key, F.col("x.i").alias(idx), F.col("x.p").alias(name)).hint("merge"), [key, idx])
+    A section's blocks are packed into its parts first, and then a document's parts into packs, both in order and of
+    `limit` tokens at most; what is larger by itself stands alone. Parts are numbered over the document.
+    """
+    inner = pack(blocks, [key, "section_no"], "block_no", size, limit, "_part")
+    parts = inner.groupBy(key, "section_no", "_part").agg(F.sum(size).alias("_size"))
+    # A part's place is its section and number, side by side.
+    place = F.col("section_no").cast("long") * (1 << 31) + F.col("_part")
+    packed = pack(parts.withColumn("_place", place), [key], "_place", "_size", limit, "pack")
+    packed = packed.withColumn("part", (F.row_number().over(Window.partitionBy(key).orderBy("_place")) - 1).cast("int")).select(key, "section_no", "_part", "part", "pack")
+    return inner.join(packed.hint("merge"), [key, "section_no", "_part"]).drop("_part")
 
 
 def budget_gate(docs: DataFrame, text: str, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
@@ -40,13 +42,17 @@ def pending(chunks: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chunks.join(cache.select("cache_key").distinct(), "cache_key", "left_anti"), chunks.join(cache, "cache_key")
 
 
-def digest(packs: DataFrame, key: tuple[str, ...]) -> DataFrame:
-    """key, title, summary, key_points, facts: the sentences of a pack (key, content) with the heaviest terms.
+def digest(packs: DataFrame, key: tuple[str, ...], sources: str | None = None) -> DataFrame:
+    """key, title, summary, key_points, facts, source_block_ids: the sentences of a pack (key, content) with the heaviest terms.
+
+    sources: a column of packs with the ids of its blocks, the first SOURCES of which are kept; without it there are none.
 
     A sentence weighs the mean over its terms of ln(1 + count in the pack); facts are sentences with digits. Sentences
     come in the text's order, and ties go to the earlier one.
     """
-    sentences = packs.select(*key, F.posexplode(F.filter(F.split("content", r"(?<=[.!?])\s+"), lambda x: F.trim(x) != "")).alias("n", "sentence"))
+    ids = F.slice(F.col(sources), 1, SOURCES) if sources else F.array().cast("array<string>")
+    sentences = packs.select(*key, ids.alias("ids"), F.posexplode(F.filter(F.split("content", r"(?<=[.!?])\s+"), lambda x: F.trim(x) != "")).alias("n", "sentence"))
+    sentences = sentences.withColumn("ids", F.when(F.col("n") == 0, F.col("ids")))
     each = sentences.select(*key, "n", F.explode(terms("sentence")).alias("term"))
     counts = each.groupBy(*key, "term").agg(F.log1p(F.count(F.lit(1)).cast("double")).alias("w"))
     weight = each.join(counts.hint("merge"), [*key, "term"]).groupBy(*key, "n").agg(F.round(F.avg("w"), 9).alias("weight"))
@@ -58,8 +64,8 @@ def digest(packs: DataFrame, key: tuple[str, ...]) -> DataFrame:
     def listed(keep: Column) -> Column:
         return F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("n", "sentence")))), lambda x: x.sentence)
 
-    made = rows.groupBy(*key).agg(F.min_by("sentence", "n").alias("lead"), listed(F.col("best") <= KEYS).alias("key_points"), listed(F.col("fact_no") <= FACTS).alias("facts"))
-    return made.select(*key, F.substring("lead", 1, TITLE).alias("title"), F.substring(F.array_join("key_points", " "), 1, SUMMARY).alias("summary"), "key_points", "facts")
+    made = rows.groupBy(*key).agg(F.min_by("sentence", "n").alias("lead"), listed(F.col("best") <= KEYS).alias("key_points"), listed(F.col("fact_no") <= FACTS).alias("facts"), F.first("ids", ignorenulls=True).alias("source_block_ids"))
+    return made.select(*key, F.substring("lead", 1, TITLE).alias("title"), F.substring(F.array_join("key_points", " "), 1, SUMMARY).alias("summary"), "key_points", "facts", "source_block_ids")
 
 
 def tree_reduce(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 2, budget: int = BUDGET) -> DataFrame:
@@ -71,7 +77,7 @@ def tree_reduce(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
         done = finished if done is None else done.unionByName(finished)
         if rest is not None:
             pieces = rest.select(key, F.posexplode(F.split("text", "\n")).alias("n", "piece")).withColumn("size", token_count("piece"))
-            packs = pack(pieces, key, "n", "size").groupBy(key, "pack").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda x: x.piece), "\n").alias("content"))
+            packs = pack(pieces, [key], "n", "size", PACK).groupBy(key, "pack").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda x: x.piece), "\n").alias("content"))
             made = digest(packs, (key, "pack"))
             now = made.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pack", "summary"))), lambda x: x.summary), "\n").alias("text"))
     return done

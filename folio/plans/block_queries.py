@@ -29,7 +29,8 @@ def _docs(s, d):
 
 
 def _packed(s, d):
-    return G.pack(_docs(s, d), "tenant_id", "doc_id", "tokens").select("tenant_id", "doc_id", "tokens", "pack")
+    blocks = B.compact_block(B.compact_sections(_paths(s, d))).withColumn("size", token_count("compact"))
+    return G.pack_sections(blocks, limit=250).select("doc_id", "section_no", "block_no", "size", "part", "pack")
 
 
 def _gate(s, d):
@@ -45,7 +46,8 @@ def _cache(s, d):
 
 
 def _digest(s, d):
-    return G.digest(_docs(s, d).select("doc_id", "content"), ("doc_id",)).select("doc_id", "title", "summary", F.size("key_points").alias("n_keys"), F.size("facts").alias("n_facts"))
+    ids = F.transform(F.split("content", "\n"), lambda x, i: F.format_string("src-%04d", i + 1))
+    return G.digest(_docs(s, d).select("doc_id", "content", ids.alias("ids")), ("doc_id",), "ids").select("doc_id", "title", "summary", F.size("key_points").alias("n_keys"), F.size("facts").alias("n_facts"), F.array_join("source_block_ids", " ").alias("sources"))
 
 
 QUERIES = {
@@ -93,7 +95,7 @@ _CHAIN = rf"""ln as (select doc_id, unnest(l) as line, generate_subscripts(l, 1)
     union all select doc_id, line_no, 0, 'paragraph', p, null, null, null, null from (select *, {_PLAIN.format(rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, {_IMG}, '', 'g'), {_DIR}, '', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{2,}}|[ \t]{{2,}}', ' ', 'g')")} as p from pt) where p <> ''
     union all select doc_id, line_no, 1000 + generate_subscripts(urls, 1), 'image', unnest(list_transform(list_zip(alts, urls), lambda x: coalesce(nullif(x[1], ''), x[2]))), null, null, unnest(urls), unnest(alts) from (select doc_id, line_no, regexp_extract_all(t, {_IMG}, 1) as alts, regexp_extract_all(t, {_IMG}, 2) as urls from pt)
     union all select doc_id, line_no, 2000 + generate_subscripts(ds, 1), 'directive', unnest(ds), null, null, null, null from (select doc_id, line_no, regexp_extract_all(t, {_DIR}, 1) as ds from pt)),
-  bl as (select doc_id, line_no, row_number() over (partition by doc_id order by line_no, part)::int as block_no, kind, text, level, language, url, alt from b0),
+  bl as (select b0.doc_id, b0.line_no, row_number() over (partition by b0.doc_id order by b0.line_no, part)::int as block_no, kind, b0.text, level, language, url, alt, tb.headers, tb.rows from b0 left join tb on tb.doc_id = b0.doc_id and tb.line_no = b0.line_no),
   bp as (select *, list_filter([{", ".join(f"case when last_value(case when level <= {k} then level end ignore nulls) over w = {k} then nullif(last_value(case when level <= {k} then text end ignore nulls) over w, '') end" for k in range(1, 7))}], lambda x: x is not null) as section_path from bl window w as (partition by doc_id order by block_no)),
   bf as (select *, list_transform(section_path, lambda p: trim(strip_accents(lower(p)), ' #:.-')) as folded from bp)"""
 _ID = "'src-' || lpad(block_no::varchar, 4, '0')"
@@ -101,12 +103,17 @@ _TOC = "len(list_filter(folded, lambda x: x in ('muc luc', 'table of contents',
 
 
 def _of(sql: str) -> str:
-    return oracle(f"with {_CHAIN} {sql}", MD)
+    """sql, or more common table expressions and sql, over the chain."""
+    return oracle(f"with {_CHAIN}{' ' if sql.startswith('select') else ', '}{sql}", MD)
 
 
+_COMPACT = f"""(case kind when 'list' then to_json({{'id': {_ID}, 'kind': kind, 'items': list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')}})
+        when 'table' then to_json({{'id': {_ID}, 'kind': kind, 'headers': headers, 'rows': rows}})
+        when 'image' then to_json({{'id': {_ID}, 'kind': kind, 'alt': alt, 'url': url}}) when 'code' then to_json({{'id': {_ID}, 'kind': kind, 'language': language, 'code': substr(text, 1, 2400)}})
+        else to_json({{'id': {_ID}, 'kind': kind, 'text': text}}) end)::varchar"""
 _TOK = "greatest(1, (length(text) + 2) // 3)"
 ORACLES = {
-    "c1_extract_blocks": _of(f"select doc_id, block_no, {_ID} as id, kind, text, level, language, url, alt from bl"),
+    "c1_extract_blocks": _of(f"select doc_id, block_no, {_ID} as id, kind, text, level, language, url, alt, headers, rows from bl"),
     "c2_section_path": _of("select doc_id, block_no, section_path from bp"),
     "c3_list_items": _of("select * from li"),
     "c4_table_extract": _of("select * from tb"),
@@ -117,14 +124,18 @@ ORACLES = {
     "c9_compact_sections": _of(f"select doc_id, block_no, sum(new) over (partition by doc_id order by block_no)::int as section_no, section_path from (select *, case when lag(section_path) over (partition by doc_id order by block_no) is not distinct from section_path then 0 else 1 end as new from bf where kind <> 'heading' and not ({_TOC}))"),
     "c10_is_toc": _of(f"select doc_id, block_no, {_TOC} as toc, folded from bf"),
     "c11_compact_block": _of(
-        f"""select doc_id, block_no, (case kind when 'list' then to_json({{'id': {_ID}, 'kind': kind, 'items': list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')}})
-        when 'image' then to_json({{'id': {_ID}, 'kind': kind, 'alt': alt, 'url': url}}) when 'code' then to_json({{'id': {_ID}, 'kind': kind, 'language': language, 'code': substr(text, 1, 2400)}})
-        else to_json({{'id': {_ID}, 'kind': kind, 'text': text}}) end)::varchar as compact from bl"""
+        f"select doc_id, block_no, {_COMPACT} as compact from bl"
+    ),
+    "c12_pack_sections": _of(
+        f"""sz as (select doc_id, block_no, sum(new) over (partition by doc_id order by block_no)::int as section_no, greatest(1, (length({_COMPACT}) + 2) // 3)::int as size, row_number() over (partition by doc_id order by block_no) as n
+          from (select *, case when lag(section_path) over (partition by doc_id order by block_no) is not distinct from section_path then 0 else 1 end as new from bf where kind <> 'heading' and not ({_TOC}))),
+        r1 as (select *, 0 as part, size::bigint as total from sz where n = 1
+          union all select s.*, case when s.section_no <> r.section_no or r.total + s.size > 250 then r.part + 1 else r.part end, case when s.section_no <> r.section_no or r.total + s.size > 250 then s.size else r.total + s.size end from r1 r join sz s on s.doc_id = r.doc_id and s.n = r.n + 1),
+        ps as (select doc_id, part, sum(size)::bigint as size from r1 group by all),
+        r2 as (select doc_id, part, 0 as pack, size as total from ps where part = 0
+          union all select p.doc_id, p.part, case when r.total + p.size > 250 then r.pack + 1 else r.pack end, case when r.total + p.size > 250 then p.size else r.total + p.size end from r2 r join ps p on p.doc_id = r.doc_id and p.part = r.part + 1)
+        select r1.doc_id, section_no, block_no, size, r1.part::int as part, pack::int as pack from r1 join r2 on r2.doc_id = r1.doc_id and r2.part = r1.part"""
     ),
-    "c12_pack_sections": f"""with recursive src as (select source as tenant_id, doc_id, {_TOK}::int as tokens, row_number() over (partition by source order by doc_id) as n from documents),
-        r as (select tenant_id, doc_id, tokens, n, 0 as pack, tokens::bigint as total from src where n = 1
-          union all select s.tenant_id, s.doc_id, s.tokens, s.n, case when r.total + s.tokens > 4200 then r.pack + 1 else r.pack end, case when r.total + s.tokens > 4200 then s.tokens else r.total + s.tokens end from r join src s on s.tenant_id = r.tenant_id and s.n = r.n + 1)
-        select tenant_id, doc_id, tokens, pack::int as pack from r""",
     "c13_budget_gate": f"select doc_id, case when {_TOK} <= 3600 then 'whole' else 'digest' end as way from documents",
     "c14_digest_cache": "select doc_id, k as cache_key, case when k in (select sha256('v1:m:' || text) from documents where doc_id % 3 = 0) then 'known' end as digest from (select doc_id, sha256('v1:m:' || text) as k from documents)",
     "c15_extractive_digest": r"""with s as (select doc_id, unnest(l) as sentence, generate_subscripts(l, 1) - 1 as n from (select doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') as l from documents)),
@@ -132,6 +143,7 @@ ORACLES = {
         c as (select doc_id, term, ln(1 + count(*)) as w from e group by all),
         m as (select doc_id, n, round(avg(w), 9) as weight from e join c using (doc_id, term) group by all),
         r as (select s.*, coalesce(weight, 0) as weight, regexp_matches(sentence, '[0-9]') as fact from s left join m using (doc_id, n)),
-        k as (select *, row_number() over (partition by doc_id order by weight desc, n) as best from r)
-        select doc_id, substr(arg_min(sentence, n), 1, 120) as title, substr(string_agg(sentence, ' ' order by n) filter (where best <= 6), 1, 600) as summary, least(6, count(*))::int as n_keys, least(8, count(*) filter (where fact))::int as n_facts from k group by doc_id""",
+        k as (select r.*, row_number() over (partition by r.doc_id order by weight desc, n) as best, len(string_split(text, chr(10))) as lines from r join documents using (doc_id))
+        select doc_id, substr(arg_min(sentence, n), 1, 120) as title, substr(string_agg(sentence, ' ' order by n) filter (where best <= 6), 1, 600) as summary, least(6, count(*))::int as n_keys, least(8, count(*) filter (where fact))::int as n_facts,
+          (select string_agg('src-' || lpad(i::varchar, 4, '0'), ' ' order by i) from range(1, 13) t(i) where i <= any_value(k.lines)) as sources from k group by doc_id""",
 }

@@ -55,6 +55,18 @@ def _merged(source: str, key: str) -> str:
       from r join src s on s.{key} = r.{key} and s.idx = r.idx + 1)"""
 
 
+def _capped(source: str, keys: str, cap: int, overlap: int) -> str:
+    """Runs of at most cap * 3 characters of whole words, every (cap - overlap) * 3 characters, of source (keys, content)."""
+    size, step, longest = 3 * cap, 3 * (cap - overlap), min(200, 3 * overlap - 2)
+    edge, inner = "chr(1)", "'[^ ' || chr(1) || ']+'"
+    before = f"start > 0 and substr(m, start, 1) not in (' ', {edge})"
+    after = f"start + {size} < length(m) and substr(m, start + {size} + 1, 1) not in (' ', {edge})"
+    left = f"case when {before} then regexp_replace(p, '^' || {inner}, '') else p end"
+    right = f"case when {after} then regexp_replace(q, {inner} || '$', '') else q end"
+    return rf"""select {keys}, (start // {step})::int as run, trim(replace({right}, {edge}, '')) as content from (select *, {left} as q from (select *, substr(m, start + 1, {size}) as p from (
+      select *, unnest(range(0, greatest(length(m), 1), {step})) as start from (select *, regexp_replace(trim(regexp_replace(content, '\s+', ' ', 'g')), '(\S{{{longest}}})', '\1' || {edge}, 'g') as m from ({source}))) where start = 0 or start + {3 * overlap} < length(m)))"""
+
+
 ORACLES = {
     "b1_isolate_tables": oracle(f"select doc_id, {_ISOLATED} as md from fx_md", MD),
     "b2_split_by_header": oracle(_headers("select doc_id, md from fx_md"), MD),
@@ -64,8 +76,7 @@ ORACLES = {
         from r join src s on s.tenant_id = r.tenant_id and s.idx = r.idx group by r.tenant_id, r.merged""",
         "fx_section",
     ),
-    "b7_hard_cap_split": r"""select doc_id, (start // 280)::int as run, array_to_string(w[start + 1 : start + 300], ' ') as content from (
-        select doc_id, w, unnest(range(0, len(w), 280)) as start from (select doc_id, regexp_split_to_array(trim(text), '\s+') as w from documents)) where start = 0 or start + 20 < len(w)""",
+    "b7_hard_cap_split": _capped("select doc_id, text as content from documents", "doc_id", 300, 20),
     "b8_inject_header_context": oracle(
         f"""select doc_id, section, case when p <> '' and not contains(substr(content, 1, 300), p) then '**Bối cảnh: ' || p || '**' || chr(10) || chr(10) || content else content end as content
         from (select *, concat_ws(' > ', h1, h2) as p from ({_headers('select doc_id, md from fx_md')}))""",
@@ -119,8 +130,7 @@ ORACLES["b11_chunk_documents"] = oracle(
       mg as (select r.doc_id, min(r.idx) as idx, first(s.h1 order by r.idx) as h1, first(s.h2 order by r.idx) as h2, string_agg(s.content, chr(10) || chr(10) order by r.idx) as content from r join src s on s.doc_id = r.doc_id and s.idx = r.idx group by r.doc_id, r.merged),
       mk as (select *, doc_id * 100000 + idx as d, content as text, greatest(1, (length(content) + 2) // 3) as tok from mg), {_semantic("select d, text from mk")},
       sx as (select k.doc_id, k.idx, sp.part, k.h1, k.h2, sp.content, greatest(1, (length(sp.content) + 2) // 3) as tok from sp join mk k on k.d = sp.d),
-      hc as (select doc_id, idx, part, start // 1400 as run, h1, h2, array_to_string(w[start + 1 : start + 1500], ' ') as content from (
-        select *, unnest(range(0, len(w), 1400)) as start from (select *, regexp_split_to_array(trim(content), '\s+') as w from sx where tok > 1500)) where start = 0 or start + 100 < len(w)),
+      hc as ({_capped("select * from sx where tok > 1500", "doc_id, idx, part, h1, h2", 1500, 100)}),
       fin as (select doc_id, idx, 0 as part, 0 as run, h1, h2, content, case when tok > 200 then 'markdown_adaptive' else 'merged_small' end as method from mk where tok <= 1200
         union all select doc_id, idx, part, 0, h1, h2, content, 'hybrid_semantic' from sx where tok <= 1500
         union all select doc_id, idx, part, run, h1, h2, content, 'hard_cap_fallback' from hc),

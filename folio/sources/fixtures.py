@@ -84,7 +84,7 @@ from pages join (select 1 as n union all select 2 union all select 3) i on i.n <
   case page_id % 4 when 0 then '1,2' when 1 then ' 3 , 4' when 2 then '1,x' else '' end as roles_csv
 from pages""",
     "fx_request": r"""select c_custkey as req_id, c_custkey + c_custkey % 7 as employee_id, case when c_custkey % 3 = 0 then 'BUILDING' else c_mktsegment end as tenant_id from customer""",
-    "fx_section": r"""select doc_id, source as tenant_id, row_number() over (partition by source order by doc_id) - 1 as idx, greatest(1, cast(floor((n_chars + 2) / 3) as int)) as tokens, lang as h1, text as content from documents""",
+    "fx_section": r"""select doc_id, source || '-' || cast(cast(floor(doc_id / 64) as int) as string) as tenant_id, row_number() over (partition by source, floor(doc_id / 64) order by doc_id) - 1 as idx, greatest(1, cast(floor((n_chars + 2) / 3) as int)) as tokens, lang as h1, text as content from documents""",
     "fx_message": r"""select conv_id, turn, role, case when turn % 5 = 4 then ' ' else text end as content, case when turn % 3 = 0 then 1.5 when turn % 3 = 1 then 0.5 end as relevance from conversations""",
 }
 

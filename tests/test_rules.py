@@ -23,10 +23,13 @@ def one(spark, column, schema="x string", row=("",)):
 def test_chunk_sizes(spark):
     assert [one(spark, K.label_method(F.lit(n))) for n in (199, 200, 201, 1200, 1201)] == ["merged_small", "merged_small", "markdown_adaptive", "markdown_adaptive", "hybrid_semantic"]
     assert [one(spark, token_count("x"), row=("a" * n,)) for n in (0, 1, 3, 4, 6)] == [1, 1, 1, 2, 2]
-    words = " ".join(map(str, range(2900)))
-    runs = one(spark, K.hard_cap("x"), row=(words,))
-    assert [len(r.split()) for r in runs] == [1500, 1500] and runs[1].split()[0] == "1400"
-    assert one(spark, K.hard_cap("x"), row=("a b",)) == ["a b"]
+    words = [f"{i:05d}" for i in range(2900)]
+    runs = one(spark, K.hard_cap("x"), row=(" ".join(words),))
+    assert max(map(len, runs)) <= 3 * K.CAP and set(" ".join(runs).split()) == set(words)
+    assert all(0 < len(set(a.split()) & set(b.split())) <= K.OVERLAP * 3 // 6 for a, b in zip(runs, runs[1:]))
+    assert one(spark, K.hard_cap("x"), row=("a b",)) == ["a b"] and one(spark, K.hard_cap("x"), row=("",)) == [""]
+    long = one(spark, K.hard_cap("x", 20, 5), row=("y" * 500 + " end",))
+    assert max(map(len, long)) <= 60 and sum(r.count("y") for r in long) >= 500 and long[-1].endswith("end")
 
 
 def test_merge_keeps_topics_and_sizes(spark):
