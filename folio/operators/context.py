@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators.history import NO_HISTORY
+
 NO_CONTEXT, NO_SOURCE = "Không có thông tin ngữ cảnh.", "Không xác định"
 BAD_JSON = "Không đọc được câu trả lời."
 INTRO = "Bạn trả lời câu hỏi của nhân viên dựa trên tài liệu của công ty."
+RULES = "Chỉ dùng thông tin có trong ngữ cảnh và lịch sử; nếu không đủ thì nói rõ là không biết, và luôn nêu nguồn."
 OUTPUT_RULE = 'Chỉ trả về JSON: {"question": "...", "answer": "...", "citation": "..."}'
 
 
@@ -34,11 +37,19 @@ def db_context(groups: DataFrame, rows: DataFrame, by: str) -> DataFrame:
     return groups.select(by).distinct().join(made, by, "left").select(by, F.coalesce(text, F.lit("")).alias("db_context"))
 
 
-def build_messages(questions: DataFrame, contexts: DataFrame) -> DataFrame:
-    """qid, messages: a system text (introduction, context, output rule) and the question."""
-    system = F.concat_ws("\n\n", F.lit(INTRO), F.lit("NGỮ CẢNH:"), "context", F.lit(OUTPUT_RULE))
+def build_messages(questions: DataFrame, contexts: DataFrame, histories: DataFrame, rows: DataFrame) -> DataFrame:
+    """qid, messages: a system text (introduction, rules, history, context, database rows, output rule) and the question.
+
+    contexts (qid, context), histories (qid, history) and rows (qid, db_context) may lack a question, and a part that
+    is empty is left out.
+    """
+    parts = questions
+    for more in (contexts, histories, rows):
+        parts = parts.join(more.hint("merge"), "qid", "left")
+    history, context = F.coalesce("history", F.lit(NO_HISTORY)), F.coalesce("context", F.lit(NO_CONTEXT))
+    system = F.concat_ws("\n\n", F.lit(INTRO), F.lit(RULES), F.lit("LỊCH SỬ TRÒ CHUYỆN:"), history, F.lit("NGỮ CẢNH:"), context, F.nullif("db_context", F.lit("")), F.lit(OUTPUT_RULE))
     pair = F.array(F.struct(F.lit("system").alias("role"), system.alias("content")), F.struct(F.lit("human").alias("role"), F.col("question").alias("content")))
-    return questions.join(contexts, "qid").select("qid", pair.alias("messages"))
+    return parts.select("qid", pair.alias("messages"))
 
 
 def append_sources(hits: DataFrame, rows: DataFrame) -> DataFrame:

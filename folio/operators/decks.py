@@ -76,9 +76,10 @@ def with_subtitle(slides: DataFrame) -> DataFrame:
 
 
 def compose_plan(slides: DataFrame) -> DataFrame:
-    """deck_id, id, kind, title, subtitle, body, visual of the slides to draw: long text slides in numbered parts.
+    """deck_id, id, kind, title, subtitle, body, visual, notes of the slides to draw: long text slides in numbered parts.
 
-    What a slide shows besides its text comes on its first part. Numbers run on over the deck.
+    What a slide shows besides its text, and its notes (column notes, if there is one), come on its first part.
+    Numbers run on over the deck.
     """
     chars = F.aggregate("body", F.lit(0), lambda s, x: s + F.length(x))
     long = F.col("kind").isin("text", "image_text") & ((F.size("body") > ITEMS) | (chars > CHARS))
@@ -87,9 +88,10 @@ def compose_plan(slides: DataFrame) -> DataFrame:
     shown = F.when(F.col("part") == 0, F.col("shown_kind")).otherwise(F.col("kind"))
     title = F.when(F.size("pages") > 1, F.concat("title", F.lit(" (Phần "), (F.col("part") + 1).cast("string"), F.lit(")"))).otherwise(F.col("title"))
     visual = F.when(F.col("part") == 0, F.coalesce("diagram", "chart", "table"))
+    notes = F.when(F.col("part") == 0, F.coalesce("notes", F.lit(""))).otherwise("") if "notes" in slides.columns else F.lit("")
     subtitle, body = _cover(F.col("page"), shown)
     number = F.row_number().over(Window.partitionBy("deck_id").orderBy("slide_no", "part"))
-    return parts.select("deck_id", F.format_string("s%02d", number).alias("id"), shown.alias("kind"), title.alias("title"), subtitle.alias("subtitle"), body.alias("body"), visual.alias("visual"))
+    return parts.select("deck_id", F.format_string("s%02d", number).alias("id"), shown.alias("kind"), title.alias("title"), subtitle.alias("subtitle"), body.alias("body"), visual.alias("visual"), notes.alias("notes"))
 
 
 def slide_range(options: DataFrame) -> DataFrame:
@@ -99,22 +101,27 @@ def slide_range(options: DataFrame) -> DataFrame:
     return options.withColumn("low", low).withColumn("high", F.greatest(low, F.coalesce("max_slides", F.lit(8)))).withColumn("reject", bad)
 
 
-def deck_quality(slides: DataFrame, low: int = 5, high: int = 8) -> DataFrame:
-    """deck_id, slide_no (-1 for the deck), rule: what breaks a rule in decks of slides (kind, title, text_block)."""
+def deck_quality(slides: DataFrame, low: int = 5, high: int = 8, dividers: bool = False, visuals: int | None = None, slide_chars: int = SLIDE_CHARS, block_chars: int = BLOCK_CHARS, blocks: int = BLOCKS) -> DataFrame:
+    """deck_id, slide_no (-1 for the deck), rule: what breaks a rule in decks of slides (kind, title, text_block, n_blocks).
+
+    dividers lets covers stand inside a deck. visuals is how many slides must show something; without it 1, in decks
+    of 6 slides and more. A cover may have any number of blocks and characters but for those of one block.
+    """
     order = Window.partitionBy("deck_id").orderBy("slide_no")
     rows = slides.withColumn("place", F.row_number().over(order)).withColumn("before", F.lag("title").over(order))
     text = F.coalesce("text_block", F.lit(""))
     on_slide = F.array(
         F.when((F.col("place") == 1) & (F.col("kind") != "cover"), F.lit("first_not_cover")),
-        F.when((F.col("place") > 1) & (F.col("kind") == "cover"), F.lit("extra_cover")),
+        F.when((F.col("place") > 1) & (F.col("kind") == "cover") & ~F.lit(dividers), F.lit("extra_cover")),
         F.when((F.col("before") != "") & (F.lower("title") == F.lower("before")), F.lit("same_title")),
-        F.when((F.col("kind") != "cover") & (F.length(text) > SLIDE_CHARS), F.lit("slide_chars")),
-        F.when(F.length(text) > BLOCK_CHARS, F.lit("block_chars")),
+        F.when((F.col("kind") != "cover") & (F.col("n_blocks") > blocks), F.lit("block_count")),
+        F.when((F.col("kind") != "cover") & (F.length(text) > slide_chars), F.lit("slide_chars")),
+        F.when(F.length(text) > block_chars, F.lit("block_chars")),
         F.when(F.size(F.regexp_extract_all(text, F.lit(r"(?m)^\s*1\.\s+"), F.lit(0))) >= 2, F.lit("numbering")),
     )
     single = rows.select("deck_id", F.col("slide_no").cast("long").alias("slide_no"), F.explode(F.filter(on_slide, lambda x: x.isNotNull())).alias("rule"))
     decks = slides.groupBy("deck_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kind").isin(*VISUAL).cast("int")).alias("visuals"))
-    on_deck = F.array(F.when(~F.col("n").between(low, high), F.lit("slide_count")), F.when((F.col("n") >= 6) & (F.col("visuals") < 1), F.lit("few_visuals")))
+    on_deck = F.array(F.when(~F.col("n").between(low, high), F.lit("slide_count")), F.when(F.col("visuals") < (F.when(F.col("n") >= 6, 1).otherwise(0) if visuals is None else F.lit(visuals)), F.lit("few_visuals")))
     whole = decks.select("deck_id", F.lit(-1).cast("long").alias("slide_no"), F.explode(F.filter(on_deck, lambda x: x.isNotNull())).alias("rule"))
     return single.unionByName(whole)
 

@@ -29,7 +29,7 @@ def department_names(keys: DataFrame, departments: DataFrame) -> DataFrame:
     """keys (tenant_id, work_department_id) with the department's name, or one made of its id."""
     named = departments.select("tenant_id", F.col("id").alias("work_department_id"), F.nullif("display_name", F.lit("")).alias("display_name"))
     made = F.concat(F.lit("ID phòng "), F.col("work_department_id").cast("string"))
-    return keys.join(named, list(DEPARTMENT), "left").select(*DEPARTMENT, F.coalesce("display_name", made).alias("department"))
+    return keys.join(named.hint("merge"), list(DEPARTMENT), "left").select(*DEPARTMENT, F.coalesce("display_name", made).alias("department"))
 
 
 def headcount(employees: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def department_report(requests: DataFrame, employees: DataFrame, departments: Da
     lines = summary_lines(distributions(employees), headcount(employees), hires_by_year(employees), asset_distributions(listing), asset_total(listing), report_types)
     whole = lines.groupBy(*DEPARTMENT).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "\n").alias("lines"))
     named = department_names(whole.select(*DEPARTMENT), departments)
-    done = whole.join(named, list(DEPARTMENT))
+    done = whole.join(named.hint("merge"), list(DEPARTMENT))
     return resolve(requests, employees).join(done.hint("merge"), list(DEPARTMENT), "left").select("req_id", "status", "department", "lines")
 
 

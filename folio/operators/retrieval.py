@@ -7,6 +7,7 @@ they are ranked, so that ties (equal texts) are ties however sums were added up,
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +27,8 @@ RRF = 60
 
 
 def acl_join(questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Pairs of a question and a chunk of its tenant that its role may see; for chunks already narrowed down."""
-    return questions.join(chunks, "tenant_id").where(F.array_contains("accessed_role", F.col("role_id")))
+    """Pairs of a question and a chunk of its tenant that its role may see: the rows of each question."""
+    return chunks.join(questions.hint("merge"), "tenant_id").where(F.array_contains("accessed_role", F.col("role_id")))
 
 
 def allowed(questions: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -46,26 +47,39 @@ def _blocks(questions: DataFrame, size: int) -> list[DataFrame]:
     return [questions.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == k) for k in range(n)]
 
 
+def _best(ids: np.ndarray, scores: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n of largest score, ties to the smaller id."""
+    if len(ids) > n:
+        near = scores >= -np.partition(-scores, n - 1)[n - 1]
+        ids, scores = ids[near], scores[near]
+    order = np.lexsort((ids, -scores))[:n]
+    return ids[order], scores[order]
+
+
 def _dense(sent, n: int):
+    """A task keeps the best rows of each question over all its batches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qids, tenants, roles, matrix = sent.value
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             ids, of = batch.column("point_id").to_numpy(zero_copy_only=False), np.array(batch.column("tenant_id").to_pylist(), object)
             may = [set(x or ()) for x in batch.column("accessed_role").to_pylist()]
-            out = []
+            open_to = {role: np.array([role in x for x in may], bool) for role in set(roles)}
             for tenant in set(of):
                 at, ask = np.flatnonzero(of == tenant), np.flatnonzero(tenants == tenant)
-                scores = np.round(matrix[ask] @ rows[at].T, PLACES)
-                for q, line in zip(ask, scores, strict=True):
-                    open_ = np.array([roles[q] in may[i] for i in at])
-                    keep = at[open_]
-                    best = np.lexsort((ids[keep], -line[open_]))[:n]
-                    out += [(qids[q], ids[keep][i], line[open_][i]) for i in best]
-            columns = list(zip(*out, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], ["qid", "point_id", "score"])
+                for k in range(0, len(ask), 256):
+                    scores = np.round(matrix[ask[k : k + 256]] @ rows[at].T, PLACES)
+                    for q, line in zip(ask[k : k + 256].tolist(), scores, strict=True):
+                        free = open_to[roles[q]][at]
+                        found = _best(ids[at[free]], line[free], n)
+                        held[q] = _best(*(np.concatenate(x) for x in zip(held[q], found, strict=True)), n) if q in held else found
+        of = np.repeat([qids[q] for q in held], [len(x) for x, _ in held.values()]) if held else []
+        columns = [np.concatenate([x[k] for x in held.values()]) if held else [] for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.float64())], ["qid", "point_id", "score"])
 
     return run
 
@@ -145,24 +159,60 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, k: int = 20, top: int
         asked = questions.drop("vector").join(hashed_vectors(questions, "qid", "question").hint("merge"), "qid")
         held = chunks.drop("vector").join(hashed_vectors(chunks, "point_id", "content").hint("merge"), "point_id")
     fused = rrf([dense_topk(asked, held, 2 * k), sparse_topk(questions, chunks, 2 * k)], k).drop("score")
-    texts = fused.join(chunks.select("point_id", "content").hint("merge"), "point_id").join(questions.select("qid", "question"), "qid")
-    return rerank(texts, top=top)
+    # At most k rows of each question are wanted: few questions meet the texts in place, many by a shuffle of what is wanted.
+    few = questions.count() <= BLOCK
+    texts = chunks.select("point_id", "content").join(F.broadcast(fused) if few else fused.hint("merge"), "point_id")
+    return rerank(texts.join(questions.select("qid", "question").hint("merge"), "qid"), top=top)
+
+
+#: Rows that fit the lists of the approximate search, lists at most, and the recall that its number of searched lists aims at.
+SAMPLED, LISTS, RECALL = 20_000, 1024, 0.97
+#: Rows of the sample that ask to find that number.
+TRIALS = 256
+
+
+def _searched(tenants: np.ndarray, vectors: np.ndarray, centres: np.ndarray, n: int, recall: float) -> int:
+    """How many lists, nearest first, hold the share `recall` of the n best of a question, by trying rows of a sample."""
+    far = ((vectors**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * vectors @ centres.T).argsort(1, kind="stable")
+    place, own = far.argsort(1), far[:, 0]
+    scores = np.where(tenants[:TRIALS, None] == tenants, vectors[:TRIALS] @ vectors.T, -2)
+    best = np.argsort(-scores, 1, kind="stable")[:, :n]
+    ranks = np.take_along_axis(place[:TRIALS], own[best], 1)[np.take_along_axis(scores, best, 1) > -2]
+    return int(np.quantile(ranks, recall, method="higher")) + 1
 
 
-def approx_topk(questions: DataFrame, chunks: DataFrame, n: int, buckets: float = 0.6, tables: int = 6, reach: float = 1.3) -> DataFrame:
-    """qid, point_id, score, rank by random-projection hashing of unit vectors, with exact cosines of its candidates.
+def approx_topk(questions: DataFrame, chunks: DataFrame, n: int, recall: float = RECALL) -> DataFrame:
+    """qid, point_id, score, rank by inverted lists: exact cosines of the vectors in the lists nearest to a question.
 
-    No vector may be null.
+    Lists are those of k-means, about the square root of the rows many, fitted on SAMPLED rows (those of least hash)
+    and holding every row. How many of them are searched is found on the same sample. A question sees its tenant's rows
+    that its role may see. Null vectors are left out; zero vectors have cosine 0. Neighbours in lists that are not searched are missed (tests hold the recall to 0.9).
     """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     from folio.functions.text import l2_normalize
 
-    unit = lambda rows: rows.withColumn("unit", array_to_vector(l2_normalize("vector")))
+    unit = lambda rows: rows.where("vector is not null").withColumn("unit", l2_normalize("vector"))
     asked, held = unit(questions), unit(chunks)
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=buckets, numHashTables=tables, seed=1).fit(held)
-    pairs = model.approxSimilarityJoin(asked, held, reach, "distance")
-    seen = (F.col("datasetA.tenant_id") == F.col("datasetB.tenant_id")) & F.array_contains("datasetB.accessed_role", F.col("datasetA.role_id"))
-    cosine = F.round(1 - F.col("distance") * F.col("distance") / 2, PLACES)
-    return _ranked(pairs.where(seen).select(F.col("datasetA.qid").alias("qid"), F.col("datasetB.point_id").alias("point_id"), cosine.alias("score")), n)
+    rows = held.count()
+    lists = min(LISTS, int(rows**0.5))
+    if lists < 2:
+        placed, to = held.withColumn("list", F.lit(0)), asked.withColumn("list", F.lit(0))
+    else:
+        share = min(1.0, SAMPLED / rows)
+        sample = held.where(F.pmod(F.xxhash64("point_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("point_id", "tenant_id", "unit", array_to_vector("unit").alias("features"))
+        centres = [[float(x) for x in c] for c in KMeans(k=lists, seed=1, maxIter=10).fit(sample).clusterCenters()]
+        every = F.from_json(F.lit(json.dumps(centres)), "array<array<double>>")  # one constant
+        tried = sorted(sample.select("point_id", "tenant_id", "unit").collect())
+        searched = _searched(np.array([r.tenant_id for r in tried], object), np.array([r.unit for r in tried]), np.array(centres), n, recall)
+
+        def nearest(v: Column) -> Column:
+            far = lambda c: F.aggregate(F.zip_with(c, v, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+            return F.transform(F.array_sort(F.transform(every, lambda c, i: F.struct(far(c).alias("far"), i.alias("list")))), lambda x: x["list"])
+
+        placed = held.withColumn("list", nearest(F.col("unit"))[0])
+        to = asked.withColumn("list", F.explode(F.slice(nearest(F.col("unit")), 1, searched)))
+    pairs = placed.join(to.select("qid", "tenant_id", "role_id", "list", F.col("unit").alias("ask")).hint("merge"), ["tenant_id", "list"]).where(F.array_contains("accessed_role", F.col("role_id")))
+    cosine = F.aggregate(F.zip_with("unit", "ask", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return _ranked(pairs.select("qid", "point_id", F.round(cosine, PLACES).alias("score")), n)

@@ -21,7 +21,7 @@ def _asked(s, d):
 
 
 def _normalized(s, d):
-    rows = _asked(s, d).join(T.placeholders(fixture(s, d, TPL)), "tpl_id").withColumn("m", T.normalize_mapping("fields", "values"))
+    rows = _asked(s, d).join(T.placeholders(fixture(s, d, TPL)).hint("merge"), "tpl_id").withColumn("m", T.normalize_mapping("fields", "values"))
     return rows.select("rec_id", "tpl_id", F.expr("array_join(transform(fields, f -> f || '=' || m[f]), '|')").alias("mapping"))
 
 
@@ -54,7 +54,8 @@ def _components(s, d):
 
 
 def _plan(s, d):
-    return J.compose_plan(J.slide_components(_slide_blocks(s, d))).withColumn("body", F.array_join("body", "|"))
+    slides = J.slide_components(_slide_blocks(s, d)).withColumn("notes", F.concat(F.lit("say "), "title"))
+    return J.compose_plan(slides).withColumn("body", F.array_join("body", "|"))
 
 
 def _options(s, d):
@@ -76,7 +77,7 @@ def _rollup(s, d):
 
 QUERIES = {
     "i1_placeholders": lambda s, d: T.placeholders(_lines(s, d).select(F.col("doc_id").alias("tpl_id"), "part_no", F.regexp_replace("part", r"(\w{5,})", "{{ $1 }}").alias("part"))),
-    "i2_fill_template": lambda s, d: _asked(s, d).join(fixture(s, d, TPL), "tpl_id").select("rec_id", "tpl_id", "part_no", T.fill("part", "values").alias("part")),
+    "i2_fill_template": lambda s, d: _asked(s, d).join(fixture(s, d, TPL).hint("merge"), "tpl_id").select("rec_id", "tpl_id", "part_no", T.fill("part", "values").alias("part")),
     "i3_normalize_mapping": _normalized,
     "i4_template_summary": lambda s, d: T.template_summary(_lines(s, d), "doc_id"),
     "i5_place_paragraphs": _placed,
@@ -86,7 +87,7 @@ QUERIES = {
     "j3_paginate": lambda s, d: table(s, d, "documents").select("doc_id", F.split("text", r"(?<=[.!?])\s+").alias("items")).select("doc_id", F.posexplode(J.paginate("items")).alias("page", "lines")).select("doc_id", "page", F.array_join("lines", "|").alias("body")),
     "j4_slide_components": _components,
     "j5_compose_plan": _plan,
-    "j6_deck_quality": lambda s, d: J.deck_quality(fixture(s, d, SLIDE)),
+    "j6_deck_quality": lambda s, d: J.deck_quality(fixture(s, d, SLIDE).withColumn("n_blocks", F.col("slide_no") % 7)),
     "j7_slide_range": lambda s, d: J.slide_range(_options(s, d)).select("conv_id", "turn", "low", "high", "reject"),
     "j8_chart_to_long": _charts,
     "j9_diagram_cap": lambda s, d: J.diagram_cap(fixture(s, d, ITEM)),
@@ -158,7 +159,7 @@ ORACLES = {
         parts as (select deck_id, slide_no, page, list(item order by n) as body from pg group by deck_id, slide_no, page union all select deck_id, slide_no, 0, body from c where not coalesce(long, false)),
         z as (select p.deck_id, p.slide_no, p.page, p.body, c.title, coalesce(c.diagram, c.chart, c."table") as v, case when p.page = 0 then c.shown else c.kind end as k, count(*) over (partition by p.deck_id, p.slide_no) as n, row_number() over (partition by p.deck_id order by p.slide_no, p.page) as i from parts p join c on c.deck_id = p.deck_id and c.slide_no = p.slide_no)
         select deck_id, 's' || lpad(i::varchar, greatest(2, length(i::varchar))::int, '0') as id, k as kind, case when n > 1 then title || ' (Phần ' || (page + 1)::varchar || ')' else title end as title,
-          case when k = 'cover' and len(body) > 0 then body[1] end as subtitle, coalesce(array_to_string(case when k = 'cover' and len(body) > 0 then body[2:] else body end, '|'), '') as body, case when page = 0 then v end as visual from z""",
+          case when k = 'cover' and len(body) > 0 then body[1] end as subtitle, coalesce(array_to_string(case when k = 'cover' and len(body) > 0 then body[2:] else body end, '|'), '') as body, case when page = 0 then v end as visual, case when page = 0 then 'say ' || title else '' end as notes from z""",
         SLIDE,
     ),
     "j6_deck_quality": oracle(
@@ -166,6 +167,7 @@ ORACLES = {
         d as (select deck_id, count(*) as n, count(*) filter (where kind in ('diagram', 'chart', 'table', 'image_text')) as v from fx_slide group by all)
         select deck_id, slide_no::bigint as slide_no, 'first_not_cover' as rule from s where place = 1 and kind <> 'cover' union all select deck_id, slide_no, 'extra_cover' from s where place > 1 and kind = 'cover'
         union all select deck_id, slide_no, 'same_title' from s where lower(title) = lower(before) union all select deck_id, slide_no, 'slide_chars' from s where kind <> 'cover' and chars > 900
+        union all select deck_id, slide_no, 'block_count' from s where kind <> 'cover' and slide_no % 7 > 4
         union all select deck_id, slide_no, 'block_chars' from s where chars > 650 union all select deck_id, slide_no, 'numbering' from s where len(regexp_extract_all(text_block, '(?m)^\s*1\.\s+')) >= 2
         union all select deck_id, -1, 'slide_count' from d where n not between 5 and 8 union all select deck_id, -1, 'few_visuals' from d where n >= 6 and v < 1""",
         SLIDE,

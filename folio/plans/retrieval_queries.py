@@ -10,6 +10,7 @@ from folio.operators import index as I
 from folio.operators import retrieval as R
 from folio.sources.fixtures import fixture, oracle, table
 from folio.sources.gates import parse_roles
+from folio.sources.shared import new_folder
 
 
 def _chunks(s, d):
@@ -47,10 +48,7 @@ def _rerank(s, d):
 
 
 def _layout(s, d):
-    import tempfile
-    import uuid
-
-    path = f"{s.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/index-{uuid.uuid4().hex}"
+    path = new_folder(s, "index")
     I.write_index(fixture(s, d, "fx_doc").select("tenant_id", "src_file", "doc_id", "n_chars"), path)
     return s.read.parquet(path).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
 
@@ -77,14 +75,14 @@ QUERIES = {
     "b10_chunk_id": lambda s, d: _index(s, d).select("doc_id", "chunk_id"),
     "d1_upsert_chunks": _upsert,
     "d2_delete_document": lambda s, d: I.delete_documents(_index(s, d), _index(s, d).where("doc_id % 4 = 1")).select("chunk_id", "doc_id"),
-    "d3_acl_filter": lambda s, d: R.allowed(fixture(s, d, "fx_q"), _chunks(s, d)),
+    "d3_acl_filter": lambda s, d: R.acl_join(fixture(s, d, "fx_q"), _chunks(s, d)).select("qid", "point_id"),
     "d4_dense_topk": lambda s, d: R.dense_topk(_asked(s, d), _vectors(s, d), 40),
     "d5_sparse_encode": lambda s, d: R.sparse_encode(table(s, d, "documents"), "doc_id", "text").withColumn("weight", F.round("weight", 6)),
     "d6_sparse_topk": lambda s, d: R.sparse_topk(fixture(s, d, "fx_q"), _chunks(s, d), 40),
     "d7_rrf_fuse": _rrf,
     "d8_rerank": _rerank,
     "d9_hybrid_search": lambda s, d: R.hybrid_search(fixture(s, d, "fx_q"), _chunks(s, d)),
-    "d10_l2_normalize": lambda s, d: table(s, d, "embeddings").select("vec_id", F.transform(l2_normalize(F.transform("embedding", lambda x: x.cast("double") * 3)), lambda x: F.round(x, 4)).alias("unit")),
+    "d10_l2_normalize": lambda s, d: table(s, d, "embeddings").select("vec_id", F.posexplode(l2_normalize(F.transform("embedding", lambda x: x.cast("double") * 3))).alias("place", "value")).withColumn("value", F.round("value", 9)),
     "d11_tenant_layout": _layout,
     "d12_approx_topk": lambda s, d: R.approx_topk(_asked(s, d), _vectors(s, d), 10),
     "m1_vectorize": _vectorized,
@@ -116,7 +114,7 @@ ORACLES = {
     "b10_chunk_id": oracle(f"select doc_id, {_CHUNK} as chunk_id from fx_doc", "fx_doc"),
     "d1_upsert_chunks": oracle(f"select {_CHUNK} as chunk_id, doc_id, case when doc_id % 5 = 0 then 0 else {_TOKENS} end as token_count, case when doc_id % 5 = 0 then 3 else 1 end as version from fx_doc where doc_id % 3 > 0 or doc_id % 5 = 0", "fx_doc"),
     "d2_delete_document": oracle(f"select {_CHUNK} as chunk_id, doc_id from fx_doc where doc_id % 4 <> 1", "fx_doc"),
-    "d3_acl_filter": oracle(f"select q.qid, count(d.doc_id) as n_allowed from fx_q q left join fx_doc d on d.tenant_id = q.tenant_id and {_MAY} group by q.qid", "fx_q", "fx_doc"),
+    "d3_acl_filter": oracle(f"select q.qid, d.doc_id as point_id from fx_q q join fx_doc d on d.tenant_id = q.tenant_id and {_MAY}", "fx_q", "fx_doc"),
     "d4_dense_topk": oracle(
         """select *, row_number() over (partition by qid order by score desc, point_id)::int as rank from (
         select q.vec_id as qid, d.vec_id as point_id, round(list_sum(list_transform(list_zip(q.embedding, d.embedding), lambda x: x[1]::double * x[2]::double))
@@ -137,6 +135,8 @@ ORACLES = {
         select f.qid, f.point_id, f.rank as old, {_SHARE} as score from f join fx_q q on q.qid = f.qid join fx_doc d on d.doc_id = f.point_id where content <> '') qualify rank <= 5""",
         "fx_q", "fx_doc",
     ),
-    "d10_l2_normalize": "select vec_id, list_transform(embedding, lambda x: round(x::double * 3 / sqrt(list_sum(list_transform(embedding, lambda y: y::double * 3 * y::double * 3))), 4)) as unit from embeddings",
+    "d10_l2_normalize": "select vec_id, (generate_subscripts(embedding, 1) - 1)::int as place, round(unnest(embedding)::double * 3 / sqrt(list_sum(list_transform(embedding, lambda y: y::double * 3 * y::double * 3))), 9) as value from embeddings",
+    "m1_vectorize": "select doc_id, [length(text), length(text) - length(replace(text, 'e', '')), length(text) - length(replace(text, ' ', ''))] as vector from documents",
+    "m2_score_pairs": "select conv_id, turn, len(list_intersect(list_distinct(string_split(role, '')), list_distinct(string_split(text, ''))))::double as score from conversations",
     "d11_tenant_layout": "select source as tenant_id, count(*) as n, sum(n_chars)::bigint as chars from documents group by source",
 }

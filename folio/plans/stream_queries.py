@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from folio.operators.history import KEPT
 from folio.sources.fixtures import oracle, table
+from folio.sources.shared import new_folder
 from folio.streaming import streams as L
 
 
 def _folder(s) -> str:
-    shared = s.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    return new_folder(s, "stream")
 
 
 def _stream(s, d, name):
@@ -32,7 +29,7 @@ def _ingest(s, d):
 def _history(s, d):
     to = _folder(s)
     conv = _stream(s, d, "conversations")
-    messages = conv.select((F.col("conv_id") % 7).cast("string").alias("tenant_id"), (F.col("conv_id") % 5).alias("employee_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), "role", F.col("text").alias("content"))
+    messages = conv.select((F.col("conv_id") % 7).cast("string").alias("tenant_id"), F.col("conv_id").alias("employee_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), "role", F.col("text").alias("content"))
     before = s.conf.get("spark.sql.streaming.stateStore.providerClass")
     s.conf.set("spark.sql.streaming.stateStore.providerClass", L.STATE_STORE)
     try:

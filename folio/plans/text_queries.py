@@ -8,6 +8,7 @@ from folio.operators import context as X
 from folio.operators import history as H
 from folio.operators import sqlgate as S
 from folio.sources import gates as A
+from folio.sources.shared import new_folder
 from folio.sources.fixtures import fixture, oracle, table
 
 CONV = "fx_conv"
@@ -15,9 +16,9 @@ SELECT = "SELECT TOP 20 n.n_name, count(*) AS n_customers, sum(c.c_acctbal) AS b
 
 
 def _hits(s, d):
-    """Each question of a tenant with that tenant's documents that hold its first word, best by id."""
+    """The turns of each conversation as the hits of a question."""
     q, doc = fixture(s, d, "fx_conv"), table(s, d, "conversations")
-    return q.select(F.col("tenant_id").alias("qid"), F.col("seq").alias("rank"), "content", F.lit(None).cast("string").alias("text"), F.when(F.col("role") == "user", F.concat(F.lit("doc_"), F.col("employee_id").cast("string"), F.lit(".md"))).alias("src_file"), F.lit(None).cast("string").alias("filename")), doc
+    return q.select(F.col("employee_id").cast("string").alias("qid"), F.col("seq").alias("rank"), "content", F.lit(None).cast("string").alias("text"), F.when(F.col("role") == "user", F.concat(F.lit("doc_"), F.col("employee_id").cast("string"), F.lit(".md"))).alias("src_file"), F.lit(None).cast("string").alias("filename")), doc
 
 
 def _context(s, d):
@@ -31,22 +32,24 @@ def _people(s, d):
 
 
 def _db(s, d):
-    emp = fixture(s, d, "fx_employee")
-    rows = _people(s, d).join(emp.select("id", "tenant_id"), "id").select("tenant_id", F.col("id").alias("row_no"), "content")
-    groups = emp.select("tenant_id").distinct().union(s.createDataFrame([("none",)], "tenant_id string"))
-    return X.db_context(groups, rows, "tenant_id")
+    orders = table(s, d, "orders").withColumn("k", F.struct("o_custkey", "o_orderkey"))
+    rows = S.rows_to_context(orders, ["o_orderstatus", "o_orderpriority"], "k").select(F.col("k.o_custkey").alias("c_custkey"), F.col("k.o_orderkey").alias("row_no"), "content")
+    return X.db_context(table(s, d, "customer"), rows, "c_custkey")
 
 
 def _append(s, d):
     hits, _ = _hits(s, d)
-    rows = table(s, d, "conversations").where("role = 'system'").select((F.col("conv_id") % 7).cast("string").alias("qid"), F.col("conv_id").alias("row_no"), F.col("text").alias("content"))
+    rows = table(s, d, "conversations").where("role = 'system'").select(F.col("conv_id").cast("string").alias("qid"), F.col("turn").alias("row_no"), F.col("text").alias("content"))
     ranked = hits.select("qid", F.expr("row_number() over (partition by qid order by rank)").alias("rank"), "content", F.coalesce("src_file", F.lit("?")).alias("source"))
     return X.append_sources(ranked, rows)
 
 
 def _messages(s, d):
+    conv = fixture(s, d, CONV)
     q = _hits(s, d)[0].select("qid").distinct().withColumn("question", F.concat(F.lit("? "), "qid"))
-    return X.build_messages(q, _context(s, d))
+    history = H.transcript(conv, conv.select("tenant_id", "employee_id").distinct()).select(F.col("employee_id").cast("string").alias("qid"), F.col("transcript").alias("history"))
+    rows = table(s, d, "conversations").where("role = 'system'").select(F.col("conv_id").cast("string").alias("qid"), F.col("turn").alias("row_no"), F.col("text").alias("content"))
+    return X.build_messages(q, _context(s, d), history, X.db_context(q, rows, "qid"))
 
 
 def _records(s, d):
@@ -73,7 +76,11 @@ def _append_trim(s, d):
 
 def _markdown(s, d):
     docs = fixture(s, d, "fx_doc").withColumn("document_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")))
-    return A.markdown_paths(docs).select("tenant_id", "path", "size")
+    root = new_folder(s, "markdown")
+    A.write_markdown(docs, root)
+    files = s.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/ocr")
+    path = F.concat(F.lit("ocr/"), F.element_at(F.split("path", "/ocr/"), -1))
+    return files.select(F.element_at(F.split(path, "/"), 2).alias("tenant_id"), path.alias("path"), F.col("length").cast("int").alias("size"), F.md5("content").alias("md5"))
 
 
 QUERIES = {
@@ -82,7 +89,7 @@ QUERIES = {
     "a3_relational_scan": lambda s, d: A.read_table(s, {"path": f"{d}/customer.parquet"}, "c_custkey long", "parquet").where("c_acctbal > 0").select("c_custkey", "c_name", "c_nationkey"),
     "a4_markdown_sink": _markdown,
     "a5_page_join": lambda s, d: A.assemble_pages(table(s, d, "conversations").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("page_no"), "text")),
-    "a6_plan_sink": lambda s, d: A.plan_documents(fixture(s, d, "fx_slide").select("deck_id", "slide_no", "slide_id", "kind", "title")),
+    "a6_plan_sink": lambda s, d: A.plan_documents(fixture(s, d, "fx_slide").select("deck_id", F.concat(F.lit("Deck "), F.col("deck_id").cast("string")).alias("deck_title"), F.lit("vi").alias("language"), "slide_no", "slide_id", "kind", "title")),
     "a7_text_gate": lambda s, d: A.text_gate(fixture(s, d, "fx_message")).select("conv_id", "turn", "question_reason", "content_reason", "relevance_reason"),
     "g1_append_trim": _append_trim,
     "g2_last_n": lambda s, d: H.last_n(fixture(s, d, CONV), 5).select("tenant_id", "employee_id", "seq", "role", "place"),
@@ -104,7 +111,7 @@ QUERIES = {
 }
 
 _BLOCKS = """select qid, string_agg('--- TÀI LIỆU SỐ [' || i::varchar || '] ---' || chr(10) || '(Nguồn: ' || source || ')' || chr(10) || 'Nội dung:' || chr(10) || content || chr(10), chr(10) || chr(10) order by i) as context
-  from (select tenant_id as qid, trim(content) as content, case when role = 'user' then 'doc_' || employee_id::varchar || '.md' else 'Không xác định' end as source, row_number() over (partition by tenant_id order by seq) as i from fx_conv) group by qid
+  from (select employee_id::varchar as qid, trim(content) as content, case when role = 'user' then 'doc_' || employee_id::varchar || '.md' else 'Không xác định' end as source, row_number() over (partition by employee_id order by seq) as i from fx_conv) group by qid
   union all select 'none', 'Không có thông tin ngữ cảnh.'"""
 _PEOPLE = "select id, concat_ws('; ', 'full_name: ' || full_name, 'gender: ' || gender, 'education_level: ' || education_level, 'work_department_id: ' || work_department_id::varchar) as content, 'mssql_database_result' as source from fx_employee"
 _LINE = "case when role = 'user' then 'user' else 'assistant' end || ': ' || content || chr(10)"
@@ -113,16 +120,18 @@ _ANSWER = """select conv_id, turn, case when turn % 4 = 0 then coalesce(json_ext
 _EMPTY = "nullif(array_to_string(%s, ''), '')"
 
 ORACLES = {
-    "a6_plan_sink": oracle("select deck_id, to_json({'schema_version': '2.0', 'total_slides': count(*), 'slides': list({'slide_no': slide_no, 'slide_id': slide_id, 'kind': kind, 'title': title} order by slide_no)})::varchar as plan from fx_slide group by deck_id", "fx_slide"),
+    "a6_plan_sink": oracle("select deck_id, to_json({'schema_version': '2.0', 'deck_title': 'Deck ' || deck_id::varchar, 'language': 'vi', 'total_slides': count(*), 'slides': list({'slide_no': slide_no, 'slide_id': slide_id, 'kind': kind, 'title': title} order by slide_no)})::varchar as plan from fx_slide group by deck_id", "fx_slide"),
     "h3_message_build": oracle(
-        f"""select qid, [{{'role': 'system', 'content': '{X.INTRO}' || chr(10) || chr(10) || 'NGỮ CẢNH:' || chr(10) || chr(10) || context || chr(10) || chr(10) || '{X.OUTPUT_RULE}'}}, {{'role': 'human', 'content': '? ' || qid}}] as messages
-        from ({_BLOCKS}) where qid <> 'none'""",
+        f"""select c.qid, [{{'role': 'system', 'content': concat_ws(chr(10) || chr(10), '{X.INTRO}', '{X.RULES}', 'LỊCH SỬ TRÒ CHUYỆN:', h.transcript, 'NGỮ CẢNH:', c.context, nullif(coalesce(s.body, ''), ''), '{X.OUTPUT_RULE}')}}, {{'role': 'human', 'content': '? ' || c.qid}}] as messages
+        from ({_BLOCKS}) c join (select employee_id::varchar as qid, string_agg({_LINE}, '' order by seq) as transcript from fx_conv group by all) h on h.qid = c.qid
+        left join (select conv_id::varchar as qid, 'BẮT ĐẦU DỮ LIỆU MSSQL' || chr(10) || string_agg('--- KẾT QUẢ MSSQL SỐ [' || i::varchar || '] ---' || chr(10) || text, chr(10) || chr(10) order by i) || chr(10) || 'KẾT THÚC DỮ LIỆU MSSQL' as body
+          from (select conv_id, text, row_number() over (partition by conv_id order by turn) as i from conversations where role = 'system') group by conv_id) s on s.qid = c.qid where c.qid <> 'none'""",
         CONV,
     ),
     "a1_upload_gate": oracle("select page_id, filename, size_bytes, case when filename = '' then 'no_name' when not lower(filename) like '%.pdf' then 'suffix' when size_bytes > 52428800 then 'too_large' end as reject_reason from fx_file", "fx_file"),
     "a2_parse_role_list": oracle("select page_id, case when len(list_filter(l, lambda x: x is null)) = 0 then l end as roles from (select page_id, list_transform(string_split(roles_csv, ','), lambda x: try_cast(trim(x) as int)) as l from fx_file)", "fx_file"),
     "a3_relational_scan": "select c_custkey, c_name, c_nationkey from customer where c_acctbal > 0",
-    "a4_markdown_sink": oracle("select tenant_id, 'ocr/' || tenant_id || '/' || case when doc_id % 2 = 0 then doc_id::varchar else 'doc_' || doc_id::varchar end || '.md' as path, strlen(content)::int as size from fx_doc", "fx_doc"),
+    "a4_markdown_sink": oracle("select tenant_id, 'ocr/' || tenant_id || '/' || case when doc_id % 2 = 0 then doc_id::varchar else 'doc_' || doc_id::varchar end || '.md' as path, strlen(content)::int as size, md5(content) as md5 from fx_doc", "fx_doc"),
     "a5_page_join": "select conv_id as document_id, string_agg(text, chr(10) || chr(10) order by turn) as text from conversations group by conv_id",
     "a7_text_gate": oracle(
         """select conv_id, turn, case when length(t) < 3 then 'short' end as question_reason, case when t = '' then 'blank' end as content_reason,
@@ -137,14 +146,11 @@ ORACLES = {
     "g6_conversation_key": oracle("select distinct tenant_id, employee_id, tenant_id || ':' || employee_id::varchar as conversation_id, 'chat_history:' || tenant_id || ':' || employee_id::varchar as store_key from fx_conv", CONV),
     "g7_turn_order": oracle("select tenant_id, employee_id, seq, coalesce(array_to_string(list(content) over (partition by tenant_id, employee_id order by seq rows between 3 preceding and 1 preceding), '|'), '') as context from fx_conv", CONV),
     "h1_context_blocks": oracle(_BLOCKS, CONV),
-    "h2_db_context": oracle(
-        f"""select tenant_id, 'BẮT ĐẦU DỮ LIỆU MSSQL' || chr(10) || string_agg('--- KẾT QUẢ MSSQL SỐ [' || i::varchar || '] ---' || chr(10) || content, chr(10) || chr(10) order by i) || chr(10) || 'KẾT THÚC DỮ LIỆU MSSQL' as db_context
-        from (select e.tenant_id, p.content, row_number() over (partition by e.tenant_id order by p.id) as i from ({_PEOPLE}) p join fx_employee e on e.id = p.id) group by tenant_id union all select 'none', ''""",
-        "fx_employee",
-    ),
+    "h2_db_context": """select c_custkey, coalesce('BẮT ĐẦU DỮ LIỆU MSSQL' || chr(10) || string_agg('--- KẾT QUẢ MSSQL SỐ [' || i::varchar || '] ---' || chr(10) || content, chr(10) || chr(10) order by i) || chr(10) || 'KẾT THÚC DỮ LIỆU MSSQL', '') as db_context
+        from customer left join (select o_custkey, 'o_orderstatus: ' || o_orderstatus || '; o_orderpriority: ' || o_orderpriority as content, row_number() over (partition by o_custkey order by o_orderkey) as i from orders) on o_custkey = c_custkey group by c_custkey""",
     "h4_append_sources": oracle(
-        """select tenant_id as qid, row_number() over (partition by tenant_id order by seq)::int as rank, content, case when role = 'user' then 'doc_' || employee_id::varchar || '.md' else '?' end as source from fx_conv
-        union all select (conv_id % 7)::varchar, ((select count(*) from fx_conv f where f.tenant_id = (c.conv_id % 7)::varchar) + conv_id)::int, text, 'mssql_database_result' from conversations c where role = 'system'""",
+        """select employee_id::varchar as qid, row_number() over (partition by employee_id order by seq)::int as rank, content, case when role = 'user' then 'doc_' || employee_id::varchar || '.md' else '?' end as source from fx_conv
+        union all select conv_id::varchar, ((select count(*) from fx_conv f where f.employee_id = c.conv_id) + turn)::int, text, 'mssql_database_result' from conversations c where role = 'system'""",
         CONV,
     ),
     "h5_parse_answer": oracle(_ANSWER, "fx_llm"),

@@ -11,7 +11,7 @@ FIXTURES: dict[str, str] = {
        case when doc_id % 3 = 0 then '1,2,3' when doc_id % 3 = 1 then '2' else '1, 3' end as roles_csv,
        doc_id, text as content, n_chars, lang
 from documents""",
-    "fx_q": r"""select item_id * 4 + t.n as qid, text as question, 'src' || cast(t.n as string) as tenant_id,
+    "fx_q": r"""select item_id * 4 + t.n as qid, text as question, 'src' || cast((item_id * 4 + t.n) % 20 as string) as tenant_id,
        cast(1 + (item_id + t.n) % 3 as int) as role_id, 'u' || cast(item_id as string) as user_id
 from benchmark cross join (select 0 as n union all select 1 union all select 2 union all select 3) t""",
     "fx_md": r"""select doc_id, source as tenant_id, 'doc_' || cast(doc_id as string) || '.md' as src_file,
@@ -44,7 +44,7 @@ from nation n cross join (select distinct c_mktsegment as tenant_id from custome
   c.c_nationkey as work_department_id, c.c_mktsegment as tenant_id
 from orders o join customer c on o.o_custkey = c.c_custkey""",
     "fx_category": r"""select distinct cast(substr(o_orderpriority, 1, 1) as int) as id, substr(o_orderpriority, 3) as name from orders where o_orderpriority not like '5%'""",
-    "fx_conv": r"""select cast(conv_id % 7 as string) as tenant_id, conv_id % 5 as employee_id, conv_id * 100 + turn as seq, role, text as content from conversations""",
+    "fx_conv": r"""select cast(conv_id % 7 as string) as tenant_id, conv_id as employee_id, conv_id * 100 + turn as seq, role, text as content from conversations""",
     "fx_llm": r"""select conv_id, turn,
   case turn % 4
     when 0 then '{"answer": "' || replace(replace(substr(text, 1, 40), '"', ''), chr(10), ' ') || '", "citation": "doc_' || cast(conv_id as string) || '.md"}'

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,9 +59,31 @@ def markdown_paths(docs: DataFrame) -> DataFrame:
     return docs.withColumn("path", F.concat(F.lit("ocr/"), "tenant_id", F.lit("/"), stem, F.lit(".md"))).withColumn("size", F.octet_length(F.coalesce("content", F.lit(""))))
 
 
-def write_markdown(docs: DataFrame, root: str) -> None:
-    """One row for each document under root, in a folder for each tenant."""
-    markdown_paths(docs).repartition("tenant_id").write.mode("overwrite").partitionBy("tenant_id").parquet(root)
+def write_markdown(docs: DataFrame, root: str) -> DataFrame:
+    """tenant_id, path, size of the Markdown files written under root: one for each document, with its content as UTF-8.
+
+    Each task writes the documents it has, so nothing is shuffled; a task that is run again writes the same files
+    again. root is a folder that executors reach, by path or URI. The rows are those of markdown_paths; of documents
+    with one path, any is what stays.
+    """
+    schema = "tenant_id string, path string, size int"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(root)
+        made = set()
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                folder = f"{base}/{path}".rsplit("/", 1)[0]
+                if folder not in made:
+                    files.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with files.open_output_stream(f"{base}/{path}") as out:
+                    out.write((content.as_py() or "").encode())
+            yield batch.select(["tenant_id", "path", "size"])
+
+    written = markdown_paths(docs).select("tenant_id", "path", F.col("size").cast("int"), "content").mapInArrow(run, schema)
+    written.write.format("noop").mode("overwrite").save()
+    return markdown_paths(docs).select("tenant_id", "path", F.col("size").cast("int"))
 
 
 def assemble_pages(pages: DataFrame) -> DataFrame:
@@ -67,8 +93,11 @@ def assemble_pages(pages: DataFrame) -> DataFrame:
 
 
 def plan_documents(slides: DataFrame) -> DataFrame:
-    """deck_id, plan: each deck's slides as one JSON text, with nulls written out."""
-    fields = [c for c in slides.columns if c != "deck_id"]
+    """deck_id, plan: each deck's slides as one JSON text, with nulls written out.
+
+    deck_title and language, columns of slides that are the same over a deck, stand once at the top.
+    """
+    fields = [c for c in slides.columns if c not in ("deck_id", "deck_title", "language")]
     ordered = F.array_sort(F.collect_list(F.struct(*fields)))
-    plan = F.struct(F.lit("2.0").alias("schema_version"), F.size(ordered).alias("total_slides"), ordered.alias("slides"))
+    plan = F.struct(F.lit("2.0").alias("schema_version"), F.first("deck_title").alias("deck_title"), F.first("language").alias("language"), F.size(ordered).alias("total_slides"), ordered.alias("slides"))
     return slides.groupBy("deck_id").agg(F.to_json(plan, {"ignoreNullFields": "false"}).alias("plan"))
