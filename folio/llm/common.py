@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df, written to a table in the shared folder and read back.
+
+    Unlike a checkpoint, it does not carry the size estimates of the plan behind it. In a loop with joins these multiply,
+    each round by those of the one before, and soon are numbers of millions of digits.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Ids that are sent to all tasks at once (16 MB or so); more are joined by a shuffle.
 SENT_IDS = 500_000
 

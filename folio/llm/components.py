@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import cut
+from folio.llm.common import cut, written
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -24,15 +24,15 @@ def _stars(edges: DataFrame) -> DataFrame:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node that has a link (a, b); root is the least node of its component. Nodes are longs.
 
-    Each round is cut, so a lost executor costs at most that round.
+    Each round is written, so a lost executor costs at most that round.
     """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
+    edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     mark = F.struct(F.count(F.lit(1)), F.expr("coalesce(bit_xor(xxhash64(hi, lo)), 0L)"))
     seen = edges.agg(mark).first()[0]
     for _ in range(rounds):
         if not seen[0]:
             break
-        edges = cut(_stars(edges))
+        edges = written(_stars(edges))
         now = edges.agg(mark).first()[0]
         if now == seen:
             break
