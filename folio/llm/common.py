@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +73,21 @@ def id_bucket(doc_id: Column | str, modulus: int) -> Column:
 def whole(text: Column | str) -> Column:
     column = F.col(text) if isinstance(text, str) else text
     return F.coalesce(column, F.lit(""))
+
+
+def keep_rows(docs: DataFrame, start: Callable[[], Callable[[list[str]], list[bool]]], size: int = 256) -> DataFrame:
+    """The rows of docs whose texts a function says to keep; start() gives it, once in each task.
+
+    It takes the texts of `size` rows at a time, null ones as ''. Each row is decided where it is read, so nothing is
+    shuffled, and all columns are kept, whatever their names.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = start()
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                yield part.filter(pa.array(keep([x or "" for x in part.column("doc").field("text").to_pylist()]), pa.bool_()))
+
+    return rows.mapInArrow(run, rows.schema).select("doc.*")

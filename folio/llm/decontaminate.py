@@ -24,9 +24,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from folio.llm.common import read, whole
+from folio.llm.common import keep_rows, read, whole
 
 #: Each chooses 6 of 9 to 12 places. Of 13 tokens with two substitutions, some mask has a hit.
 MASKS = ("110110011", "1101001011", "10110100101", "111000100101")
@@ -243,16 +242,16 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TO
 
 
 def _keep(sent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         index, memory = sent.value, tokens()
-        for batch in batches:
-            kept = np.ones(batch.num_rows, bool)
-            for at in range(0, batch.num_rows, 256):
-                part = batch.column("_text").slice(at, 256)
-                kept[[at + d for d, *_ in index.overlaps([memory.of(t.as_py()) for t in part])]] = False
-            yield batch.select(["doc"]).filter(pa.array(kept))
 
-    return run
+        def keep(texts: list[str]) -> list[bool]:
+            found = {d for d, *_ in index.overlaps([memory.of(t) for t in texts])}
+            return [d not in found for d in range(len(texts))]
+
+        return keep
+
+    return start
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -262,10 +261,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_tokens: int = BLOCK_TOKEN
     Rows with null or empty texts stay. All columns are kept, whatever their names.
     """
     for sent in _indexes(docs, benchmark, block_tokens):
-        names = [F.col(f"`{c}`") for c in docs.columns]
-        rows = docs.select(F.struct(*names).alias("doc"), whole("text").alias("_text"))
-        schema = StructType([rows.schema["doc"]])
-        docs = rows.mapInArrow(_keep(sent), schema).select("doc.*")
+        docs = keep_rows(docs, _keep(sent))
     return docs
 
 

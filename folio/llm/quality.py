@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import read, whole
+from folio.llm.common import keep_rows, read, whole
 from folio.llm.simhash import word_blocks
 
 GOOD, BAD, NONE = "g", "b", "-"
@@ -232,8 +232,13 @@ def keep_good(docs: DataFrame, model: Model | None = None) -> DataFrame:
     Null and empty texts are judged as texts without words, equal texts alike, with or without an id. All columns are
     kept, whatever their names. A text is held whole by its task, with all its distinct words and lines.
     """
-    scored = score(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), "text"), model or fit(docs), ("doc",))
-    return scored.where("kept").select("doc.*")
+    sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+
+    def start():
+        model = sent.value
+        return lambda texts: [model.score(data, statistics(data)) >= KEEP for data in map(str.encode, texts)]
+
+    return keep_rows(docs, start)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
