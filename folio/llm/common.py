@@ -33,6 +33,21 @@ def shared_folder(spark: SparkSession) -> str:
     return held.get()
 
 
+_HELD: dict[object, object] = {}
+
+
+def held(key: object, make: Callable[[], object] = object) -> object:
+    """What a Python process keeps from task to task, made at first use.
+
+    A process serves the tasks of one operator after another; it keeps things for one at a time and first lets go of
+    those of any other.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder."""
     shared_folder(df.sparkSession)

@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import keep_rows, read, whole
+from folio.llm.common import held, keep_rows, read, whole
 
 #: Each chooses 6 of 9 to 12 places. Of 13 tokens with two substitutions, some mask has a hit.
 MASKS = ("110110011", "1101001011", "10110100101", "111000100101")
@@ -60,9 +60,8 @@ class Tokens(dict):
         return hashes[hashes != 0]
 
 
-@lru_cache(maxsize=1)
 def tokens() -> Tokens:
-    return Tokens()
+    return held("tokens", Tokens)
 
 
 def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:

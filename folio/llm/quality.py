@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import keep_rows, read, whole
+from folio.llm.common import held, keep_rows, read, whole
 from folio.llm.simhash import word_blocks
 
 GOOD, BAD, NONE = "g", "b", "-"
@@ -162,6 +162,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]], epochs: int = 30, ra
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held("quality")
     for batch in batches:
         yield pa.RecordBatch.from_arrays([pa.array([votes(statistics(t.as_py())) for t in batch.column("text")], pa.string())], ["votes"])
 
@@ -235,6 +236,7 @@ def keep_good(docs: DataFrame, model: Model | None = None) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
 
     def start():
+        held("quality")
         model = sent.value
         return lambda texts: [model.score(data, statistics(data)) >= KEEP for data in map(str.encode, texts)]
 

@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import cut, read, whole
+from folio.llm.common import cut, held, read, whole
 
 MARK = "▁"
 #: Characters of a chunk, and chunks of a block.
@@ -357,9 +357,8 @@ def breaks(text: str, first: int, last: int) -> tuple[int, int] | None:
     return low, at
 
 
-@lru_cache(maxsize=2)
 def load(path: str) -> Pieces:
-    return Pieces(path)
+    return held(("pieces", path), lambda: Pieces(path))
 
 
 def marked(text: str) -> str:
