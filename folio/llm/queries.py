@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontaminate, language_id, licenses, perplexity, pii, ppm, quality, sentencepiece_scan, sharding, simhash
+from folio.llm import decontaminate, language_id, licenses, merkle, perplexity, pii, ppm, quality, sentencepiece_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_scan.op1_sentencepiece,
@@ -19,14 +19,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_perplexity": perplexity.op10_perplexity,
     "op7_language_id": language_id.op7_language_id,
     "op9_licenses": licenses.op9_licenses,
+    "op11_merkle": merkle.op11_merkle,
 }
 
 #: CRC-32 in SQL: its table from its polynomial, then a step for each byte.
-_CRC = """with t as (select list(c order by i) as t from (select i, list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) as c from range(256) r(i))),
+_CRC_TABLE = "with t as (select list(c order by i) as t from (select i, list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i) as c from range(256) r(i)))"
+_CRC = _CRC_TABLE + """,
   d as (select doc_id, octet_length(encode(coalesce(text, ''))) + 8 as size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda y: ('0x' || y)::bigint) as bytes from documents),
   z as (select doc_id, size::bigint as size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t.t[xor(c & 255, x) + 1]), 4294967295), 4294967295)::bigint as text_crc32 from d, t)"""
 
+
+
+def _climb(name: str, levels: int, fan: int = 8) -> str:
+    """Views {name}1 to {name}{levels} over {name}0 (g, i, n, d): each level's digests with their siblings to the left and right."""
+    views = []
+    for k in range(levels + 1):
+        if k:
+            views.append(f"{name}{k} as (select g, i // {fan} as i, (any_value(n) + {fan - 1}) // {fan} as n, case when any_value(n) = 1 then any_value(d) else sha256(string_agg(d, '' order by i)) end as d from {name}{k - 1} group by g, i // {fan})")
+        side = f"coalesce(string_agg(d, '') over (partition by g, i // {fan} order by i rows between %s), '')"
+        views.append(f"{name}s{k} as (select g, i, n > 1 as more, {side % 'unbounded preceding and 1 preceding'} as l, {side % '1 following and unbounded following'} as r from {name}{k})")
+    return ", ".join(views)
+
+
+def _merkle(levels: int = 6, top: int = 3, fan: int = 8) -> str:
+    """Leaves, proofs and folds level by level, for up to fan ** levels rows of a language and fan ** top languages."""
+    leaf = lambda text: "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}::varchar)) || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = "xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(doc_id::varchar, ''))), '..'), lambda y: ('0x' || y)::bigint), lambda c, x: xor(c >> 8, t.t[xor(c & 255, x) + 1]), 4294967295), 4294967295)"
+    steps, last = [], "v"
+    for k in range(levels):
+        steps.append(f"v{k} as (select {last}.* replace (case when more then sha256(l || x || r) else x end as x, proof || l || r as proof) from {last} join as{k} s on s.g = {last}.g and s.i = {last}.i // {fan**k})")
+        last = f"v{k}"
+    steps.append(f"w as (select {last}.*, b0.i as top from {last} join b0 on b0.of = {last}.g)")
+    last = "w"
+    for k in range(top):
+        steps.append(f"w{k} as (select {last}.* replace (case when more then sha256(l || x || r) else x end as x, proof || l || r as proof) from {last} join bs{k} s on s.i = {last}.top // {fan**k})")
+        last = f"w{k}"
+    return f"""{_CRC_TABLE}, leaves as (select doc_id, coalesce('1' || lang, '0') as g, {leaf('text')} as leaf, case when {crc} % 3 = 0 then {leaf(lower)} else {leaf('text')} end as x from documents, t),
+  v as (select *, '' as proof, row_number() over (partition by g order by doc_id nulls first, leaf, x) - 1 as i from leaves),
+  a0 as (select g, i, count(*) over (partition by g) as n, leaf as d from v), {_climb("a", levels)},
+  b0 as (select '' as g, row_number() over (order by g) - 1 as i, count(*) over () as n, d, g as of from a{levels}), {_climb("b", top)}, {", ".join(steps)}
+  select doc_id, leaf, b0.d as subroot, b{top}.d as root, sha256(proof) as proof_sha256, x as folded_root, x = b{top}.d as verified from {last} join b0 on b0.of = {last}.g, b{top}"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_merkle": _merkle(),
     "op5_sharding": f"""{_CRC}, p as (select *, sum(size) over (order by doc_id) - size as first_byte, sum(size) over () as total from z)
         select doc_id, size, text_crc32, 'bytes' as law, (first_byte * 24 // total)::int as shard, row_number() over (partition by first_byte * 24 // total order by doc_id) - 1 as slot, null::int as grown_shard, first_byte::bigint as first_byte from p""",
 }
