@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontaminate, language_id, licenses, merkle, perplexity, pii, ppm, quality, sentencepiece_scan, sharding, simhash
+from folio.llm import collocations, decontaminate, language_id, licenses, merkle, perplexity, pii, ppm, quality, sentencepiece_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_scan.op1_sentencepiece,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": language_id.op7_language_id,
     "op9_licenses": licenses.op9_licenses,
     "op11_merkle": merkle.op11_merkle,
+    "op12_collocations": collocations.op12_collocations,
 }
 
 #: CRC-32 in SQL: its table from its polynomial, then a step for each byte.
@@ -62,7 +63,24 @@ def _merkle(levels: int = 6, top: int = 3, fan: int = 8) -> str:
   select doc_id, leaf, b0.d as subroot, b{top}.d as root, sha256(proof) as proof_sha256, x as folded_root, x = b{top}.d as verified from {last} join b0 on b0.of = {last}.g, b{top}"""
 
 
+def _collocations(words: int = 5, least: int = 100, top: int = 2000) -> str:
+    """Every n-gram of every piece, counted as text."""
+    return rf"""with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+  w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from p), t as (select lang, sum(len(ws))::bigint as n from w group by lang),
+  g as (select lang, k, array_to_string(ws[i:i + k - 1], ' ') as phrase from (select lang, ws, k, unnest(range(1, len(ws) - k + 2)) as i from w, range(1, {words + 1}) s(k))),
+  f as (select lang, k::int as k, phrase, count(*) as f from g group by lang, k, phrase having count(*) >= {least}),
+  c as (select lang, phrase, f, k, string_split(phrase, ' ') as ws from f where k > 1),
+  u as (select lang, phrase, f, j, array_to_string(ws[1:j], ' ') as x, array_to_string(ws[j + 1:], ' ') as y from (select *, unnest(range(1, k)) as j from c)),
+  s as (select u.lang, u.phrase, u.f as a, j, l.f as l, r.f as r, n, (1000::hugeint * u.f * n) // (l.f::hugeint * r.f) as score from u join f l on l.lang = u.lang and l.phrase = x join f r on r.lang = u.lang and r.phrase = y join t on t.lang = u.lang),
+  b as (select * from s qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+  i as (select lang, array_to_string(ws[b:b + m - 1], ' ') as phrase, max(f) as around from (select *, unnest(range(1, k - m + 2)) as b from (select *, unnest(range(2, k)) as m from c)) group by 1, 2),
+  o as (select b.* from b left join i on i.lang = b.lang and i.phrase = b.phrase where around is null or around < a),
+  d as (select lang, phrase, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, a, l, r, n, score::bigint as score from o qualify rank <= {top})
+  select lang, rank, phrase, a, l, r, n, score from d"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_collocations": _collocations(),
     "op11_merkle": _merkle(),
     "op5_sharding": f"""{_CRC}, p as (select *, sum(size) over (order by doc_id) - size as first_byte, sum(size) over () as total from z)
         select doc_id, size, text_crc32, 'bytes' as law, (first_byte * 24 // total)::int as shard, row_number() over (partition by first_byte * 24 // total order by doc_id) - 1 as slot, null::int as grown_shard, first_byte::bigint as first_byte from p""",
