@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import collocations, decontaminate, language_id, licenses, merkle, perplexity, pii, ppm, quality, sentencepiece_scan, sharding, simhash
+from folio.llm import collocations, decontaminate, language_id, licenses, merkle, perplexity, pii, ppm, quality, repeats, sentencepiece_scan, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": sentencepiece_scan.op1_sentencepiece,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_licenses": licenses.op9_licenses,
     "op11_merkle": merkle.op11_merkle,
     "op12_collocations": collocations.op12_collocations,
+    "op13_repeats": repeats.op13_repeats,
 }
 
 #: CRC-32 in SQL: its table from its polynomial, then a step for each byte.
@@ -79,7 +80,21 @@ def _collocations(words: int = 5, least: int = 100, top: int = 2000) -> str:
   select lang, rank, phrase, a, l, r, n, score from d"""
 
 
+def _repeats(least: int = 50) -> str:
+    """Every string of `least` bytes as hex text with its smallest document, then the stretches that such strings cover."""
+    return f"""with d as (select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+  p as (select r, doc_id, h, unnest(range(0, length(h) // 2 - {least} + 1)) as i from d), w as (select r, doc_id, i, substring(h, 2 * i + 1, {2 * least}) as s from p),
+  m as (select s, min(doc_id) as least from w group by s having count(distinct doc_id) > 1),
+  c as (select r, i from w join m using (s) where w.doc_id > m.least),
+  o as (select r, i, sum(case when before is null or i > before + {least} then 1 else 0 end) over (partition by r order by i) as g from (select r, i, lag(i) over (partition by r order by i) as before from c)),
+  g as (select r, g, min(i) as b, max(i) + {least} as e from o group by r, g),
+  k as (select r, lag(e, 1, 0) over (partition by r order by b) as f, b, e, row_number() over (partition by r order by b desc) as last from g),
+  j as (select d.r, string_agg(substring(h, 2 * f + 1, 2 * (b - f)), '' order by b) || substring(any_value(h), 2 * max(e) + 1) as kept, sum(e - b) as removed, count(*) as spans from d join k on k.r = d.r group by d.r)
+  select doc_id, (length(h) // 2)::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256 from d left join j on j.r = d.r"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_repeats": _repeats(),
     "op12_collocations": _collocations(),
     "op11_merkle": _merkle(),
     "op5_sharding": f"""{_CRC}, p as (select *, sum(size) over (order by doc_id) - size as first_byte, sum(size) over () as total from z)
