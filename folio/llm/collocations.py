@@ -329,4 +329,4 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     where pieces end; one piece is held whole. Ties in score go to the more frequent phrase, then to the first by bytes. An
     empty table, or one without a phrase that occurs 100 times, gives no rows. Other columns are not read.
     """
-    return collocations(read(spark, sf_dir, "documents"))
+    return collocations(read(spark, sf_dir, "documents")).drop("first_doc_id", "first_word")
