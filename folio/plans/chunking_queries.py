@@ -122,8 +122,11 @@ def _semantic(source: str) -> str:
 _ALL = "select doc_id as d, text from documents"
 ORACLES["b3_split_structural"] = f"with recursive {_structural(_ALL)} select d as doc_id, piece, content from pk"
 ORACLES["b6_split_semantic"] = f"with recursive {_semantic(_ALL)} select d as doc_id, part, content from sp"
-ORACLES["b11_chunk_documents"] = oracle(
-    rf"""with sec as ({_headers(f"select doc_id, {_ISOLATED} as md from fx_md")}),
+
+
+def chunks_sql(source: str) -> str:
+    """Whole chunks of the documents of a view (doc_id, tenant_id, src_file, md)."""
+    return rf"""with sec as ({_headers(f"select doc_id, {_ISOLATED} as md from {source}")}),
       keyed as (select *, doc_id * 100000 + section as d, content as text from sec), {_structural("select d, text from keyed")},
       num as (select k.doc_id, row_number() over (partition by k.doc_id order by k.section, p.piece) - 1 as idx, k.h1, k.h2, p.content from pk p join keyed k on k.d = p.d),
       {_merged("select * from num", "doc_id")},
@@ -134,8 +137,9 @@ ORACLES["b11_chunk_documents"] = oracle(
       fin as (select doc_id, idx, 0 as part, 0 as run, h1, h2, content, case when tok > 200 then 'markdown_adaptive' else 'merged_small' end as method from mk where tok <= 1200
         union all select doc_id, idx, part, 0, h1, h2, content, 'hybrid_semantic' from sx where tok <= 1500
         union all select doc_id, idx, part, run, h1, h2, content, 'hard_cap_fallback' from hc),
-      nm as (select f.*, m.tenant_id, m.src_file, row_number() over (partition by f.doc_id order by idx, part, run) - 1 as chunk_idx, concat_ws(' > ', h1, h2) as p from fin f join fx_md m using (doc_id))
+      nm as (select f.*, m.tenant_id, m.src_file, row_number() over (partition by f.doc_id order by idx, part, run) - 1 as chunk_idx, concat_ws(' > ', h1, h2) as p from fin f join {source} m using (doc_id))
       select tenant_id, src_file, chunk_idx::int as chunk_idx, regexp_replace(md5(tenant_id || '_' || src_file || '_' || chunk_idx::varchar), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5') as chunk_id,
-        case when p <> '' and not contains(substr(content, 1, 300), p) then '**Bối cảnh: ' || p || '**' || chr(10) || chr(10) || content else content end as content, method, greatest(1, (length(content) + 2) // 3)::int as token_count, coalesce(h1, '') as h1, coalesce(h2, '') as h2, '' as h3 from nm""",
-    MD,
-)
+        case when p <> '' and not contains(substr(content, 1, 300), p) then '**Bối cảnh: ' || p || '**' || chr(10) || chr(10) || content else content end as content, method, greatest(1, (length(content) + 2) // 3)::int as token_count, coalesce(h1, '') as h1, coalesce(h2, '') as h2, '' as h3 from nm"""
+
+
+ORACLES["b11_chunk_documents"] = oracle(chunks_sql("fx_md"), MD)

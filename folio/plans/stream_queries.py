@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folio.operators.history import KEPT
-from folio.sources.fixtures import oracle, table
+from folio.plans.chunking_queries import chunks_sql
+from folio.sources.fixtures import fixture, oracle, table
 from folio.sources.shared import new_folder
+from folio.streaming import ingest as L1
 from folio.streaming import streams as L
 
 
@@ -20,31 +22,61 @@ def _stream(s, d, name):
 
 
 def _ingest(s, d):
+    """The uploads in the order of their numbers, in four files and so four micro-batches."""
     to = _folder(s)
-    docs = _stream(s, d, "documents").select(F.col("source").alias("tenant_id"), F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".md")).alias("src_file"), F.col("text").alias("content"))
-    L.ingest_stream(docs, f"{to}/index", f"{to}/log").awaitTermination()
-    return L.ingested(s, f"{to}/index").select("tenant_id", "src_file", "chunk_id", "token_count")
+    fixture(s, d, "fx_upload").drop("doc_id").repartitionByRange(4, "seq").write.parquet(f"{to}/in")
+    rows = s.read.parquet(f"{to}/in")
+    L1.ingest_stream(s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{to}/in"), f"{to}/index", f"{to}/log").awaitTermination()
+    return L1.ingested(s, f"{to}/index").withColumn("accessed_role", F.array_join("accessed_role", ","))
 
 
-def _history(s, d):
-    to = _folder(s)
-    conv = _stream(s, d, "conversations")
-    messages = conv.select((F.col("conv_id") % 7).cast("string").alias("tenant_id"), F.col("conv_id").alias("employee_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), "role", F.col("text").alias("content"))
+def _with_state(s, run):
     before = s.conf.get("spark.sql.streaming.stateStore.providerClass")
     s.conf.set("spark.sql.streaming.stateStore.providerClass", L.STATE_STORE)
     try:
-        L.history_stream(messages, f"{to}/history", f"{to}/log").awaitTermination()
+        run()
     finally:
         s.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def _history(s, d):
+    to = _folder(s)
+    conv = _stream(s, d, "conversations")
+    messages = conv.select((F.col("conv_id") % 7).cast("string").alias("tenant_id"), F.col("conv_id").alias("employee_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("seq"), "role", F.col("text").alias("content"))
+    _with_state(s, lambda: L.history_stream(messages, f"{to}/history", f"{to}/log").awaitTermination())
+    return L.history(s, f"{to}/history")
+
+
+#: A day idle, and rows up to an hour late.
+TTL, LATE = 86_400, 3600
+
+
+def _expiry(s, d):
+    """Events as messages of their users, in four micro-batches by time: files are taken in the order in which they were written."""
+    to = _folder(s)
+    events = table(s, d, "events").select(F.lit("t").alias("tenant_id"), F.col("user_id").alias("employee_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("role"), F.col("event_type").alias("content"), "ts")
+    first, last = table(s, d, "events").agg(F.min("ts"), F.max("ts")).first()
+    for k in range(4 if first else 0):
+        begin, end = (first + (last - first) / 4 * (k + x) for x in (0, 1))
+        part = events.where((F.col("ts") >= begin if k else F.lit(True)) & (F.col("ts") < end if k < 3 else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(f"{to}/in")
+    rows = s.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{to}/in")
+    _with_state(s, lambda: L.history_stream(rows, f"{to}/history", f"{to}/log", ttl=TTL, delay=f"{LATE} seconds").awaitTermination())
     return L.history(s, f"{to}/history")
 
 
-QUERIES = {"l1_ingest_stream": _ingest, "l2_history_stream": _history}
+QUERIES = {"l1_ingest_stream": _ingest, "l2_history_stream": _history, "l2_history_expiry": _expiry}
+
+_ACCEPTED = """acc as (select doc_id, tenant_id, src_file, case when deleted then null else md end as md, replace(roles_csv, ' ', '') as roles, deleted from fx_upload
+  where deleted or src_file like '%.md' and octet_length(encode(md)) between 1 and 5242880 and roles_csv not like '%x%'),
+  up as (select * from acc qualify row_number() over (partition by tenant_id, src_file order by doc_id desc) = 1),
+  live as (select doc_id, tenant_id, src_file, md, roles from up where not deleted)"""
 
 ORACLES = {
-    "l1_ingest_stream": oracle(
-        "select tenant_id, src_file, regexp_replace(md5(tenant_id || '_' || src_file || '_0'), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') as chunk_id, greatest(1, (length(content) + 2) // 3)::int as token_count from fx_doc where content <> ''",
-        "fx_doc",
-    ),
+    "l1_ingest_stream": oracle(f"with {_ACCEPTED}, ch as ({chunks_sql('live')}) select ch.*, roles as accessed_role from ch join live using (tenant_id, src_file)", "fx_upload"),
+    "l2_history_expiry": f"""with g as (select *, coalesce(epoch_ms(ts) - lag(epoch_ms(ts)) over w >= {TTL * 1000}, false)::int as gap, max(epoch_ms(ts)) over (partition by user_id) as last from events window w as (partition by user_id order by epoch_ms(ts), event_id)),
+      s as (select *, sum(gap) over (partition by user_id order by epoch_ms(ts), event_id) as session from g)
+      select 't' as tenant_id, user_id as employee_id, event_id as seq, event_type as role, event_type as content from s where last + {TTL * 1000} > (select max(epoch_ms(ts)) from events) - {LATE * 1000}
+      qualify session = max(session) over (partition by user_id) and row_number() over (partition by user_id order by epoch_ms(ts) desc, event_id desc) <= {KEPT}""",
     "l2_history_stream": oracle(f"select * from fx_conv qualify row_number() over (partition by tenant_id, employee_id order by seq desc) <= {KEPT}", "fx_conv"),
 }

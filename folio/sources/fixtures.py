@@ -88,6 +88,12 @@ from pages""",
     "fx_message": r"""select conv_id, turn, role, case when turn % 5 = 4 then ' ' else text end as content, case when turn % 3 = 0 then 1.5 when turn % 3 = 1 then 0.5 end as relevance from conversations""",
 }
 
+#: Each document is one of four uploads of a file; some are refused, some delete it.
+FIXTURES["fx_upload"] = f"""select doc_id, doc_id as seq, 'src' || cast(cast(floor(doc_id / 4) as int) % 20 as string) as tenant_id,
+  'doc_' || cast(cast(floor(doc_id / 4) as int) as string) || case when doc_id % 13 = 5 then '.exe' else '.md' end as src_file,
+  case when doc_id % 17 = 3 then '1,x' when doc_id % 3 = 0 then '1,2,3' when doc_id % 3 = 1 then '2' else '1, 3' end as roles_csv,
+  case when doc_id % 19 = 1 then '' else md end as md, doc_id % 9 = 8 as deleted from ({FIXTURES["fx_md"]}) m"""
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

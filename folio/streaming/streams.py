@@ -1,63 +1,68 @@
-"""Continuous ingestion and continuous history, each equal to its batch form once all input is there."""
+"""Continuous history, equal to its batch form once all input is there. Ingestion is in ingest.py."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from folio.operators.history import KEPT, KEY
-from folio.operators.index import as_chunks
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+MESSAGES = "tenant_id string, employee_id long, seq long, role string, content string"
 
 
-def ingest_stream(docs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Accepted documents (tenant_id, src_file, content) of a stream as chunks under path, in a folder for each batch.
+class Newest(StatefulProcessor):
+    """Keeps the newest messages of a key in state and gives them all whenever some are new.
 
-    A batch that is run again writes its folder again, and ids depend on names alone, so nothing doubles. The trigger
-    takes what is there and stops.
+    With ttl (seconds) it needs the messages' event time in `ts`: a key that stands idle for so long is emptied by a timer
+    and gives one row without seq, and a message that comes after such a gap starts afresh.
     """
 
-    def write(batch: DataFrame, number: int) -> None:
-        accepted = batch.where("src_file is not null and src_file <> '' and content <> ''")
-        as_chunks(accepted).withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def ingested(spark: SparkSession, path: str) -> DataFrame:
-    """The index that the batches make: of each chunk, the last version."""
-    last = Window.partitionBy("chunk_id").orderBy(F.desc("version"))
-    return spark.read.parquet(path).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "batch")
-
-
-class Newest(StatefulProcessor):
-    """Keeps the newest messages of a key in state and gives them all whenever some are new."""
-
-    def __init__(self, kept: int) -> None:
-        self.kept = kept
+    def __init__(self, kept: int, ttl: int | None = None) -> None:
+        self.kept, self.ttl = kept, ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getListState("messages", "seq long, role string, content string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = pd.concat([pd.DataFrame(list(self.state.get()), columns=["seq", "role", "content"]), *(r[["seq", "role", "content"]] for r in rows)])
-        held = held.drop_duplicates("seq").sort_values("seq").tail(self.kept)  # rows of a batch come in any order
-        self.state.put([tuple(r) for r in held.astype(object).itertuples(index=False)])
+        self.handle = handle
+        self.state = handle.getListState("messages", "seq long, role string, content string, at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        columns = ["seq", "role", "content", "at"]
+        held = pd.concat([pd.DataFrame(list(self.state.get()), columns=columns), *(r[columns] for r in rows)]).drop_duplicates("seq")
+        if self.ttl:
+            held = held.sort_values(["at", "seq"])
+            gap = held["at"].diff() >= self.ttl * 1000
+            held = held[gap.cumsum() == gap.sum()]
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(int(held["at"].max()) + self.ttl * 1000)
+        held = held.sort_values(["at", "seq"]).tail(self.kept)  # rows of a batch come in any order
+        self.state.put([(int(s), r, c, int(t)) for s, r, c, t in held.astype(object).itertuples(index=False)])
         yield pd.DataFrame({"tenant_id": key[0], "employee_id": key[1], "seq": held.seq.astype("int64"), "role": held.role, "content": held.content})
 
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        empty = pd.DataFrame({"tenant_id": [key[0]], "employee_id": [key[1]]})
+        yield empty.assign(seq=pd.Series([None], dtype="Int64"), role=None, content=None)
+
     def close(self) -> None:
         pass
 
 
-def history_stream(messages: DataFrame, path: str, checkpoint: str, kept: int = KEPT) -> StreamingQuery:
-    """The newest `kept` messages of each key, written whenever a key has new ones. Needs STATE_STORE as provider."""
-    newest = messages.groupBy(*KEY).transformWithStateInPandas(Newest(kept), "tenant_id string, employee_id long, seq long, role string, content string", "Update", "None")
+def history_stream(messages: DataFrame, path: str, checkpoint: str, kept: int = KEPT, ttl: int | None = None, delay: str = "0 seconds") -> StreamingQuery:
+    """The newest `kept` messages of each key, written whenever a key changes. Needs STATE_STORE as provider.
+
+    With ttl, messages have ts. Time is the watermark: the latest ts of the batches before, less `delay`. A key whose last message is ttl
+    seconds before it is empty; a message later than that by its own ts is left out, as Spark does with late rows. Order is by ts, then seq. Without
+    ttl, order is by seq and nothing expires. The state is in the checkpoint, so a stream that starts again goes on.
+    """
+    at = F.unix_millis(F.col("ts").cast("timestamp")) if ttl else F.lit(0).cast("long")
+    rows = (messages.withWatermark("ts", delay) if ttl else messages).withColumn("at", at)
+    newest = rows.groupBy(*KEY).transformWithStateInPandas(Newest(kept, ttl), MESSAGES, "Update", "EventTime" if ttl else "None")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{path}/batch={number}")
@@ -66,6 +71,7 @@ def history_stream(messages: DataFrame, path: str, checkpoint: str, kept: int =
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
-    """Each key's messages as of its last batch."""
+    """Each key's messages as of its last batch; expired keys have none."""
     rows = spark.read.parquet(path).drop("batch")
-    return rows.join(rows.groupBy(*KEY).agg(F.max("version").alias("version")), [*KEY, "version"]).drop("version")
+    last = rows.join(rows.groupBy(*KEY).agg(F.max("version").alias("version")), [*KEY, "version"])
+    return last.where("seq is not null").drop("version")
