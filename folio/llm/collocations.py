@@ -2,14 +2,15 @@
 
 Texts are lower-cased (A-Z) and read in runs, with one space between words. Prefix sums of a polynomial in the run's bytes give the
 Rabin-Karp fingerprint of every run of words as one difference, so all n-grams of a run are hashed by a few passes
-of numpy. Tasks count fingerprints, the shuffle adds the counts up, and only fingerprints that are frequent go on: what
+of numpy. Tasks count fingerprints, and the shuffle adds the counts up, with a pointer to the first row that has one and the extremes
+of a second, independent hash of its words. Only frequent fingerprints go on: what
 holds one rare part is rare itself, so words and pairs come first, then triples of frequent pairs, then longer phrases of
 frequent triples. Which fingerprints are frequent is told to all tasks as a bitmap of a fixed size; it may say yes to too
 many, never to too few.
 
-Then each task groups the occurrences of frequent fingerprints, compares every one word for word with the one that the
-group points to (another text under the same fingerprint gets a group of its own) and writes out that one's text. Counts of
-phrases are sums by (language, fingerprint, text), so collisions never count together.
+Phrases are then read from the rows that the pointers name, one text for each frequent fingerprint. Where the second hashes
+differ, several texts share a fingerprint: all occurrences of those are compared word for word and counted by text,
+so collisions never count together (64 and 32 bits; that both agree for different texts is left out of account).
 """
 
 from __future__ import annotations
@@ -26,15 +27,15 @@ from pyspark.sql import functions as F
 from folio.llm.common import read, written
 
 WORDS, LEAST, TOP = 5, 100, 2000
-#: Bytes of text that are hashed together, fingerprints and phrases that a task holds before it passes them on.
-RUN, HELD, HELD_PHRASES = 1 << 21, 1 << 21, 300_000
+#: Bytes of text that are hashed together, fingerprints and languages that a task holds before it passes them on.
+RUN, HELD, HELD_LANGS = 1 << 21, 1 << 21, 300_000
 #: The bitmap has 2 ** BITS bits (32 MB) at any size of the corpus, in rows of CELL bits.
 BITS, CELL = 28, 1 << 15
 #: Languages whose totals are sent to all tasks; more are joined by a shuffle.
 SENT_LANGS = 100_000
 NO_ID = np.iinfo(np.int64).max
 
-BASE = 0x9E3779B97F4A7C15
+BASE, CHECK = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
 _KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
@@ -42,17 +43,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _STOP = re.compile(rb"[.,;:!?\x0A-\x0D]")
 _SPACED = bytes(32 if k else c for c, k in enumerate(_KIND.tolist()))
-_POWERS: dict[str, np.ndarray] = {}
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** k and its inverse for k < n, modulo 2 ** 64."""
-    if len(_POWERS.get("up", ())) < n:
-        for name, by in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            row = np.full(n, by, np.uint64)
+def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """base ** k and its inverse for k < n, modulo 2 ** 64."""
+    if len(_POWERS.get((base, 1), ())) < n:
+        for sign in (1, -1):
+            row = np.full(n, pow(base, sign, 1 << 64), np.uint64)
             row[:1] = 1
-            _POWERS[name] = np.multiply.accumulate(row)
-    return _POWERS["up"], _POWERS["down"]
+            _POWERS[base, sign] = np.multiply.accumulate(row)
+    return _POWERS[base, 1], _POWERS[base, -1]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -89,10 +90,15 @@ class Run:
         self.word = np.arange(len(at)) - start[of] + np.array(first, np.int64)[of]
         seeds = np.array([int.from_bytes(hashlib.blake2b(x.encode(), digest_size=8).digest(), "big") for x in self.langs], np.uint64)
         self.seed = seeds[self.lang]
-        up, self.down = _powers(len(self.text) + 1)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.text.astype(np.uint64) + np.uint64(1)) * up[: len(self.text)])])
+        self.sums, self.down = self._prefixes(BASE)
+        sums, down = self._prefixes(CHECK)
+        self.marks = _mixed((sums[self.ends] - sums[self.begins]) * down[self.begins])
         self.width = np.uint64(64 - width)
 
+    def _prefixes(self, base: int) -> tuple[np.ndarray, np.ndarray]:
+        up, down = _powers(base, len(self.text) + 1)
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.text.astype(np.uint64) + np.uint64(1)) * up[: len(self.text)])]), down
+
     def prints(self, n: int) -> np.ndarray:
         """The fingerprint of the n words from each word on; of use where `inside`."""
         m = max(0, len(self.begins) - n + 1)
@@ -100,6 +106,14 @@ class Run:
         raw = (self.sums[ends] - self.sums[begins]) * self.down[begins]
         return _mixed(_mixed(raw) ^ self.seed[:m] + np.uint64(n)) >> self.width << self.width
 
+    def checks(self, n: int, at: np.ndarray) -> np.ndarray:
+        """A second hash of the n words from the given ones on, of 32 bits, from hashes of the words by another polynomial."""
+        out = np.full(len(at), n, np.uint64)
+        for k in range(n):
+            out = (out ^ self.marks[at + k]) * np.uint64(CHECK)
+            out ^= out >> np.uint64(29)
+        return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
     def inside(self, n: int) -> np.ndarray:
         """Whether the n words from each word on stand in one piece."""
         m = max(0, len(self.begins) - n + 1)
@@ -169,42 +183,57 @@ def _likely(run: Run, n: int, bits: np.ndarray | None, known: int, prints: dict[
     return np.flatnonzero(ok)
 
 
+COUNTED = "lang string, fp long, n long, rid long, lo int, hi int"
+
+
+def _grouped(fp: np.ndarray, n: np.ndarray, rid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One row for each fingerprint: its count, first row, and smallest and largest second hash."""
+    order = np.argsort(fp, kind="stable")
+    fp = fp[order]
+    first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]])) if len(fp) else np.zeros(0, np.int64)
+    if not len(first):
+        return fp, n, rid, lo, hi
+    return fp[first], np.add.reduceat(n[order], first), np.minimum.reduceat(rid[order], first), np.minimum.reduceat(lo[order], first), np.maximum.reduceat(hi[order], first)
+
+
 def _counted(sizes: list[int], sent, known: int, width: int):
-    """lang (of a total; else null), fp, n: counts of fingerprints, and of words by language when words are counted."""
+    """COUNTED: fingerprints with their counts, and words by language (fp is null) when words are counted."""
+    names = [c.split(" ")[0] for c in COUNTED.split(", ")]
 
-    def out(prints: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(len(prints), pa.string()), pa.array(prints.view(np.int64)), pa.array(n)], ["lang", "fp", "n"])
+    def out(fp: np.ndarray, n: np.ndarray, rid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(fp), pa.string()), *map(pa.array, (fp.view(np.int64), n, rid, lo, hi))], names)
 
-    def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        keys, inverse = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-        return keys, np.bincount(inverse, np.concatenate([c for _, c in held]), len(keys)).astype(np.int64)
+    def words(totals: dict[str, int]) -> pa.RecordBatch:
+        n = len(totals)
+        return pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.nulls(n, pa.int64()), pa.array(list(totals.values()), pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value if sent else None
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         pending, totals = 0, {}
         for run in runs(batches, width):
             cache: dict[int, np.ndarray] = {}
             for n in sizes:
                 at = _likely(run, n, bits, known, cache)
-                held.append(np.unique(run.prints(n)[at], return_counts=True))
+                check = run.checks(n, at)
+                held.append(_grouped(run.prints(n)[at], np.ones(len(at), np.int64), run.doc[at], check, check))
                 pending += len(held[-1][0])
             if 1 in sizes:
                 for k, c in enumerate(np.bincount(run.lang, minlength=len(run.langs)).tolist()):
                     totals[run.langs[k]] = totals.get(run.langs[k], 0) + c
-                if len(totals) > HELD_PHRASES:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.nulls(len(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], ["lang", "fp", "n"])
+                if len(totals) > HELD_LANGS:
+                    yield words(totals)
                     totals = {}
             if pending > 2 * HELD:
-                held = [merged(held)]
+                held = [_grouped(*map(np.concatenate, zip(*held, strict=True)))]
                 pending = len(held[0][0])
                 if pending > HELD:
                     yield out(*held[0])
                     held, pending = [], 0
         if held:
-            yield out(*merged(held))
+            yield out(*_grouped(*map(np.concatenate, zip(*held, strict=True))))
         if totals:
-            yield pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.nulls(len(totals), pa.int64()), pa.array(list(totals.values()), pa.int64())], ["lang", "fp", "n"])
+            yield words(totals)
 
     return task
 
@@ -226,34 +255,52 @@ def occurrences(run: Run, n: int, at: np.ndarray) -> Iterator[tuple[np.ndarray,
         at = np.sort(at[~same])
 
 
-def _texts(words: int, sent, width: int):
-    """lang, fp, phrase, words, f, doc, word: a task's frequent phrases, each with its count and its first place."""
-    names = ["lang", "fp", "phrase", "words", "f", "doc", "word"]
-    types = [pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+TEXTS = "fp long, lang string, phrase binary, words int, f long, rid long, word long"
+
+
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    types = [pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    columns = list(zip(*found, strict=True)) or [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split(" ")[0] for c in TEXTS.split(", ")])
+
 
-    def out(held: dict) -> pa.RecordBatch:
-        rows = [(*key, *value) for key, value in held.items()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+def _phrases_at(run: Run, n: int, at: np.ndarray) -> Iterator[tuple]:
+    """TEXTS rows of the n-grams at the given words: one for each text, with its count and its first place."""
+    data = run.text.tobytes()
+    for prints, pointers, counts in occurrences(run, n, at):
+        begins, ends = run.begins[pointers].tolist(), run.ends[pointers + n - 1].tolist()
+        rows = zip(prints.view(np.int64).tolist(), begins, ends, run.lang[pointers].tolist(), counts.tolist(), run.doc[pointers].tolist(), run.word[pointers].tolist(), strict=True)
+        for fp, b, e, k, c, rid, word in rows:
+            yield fp, run.langs[k], data[b:e], n, c, rid, word
+
+
+def _pointed(words: int, width: int):
+    """TEXTS rows of the fingerprints that each row (text, lang, doc_id, fps) is asked for, as the row's first occurrence has them."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held = sent.value, {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                asked, found = np.array(row.column("fps").to_pylist()[0], np.int64).view(np.uint64), []
+                for run in runs(iter([row]), width):
+                    for n in range(1, words + 1):
+                        at = np.flatnonzero(run.inside(n))
+                        at = at[np.isin(run.prints(n)[at], asked)]
+                        found += list(_phrases_at(run, n, at))
+                yield _rows(found)
+
+    return task
+
+
+def _compared(words: int, sent, width: int):
+    """TEXTS rows of all occurrences of the bitmap's fingerprints, by text."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
         for run in runs(batches, width):
-            data = run.text.tobytes()
             for n in range(1, words + 1):
                 at = np.flatnonzero(run.inside(n))
-                at = at[_has(bits, run.prints(n)[at])]
-                for prints, pointers, counts in occurrences(run, n, at):
-                    begins, ends = run.begins[pointers].tolist(), run.ends[pointers + n - 1].tolist()
-                    rows = zip(prints.view(np.int64).tolist(), begins, ends, run.lang[pointers].tolist(), counts.tolist(), run.doc[pointers].tolist(), run.word[pointers].tolist(), strict=True)
-                    for fp, b, e, k, c, doc, word in rows:
-                        key = (run.langs[k], fp, data[b:e], n)
-                        old = held.get(key)
-                        held[key] = (c, doc, word) if old is None else (old[0] + c, *min(old[1:], (doc, word)))
-            if len(held) > HELD_PHRASES:
-                yield out(held)
-                held = {}
-        if held:
-            yield out(held)
+                yield _rows(list(_phrases_at(run, n, at[_has(bits, run.prints(n)[at])])))
 
     return task
 
@@ -271,26 +318,38 @@ def _bitmap(frequent: DataFrame) -> np.ndarray:
 def phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, width: int = 64) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, f, first_doc_id, first_word) of all phrases that occur `least` times in their language, and (lang, n) of its words.
 
-    docs: doc_id, lang, text. width is how many bits of a fingerprint count; results don't depend on it.
+    docs: doc_id, lang, text. width is how many bits of a fingerprint count; phrases and counts don't depend on it.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    # Written, as pointers name its rows.
+    table = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    table = written(table.withColumn("rid", F.monotonically_increasing_id()))
+    rows = table.select(F.col("rid").alias("doc_id"), "lang", "text")
     found, bits, known, sent = [], None, 0, None
-    steps = [s for s in ([1, 2], [3], list(range(4, words + 1))) if s and s[0] <= words]
-    for sizes in steps:
-        counts = rows.mapInArrow(_counted(sizes, sent, known, width), "lang string, fp long, n long")
-        kept = written(counts.groupBy("lang", "fp").agg(F.sum("n").alias("n")).where(F.col("lang").isNotNull() | (F.col("n") >= least)))
-        found.append(kept)
-        now = _bitmap(kept.where("lang is null"))
-        bits = now if bits is None else bits | now
-        if sent:
-            sent.unpersist()
-        sent, known = spark.sparkContext.broadcast(bits), sizes[-1]
-    texts = rows.mapInArrow(_texts(words, sent, width), "lang string, fp long, phrase binary, words int, f long, doc long, word long")
-    sums = texts.groupBy("lang", "fp", "phrase", "words").agg(F.sum("f").alias("f"), F.min(F.struct("doc", "word")).alias("first")).where(F.col("f") >= least)
-    doc = F.when(F.col("first.doc") != int(NO_ID), F.col("first.doc"))
-    table = written(sums.select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "f", doc.alias("first_doc_id"), F.col("first.word").alias("first_word")))
-    return table, found[0].where("lang is not null").select("lang", "n")
+    sums = [F.sum("n").alias("n"), F.min("rid").alias("rid"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    for sizes in [s for s in ([1, 2], [3], list(range(4, words + 1))) if s and s[0] <= words]:
+        counts = rows.mapInArrow(_counted(sizes, sent, known, width), COUNTED)
+        found.append(written(counts.groupBy("lang", "fp").agg(*sums).where(F.col("lang").isNotNull() | (F.col("n") >= least))))
+        if sizes[-1] < words:
+            now = _bitmap(found[-1].where("lang is null"))
+            bits, known = (now if bits is None else bits | now), sizes[-1]
+            sent = spark.sparkContext.broadcast(bits)
+    frequent = found[0].where("lang is null")
+    for more in found[1:]:
+        frequent = frequent.unionByName(more)
+    one = frequent.where("lo = hi")
+    asked = one.groupBy("rid").agg(F.collect_list("fp").alias("fps"))
+    texts = rows.join(asked.hint("merge"), F.col("doc_id") == F.col("rid")).select("text", "lang", "doc_id", "fps").mapInArrow(_pointed(words, width), TEXTS)
+    # A long text is read in several runs, and each finds the phrase.
+    first = texts.groupBy("fp").agg(F.min(F.struct("rid", "word", "lang", "phrase", "words")).alias("t"))
+    known = one.select("fp", F.col("n").alias("f")).join(first.hint("merge"), "fp").select("t.lang", "t.phrase", "t.words", "f", "t.rid", "t.word")
+    several = written(frequent.where("lo < hi").select("fp"))
+    if several.count():
+        compared = rows.mapInArrow(_compared(words, spark.sparkContext.broadcast(_bitmap(several)), width), TEXTS).join(several.distinct().hint("merge"), "fp", "left_semi")
+        compared = compared.groupBy("fp", "lang", "phrase", "words").agg(F.sum("f").alias("f"), F.min(F.struct("rid", "word")).alias("t"))
+        known = known.unionByName(compared.where(F.col("f") >= least).select("lang", "phrase", "words", "f", "t.rid", "t.word"))
+    known = known.join(table.select("rid", F.col("doc_id").alias("first_doc_id")).hint("merge"), "rid")
+    return written(known.select("lang", F.col("phrase").cast("string").alias("phrase"), "words", "f", "first_doc_id", F.col("word").alias("first_word"))), found[0].where("lang is not null").select("lang", "n")
 
 
 def collocations(docs: DataFrame, words: int = WORDS, least: int = LEAST, top: int = TOP, width: int = 64) -> DataFrame:
@@ -298,8 +357,7 @@ def collocations(docs: DataFrame, words: int = WORDS, least: int = LEAST, top: i
 
     a, l, r are the counts of the phrase and of its parts at the cut of least score = floor(1000 a n / (l r)), the first of several; n
     the language's words. Phrases inside a longer one that occurs as often are left out. Ranks are by score, a (both
-    falling) and phrase (bytes). first_doc_id and first_word (from 0) point to the phrase's least place; the id is null
-    where only documents without an id have it.
+    falling) and phrase (bytes). first_doc_id and first_word (from 0) point to the phrase's first place in the table.
     """
     table, totals = phrases(docs, words, least, width)
     totals = F.broadcast(totals) if totals.count() <= SENT_LANGS else totals.hint("merge")

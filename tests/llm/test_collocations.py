@@ -12,20 +12,16 @@ from tests.llm.rows import HARD
 
 def plain(rows, words=5, least=100, top=2000):
     """rows: (doc_id, lang, text). Every n-gram as text, and scores in Python's whole numbers."""
-    f, n, at = Counter(), Counter(), {}
+    f, n = Counter(), Counter()
     for doc, lang, text in rows:
-        lang, before = lang if lang is not None else "und", 0
+        lang = lang if lang is not None else "und"
         lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
         for piece in re.split(r"[.,;:!?\x0A-\x0D]", lower):
             ws = re.findall(r"[^\x20\x09]+", piece)
             n[lang] += len(ws)
             for k in range(1, words + 1):
                 for i in range(len(ws) - k + 1):
-                    key = lang, " ".join(ws[i : i + k])
-                    f[key] += 1
-                    place = (doc is None, doc or 0, before + i)
-                    at[key] = min(at.get(key, place), place)
-            before += len(ws)
+                    f[lang, " ".join(ws[i : i + k])] += 1
     out = {}
     many = {key: c for key, c in f.items() if c >= least and " " in key[1]}
     for (lang, phrase), a in many.items():
@@ -34,8 +30,7 @@ def plain(rows, words=5, least=100, top=2000):
         score, k = min(cuts)
         inside = any(g == lang and c >= a and f" {phrase} " in f" {other} " and other != phrase for (g, other), c in many.items())
         if not inside:
-            null, doc, word = at[lang, phrase]
-            row = (lang, phrase, a, f[lang, " ".join(ws[:k])], f[lang, " ".join(ws[k:])], n[lang], score, None if null else doc, word)
+            row = (lang, phrase, a, f[lang, " ".join(ws[:k])], f[lang, " ".join(ws[k:])], n[lang], score)
             out.setdefault(lang, []).append(row)
     rows = []
     for found in out.values():
@@ -62,7 +57,7 @@ def made(seed, n):
 
 
 def got(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted(tuple(r)[:8] for r in df.collect())
 
 
 @pytest.mark.parametrize("width", [64, 7])
@@ -71,7 +66,11 @@ def test_like_plain_counts(spark, width):
     rows = made(1, 150)
     want = plain(rows, least=8)
     assert len({r[0] for r in want}) == 3 and any(len(r[2].split(" ")) == 5 for r in want)
-    assert got(collocations.collocations(frame(spark, rows), least=8, width=width)) == want
+    found = collocations.collocations(frame(spark, rows), least=8, width=width)
+    assert got(found) == want
+    for r in found.collect():
+        texts = ["".join(c.lower() if "A" <= c <= "Z" else c for c in t) for d, lang, t in rows if d == r.first_doc_id and (lang or "und") == r.lang]
+        assert any(re.findall(r"[^\x20\x09-\x0D.,;:!?]+", t)[r.first_word :][: len(r.phrase.split(" "))] == r.phrase.split(" ") for t in texts)
 
 
 def test_top_shorter_phrases_and_hard_texts(spark):
@@ -87,7 +86,7 @@ def test_query_takes_the_whole_table(spark, tmp_path):
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
     out = collocations.op12_collocations(spark, str(tmp_path))
     assert out.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
-    assert got(out) == [r[:8] for r in plain(rows)]
+    assert got(out) == plain(rows)
     assert [r[2] for r in got(out)] == ["a b c", "d e"]
 
 
