@@ -54,8 +54,8 @@ TTL, LATE = 86_400, 3600
 def _expiry(s, d):
     """Events as messages of their users, in four micro-batches by time: files are taken in the order in which they were written."""
     to = _folder(s)
-    events = table(s, d, "events").select(F.lit("t").alias("tenant_id"), F.col("user_id").alias("employee_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("role"), F.col("event_type").alias("content"), "ts")
-    first, last = table(s, d, "events").agg(F.min("ts"), F.max("ts")).first()
+    events = table(s, d, "events").select(F.lit("t").alias("tenant_id"), F.col("user_id").alias("employee_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("role"), F.col("event_type").alias("content"), F.col("ts").cast("timestamp").alias("ts"))
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
     for k in range(4 if first else 0):
         begin, end = (first + (last - first) / 4 * (k + x) for x in (0, 1))
         part = events.where((F.col("ts") >= begin if k else F.lit(True)) & (F.col("ts") < end if k < 3 else F.lit(True)))
@@ -73,7 +73,7 @@ _ACCEPTED = """acc as (select doc_id, tenant_id, src_file, case when deleted the
   live as (select doc_id, tenant_id, src_file, md, roles from up where not deleted)"""
 
 ORACLES = {
-    "l1_ingest_stream": oracle(f"with {_ACCEPTED}, ch as ({chunks_sql('live')}) select ch.*, roles as accessed_role from ch join live using (tenant_id, src_file)", "fx_upload"),
+    "l1_ingest_stream": oracle(f"with {_ACCEPTED}, ch as (with recursive {chunks_sql('live')[5:]}) select ch.*, roles as accessed_role from ch join live using (tenant_id, src_file)", "fx_upload"),
     "l2_history_expiry": f"""with g as (select *, coalesce(epoch_ms(ts) - lag(epoch_ms(ts)) over w >= {TTL * 1000}, false)::int as gap, max(epoch_ms(ts)) over (partition by user_id) as last from events window w as (partition by user_id order by epoch_ms(ts), event_id)),
       s as (select *, sum(gap) over (partition by user_id order by epoch_ms(ts), event_id) as session from g)
       select 't' as tenant_id, user_id as employee_id, event_id as seq, event_type as role, event_type as content from s where last + {TTL * 1000} > (select max(epoch_ms(ts)) from events) - {LATE * 1000}
