@@ -54,14 +54,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df, written to a table in the shared folder and read back.
+def written(df: DataFrame, **options: str) -> DataFrame:
+    """df, written to a table in the shared folder (with the writer's options) and read back.
 
     Unlike a checkpoint, it does not carry the size estimates of the plan behind it. In a loop with joins these multiply,
     each round by those of the one before, and soon are numbers of millions of digits.
     """
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,6 +4,8 @@ Every string of `least` bytes has the smallest hashed gram (GRAM bytes) among th
 the same place: an anchor. So occurrences meet by their anchor's hash, about one row for 17 bytes of text, and only
 anchors that two documents have go on, with the bytes around them in which a string can lie.
 
+Equal texts are settled before, by their hash: all but those of the smallest document go as a whole, and own nothing.
+
 What meets is searched through its common-prefix interval tree: the suffixes are sorted, a stack scan over the
 common prefixes of neighbours gives each interval once, and those whose occurrences have different bytes before them (or begin where
 the bytes around an anchor do) are maximal repeats. Each is a group of all its occurrences, with its smallest document.
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import read, written
+from folio.llm.common import read, without, written
 
 LEAST, GRAM = 50, 16
 #: Bytes of text that are hashed together, and surroundings that are searched together.
@@ -341,10 +343,10 @@ def repeated(rows: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int = H
     """
     reach = least - gram
     both = written(rows.select("text", "doc", "rid").mapInArrow(_seen(least, gram), "h long, lo long, hi long").groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("h"))
-    hits = rows.select("text", "doc", "rid").mapInArrow(_placed(least, gram), "h long, rid long, at long").join(both.hint("merge"), "h", "left_semi")
+    hits = written(rows.select("text", "doc", "rid").mapInArrow(_placed(least, gram), "h long, rid long, at long").join(both.hint("merge"), "h", "left_semi"))
     around = F.expr(f"substring(text, cast(greatest(at - {reach}, 0) + 1 as int), cast(least(at, {reach}) + {least} as int))")
     met = hits.join(rows.select("rid", "doc", "text").hint("merge"), "rid")
-    met = written(met.select(F.col("h").alias("key"), F.expr(f"least(at, {reach})").alias("p"), around.alias("part"), "doc", "rid", F.expr(f"greatest(at - {reach}, 0)").alias("start")))
+    met = written(met.select(F.col("h").alias("key"), F.expr(f"least(at, {reach})").alias("p"), around.alias("part"), "doc", "rid", F.expr(f"greatest(at - {reach}, 0)").alias("start")), compression="zstd")
     many, few = _crowded(met, hot)
     out = _by_key(few.select("key", "part", "doc", "rid", "start")).mapInArrow(_spans(least), "rid long, at long, n long")
     if many is None:
@@ -358,6 +360,13 @@ def repeated(rows: DataFrame, least: int = LEAST, gram: int = GRAM, hot: int = H
     return out.unionByName(spans.select("rid", (F.col("start") + F.col("run.at")).alias("at"), F.col("run.n").alias("n")))
 
 
+def copies(rows: DataFrame, least: int) -> DataFrame:
+    """rid, at, n: the whole texts of `least` bytes and more that a smaller document has as a whole (by SHA-256)."""
+    marked = rows.where(F.length("text") >= least).select("rid", "doc", F.length("text").cast("long").alias("n"), F.sha2("text", 256).alias("mark"))
+    first = marked.groupBy("mark").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("mark", "lo")
+    return written(marked.join(first.hint("merge"), "mark").where("doc > lo").select("rid", F.lit(0).cast("long").alias("at"), "n"))
+
+
 CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -394,8 +403,9 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, hot: i
     spark = docs.sparkSession
     with _freed(spark):
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-        rows = written(rows.withColumns({"rid": F.monotonically_increasing_id(), "doc": F.coalesce("doc_id", F.lit(int(NO_ID)))}))
-        spans = written(repeated(rows, least, gram, hot, group))
+        rows = written(rows.withColumns({"rid": F.monotonically_increasing_id(), "doc": F.coalesce("doc_id", F.lit(int(NO_ID)))}), compression="zstd")
+        gone = copies(rows, least)
+        spans = written(repeated(without(rows, gone, "rid"), least, gram, hot, group).unionByName(gone))
     each = spans.groupBy("rid").agg(F.collect_list(F.struct("at", "n")).alias("spans"))
     return rows.join(each.hint("merge"), "rid", "left").select("doc_id", "text", "spans").mapInArrow(_cleaned(with_text), CLEANED)
 
