@@ -2,14 +2,14 @@
 
 Texts are lower-cased (A-Z) and read in runs, with one space between words. Prefix sums of a polynomial in the run's bytes give the
 Rabin-Karp fingerprint of every run of words as one difference, so all n-grams of a run are hashed by a few passes
-of numpy. Tasks count fingerprints, and the shuffle adds the counts up, with a pointer to the first row that has one and the extremes
-of a second, independent hash of its words. Only frequent fingerprints go on: what
+of numpy. Tasks count fingerprints, and the shuffle adds the counts up, with a pointer to the first row that has one and the sum
+of a second, independent hash of its words over all occurrences. Only frequent fingerprints go on: what
 holds one rare part is rare itself, so words and pairs come first, then triples of frequent pairs, then longer phrases of
 frequent triples. Which fingerprints are frequent is told to all tasks as a bitmap of a fixed size; it may say yes to too
 many, never to too few.
 
-Phrases are then read from the rows that the pointers name, one text for each frequent fingerprint. Where the second hashes
-differ, several texts share a fingerprint: all occurrences of those are compared word for word and counted by text,
+Phrases are then read from the rows that the pointers name, one text for each frequent fingerprint. Where the sum is not
+that text's second hash times the count, several texts share a fingerprint: all occurrences of those are compared word for word and counted by text,
 so collisions never count together (64 and 32 bits; that both agree for different texts is left out of account).
 """
 
@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import read, written
+from folio.llm.common import freed, read, written
 
 WORDS, LEAST, TOP = 5, 100, 2000
 #: Bytes of text that are hashed together, fingerprints and languages that a task holds before it passes them on.
-RUN, HELD, HELD_LANGS = 1 << 21, 1 << 21, 300_000
+RUN, HELD, HELD_LANGS = 1 << 20, 1 << 20, 300_000
 #: The bitmap has 2 ** BITS bits (32 MB) at any size of the corpus, in rows of CELL bits.
 BITS, CELL = 28, 1 << 15
 #: Languages whose totals are sent to all tasks; more are joined by a shuffle.
@@ -112,7 +112,7 @@ class Run:
         for k in range(n):
             out = (out ^ self.marks[at + k]) * np.uint64(CHECK)
             out ^= out >> np.uint64(29)
-        return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return (out >> np.uint64(32)).astype(np.int64)
 
     def inside(self, n: int) -> np.ndarray:
         """Whether the n words from each word on stand in one piece."""
@@ -183,29 +183,29 @@ def _likely(run: Run, n: int, bits: np.ndarray | None, known: int, prints: dict[
     return np.flatnonzero(ok)
 
 
-COUNTED = "lang string, fp long, n long, rid long, lo int, hi int"
+COUNTED = "lang string, fp long, n long, rid long, mark long"
 
 
-def _grouped(fp: np.ndarray, n: np.ndarray, rid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
-    """One row for each fingerprint: its count, first row, and smallest and largest second hash."""
+def _grouped(fp: np.ndarray, n: np.ndarray, rid: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One row for each fingerprint: its count, first row, and sum of second hashes."""
     order = np.argsort(fp, kind="stable")
     fp = fp[order]
     first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]])) if len(fp) else np.zeros(0, np.int64)
     if not len(first):
-        return fp, n, rid, lo, hi
-    return fp[first], np.add.reduceat(n[order], first), np.minimum.reduceat(rid[order], first), np.minimum.reduceat(lo[order], first), np.maximum.reduceat(hi[order], first)
+        return fp, n, rid, mark
+    return fp[first], np.add.reduceat(n[order], first), np.minimum.reduceat(rid[order], first), np.add.reduceat(mark[order], first)
 
 
 def _counted(sizes: list[int], sent, known: int, width: int):
     """COUNTED: fingerprints with their counts, and words by language (fp is null) when words are counted."""
     names = [c.split(" ")[0] for c in COUNTED.split(", ")]
 
-    def out(fp: np.ndarray, n: np.ndarray, rid: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(len(fp), pa.string()), *map(pa.array, (fp.view(np.int64), n, rid, lo, hi))], names)
+    def out(fp: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(fp), pa.string()), *map(pa.array, (fp.view(np.int64), *more))], names)
 
     def words(totals: dict[str, int]) -> pa.RecordBatch:
         n = len(totals)
-        return pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.nulls(n, pa.int64()), pa.array(list(totals.values()), pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], names)
+        return pa.RecordBatch.from_arrays([pa.array(list(totals)), pa.nulls(n, pa.int64()), pa.array(list(totals.values()), pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value if sent else None
@@ -215,8 +215,7 @@ def _counted(sizes: list[int], sent, known: int, width: int):
             cache: dict[int, np.ndarray] = {}
             for n in sizes:
                 at = _likely(run, n, bits, known, cache)
-                check = run.checks(n, at)
-                held.append(_grouped(run.prints(n)[at], np.ones(len(at), np.int64), run.doc[at], check, check))
+                held.append(_grouped(run.prints(n)[at], np.ones(len(at), np.int64), run.doc[at], run.checks(n, at)))
                 pending += len(held[-1][0])
             if 1 in sizes:
                 for k, c in enumerate(np.bincount(run.lang, minlength=len(run.langs)).tolist()):
@@ -255,23 +254,23 @@ def occurrences(run: Run, n: int, at: np.ndarray) -> Iterator[tuple[np.ndarray,
         at = np.sort(at[~same])
 
 
-TEXTS = "fp long, lang string, phrase binary, words int, f long, rid long, word long"
+TEXTS = "fp long, lang string, phrase binary, words int, f long, rid long, word long, mark long"
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    types = [pa.int64(), pa.string(), pa.binary(), pa.int32(), *[pa.int64()] * 4]
     columns = list(zip(*found, strict=True)) or [[]] * len(types)
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [c.split(" ")[0] for c in TEXTS.split(", ")])
 
 
 def _phrases_at(run: Run, n: int, at: np.ndarray) -> Iterator[tuple]:
-    """TEXTS rows of the n-grams at the given words: one for each text, with its count and its first place."""
+    """TEXTS rows of the n-grams at the given words: one for each text, with its count, its first place and its second hash."""
     data = run.text.tobytes()
     for prints, pointers, counts in occurrences(run, n, at):
         begins, ends = run.begins[pointers].tolist(), run.ends[pointers + n - 1].tolist()
-        rows = zip(prints.view(np.int64).tolist(), begins, ends, run.lang[pointers].tolist(), counts.tolist(), run.doc[pointers].tolist(), run.word[pointers].tolist(), strict=True)
-        for fp, b, e, k, c, rid, word in rows:
-            yield fp, run.langs[k], data[b:e], n, c, rid, word
+        rows = zip(prints.view(np.int64).tolist(), begins, ends, run.lang[pointers].tolist(), counts.tolist(), run.doc[pointers].tolist(), run.word[pointers].tolist(), run.checks(n, pointers).tolist(), strict=True)
+        for fp, b, e, k, *more in rows:
+            yield fp, run.langs[k], data[b:e], n, *more
 
 
 def _pointed(words: int, width: int):
@@ -320,13 +319,18 @@ def phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, width: int
 
     docs: doc_id, lang, text. width is how many bits of a fingerprint count; phrases and counts don't depend on it.
     """
+    with freed(docs.sparkSession):
+        return _phrases(docs, words, least, width)
+
+
+def _phrases(docs: DataFrame, words: int, least: int, width: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     # Written, as pointers name its rows.
     table = docs.select("doc_id", F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
-    table = written(table.withColumn("rid", F.monotonically_increasing_id()))
+    table = written(table.withColumn("rid", F.monotonically_increasing_id()), compression="zstd")
     rows = table.select(F.col("rid").alias("doc_id"), "lang", "text")
     found, bits, known, sent = [], None, 0, None
-    sums = [F.sum("n").alias("n"), F.min("rid").alias("rid"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    sums = [F.sum("n").alias("n"), F.min("rid").alias("rid"), F.try_sum("mark").alias("mark")]
     for sizes in [s for s in ([1, 2], [3], list(range(4, words + 1))) if s and s[0] <= words]:
         counts = rows.mapInArrow(_counted(sizes, sent, known, width), COUNTED)
         found.append(written(counts.groupBy("lang", "fp").agg(*sums).where(F.col("lang").isNotNull() | (F.col("n") >= least))))
@@ -337,15 +341,16 @@ def phrases(docs: DataFrame, words: int = WORDS, least: int = LEAST, width: int
     frequent = found[0].where("lang is null")
     for more in found[1:]:
         frequent = frequent.unionByName(more)
-    one = frequent.where("lo = hi")
-    asked = one.groupBy("rid").agg(F.collect_list("fp").alias("fps"))
+    asked = frequent.groupBy("rid").agg(F.collect_list("fp").alias("fps"))
     texts = rows.join(asked.hint("merge"), F.col("doc_id") == F.col("rid")).select("text", "lang", "doc_id", "fps").mapInArrow(_pointed(words, width), TEXTS)
     # A long text is read in several runs, and each finds the phrase.
-    first = texts.groupBy("fp").agg(F.min(F.struct("rid", "word", "lang", "phrase", "words")).alias("t"))
-    known = one.select("fp", F.col("n").alias("f")).join(first.hint("merge"), "fp").select("t.lang", "t.phrase", "t.words", "f", "t.rid", "t.word")
-    several = written(frequent.where("lo < hi").select("fp"))
+    first = texts.groupBy("fp").agg(F.min(F.struct("rid", "word", "lang", "phrase", "words", "mark")).alias("t"))
+    # A sum that passes 64 bits is null, and its fingerprint is compared word for word as well.
+    read_once = written(frequent.join(first.hint("merge"), "fp").select("fp", "t.lang", "t.phrase", "t.words", F.col("n").alias("f"), "t.rid", "t.word", F.coalesce(F.try_multiply("n", "t.mark") == F.col("mark"), F.lit(False)).alias("alone")))
+    known = read_once.where("alone").drop("fp", "alone")
+    several = read_once.where("not alone").select("fp")
     if several.count():
-        compared = rows.mapInArrow(_compared(words, spark.sparkContext.broadcast(_bitmap(several)), width), TEXTS).join(several.distinct().hint("merge"), "fp", "left_semi")
+        compared = rows.mapInArrow(_compared(words, spark.sparkContext.broadcast(_bitmap(several)), width), TEXTS).join(several.hint("merge"), "fp", "left_semi")
         compared = compared.groupBy("fp", "lang", "phrase", "words").agg(F.sum("f").alias("f"), F.min(F.struct("rid", "word")).alias("t"))
         known = known.unionByName(compared.where(F.col("f") >= least).select("lang", "phrase", "words", "f", "t.rid", "t.word"))
     known = known.join(table.select("rid", F.col("doc_id").alias("first_doc_id")).hint("merge"), "rid")

@@ -20,14 +20,13 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import read, without, written
+from folio.llm.common import freed, read, without, written
 
 LEAST, GRAM = 50, 16
 #: Bytes of text that are hashed together, and surroundings that are searched together.
@@ -40,18 +39,6 @@ NO_ID = np.iinfo(np.int64).max
 BASE = 0x9E3779B97F4A7C15
 
 
-@contextmanager
-def _freed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files go when the query that made them has ended, so that steps which write tables don't add up on disk."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def _hashes(data: np.ndarray, size: int) -> np.ndarray:
     """A hash of the `size` bytes from each place on, by doubling."""
     out, power, total = None, BASE, 0
@@ -401,7 +388,7 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, hot: i
     they lose what any row with an id has, and nothing to each other. A null text is empty. kept is null unless with_text.
     """
     spark = docs.sparkSession
-    with _freed(spark):
+    with freed(spark):
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
         rows = written(rows.withColumns({"rid": F.monotonically_increasing_id(), "doc": F.coalesce("doc_id", F.lit(int(NO_ID)))}), compression="zstd")
         gone = copies(rows, least)
