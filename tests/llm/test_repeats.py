@@ -50,7 +50,7 @@ def made(seed, n, alphabet="ab", shared=6):
     return rows + [(n + 1, rows[0][1]), (n + 2, rows[0][1]), rows[1], rows[1]]
 
 
-@pytest.mark.parametrize("hot, group", [(4096, 1 << 14), (8, 4)])
+@pytest.mark.parametrize("hot, group", [(1 << 15, 1 << 14), (8, 4)])
 def test_like_every_string_looked_up(spark, hot, group):
     """With small bounds, anchors go through their distinct surroundings and these by halves; the result stays."""
     for seed, alphabet, least, gram in ((1, "ab", 12, 4), (2, "abcdé\n", 10, 5), (3, "a", 9, 3)):
