@@ -30,7 +30,7 @@ from folio.llm.common import freed, read, without, written
 
 LEAST, GRAM = 50, 16
 #: Bytes of text that are hashed together, and surroundings that are searched together.
-RUN, ROWS = 1 << 21, 1 << 14
+RUN, ROWS = 1 << 20, 1 << 14
 #: Rows of an anchor that one task takes as they are, and distinct surroundings that it searches together.
 HOT, GROUP = 1 << 15, 1 << 14
 #: Crowded anchors that are sent to all tasks at once; more are joined by a shuffle.
