@@ -7,7 +7,6 @@ they are ranked, so that ties (equal texts) are ties however sums were added up,
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,11 +16,12 @@ from pyspark.sql import functions as F
 
 from folio.functions.plugs import hashed_vectors
 from folio.functions.text import terms
+from folio.operators.lists import REACH, Lists, build_lists, search_lists
+from folio.operators.sparse import best_by_terms
 
 PLACES = 6
-#: Questions that are sent to the tasks at once, and their terms.
+#: Questions that are sent to the tasks at once.
 BLOCK = 4096
-BLOCK_TERMS = 200_000
 #: The constant of reciprocal-rank fusion (Cormack et al., 2009).
 RRF = 60
 
@@ -69,7 +69,7 @@ def _dense(sent, n: int):
             ids, of = batch.column("point_id").to_numpy(zero_copy_only=False), np.array(batch.column("tenant_id").to_pylist(), object)
             may = [set(x or ()) for x in batch.column("accessed_role").to_pylist()]
             open_to = {role: np.array([role in x for x in may], bool) for role in set(roles)}
-            for tenant in set(of):
+            for tenant in set(of) - {None}:
                 at, ask = np.flatnonzero(of == tenant), np.flatnonzero(tenants == tenant)
                 for k in range(0, len(ask), 256):
                     scores = np.round(matrix[ask[k : k + 256]] @ rows[at].T, PLACES)
@@ -88,21 +88,18 @@ def dense_topk(questions: DataFrame, chunks: DataFrame, n: int = 40) -> DataFram
     """qid, point_id, score, rank: the n chunks of largest cosine that each question may see.
 
     questions: qid, tenant_id, role_id, vector; chunks: point_id, tenant_id, accessed_role, vector. A zero vector
-    has cosine 0 with all, and a null one is left out.
+    has cosine 0 with all, and a null one, asked or held, is left out.
     """
     spark, found = chunks.sparkSession, []
     unit = lambda v: F.expr(f"transform({v}, x -> cast(x as double) / greatest(sqrt(aggregate({v}, 0D, (s, y) -> s + cast(y as double) * cast(y as double))), 1e-300D))")
     for block in _blocks(questions, BLOCK):
-        rows = block.select("qid", "tenant_id", "role_id", unit("vector").alias("vector")).collect()
+        rows = block.where("vector is not null").select("qid", "tenant_id", "role_id", unit("vector").alias("vector")).collect()
         if not rows:
             continue
         sent = spark.sparkContext.broadcast(([r.qid for r in rows], np.array([r.tenant_id for r in rows], object), [r.role_id for r in rows], np.array([r.vector for r in rows], float)))
         data = chunks.where("vector is not null").select(F.col("point_id").cast("long"), "tenant_id", "accessed_role", unit("vector").alias("vector"))
         found.append(data.mapInArrow(_dense(sent, n), "qid long, point_id long, score double"))
-    out = found[0] if found else spark.createDataFrame([], "qid long, point_id long, score double")
-    for more in found[1:]:
-        out = out.union(more)
-    return _ranked(out, n)
+    return _ranked(_union(found, spark), n)
 
 
 def sparse_encode(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -110,22 +107,20 @@ def sparse_encode(rows: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select(key, F.explode(terms(text)).alias("term")).groupBy(key, "term").agg(F.log1p(F.count(F.lit(1)).cast("double")).alias("weight"))
 
 
-def sparse_topk(questions: DataFrame, chunks: DataFrame, n: int = 40) -> DataFrame:
+def _union(parts: list[DataFrame], spark, schema: str = "qid long, point_id long, score double") -> DataFrame:
+    out = parts[0] if parts else spark.createDataFrame([], schema)
+    for more in parts[1:]:
+        out = out.union(more)
+    return out
+
+
+def sparse_topk(questions: DataFrame, chunks: DataFrame, n: int = 40, made=None) -> DataFrame:
     """qid, point_id, score, rank: the n chunks of largest dot product over shared terms that each question may see.
 
-    questions: qid, tenant_id, role_id, question; chunks: point_id, tenant_id, accessed_role, content. The questions'
-    terms are broadcast when there are BLOCK_TERMS at most, and joined by shuffle beyond that.
+    questions: qid, tenant_id, role_id, question; chunks: point_id, tenant_id, accessed_role, content. See sparse.py: one pass over the
+    chunks for BLOCK questions, and no pair is made that the question's best so far rules out. Terms are told apart by 64-bit hashes.
     """
-    asked = sparse_encode(questions, "qid", "question").join(questions.select("qid", "tenant_id", "role_id").hint("merge"), "qid").withColumnRenamed("weight", "asked")
-    small = asked.count() <= BLOCK_TERMS
-    side = F.broadcast if small else (lambda rows: rows.hint("merge"))
-    # Words that no question of the tenant has go before any shuffle.
-    words = chunks.select("point_id", "tenant_id", "accessed_role", F.explode(terms("content")).alias("term"))
-    words = words.join(side(asked.select("tenant_id", "term").distinct()), ["tenant_id", "term"], "left_semi")
-    postings = words.groupBy("point_id", "tenant_id", "term").agg(F.first("accessed_role").alias("accessed_role"), F.log1p(F.count(F.lit(1)).cast("double")).alias("weight"))
-    hit = postings.join(side(asked), ["tenant_id", "term"]).where(F.array_contains("accessed_role", F.col("role_id")))
-    scored = hit.groupBy("qid", "point_id").agg(F.round(F.sum(F.col("weight") * F.col("asked")), PLACES).alias("score"))
-    return _ranked(scored, n)
+    return _ranked(_union(best_by_terms(_blocks(questions, BLOCK), chunks, n, PLACES, made), chunks.sparkSession), n)
 
 
 def rrf(lists: list[DataFrame], k: int = 20, c: int = RRF) -> DataFrame:
@@ -165,54 +160,11 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, k: int = 20, top: int
     return rerank(texts.join(questions.select("qid", "question").hint("merge"), "qid"), top=top)
 
 
-#: Rows that fit the lists of the approximate search, lists at most, and the recall that its number of searched lists aims at.
-SAMPLED, LISTS, RECALL = 20_000, 1024, 0.97
-#: Rows of the sample that ask to find that number.
-TRIALS = 256
-
-
-def _searched(tenants: np.ndarray, vectors: np.ndarray, centres: np.ndarray, n: int, recall: float) -> int:
-    """How many lists, nearest first, hold the share `recall` of the n best of a question, by trying rows of a sample."""
-    far = ((vectors**2).sum(1)[:, None] + (centres**2).sum(1) - 2 * vectors @ centres.T).argsort(1, kind="stable")
-    place, own = far.argsort(1), far[:, 0]
-    scores = np.where(tenants[:TRIALS, None] == tenants, vectors[:TRIALS] @ vectors.T, -2)
-    best = np.argsort(-scores, 1, kind="stable")[:, :n]
-    ranks = np.take_along_axis(place[:TRIALS], own[best], 1)[np.take_along_axis(scores, best, 1) > -2]
-    return int(np.quantile(ranks, recall, method="higher")) + 1
-
-
-def approx_topk(questions: DataFrame, chunks: DataFrame, n: int, recall: float = RECALL) -> DataFrame:
-    """qid, point_id, score, rank by inverted lists: exact cosines of the vectors in the lists nearest to a question.
+def approx_topk(questions: DataFrame, chunks: DataFrame | Lists, n: int, reach: float = REACH) -> DataFrame:
+    """qid, point_id, score, rank: n near chunks by inverted lists (lists.py), of exact cosines; n rows whenever the question may see n.
 
-    Lists are those of k-means, about the square root of the rows many, fitted on SAMPLED rows (those of least hash)
-    and holding every row. How many of them are searched is found on the same sample. A question sees its tenant's rows
-    that its role may see. Null vectors are left out; zero vectors have cosine 0. Neighbours in lists that are not searched are missed (tests hold the recall to 0.9).
+    chunks: a table with vectors, or lists built before. With reach = 1 the rows are those of dense_topk; with less, fewer lists are
+    read and neighbours may be missed (tests hold the recall to 0.9 for every tenant). Null vectors are left out; zero vectors have cosine 0.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    from folio.functions.text import l2_normalize
-
-    unit = lambda rows: rows.where("vector is not null").withColumn("unit", l2_normalize("vector"))
-    asked, held = unit(questions), unit(chunks)
-    rows = held.count()
-    lists = min(LISTS, int(rows**0.5))
-    if lists < 2:
-        placed, to = held.withColumn("list", F.lit(0)), asked.withColumn("list", F.lit(0))
-    else:
-        share = min(1.0, SAMPLED / rows)
-        sample = held.where(F.pmod(F.xxhash64("point_id"), F.lit(1 << 30)) < int(share * (1 << 30))).select("point_id", "tenant_id", "unit", array_to_vector("unit").alias("features"))
-        centres = [[float(x) for x in c] for c in KMeans(k=lists, seed=1, maxIter=10).fit(sample).clusterCenters()]
-        every = F.from_json(F.lit(json.dumps(centres)), "array<array<double>>")  # one constant
-        tried = sorted(sample.select("point_id", "tenant_id", "unit").collect())
-        searched = _searched(np.array([r.tenant_id for r in tried], object), np.array([r.unit for r in tried]), np.array(centres), n, recall)
-
-        def nearest(v: Column) -> Column:
-            far = lambda c: F.aggregate(F.zip_with(c, v, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-            return F.transform(F.array_sort(F.transform(every, lambda c, i: F.struct(far(c).alias("far"), i.alias("list")))), lambda x: x["list"])
-
-        placed = held.withColumn("list", nearest(F.col("unit"))[0])
-        to = asked.withColumn("list", F.explode(F.slice(nearest(F.col("unit")), 1, searched)))
-    pairs = placed.join(to.select("qid", "tenant_id", "role_id", "list", F.col("unit").alias("ask")).hint("merge"), ["tenant_id", "list"]).where(F.array_contains("accessed_role", F.col("role_id")))
-    cosine = F.aggregate(F.zip_with("unit", "ask", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return _ranked(pairs.select("qid", "point_id", F.round(cosine, PLACES).alias("score")), n)
+    index = chunks if isinstance(chunks, Lists) else build_lists(chunks)
+    return _ranked(_union(search_lists(_blocks(questions, BLOCK), index, n, reach), questions.sparkSession), n)

@@ -85,6 +85,7 @@ QUERIES = {
     "d10_l2_normalize": lambda s, d: table(s, d, "embeddings").select("vec_id", F.posexplode(l2_normalize(F.transform("embedding", lambda x: x.cast("double") * 3))).alias("place", "value")).withColumn("value", F.round("value", 9)),
     "d11_tenant_layout": _layout,
     "d12_approx_topk": lambda s, d: R.approx_topk(_asked(s, d), _vectors(s, d), 10),
+    "d12_exact_lists": lambda s, d: R.approx_topk(_asked(s, d), _vectors(s, d), 40, reach=1.0),
     "m1_vectorize": _vectorized,
     "m2_score_pairs": _paired,
 }
@@ -140,3 +141,4 @@ ORACLES = {
     "m2_score_pairs": "select conv_id, turn, len(list_intersect(list_distinct(string_split(role, '')), list_distinct(string_split(text, ''))))::double as score from conversations",
     "d11_tenant_layout": "select source as tenant_id, count(*) as n, sum(n_chars)::bigint as chars from documents group by source",
 }
+ORACLES["d12_exact_lists"] = ORACLES["d4_dense_topk"]

@@ -1,19 +1,131 @@
 """Approximate search against the exact one, packing of long keys, and the Markdown sink."""
 
+import math
+import random
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
+from folio.operators import lists as L
 from folio.operators import retrieval as R
 from folio.operators.packing import pack
 from folio.plans import retrieval_queries as Q
 from folio.sources import gates as A
 
 
-def test_recall_of_approximate_search(spark):
+def pairs(df):
+    return {(r.qid, r.point_id) for r in df.collect()}
+
+
+def test_recall_of_approximate_search_for_every_tenant(spark):
     for sf in ("0.001", "0.01"):
         d = f"/root/testdata/sf{sf}"
-        exact = {(r.qid, r.point_id) for r in R.dense_topk(Q._asked(spark, d), Q._vectors(spark, d), 10).collect()}
-        found = {(r.qid, r.point_id) for r in R.approx_topk(Q._asked(spark, d), Q._vectors(spark, d), 10).collect()}
-        assert len(exact & found) >= 0.9 * len(exact) > 0, (len(exact & found), len(exact))
+        asked, vectors = Q._asked(spark, d), Q._vectors(spark, d)
+        tenant = {r.qid: r.tenant_id for r in asked.collect()}
+        exact, found = pairs(R.dense_topk(asked, vectors, 10)), pairs(R.approx_topk(asked, vectors, 10))
+        assert len(found) == len(exact)
+        for t in set(tenant.values()):
+            mine = {x for x in exact if tenant[x[0]] == t}
+            assert len(mine & found) >= 0.9 * len(mine) > 0, (t, len(mine & found), len(mine))
+
+
+def vectors(spark):
+    """3,000 vectors of one tenant, 12 of another far from most of them, zero and null vectors, a row that few roles see."""
+    rng = random.Random(4)
+    near = lambda c: [x + rng.gauss(0, 0.4) for x in c]
+    centres = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(6)]
+    rows = [(k, "large", [1, 2], near(centres[k % 5])) for k in range(3000)]
+    rows += [(5000 + k, "small", [1] if k % 2 else [1, 2], near(centres[5] if k % 3 else centres[0])) for k in range(12)]
+    rows += [(6000, "large", [1], [0.0] * 8), (6001, "small", [2], [0.0] * 8), (6002, "small", [1], None), (6003, "small", None, centres[0]), (6004, None, [1], centres[0])]
+    rows += [(7000 + k, "large", [3], near(centres[5])) for k in range(3)]
+    asked = [(k, t, role, v) for k, (t, role, v) in enumerate((t, role, v) for t in ("large", "small", "none", None) for role in (1, 2, 3, None) for v in (centres[0], near(centres[5]), [0.0] * 8, None, near(centres[2])))]
+    return spark.createDataFrame(asked, "qid long, tenant_id string, role_id int, vector array<double>"), spark.createDataFrame(rows, "point_id long, tenant_id string, accessed_role array<int>, vector array<double>").repartition(3)
+
+
+def test_a_small_tenant_gets_all_its_rows_and_the_exact_setting_is_exact(spark):
+    asked, held = vectors(spark)
+    index = L.build_lists(held)
+    for n in (1, 10, 50):
+        want = R.dense_topk(asked, held, n)
+        assert sorted(map(tuple, R.approx_topk(asked, index, n, reach=1.0).collect())) == sorted(map(tuple, want.collect()))
+        count = lambda df: {r.qid: r["count"] for r in df.groupBy("qid").count().collect()}
+        for reach in (0.0, 0.6):
+            found = R.approx_topk(asked, index, n, reach=reach)
+            assert count(found) == count(want)
+    assert R.approx_topk(asked.where("qid < 0"), index, 5).count() == 0
+    assert R.approx_topk(asked, held.where("point_id < 0"), 5).count() == 0
+    one = held.where("point_id = 1")
+    assert sorted(map(tuple, R.approx_topk(asked, one, 5, reach=1.0).collect())) == sorted(map(tuple, R.dense_topk(asked, one, 5).collect()))
+
+
+def test_few_lists_are_searched(spark):
+    asked, held = vectors(spark)
+    index = L.build_lists(held, 40)
+    asks = lambda reach: L.search_lists([asked.where("qid = 1")], index, 10, reach)
+    rows = {reach: sum(f.count() for f in asks(reach)) for reach in (0.0, 0.6, 1.0)}
+    assert rows[0.0] <= rows[0.6] <= rows[1.0]
+
+
+def plain_sparse(questions, chunks, n):
+    words = lambda t: Counter(w for w in re.split(r"[^\w]+", (t or "").lower()) if w)
+    bags = [(p, t, r, words(c)) for p, t, r, c in chunks]
+    out = []
+    for q, tenant, role, text in questions:
+        asked = words(text)
+        scored = []
+        for p, t, roles, bag in bags:
+            if t == tenant and t is not None and role in (roles or ()) and asked.keys() & bag.keys():
+                scored.append((-round(sum(math.log1p(bag[w]) * math.log1p(c) for w, c in asked.items() if w in bag), 6), p))
+        out += [(q, p, -s, k) for k, (s, p) in enumerate(sorted(scored)[:n], 1)]
+    return sorted(out)
+
+
+def sparse_rows(rng, n, q):
+    common, rare = ["the", "of", "and"], [f"w{k}" for k in range(60)]
+    text = lambda size: " ".join(rng.choice(common) if rng.random() < 0.6 else rng.choice(rare) for _ in range(size))
+    chunks = [(k, rng.choice(["a", "b"]), rng.choice([[1], [1, 2], [2], None]), text(rng.randrange(1, 30))) for k in range(n)]
+    chunks += [(n, "a", [1], None), (n + 1, "a", [1], ""), (n + 2, None, [1], "the w1"), (n + 3, "c", [1], "the the the")]
+    asked = [(k, rng.choice(["a", "b", "c", "none"]), rng.choice([1, 2]), text(rng.randrange(0, 9))) for k in range(q)]
+    return asked + [(q, "a", 1, None), (q + 1, None, 1, "the")], chunks
+
+
+def frames(spark, asked, chunks, parts):
+    questions = spark.createDataFrame(asked, "qid long, tenant_id string, role_id int, question string")
+    return questions, spark.createDataFrame(chunks, "point_id long, tenant_id string, accessed_role array<int>, content string").repartition(parts)
+
+
+def test_sparse_like_every_pair_scored(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    asked, chunks = sparse_rows(random.Random(2), 400, 60)
+    questions, held = frames(spark, asked, chunks, 3)
+    try:
+        for size, n in (("10000", 5), ("20", 5), ("20", 1000)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert sorted(map(tuple, R.sparse_topk(questions, held, n).collect())) == plain_sparse(asked, chunks, n)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert R.sparse_topk(questions.where("qid < 0"), held, 5).count() == 0
+    assert R.sparse_topk(questions, held.where("point_id < 0"), 5).count() == 0
+
+
+def test_pairs_fall_with_stop_words_and_hundred_times_the_questions(spark):
+    rng = random.Random(9)
+    chunks = [(k, "a", [1], " ".join(["the", "of", *(f"w{rng.randrange(300)}" for _ in range(6))])) for k in range(6000)]
+    few = [(k, "a", 1, f"the of w{k % 300} w{(k * 7 + 1) % 300}") for k in range(8)]
+    many = [(100 * k + q, t, r, x) for k in range(100) for q, t, r, x in few]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    try:
+        for asked in (few, many):
+            made = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+            questions, held = frames(spark, asked, chunks, 1)
+            rows = R.sparse_topk(questions, held, 10, made).collect()
+            assert len(rows) == 10 * len(asked)
+            assert made[0].value < 0.25 * made[1].value, (made[0].value, made[1].value)
+        assert sorted(tuple(r) for r in rows if r.qid < 8) == plain_sparse(few, chunks, 10)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
 def test_dense_keeps_the_best_over_batches(spark):
