@@ -4,7 +4,7 @@ Texts are lower-cased (A-Z) and read in runs, with one space between words. Pref
 Rabin-Karp fingerprint of every run of words as one difference, so all n-grams of a run are hashed by a few passes
 of numpy. Tasks count fingerprints, and the shuffle adds the counts up, with a pointer to the first row that has one and the sum
 of a second, independent hash of its words over all occurrences. Only frequent fingerprints go on: what
-holds one rare part is rare itself, so words and pairs come first, then triples of frequent pairs, then longer phrases of
+holds one rare part is rare itself, so words come first, then pairs of frequent words, triples of frequent pairs, and longer phrases of
 frequent triples. Which fingerprints are frequent is told to all tasks as a bitmap of a fixed size; it may say yes to too
 many, never to too few.
 
@@ -28,7 +28,9 @@ from folio.llm.common import freed, read, written
 
 WORDS, LEAST, TOP = 5, 100, 2000
 #: Bytes of text that are hashed together, fingerprints and languages that a task holds before it passes them on.
-RUN, HELD, HELD_LANGS = 1 << 20, 1 << 20, 300_000
+RUN, HELD, HELD_LANGS = 1 << 19, 1 << 19, 300_000
+#: Rows that go to Spark at once.
+SENT_ROWS = 1 << 16
 #: The bitmap has 2 ** BITS bits (32 MB) at any size of the corpus, in rows of CELL bits.
 BITS, CELL = 28, 1 << 15
 #: Languages whose totals are sent to all tasks; more are joined by a shuffle.
@@ -200,8 +202,10 @@ def _counted(sizes: list[int], sent, known: int, width: int):
     """COUNTED: fingerprints with their counts, and words by language (fp is null) when words are counted."""
     names = [c.split(" ")[0] for c in COUNTED.split(", ")]
 
-    def out(fp: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.nulls(len(fp), pa.string()), *map(pa.array, (fp.view(np.int64), *more))], names)
+    def out(fp: np.ndarray, *more: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k in range(0, len(fp), SENT_ROWS):
+            part = [x[k : k + SENT_ROWS] for x in (fp.view(np.int64), *more)]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(part[0]), pa.string()), *map(pa.array, part)], names)
 
     def words(totals: dict[str, int]) -> pa.RecordBatch:
         n = len(totals)
@@ -227,10 +231,10 @@ def _counted(sizes: list[int], sent, known: int, width: int):
                 held = [_grouped(*map(np.concatenate, zip(*held, strict=True)))]
                 pending = len(held[0][0])
                 if pending > HELD:
-                    yield out(*held[0])
+                    yield from out(*held[0])
                     held, pending = [], 0
         if held:
-            yield out(*_grouped(*map(np.concatenate, zip(*held, strict=True))))
+            yield from out(*_grouped(*map(np.concatenate, zip(*held, strict=True))))
         if totals:
             yield words(totals)
 
@@ -331,7 +335,7 @@ def _phrases(docs: DataFrame, words: int, least: int, width: int) -> tuple[DataF
     rows = table.select(F.col("rid").alias("doc_id"), "lang", "text")
     found, bits, known, sent = [], None, 0, None
     sums = [F.sum("n").alias("n"), F.min("rid").alias("rid"), F.try_sum("mark").alias("mark")]
-    for sizes in [s for s in ([1, 2], [3], list(range(4, words + 1))) if s and s[0] <= words]:
+    for sizes in [s for s in ([1], [2], [3], list(range(4, words + 1))) if s and s[0] <= words]:
         counts = rows.mapInArrow(_counted(sizes, sent, known, width), COUNTED)
         found.append(written(counts.groupBy("lang", "fp").agg(*sums).where(F.col("lang").isNotNull() | (F.col("n") >= least))))
         if sizes[-1] < words:
