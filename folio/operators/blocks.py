@@ -1,8 +1,7 @@
-"""The structure of Markdown documents, from their lines.
+"""The structure of Markdown documents: their blocks (markdown.py), and what blocks hold.
 
-Supported: ATX headings, fenced code, pipe tables, bullet and numbered lists nested by two spaces a level, inline
-images, `<!-- slide: ... -->` directives, and paragraphs. Setext headings, indented code, block quotes and raw HTML
-count as paragraphs. Emphasis, code and link marks go from the text of headings, paragraphs and list items.
+Lists are nested by two spaces a level; images and `<!-- slide: ... -->` directives are found in paragraphs. Emphasis, code and
+link marks go from the text of headings, paragraphs and list items.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.operators.chunking import FENCE
+from folio.operators.markdown import each_document, parse
 
 UNTITLED = "Untitled Presentation"
 CODE_CHARS, DEPTHS = 2400, 6
@@ -27,24 +26,8 @@ def plain(text: Column) -> Column:
 
 
 def line_blocks(docs: DataFrame, key: str = "doc_id", text: str = "md") -> DataFrame:
-    """key, line_no (the first), kind, lines: runs of lines of one kind; one shuffle by document."""
-    upto = Window.partitionBy(key).orderBy("n")
-    lines = docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("n", "line"))
-    fence = F.ltrim("line").startswith(FENCE)
-    lines = lines.withColumn("fence", fence).withColumn("fences", F.sum(fence.cast("int")).over(upto))
-    kind = (
-        F.when(F.col("fence") | (F.col("fences") % 2 == 1), "code")
-        .when(F.trim("line") == "", "blank")
-        .when(F.col("line").rlike(r"^#{1,6}[ \t]+"), "heading")
-        .when(F.col("line").rlike(r"^\|.*\|\s*$"), "table")
-        .when(F.col("line").rlike(ITEM), "list")
-        .otherwise("paragraph")
-    )
-    lines = lines.withColumn("kind", kind).withColumn("code_no", F.when(F.col("kind") == "code", F.floor((F.col("fences") + 1) / 2)).otherwise(0))
-    same = (F.col("kind") == F.lag("kind").over(upto)) & (F.col("code_no") == F.lag("code_no").over(upto)) & (F.col("kind") != "heading")
-    numbered = lines.withColumn("new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("new").over(upto))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x.line)
-    return numbered.where("kind <> 'blank'").groupBy(key, "run").agg(F.min("n").alias("line_no"), F.first("kind").alias("kind"), ordered.alias("lines")).drop("run")
+    """key, line_no (the first), kind, lines of each block, as markdown.parse gives them; no shuffle."""
+    return each_document(docs, key, text, lambda md: parse(md)[0], "line_no int, kind string, lines array<string>")
 
 
 def list_items(lined: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -104,11 +87,10 @@ def extract_blocks(docs: DataFrame, key: str = "doc_id", text: str = "md") -> Da
     texts = list_text(list_items(lined, key), key)
     tables = extract_tables(lined, key).select(key, "line_no", F.col("text").alias("table_text"), "headers", "rows")
     first = F.col("lines")[0]
-    closed = (F.size("lines") > 1) & F.ltrim(F.element_at("lines", -1)).startswith(FENCE)
-    code = F.array_join(F.slice("lines", F.lit(2), F.size("lines") - 1 - closed.cast("int")), "\n")
+    code = F.regexp_replace(F.array_join(F.slice("lines", F.lit(2), F.size("lines") - 2), "\n"), r"^\s+|\s+$", "")
     parts = (
-        F.when(F.col("kind") == "heading", F.array(_block("heading", plain(F.regexp_replace(first, r"^#{1,6}[ \t]+|[ \t]+#*[ \t]*$", "")), level=F.length(F.regexp_extract(first, r"^(#{1,6})", 1)))))
-        .when(F.col("kind") == "code", F.array(_block("code", code, language=F.trim(F.regexp_replace(first, r"^\s*`+", "")))))
+        F.when(F.col("kind") == "heading", F.array(_block("heading", plain(F.regexp_replace(first, r"^#{1,6}(?:[ \t]+|$)|[ \t]+#*[ \t]*$", "")), level=F.length(F.regexp_extract(first, r"^(#{1,6})", 1)))))
+        .when(F.col("kind") == "code", F.array(_block("code", code, language=F.substring(first, 4, 1 << 30))))
         .when(F.col("kind") == "list", F.array(_block("list", F.col("list_text"))))
         .when(F.col("kind") == "table", F.array(_block("table", F.col("table_text"))))
         .otherwise(_paragraph_parts())

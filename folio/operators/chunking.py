@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from folio.functions.text import token_count
 from folio.operators.index import chunk_id
+from folio.operators.markdown import each_document, sections
 from folio.operators.packing import number_groups
 
 SMALL, IDEAL, LARGE, CAP, OVERLAP = 200, 700, 1200, 1500, 100
 #: Characters of a structural piece.
 PIECE = 2000
-FENCE = "```"
 
 
 def _joined(order: str, text: Column | str, by: str) -> Column:
@@ -29,23 +29,15 @@ def isolate_tables(text: Column | str) -> Column:
     return F.regexp_replace(text, r"(?m)((?:^\|.*\|$\n)*^\|.*\|$)\n?", "\n\n$1\n\n")
 
 
-def split_headers(docs: DataFrame, key: str = "doc_id", text: str = "md") -> DataFrame:
-    """key, section, h1, h2, content: a section from each # or ## line on, without those in code fences.
+def split_headers(docs: DataFrame, key: str = "doc_id", text: str = "md", levels: int = 2) -> DataFrame:
+    """key, section, h1 to h{levels}, content: a section from each header line of those levels on, without those in code fences.
 
-    The header's line stays in the text; a new H1 ends the H2; sections without text are left out; nulls for
+    The header's line stays in the text; a new header ends those of deeper levels; sections without text are left out; nulls for
     headers that are not there.
     """
-    lines = docs.select(key, F.posexplode(F.split(text, "\n")).alias("n", "line"))
-    upto = Window.partitionBy(key).orderBy("n")
-    fenced = F.sum(F.ltrim("line").startswith(FENCE).cast("int")).over(upto) % 2 == 1
-    lines = lines.withColumn("level", F.when(~fenced, F.nullif(F.length(F.regexp_extract("line", r"^(#{1,2})[ \t]+\S", 1)), F.lit(0))))
-    title = F.trim(F.regexp_replace("line", r"^#{1,2}[ \t]+|[ \t]+#*[ \t]*$", ""))
-    headed = lines.withColumn("head", F.when(F.col("level").isNotNull(), F.struct("level", title.alias("title"))))
-    last = F.last("head", ignorenulls=True).over(upto)
-    one = F.last(F.when(F.col("level") == 1, title), ignorenulls=True).over(upto)
-    placed = headed.select(key, "n", "line", F.count("level").over(upto).alias("section"), one.alias("h1"), F.when(last.level == 2, last.title).alias("h2"))
-    parts = placed.groupBy(key, "section").agg(F.first("h1").alias("h1"), F.first("h2").alias("h2"), F.regexp_replace(_joined("n", "line", "\n"), r"^\s+|\s+$", "").alias("content"))
-    return parts.where("content <> ''")
+    names = [f"h{k + 1}" for k in range(levels)]
+    rows = lambda md: [(k, *heads, content) for k, heads, content in sections(md, levels)]
+    return each_document(docs, key, text, rows, ", ".join(["section long", *(f"{n} string" for n in names), "content string"]))
 
 
 def structural_pieces(text: Column | str, size: int = PIECE) -> Column:

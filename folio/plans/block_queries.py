@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from folio.functions.text import token_count
 from folio.operators import blocks as B
 from folio.operators import digests as G
+from folio.plans.markdown_sql import blocks_sql
 from folio.sources.fixtures import fixture, oracle, table
 
 MD = "fx_md"
@@ -72,13 +73,7 @@ QUERIES = {
 _PLAIN = r"trim(regexp_replace(regexp_replace({0}, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '[*`]+|__', '', 'g'))"
 _IMG, _DIR, _ITEM = r"'!\[([^\]]*)\]\(([^)\s]+)[^)]*\)'", r"'<!--\s*slide:\s*(.*?)\s*-->'", r"'^\s*(?:[-*+]|\d{1,9}[.)])\s+'"
 #: Lines, then runs of lines of one kind (lb), list items (li), tables (tb), blocks (bl), and blocks with paths (bp).
-_CHAIN = rf"""ln as (select doc_id, unnest(l) as line, generate_subscripts(l, 1) - 1 as n from (select doc_id, string_split(md, chr(10)) as l from fx_md)),
-  l1 as (select *, ltrim(line) like '```%' as fence, sum((ltrim(line) like '```%')::int) over (partition by doc_id order by n) as fences from ln),
-  l2 as (select *, case when fence or fences % 2 = 1 then 'code' when trim(line) = '' then 'blank' when regexp_matches(line, '^#{{1,6}}[ \t]+') then 'heading' when regexp_matches(line, '^\|.*\|\s*$') then 'table' when regexp_matches(line, {_ITEM}) then 'list' else 'paragraph' end as kind from l1),
-  l3 as (select *, case when kind = 'code' then (fences + 1) // 2 else 0 end as code_no from l2),
-  l4 as (select *, case when kind = lag(kind) over w and code_no = lag(code_no) over w and kind <> 'heading' then 0 else 1 end as new from l3 window w as (partition by doc_id order by n)),
-  l5 as (select *, sum(new) over (partition by doc_id order by n) as run from l4),
-  lb as (select doc_id, min(n)::int as line_no, any_value(kind) as kind, list(line order by n) as lines from l5 where kind <> 'blank' group by doc_id, run),
+_CHAIN = rf"""{blocks_sql("select doc_id, md from fx_md")},
   i1 as (select doc_id, line_no, unnest(lines) as line, generate_subscripts(lines, 1) - 1 as item from lb where kind = 'list'),
   i2 as (select doc_id, line_no, item::int as item, least(5, length(regexp_extract(line, '^(\s*)', 1)) // 2)::int as depth, regexp_extract(line, '^\s*(\d{{1,9}})[.)]', 1) <> '' as ordered, try_cast(nullif(regexp_extract(line, '^\s*(\d{{1,9}})[.)]', 1), '') as int) as mark, {_PLAIN.format(f"regexp_replace(line, {_ITEM}, '')")} as text from i1),
   i3 as (select a.*, (select count(*) from i2 b where b.doc_id = a.doc_id and b.line_no = a.line_no and b.item <= a.item and b.depth < a.depth) as parent from i2 a),
@@ -88,8 +83,8 @@ _CHAIN = rf"""ln as (select doc_id, unnest(l) as line, generate_subscripts(l, 1)
     from (select *, list_transform(string_split(regexp_replace(trim(lines[1]), '^\||\|$', '', 'g'), '|'), lambda c: trim(c)) as hs from lb where kind = 'table')),
   pt as (select *, array_to_string(lines, chr(10)) as t from lb where kind = 'paragraph'),
   b0 as (
-    select doc_id, line_no, 0 as part, 'heading' as kind, {_PLAIN.format(r"regexp_replace(lines[1], '^#{1,6}[ \t]+|[ \t]+#*[ \t]*$', '', 'g')")} as text, length(regexp_extract(lines[1], '^(#{{1,6}})', 1))::int as level, null as language, null as url, null as alt from lb where kind = 'heading'
-    union all select doc_id, line_no, 0, 'code', array_to_string(case when len(lines) > 1 and ltrim(lines[-1]) like '```%' then lines[2:len(lines) - 1] else lines[2:] end, chr(10)), null, trim(regexp_replace(lines[1], '^\s*`+', '')), null, null from lb where kind = 'code'
+    select doc_id, line_no, 0 as part, 'heading' as kind, {_PLAIN.format(r"regexp_replace(lines[1], '^#{1,6}(?:[ \t]+|$)|[ \t]+#*[ \t]*$', '', 'g')")} as text, length(regexp_extract(lines[1], '^(#{{1,6}})', 1))::int as level, null as language, null as url, null as alt from lb where kind = 'heading'
+    union all select doc_id, line_no, 0, 'code', regexp_replace(array_to_string(lines[2:len(lines) - 1], chr(10)), '^\s+|\s+$', '', 'g'), null, substr(lines[1], 4), null, null from lb where kind = 'code'
     union all select doc_id, line_no, 0, 'list', list_text, null, null, null, null from lt
     union all select doc_id, line_no, 0, 'table', text, null, null, null, null from tb
     union all select doc_id, line_no, 0, 'paragraph', p, null, null, null, null from (select *, {_PLAIN.format(rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, {_IMG}, '', 'g'), {_DIR}, '', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{2,}}|[ \t]{{2,}}', ' ', 'g')")} as p from pt) where p <> ''

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.text import token_count
 from folio.operators import chunking as K
+from folio.plans.markdown_sql import lines_sql
 from folio.sources.fixtures import fixture, oracle, table
 
 MD = "fx_md"
@@ -36,11 +37,10 @@ _ISOLATED = r"regexp_replace(md, '(?m)((?:^\|.*\|$\n)*^\|.*\|$)\n?', chr(10) ||
 
 
 def _headers(source: str) -> str:
-    return rf"""select doc_id, section, first(h1) as h1, first(h2) as h2, content from (select doc_id, section, any_value(h1) as h1, any_value(h2) as h2, regexp_replace(string_agg(line, chr(10) order by n), '^\s+|\s+$', '', 'g') as content from (
+    return rf"""with recursive {lines_sql(source)} select doc_id, section, first(h1) as h1, first(h2) as h2, content from (select doc_id, section, any_value(h1) as h1, any_value(h2) as h2, regexp_replace(string_agg(line, chr(10) order by n), '^\s+|\s+$', '', 'g') as content from (
       select doc_id, n, line, count(level) over w as section, last_value(case when level = 1 then title end ignore nulls) over w as h1,
         case when last_value(level ignore nulls) over w = 2 then last_value(case when level is not null then title end ignore nulls) over w end as h2
-      from (select *, case when fence % 2 = 0 and regexp_matches(line, '^#{{1,2}}[ \t]+\S') then case when line like '##%' then 2 else 1 end end as level, trim(regexp_replace(line, '^#{{1,2}}[ \t]+|[ \t]+#*[ \t]*$', '', 'g')) as title from (
-        select *, sum(case when ltrim(line) like '```%' then 1 else 0 end) over (partition by doc_id order by n) as fence from (select doc_id, unnest(l) as line, generate_subscripts(l, 1) as n from (select doc_id, string_split(md, chr(10)) as l from ({source})))))
+      from (select *, case when not code and regexp_matches(line, '^#{{1,2}}[ \t]+\S') then case when line like '##%' then 2 else 1 end end as level, trim(regexp_replace(line, '^#{{1,2}}[ \t]+|[ \t]+#*[ \t]*$', '', 'g')) as title from md_lines)
       window w as (partition by doc_id order by n)) group by doc_id, section) where content <> '' group by doc_id, section, content"""
 
 

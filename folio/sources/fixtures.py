@@ -25,7 +25,15 @@ from benchmark cross join (select 0 as n union all select 1 union all select 2 u
   || case when doc_id % 7 = 0 then '```sql' || chr(10) || '# not a header' || chr(10) || 'select 1' || chr(10) || '```' || chr(10) || chr(10) else '' end
   || case when doc_id % 4 = 1 then 'See ![alt ' || lang || '](img/' || cast(doc_id as string) || '.png) <!-- slide: break -->' || chr(10) || chr(10) else '' end
   || case when doc_id % 8 = 2 then '# second' || chr(10) || chr(10) else '' end
-  || substr(text, cast(floor(n_chars / 2) as int) + 1) as md
+  || case doc_id % 11
+    when 3 then '~~~~ python x' || chr(10) || '```' || chr(10) || '# not a header' || chr(10) || '~~~' || chr(10) || '  two' || chr(10) || '~~~~' || chr(10) || chr(10)
+    when 5 then '    code' || chr(10) || chr(10) || '      more' || chr(10) || chr(10) || 'text' || chr(10) || '    lazy' || chr(10) || chr(10)
+    when 7 then 'Title in' || chr(10) || 'two lines' || chr(10) || '=====' || chr(10) || chr(10) || 'Sub' || chr(10) || '---' || chr(10) || chr(10)
+    when 9 then '> quoted' || chr(10) || '> more' || chr(10) || 'lazy' || chr(10) || '>' || chr(10) || '> - item' || chr(10) || '> ~~~' || chr(10) || '> # code' || chr(10) || '> ~~~' || chr(10) || '> ## inner' || chr(10) || chr(10)
+    when 1 then '***' || chr(10) || '- x' || chr(10) || 'goes on' || chr(10) || chr(10) || '- y' || chr(10) || '  and on' || chr(10) || chr(10) || '7) z' || chr(10) || chr(10) || '> ```' || chr(10) || '> open' || chr(10) || 'out' || chr(10) || chr(10)
+    else '' end
+  || substr(text, cast(floor(n_chars / 2) as int) + 1)
+  || case when doc_id % 12 = 7 then chr(10) || '~~~' || chr(10) || '# never closed' else '' end as md
 from documents""",
     "fx_vec": r"""select vec_id, embedding, 't' || cast(label % 3 as string) as tenant_id,
        case when vec_id % 2 = 0 then '1,2' else '2,3' end as roles_csv
@@ -111,4 +119,5 @@ def oracle(sql: str, *names: str) -> str:
     """sql after the named fixtures as common table expressions."""
     parts = ", ".join(f"{n} as ({FIXTURES[n]})" for n in names)
     sql = sql.strip()
+    sql = sql.replace("with recursive ", "with ", 1) if sql.startswith("with recursive ") else sql
     return f"with recursive {parts}, {sql[5:]}" if sql.startswith("with ") else f"with recursive {parts} {sql}"
