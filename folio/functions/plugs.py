@@ -36,6 +36,18 @@ def vectorize(rows: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarr
     return rows.withColumn(name, encode(text))
 
 
+def count_tokens(rows: DataFrame, load: Callable[[], Callable[[list[str]], list[int]]], text: str = "text", name: str = "tokens") -> DataFrame:
+    """rows with the token counts of a tokenizer, in place of text.token_count; load() runs once in each worker. A null text has none."""
+
+    @F.pandas_udf("int")
+    def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for batch in batches:
+            yield pd.Series(model(batch.fillna("").tolist()), index=batch.index, dtype="int32")
+
+    return rows.withColumn(name, count(text))
+
+
 def score_pairs(rows: DataFrame, load: Callable[[], Callable[[list[str], list[str]], np.ndarray]], left: str = "question", right: str = "content", name: str = "score") -> DataFrame:
     """rows with the scores of a pair scorer; load() runs once in each worker."""
 

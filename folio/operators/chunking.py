@@ -7,6 +7,8 @@ Sizes are in estimated tokens (functions.text.token_count). All of it is column
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,26 +93,44 @@ def merge_small(sections: DataFrame, key: str, idx: str, keep: tuple[str, ...] =
     return sections.join(ids.hint("merge"), [key, idx]).groupBy(key, "merged").agg(F.min(idx).alias("idx"), F.count(F.lit(1)).cast("int").alias("n_sections"), *first, _joined(idx, "content", "\n\n").alias("content"))
 
 
-def split_semantic(sections: DataFrame, by: tuple[str, ...], least: int = LARGE) -> DataFrame:
-    """by, part, content: sections of more than `least` tokens cut where the words of neighbouring sentences differ.
-
-    The distance of two neighbours is 1 less the cosine of their term counts; a cut falls after a sentence whose
-    distance's gradient (central differences) lies above the section's 95th percentile. Other sections are left out.
-    """
+def _term_cosines(sentences: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """by, n, cosine of the term counts of each sentence and the next one; none for the last."""
     from folio.functions.text import terms
 
-    long = sections.where(token_count("content") > least)
-    sentences = long.select(*by, F.posexplode(F.split("content", r"(?<=[.!?])\s+")).alias("n", "sentence"))
     counts = sentences.select(*by, "n", F.explode(terms("sentence")).alias("term")).groupBy(*by, "n", "term").agg(F.count(F.lit(1)).cast("double").alias("c"))
     norms = counts.groupBy(*by, "n").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
     after = counts.select(*by, (F.col("n") - 1).alias("n"), "term", F.col("c").alias("c2"))
     dots = counts.join(after.hint("merge"), [*by, "n", "term"]).groupBy(*by, "n").agg(F.sum(F.col("c") * F.col("c2")).alias("dot"))
     order = Window.partitionBy(*by).orderBy("n")
+    rows = sentences.select(*by, "n", "sentence").join(norms.hint("merge"), [*by, "n"], "left").join(dots.hint("merge"), [*by, "n"], "left").withColumn("norm2", F.lead("norm").over(order))
+    return rows.select(*by, "n", "sentence", F.coalesce(F.col("dot") / (F.col("norm") * F.col("norm2")), F.lit(0.0)).alias("cosine"))
+
+
+def _vector_cosines(sentences: DataFrame, by: tuple[str, ...], load: Callable) -> DataFrame:
+    """The same from an encoder's vectors: each sentence is encoded once, in batches, and meets the next one's vector in the window's order."""
+    from folio.functions.plugs import vectorize
+
+    order = Window.partitionBy(*by).orderBy("n")
+    rows = vectorize(sentences.select(*by, "n", "sentence"), load, "sentence", "v").withColumn("w", F.lead("v").over(order))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    norm = F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("w"), F.col("w")))
+    return rows.select(*by, "n", "sentence", F.coalesce(dot(F.col("v"), F.col("w")) / F.nullif(norm, F.lit(0.0)), F.lit(0.0)).alias("cosine"))
+
+
+def split_semantic(sections: DataFrame, by: tuple[str, ...], least: int = LARGE, load: Callable | None = None) -> DataFrame:
+    """by, part, content: sections of more than `least` tokens cut where neighbouring sentences differ.
+
+    The distance of two neighbours is 1 less the cosine of their vectors: of term counts, or of an encoder's where load is given (as
+    plugs.vectorize takes it). A cut falls after a sentence whose
+    distance's gradient (central differences) lies above the section's 95th percentile. Other sections are left out.
+    """
+    long = sections.where(token_count("content") > least)
+    sentences = long.select(*by, F.posexplode(F.split("content", r"(?<=[.!?])\s+")).alias("n", "sentence"))
+    rows = _vector_cosines(sentences, by, load) if load else _term_cosines(sentences, by)
+    order = Window.partitionBy(*by).orderBy("n")
     whole = Window.partitionBy(*by)
-    rows = sentences.join(norms.hint("merge"), [*by, "n"], "left").join(dots.hint("merge"), [*by, "n"], "left").withColumn("norm2", F.lead("norm").over(order))
-    cosine = F.coalesce(F.col("dot") / (F.col("norm") * F.col("norm2")), F.lit(0.0))
     rows = rows.withColumn("pairs", F.count(F.lit(1)).over(whole) - 1)
-    rows = rows.withColumn("distance", F.when(F.col("n") < F.col("pairs"), F.round(1 - cosine, 9)))
+    rows = rows.withColumn("distance", F.when(F.col("n") < F.col("pairs"), F.round(1 - F.col("cosine"), 9)))
     before, behind = F.lag("distance").over(order), F.lead("distance").over(order)
     slope = F.when(behind.isNull(), F.col("distance") - before).when(before.isNull(), behind - F.col("distance")).otherwise((behind - before) / 2)
     rows = rows.withColumn("slope", F.when(F.col("distance").isNotNull(), F.round(F.coalesce(slope, F.lit(0.0)), 9)))

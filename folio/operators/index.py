@@ -25,13 +25,19 @@ def delete_documents(current: DataFrame, documents: DataFrame) -> DataFrame:
     return current.join(documents.select("tenant_id", "src_file").distinct(), ["tenant_id", "src_file"], "left_anti")
 
 
-def write_index(chunks: DataFrame, path: str, shards: int = 2) -> None:
-    """Folders by tenant; within them files sorted by src_file, so a file filter skips row groups.
+#: Rows of a file of the index.
+FILE_ROWS = 1_000_000
 
-    A tenant's rows go to `shards` tasks at least, so one large tenant is no single task.
+
+def write_index(chunks: DataFrame, path: str, file_rows: int = FILE_ROWS, **options: str) -> None:
+    """Folders by tenant; within them files by ranges of src_file and sorted by it, so a file filter skips files' row groups.
+
+    Rows are counted first and dealt by ranges of (tenant, file) of about file_rows, so a tenant has as many tasks and files as its
+    rows need: a large one is no single task, and small ones share one.
     """
-    dealt = chunks.withColumn("_shard", F.pmod(F.xxhash64("src_file"), F.lit(shards)))
-    dealt.repartition("tenant_id", "_shard").sortWithinPartitions("tenant_id", "src_file").drop("_shard").write.mode("overwrite").partitionBy("tenant_id").parquet(path)
+    parts = max(1, -(-chunks.count() // file_rows))
+    dealt = chunks.repartitionByRange(parts, "tenant_id", "src_file").sortWithinPartitions("tenant_id", "src_file")
+    dealt.write.mode("overwrite").partitionBy("tenant_id").options(**options).parquet(path)
 
 
 def as_chunks(docs: DataFrame) -> DataFrame:

@@ -83,8 +83,18 @@ def _markdown(s, d):
     return files.select(F.element_at(F.split(path, "/"), 2).alias("tenant_id"), path.alias("path"), F.col("length").cast("int").alias("size"), F.md5("content").alias("md5"))
 
 
+def _texts(s, d):
+    """Documents as files of several names; some empty, some with a byte that is no UTF-8."""
+    kind = F.element_at(F.array(*(F.lit(x) for x in (".md", ".TXT", ".markdown", ".pdf", "", ".md.exe"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    bad, body = F.expr("unhex('C328')"), F.col("text").cast("binary")
+    content = F.when(F.col("doc_id") % 7 == 3, F.concat(body, bad)).when(F.col("doc_id") % 11 == 5, F.expr("cast('' as binary)")).otherwise(body)
+    files = table(s, d, "documents").select("doc_id", F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), kind).alias("filename"), content.alias("content"))
+    return files.withColumn("size_bytes", F.octet_length("content").cast("long"))
+
+
 QUERIES = {
     "a1_upload_gate": lambda s, d: A.upload_gate(fixture(s, d, "fx_file"), "pdf").select("page_id", "filename", "size_bytes", "reject_reason"),
+    "a1_upload_gate_markdown": lambda s, d: A.upload_gate(_texts(s, d), "markdown").select("doc_id", "filename", "size_bytes", "reject_reason"),
     "a2_parse_role_list": lambda s, d: fixture(s, d, "fx_file").select("page_id", A.parse_roles("roles_csv").alias("roles")),
     "a3_relational_scan": lambda s, d: A.read_table(s, {"path": f"{d}/customer.parquet"}, "c_custkey long", "parquet").where("c_acctbal > 0").select("c_custkey", "c_name", "c_nationkey"),
     "a4_markdown_sink": _markdown,
@@ -128,6 +138,9 @@ ORACLES = {
           from (select conv_id, text, row_number() over (partition by conv_id order by turn) as i from conversations where role = 'system') group by conv_id) s on s.qid = c.qid where c.qid <> 'none'""",
         CONV,
     ),
+    "a1_upload_gate_markdown": """with f as (select doc_id, 'doc_' || doc_id || (['.md', '.TXT', '.markdown', '.pdf', '', '.md.exe'])[doc_id % 6 + 1] as filename,
+        case when doc_id % 7 = 3 then octet_length(encode(text)) + 2 when doc_id % 11 = 5 then 0 else octet_length(encode(text)) end::bigint as size_bytes from documents)
+        select *, case when not regexp_matches(lower(filename), '\\.(md|markdown|txt)$') then 'suffix' when size_bytes = 0 then 'empty' when size_bytes > 5242880 then 'too_large' when doc_id % 7 = 3 then 'not_utf8' end as reject_reason from f""",
     "a1_upload_gate": oracle("select page_id, filename, size_bytes, case when filename = '' then 'no_name' when not lower(filename) like '%.pdf' then 'suffix' when size_bytes > 52428800 then 'too_large' end as reject_reason from fx_file", "fx_file"),
     "a2_parse_role_list": oracle("select page_id, case when len(list_filter(l, lambda x: x is null)) = 0 then l end as roles from (select page_id, list_transform(string_split(roles_csv, ','), lambda x: try_cast(trim(x) as int)) as l from fx_file)", "fx_file"),
     "a3_relational_scan": "select c_custkey, c_name, c_nationkey from customer where c_acctbal > 0",

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyarrow import fs
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folio.sources.shared import new_folder
+
 PDF_BYTES, MARKDOWN_BYTES = 50 * 1024 * 1024, 5 * 1024 * 1024
 MARKDOWN_SUFFIXES = (".md", ".markdown", ".txt")
 
@@ -41,11 +44,36 @@ def text_gate(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"question_reason": question, "content_reason": content, "relevance_reason": relevance})
 
 
+def scan_uploads(spark: SparkSession, folder: str, kind: str) -> DataFrame:
+    """path, filename, size_bytes, reject_reason, content of the files under folder; content of accepted ones alone.
+
+    Names and lengths decide first and no content is read for that. Only Markdown files that pass are then opened, with the size
+    limit pushed to the source, so a file that is too large never is; a PDF's content is not judged. Spark's source does not list
+    empty files, so these have no row.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    name = F.element_at(F.split("path", "/"), -1)
+    listed = files.select("path", name.alias("filename"), F.col("length").alias("size_bytes"))
+    first = upload_gate(listed, kind)
+    limit = PDF_BYTES if kind == "pdf" else MARKDOWN_BYTES
+    opened = files.where(f"length <= {limit}").select("path", name.alias("filename"), F.col("length").alias("size_bytes"), "content")
+    late = upload_gate(opened.where(_named(kind)), kind).select("path", "filename", "size_bytes", "reject_reason", F.when(F.col("reject_reason").isNull(), F.col("content")).alias("content"))
+    return first.where("reject_reason is not null").withColumn("content", F.lit(None).cast("binary")).select(*late.columns).unionByName(late)
+
+
+def _named(kind: str) -> Column:
+    """Whether a file (filename, size_bytes) passes the rules for name and length."""
+    name = F.coalesce("filename", F.lit(""))
+    suffix = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
+    if kind == "pdf":
+        return (name != "") & (suffix == ".pdf") & ~(F.col("size_bytes") > PDF_BYTES)
+    return suffix.isin(*MARKDOWN_SUFFIXES) & ~(F.col("size_bytes") == 0) & ~(F.col("size_bytes") > MARKDOWN_BYTES)
+
+
 def read_table(spark: SparkSession, options: dict[str, str], schema: str, fmt: str = "jdbc") -> DataFrame:
     """A business table; if it can't be read, an empty one of that schema.
 
-    For jdbc, options with partitionColumn, lowerBound, upperBound and numPartitions read in parallel, and filters
-    reach the source. What fails only when rows are read does so there.
+    For jdbc, filters and columns reach the source. What fails only when rows are read does so there; scan_table reads within.
     """
     try:
         return spark.read.format(fmt).options(**options).load()
@@ -53,6 +81,43 @@ def read_table(spark: SparkSession, options: dict[str, str], schema: str, fmt: s
         return spark.createDataFrame([], schema)
 
 
+def scan_table(spark: SparkSession, options: dict[str, str], schema: str, key: str | None = None, partitions: int = 8, where: str | None = None, columns: list[str] | None = None, accuracy: float = 0.01) -> DataFrame:
+    """A business table read through JDBC into the shared folder; if anything fails, also while rows are read, an empty one of that schema.
+
+    options are those of Spark's jdbc source (url, dbtable, driver, ...). With key, the rows come in `partitions` ranges of
+    near equal counts, however skewed the key is: their bounds are quantiles of the key (within `accuracy`), which one scan of that column gives. Rows with
+    a null key go with the first range. where and columns reach the source.
+    """
+    try:
+        source = spark.read.format("jdbc").options(**options)
+        if key:
+            ranks = [k / partitions for k in range(1, partitions)]
+            whole = source.load()
+            name = next(c for c in whole.columns if c.lower() == key.lower())
+            cuts = whole.select(F.col(name).cast("double").alias("k")).stat.approxQuantile("k", ranks, accuracy)
+            quoted = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(options["url"]).quoteIdentifier(name)
+            ranges = _ranges(quoted, sorted(set(cuts)))
+            rest = {k: v for k, v in options.items() if k not in ("url", "dbtable")}
+            rows = spark.read.jdbc(options["url"], options["dbtable"], predicates=ranges, properties=rest)
+        else:
+            rows = source.load()
+        rows = rows.where(where) if where else rows
+        rows = rows.select(*columns) if columns else rows
+        folder = new_folder(spark, "table")
+        rows.write.parquet(folder)
+        return spark.read.schema(rows.schema).parquet(folder)
+    except (PySparkException, Py4JJavaError, StopIteration):
+        return spark.createDataFrame([], schema)
+
+
+def _ranges(key: str, cuts: list[float]) -> list[str]:
+    """Conditions that part the rows at the cuts; each row meets exactly one."""
+    if not cuts:
+        return ["1 = 1"]
+    middle = [f"{key} >= {a!r} AND {key} < {b!r}" for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [f"{key} < {cuts[0]!r} OR {key} IS NULL", *middle, f"{key} >= {cuts[-1]!r}"]
+
+
 def markdown_paths(docs: DataFrame) -> DataFrame:
     """docs (tenant_id, src_file, document_id, content) with path and size of the file each becomes."""
     stem = F.coalesce(F.nullif("document_id", F.lit("")), F.regexp_replace("src_file", r"\.[^.]*$", ""))
