@@ -359,7 +359,8 @@ CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 def _cleaned(with_text: bool):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Few rows at a time, as each has a list of spans.
+        for batch in (whole.slice(k, 128) for whole in batches for k in range(0, whole.num_rows, 128)):
             out = []
             for doc, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans").to_pylist(), strict=True):
                 text, runs, at = text.as_py(), [], 0

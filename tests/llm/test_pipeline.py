@@ -9,8 +9,8 @@ import sentencepiece
 import corpus_pipeline
 from folio.llm import quality, sentencepiece_scan
 from tests.llm.rows import HARD
+from tests.llm.test_near_copies import plain_kept
 from tests.llm.test_quality import corpus
-from tests.llm.test_simhash import plain_fingerprint, plain_groups
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -19,7 +19,7 @@ def test_run_like_plain_stages(spark, tmp_path):
     rng = random.Random(7)
     texts = [t for t, _ in corpus(rng)]
     passage = "the quick judge of seven northern harbours wrote that every lantern must be dark before the tide returns to them"
-    texts += [texts[5], texts[5] + " of", texts[9] + " " + passage + ".", texts[11] + " Mail to ann.b7@example.org or 10.1.2.3.", *HARD]
+    texts += [texts[5], texts[5] + " of", " ".join(texts[9].split()[::-1]) + " " + passage + ".", texts[11] + " Mail to ann.b7@example.org or 10.1.2.3.", *HARD]
     docs = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts, 1)]
     spark.createDataFrame(docs, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -31,8 +31,7 @@ def test_run_like_plain_stages(spark, tmp_path):
     kept = {i: t for i, t, *_ in docs if model.score((t or "").encode(), quality.statistics((t or "").encode())) >= quality.KEEP}
     assert {r.doc_id: r.text for r in good.collect()} == kept and good.columns == rows.columns
 
-    groups = plain_groups({i: plain_fingerprint(t) for i, t in kept.items()})
-    one = {i: t for i, t in kept.items() if groups[i] == i}
+    one = {i: t for i, t in kept.items() if i in plain_kept(kept)[0]}
     clean = {i: t for i, t in one.items() if passage not in (t or "")}
     assert len(clean) < len(one) < len(kept) < len(docs)
 
