@@ -33,6 +33,19 @@ TEMPLATES: dict[str, str] = {
     "LGPL-2.1": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
         Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License,
         or (at your option) any later version.""",
+    "LGPL-2.0": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
+        Library General Public License as published by the Free Software Foundation; either version 2 of the License,
+        or (at your option) any later version.""",
+    "LGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or
+        (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT
+        ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+        the GNU Lesser General Public License for more details.""",
+    "AGPL-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or
+        (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT
+        ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See
+        the GNU Affero General Public License for more details.""",
     "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of
         the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
     "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy,
@@ -64,12 +77,15 @@ TEMPLATES: dict[str, str] = {
     "CC-BY-NC-ND-4.0 (short)": "Licensed under CC BY-NC-ND 4.0.",
 }
 
-#: Words in a row that tell a long notice from others of its kind; a match must have them.
-REQUIRED: dict[str, str] = {
+#: Runs of words that tell a long notice from others of its kind; a match must have each of them, word for word.
+REQUIRED: dict[str, str | tuple[str, ...]] = {
     "Apache-2.0": "Apache License, Version 2.0",
-    "GPL-2.0": "version 2 of",
-    "GPL-3.0": "version 3 of",
-    "LGPL-2.1": "version 2.1 of",
+    "GPL-2.0": ("terms of the GNU General Public License as published", "version 2 of"),
+    "GPL-3.0": ("terms of the GNU General Public License as published", "version 3 of"),
+    "LGPL-2.0": ("terms of the GNU Library General Public License as published", "version 2 of"),
+    "LGPL-2.1": ("terms of the GNU Lesser General Public License as published", "version 2.1 of"),
+    "LGPL-3.0": ("terms of the GNU Lesser General Public License as published", "version 3 of"),
+    "AGPL-3.0": ("terms of the GNU Affero General Public License as published", "version 3 of"),
     "MPL-2.0": "Mozilla Public License, v. 2.0",
     "Apache-2.0 (full text)": "Apache License Version 2.0, January 2004",
     "CC0-1.0 (full text)": "CC0 1.0 Universal",

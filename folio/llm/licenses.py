@@ -113,11 +113,17 @@ def align(template: np.ndarray, doc: np.ndarray, shift: int) -> tuple[int, int,
     return matched, first, end
 
 
+def _has_runs(hashes: np.ndarray, runs: list[np.ndarray]) -> bool:
+    """Whether each of the runs stands somewhere in hashes."""
+    return all(any(np.array_equal(hashes[x : x + len(r)], r) for x in np.flatnonzero(hashes[: len(hashes) - len(r) + 1] == r[0])) for r in runs)
+
+
 class Index:
     def __init__(self, templates: list[tuple[str, str]]) -> None:
         self.names = [n for n, _ in templates]
         self.texts = [tokens().of(t) for _, t in templates]
-        self.required = [tokens().of(REQUIRED.get(n, "")) for n in self.names]
+        runs = (REQUIRED.get(n, ()) for n in self.names)
+        self.required = [[tokens().of(x) for x in ((r,) if isinstance(r, str) else r)] for r in runs]
         self.places: dict[int, list[tuple[int, int]]] = {}
         for k, hashes in enumerate(self.texts):
             for fp, at in zip(*(x.tolist() for x in fingerprints(hashes)), strict=True):
@@ -140,11 +146,15 @@ class Index:
             n, required = len(self.texts[k]), self.required[k]
             if n < SHORT:
                 spans = [(1.0, x, x + n) for x in sorted(set(of)) if x >= 0 and np.array_equal(hashes[x : x + n], self.texts[k])]
-            elif len(of) >= least_hits(n):
-                for shift in candidates(np.sort(np.array(of)), n):
+            elif len(of) >= least_hits(n) and _has_runs(hashes, required):
+                shifts_of = candidates(np.sort(np.array(of)), n)
+                # What stands there word for word needs no alignment, and what would overlap it can't win.
+                exact = [x for x in sorted(set(of)) if x >= 0 and np.array_equal(hashes[x : x + n], self.texts[k])]
+                spans = [(1.0, x, x + n) for x in exact if _has_runs(hashes[x : x + n], required)]
+                room = COVERAGE * n - band_of(n)
+                for shift in (s for s in shifts_of if all(abs(s - x) >= room for x in exact)):
                     matched, first, end = align(self.texts[k], hashes, shift)
-                    named = any(np.array_equal(hashes[x : x + len(required)], required) for x in range(first, end - len(required) + 1))
-                    if matched >= COVERAGE * n and named:
+                    if matched >= COVERAGE * n and _has_runs(hashes[first:end], required):
                         spans.append((matched / n, first, end))
             taken: list[tuple[float, int, int]] = []
             for span in sorted(spans, key=lambda s: (-s[0], s[1])):
@@ -154,6 +164,20 @@ class Index:
         return sorted(out, key=lambda x: (x[2], x[0]))
 
 
+#: The mark of a file's license by its identifier.
+MARK = re.compile(r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9][A-Za-z0-9.+-]*)")
+
+
+def marks(text: str) -> list[tuple[str, float, int, int, int, int]]:
+    """(license, 1, first token, end token, first character, end) of each SPDX mark: the identifier, as it stands there, is the license."""
+    found = [(m.group(1).rstrip(".") + " (SPDX)", *m.span()) for m in MARK.finditer(text)]
+    if not found:
+        return []
+    memory = tokens()
+    begins = np.array([m.start() for m in re.finditer(r"\S+", text) if memory[m.group().lower()]])
+    return [(name, 1.0, *(int(x) for x in np.searchsorted(begins, (a, b))), a, b) for name, a, b in found]
+
+
 def _characters(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Where spans of tokens begin and end in text."""
     memory = tokens()
@@ -161,7 +185,7 @@ def _characters(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]
     return [(at[a][0], at[b - 1][1]) for a, b in spans]
 
 
-def _scan(sent):
+def _scan(sent, spdx: bool):
     names = ["doc_id", "license", "coverage", "first_token", "n_tokens", "first_char", "n_chars"]
     types = (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
@@ -174,6 +198,8 @@ def _scan(sent):
                 if found := index.matches(memory.of(text)):
                     at = _characters(text, [x[2:] for x in found])
                     rows += [(doc_id, name, share, a, b - a, c, d - c) for (name, share, a, b), (c, d) in zip(found, at, strict=True)]
+                if spdx:
+                    rows += [(doc_id, name, share, a, b - a, c, d - c) for name, share, a, b, c, d in marks(text)]
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
@@ -187,7 +213,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     with a pass over docs for each. Null and empty texts match nothing, repeated rows match each, a null id is reported
     as null, and an empty table gives no rows. A document is read whole, and held by its task. Of a template's matches
     that overlap, the one of most coverage counts, and then the first; matches of different templates are all
-    reported. Characters are those of the text as it is. Other columns are not read.
+    reported. `SPDX-License-Identifier: X` gives `X (SPDX)`. Characters are those of the text as it is. Other columns are not read.
     """
     texts = docs.select(F.col("doc_id").cast("long"), whole("text").alias("text"))
     out, block, held = None, [], 0
@@ -200,7 +226,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
         held += n
         if held >= BLOCK_TOKENS or k == len(items) - 1:
             sent = docs.sparkSession.sparkContext.broadcast(Index(block))
-            found = texts.mapInArrow(_scan(sent), "doc_id long, license string, coverage double, first_token long, n_tokens long, first_char long, n_chars long")
+            found = texts.mapInArrow(_scan(sent, out is None), "doc_id long, license string, coverage double, first_token long, n_tokens long, first_char long, n_chars long")
             out, block, held = found if out is None else out.union(found), [], 0
     return out
 

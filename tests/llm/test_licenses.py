@@ -125,3 +125,32 @@ def test_full_texts_and_spans_in_the_text_as_it_is(spark):
 def test_many_hits_are_few_alignments():
     shifts = np.sort(np.concatenate([np.full(50, 7), np.arange(100_000, 100_003), np.full(3, 900)]))
     assert C.candidates(shifts, 200) == [7] and C.least_hits(20) == 1 and C.least_hits(200) == 19 and C.least_hits(40) == 3
+
+
+def test_notices_that_look_alike_are_told_apart(spark):
+    names = ["GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0"]
+    texts = ["Some program.\n" + TEMPLATES[n].replace("\n", "\n * ") + " And more." for n in names]
+    found = C.scan(docs(spark, texts)).collect()
+    assert sorted((r.doc_id, r.license) for r in found) == sorted(enumerate(names, 1))
+    assert all(r.coverage >= 0.8 for r in found)
+
+
+def test_full_texts_name_no_other_license_and_take_no_time(spark):
+    import time
+
+    index = C.Index(sorted(TEMPLATES.items()))
+    for name in ("GPL-3", "LGPL-2", "LGPL-3", "GFDL-1.3", "MPL-1.1", "Apache-2.0"):
+        hashes = C.tokens().of("Before. " + TEMPLATES[f"{name} (full text)"] + " After.")
+        began = time.process_time()
+        found = index.matches(hashes)
+        assert time.process_time() - began < 2.0
+        family = name.split("-")[0]
+        assert f"{name} (full text)" in [f[0] for f in found] and all(f[0].split("-")[0] == family for f in found), (name, found)
+
+
+def test_spdx_marks(spark):
+    texts = ["// SPDX-License-Identifier: MIT\nint x;", "# SPDX-License-Identifier: Apache-2.0", "SPDX-License-Identifier:", "* SPDX-License-Identifier: GPL-2.0-or-later. x SPDX-License-Identifier: ISC", None]
+    found = C.scan(docs(spark, texts)).collect()
+    assert sorted((r.doc_id, r.license) for r in found) == [(1, "MIT (SPDX)"), (2, "Apache-2.0 (SPDX)"), (4, "GPL-2.0-or-later (SPDX)"), (4, "ISC (SPDX)")]
+    for r in found:
+        assert texts[r.doc_id - 1][r.first_char : r.first_char + r.n_chars].startswith("SPDX-License-Identifier:")

@@ -19,7 +19,7 @@ def test_run_like_plain_stages(spark, tmp_path):
     rng = random.Random(7)
     texts = [t for t, _ in corpus(rng)]
     passage = "the quick judge of seven northern harbours wrote that every lantern must be dark before the tide returns to them"
-    texts += [texts[5], texts[5] + " of", " ".join(texts[9].split()[::-1]) + " " + passage + ".", texts[11] + " Mail to ann.b7@example.org or 10.1.2.3.", *HARD]
+    texts += [texts[5], texts[5] + " of", " ".join(texts[9].split()[::-1]) + " " + passage + ".", " ".join(texts[11].split()[::-1]) + " Mail to ann.b7@example.org or 10.1.2.3.", *HARD]
     docs = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts, 1)]
     spark.createDataFrame(docs, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
