@@ -30,7 +30,7 @@ from folio.llm.common import freed, read, without, written
 
 LEAST, GRAM = 50, 16
 #: Bytes of text that are hashed together, and surroundings that are searched together.
-RUN, ROWS = 1 << 20, 1 << 14
+RUN, ROWS = 1 << 20, 1 << 13
 #: Rows of an anchor that one task takes as they are, and distinct surroundings that it searches together.
 HOT, GROUP = 1 << 15, 1 << 14
 #: Crowded anchors that are sent to all tasks at once; more are joined by a shuffle.
@@ -132,15 +132,20 @@ def suffix_array(data: np.ndarray, begins: np.ndarray, room: np.ndarray) -> tupl
 
     A suffix has `room` bytes, and a shorter one comes before those that go on.
     """
-    most = int(room.max(initial=1))
-    rows = np.concatenate([data, np.zeros(most, np.uint8)])[begins[:, None] + np.arange(most)]
-    rows[np.arange(most) >= room[:, None]] = 0
+    if not len(begins):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    most = int(room.max())
     order = np.argsort(room, kind="stable")
-    order = order[np.argsort(np.ascontiguousarray(rows[order]).view(f"S{most}").ravel(), kind="stable")]
-    rows, room = rows[order], room[order]
-    differ = rows[1:] != rows[:-1]
-    common = np.where(differ.any(1), differ.argmax(1), most)
-    return order, np.concatenate([[0], np.minimum(common, np.minimum(room[1:], room[:-1]))]) if len(begins) else np.zeros(0, np.int64)
+    rows = np.concatenate([data, np.zeros(most, np.uint8)])[begins[order, None] + np.arange(most, dtype=np.int32)]
+    rows[np.arange(most) >= room[order, None]] = 0
+    at = np.argsort(rows.view(f"S{most}").ravel(), kind="stable")
+    order, rows = order[at], rows[at]
+    room, common = room[order], np.zeros(len(order), np.int64)
+    for k in range(1, len(rows), 1 << 15):
+        differ = rows[k : k + (1 << 15)] != rows[k - 1 : k + (1 << 15) - 1][: len(rows) - k]
+        common[k : k + (1 << 15)] = np.where(differ.any(1), differ.argmax(1), most)
+    common[1:] = np.minimum(common[1:], np.minimum(room[1:], room[:-1]))
+    return order, common
 
 
 def intervals(common: np.ndarray, left: np.ndarray, least: int) -> list[tuple[int, int, int]]:
