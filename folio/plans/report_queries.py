@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from folio.operators import report as R
 from folio.sources.fixtures import fixture, oracle
 
@@ -27,6 +29,15 @@ def _report(s, d):
     return R.department_report(fixture(s, d, "fx_request"), fixture(s, d, E), fixture(s, d, D), fixture(s, d, A), fixture(s, d, C))
 
 
+def _asked(s, d):
+    """Questions, every third with one of the engine's own words in capitals or as it is, every fifth with half of one."""
+    words = F.array(*map(F.lit, R.REPORT_WORDS))
+    word = F.element_at(words, (F.col("qid") % len(R.REPORT_WORDS) + 1).cast("int"))
+    spoken = F.when(F.col("qid") % 2 == 0, F.upper(word)).otherwise(word)
+    more = F.when(F.col("qid") % 3 == 0, F.concat(F.lit(" "), spoken)).when(F.col("qid") % 5 == 0, F.concat(F.lit(" "), F.substring(word, 1, 3))).otherwise("")
+    return fixture(s, d, "fx_q").select("qid", F.concat("question", more).alias("question"))
+
+
 QUERIES = {
     "f1_resolve_requester": lambda s, d: R.resolve(fixture(s, d, "fx_request"), fixture(s, d, E)),
     "f2_department_name": lambda s, d: R.department_names(fixture(s, d, E).where("work_department_id is not null").select(*R.DEPARTMENT).distinct(), fixture(s, d, D)),
@@ -40,6 +51,7 @@ QUERIES = {
     "f10_chart_series": _charts,
     "f11_summary_lines": _summary,
     "f12_department_report": _report,
+    "f13_report_intent_words": lambda s, d: R.report_intent(_asked(s, d)),
     "f13_report_intent": lambda s, d: R.report_intent(fixture(s, d, "fx_q"), words=FIXTURE_WORDS).select("qid", "route"),
 }
 
@@ -92,5 +104,11 @@ ORACLES = {
         left join fx_department d on d.id = r.work_department_id and d.tenant_id = r.tenant_id""",
         "fx_request", E, D, A, C,
     ),
+    "f13_report_intent_words": oracle(
+        f"""with w as (select {list(R.REPORT_WORDS)!r} as words), q as (select qid, question || case when qid % 3 = 0 then ' ' || case when qid % 2 = 0 then upper(word) else word end when qid % 5 = 0 then ' ' || substr(word, 1, 3) else '' end as question, words
+          from (select *, words[qid % len(words) + 1] as word from fx_q, w))
+        select qid, question, case when len(list_filter(words, lambda x: contains(lower(question), x))) > 0 then 'report' else 'retrieval' end as route from q""",
+        "fx_q",
+    ),
     "f13_report_intent": oracle("select qid, case when contains(lower(question), 'thble') or contains(lower(question), 'ción') or contains(lower(question), 'auf') then 'report' else 'retrieval' end as route from fx_q", "fx_q"),
 }
