@@ -142,3 +142,23 @@ ORACLES = {
         select doc_id, substr(arg_min(sentence, n), 1, 120) as title, substr(string_agg(sentence, ' ' order by n) filter (where best <= 6), 1, 600) as summary, least(6, count(*))::int as n_keys, least(8, count(*) filter (where fact))::int as n_facts,
           (select string_agg('src-' || lpad(i::varchar, 4, '0'), ' ' order by i) from range(1, 13) t(i) where i <= any_value(k.lines)) as sources from k group by doc_id""",
 }
+
+
+def _reduced(source: str, k: int, budget: int, pack: int = 4200) -> str:
+    """One round of digests over source (doc_id, text), as common table expressions: d{k} (doc_id, text) of what is over the budget."""
+    tok = "greatest(1, (length({0}) + 2) // 3)"
+    return rf"""p{k} as (select doc_id, unnest(l) as piece, generate_subscripts(l, 1) - 1 as n from (select doc_id, string_split(text, chr(10)) as l from {source} where {tok.format('text')} > {budget})),
+  k{k} as (select doc_id, n, 0 as pack, {tok.format('piece')}::bigint as total, piece from p{k} where n = 0
+    union all select p.doc_id, p.n, case when r.total + {tok.format('p.piece')} > {pack} then r.pack + 1 else r.pack end, case when r.total + {tok.format('p.piece')} > {pack} then {tok.format('p.piece')} else r.total + {tok.format('p.piece')} end, p.piece
+    from k{k} r join p{k} p on p.doc_id = r.doc_id and p.n = r.n + 1),
+  c{k} as (select doc_id, pack, string_agg(piece, chr(10) order by n) as content from k{k} group by doc_id, pack),
+  s{k} as (select doc_id, pack, unnest(l) as sentence, generate_subscripts(l, 1) - 1 as n from (select doc_id, pack, list_filter(string_split(regexp_replace(content, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') as l from c{k})),
+  e{k} as (select doc_id, pack, n, unnest(list_filter(regexp_split_to_array(lower(sentence), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')) as term from s{k}),
+  w{k} as (select doc_id, pack, term, ln(1 + count(*)) as w from e{k} group by all),
+  m{k} as (select doc_id, pack, n, round(avg(w), 9) as weight from e{k} join w{k} using (doc_id, pack, term) group by all),
+  b{k} as (select s.*, row_number() over (partition by s.doc_id, s.pack order by coalesce(weight, 0) desc, s.n) as best from s{k} s left join m{k} m on m.doc_id = s.doc_id and m.pack = s.pack and m.n = s.n),
+  d{k} as (select doc_id, string_agg(summary, chr(10) order by pack) as text from (select doc_id, pack, substr(string_agg(sentence, ' ' order by n) filter (where best <= 6), 1, 600) as summary from b{k} group by doc_id, pack) group by doc_id)"""
+
+
+ORACLES["c16_reduce_rounds"] = f"""with recursive {_reduced("documents", 1, 900)}, {_reduced("d1", 2, 900)}
+  select doc_id, text, 0 as rounds from documents where {_TOK} <= 900 union all select doc_id, text, 1 from d1 where {_TOK} <= 900 union all select doc_id, text, 2 from d2"""
