@@ -42,6 +42,8 @@ TOGETHER, WIDE = 1 << 17, 64
 PAIR_BITS = 20
 #: A state is (characters by which its piece passes the cut) * 256 + (characters of the piece); at a text's start 0.
 STATE = 256
+ENCODED = "doc_id long, text_crc32 long, ids array<int>"
+DECODED = f"{ENCODED}, ids_crc32 long, text string"
 PIECE_MODEL = "piece_bpe_32k.model"
 WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -477,6 +479,10 @@ def _backtrace(path: str):
     return run
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.crc32(whole("text")).alias("text_crc32"), whole("text").alias("text"))
+
+
 def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> DataFrame:
     """doc_id, text_crc32, ids (array<int>) of each row of docs, as the model's own library encodes its text.
 
@@ -484,14 +490,16 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
     of docs are not read. model: the path of a SentencePiece BPE model with byte fallback and no normalisation,
     which every executor must have. Texts of more than `chunk` characters take the scan.
     """
-    path = model or default_model()
-    texts = docs.select(F.col("doc_id").cast("long"), F.crc32(whole("text")).alias("text_crc32"), whole("text").alias("text"))
-    schema = "doc_id long, text_crc32 long, ids array<int>"
-    short = texts.where(F.length("text") < chunk).mapInArrow(_encode_short(path), schema)
+    path, texts = model or default_model(), _texts(docs)
+    short = texts.where(F.length("text") < chunk).mapInArrow(_encode_short(path), ENCODED)
+    return short.union(_scanned(texts, path, chunk))
 
+
+def _scanned(texts: DataFrame, path: str, chunk: int) -> DataFrame:
+    """The texts of `chunk` characters and more, encoded by the scan."""
     giant = texts.where(F.length("text") >= chunk).withColumn("row", F.monotonically_increasing_id())
     # Chunks cost much time for their bytes, so the number of their tasks is set.
-    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunks = cut(giant.mapInArrow(_chunks(chunk, load(path).longest), "row long, doc_id long, text_crc32 long, chunk int, first int, last int, text string").repartition(tasks, "row", "chunk"))
     steps = chunks.mapInPandas(_transfers(path), "row long, block int, chunk int, entry array<int>, leave array<int>")
     blocks = cut(steps.groupBy("row", "block").agg(_in_order("chunk")))
@@ -501,7 +509,7 @@ def encode(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> Dat
     traced = chunks.repartition(tasks, "row", "chunk").join(states.hint("merge"), ["row", "chunk"]).mapInPandas(_backtrace(path), "row long, doc_id long, text_crc32 long, chunk int, ids array<int>")
     # A group is one document, whose text was one row before.
     rows = traced.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("text_crc32").alias("text_crc32"), F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
-    return short.union(rows.select("doc_id", "text_crc32", F.flatten("parts.ids").alias("ids")))
+    return rows.select("doc_id", "text_crc32", F.flatten("parts.ids").alias("ids"))
 
 
 def _decode(path: str):
@@ -527,13 +535,19 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     U+FFFD.
     """
     path = model or default_model()
-    return encoded.select("doc_id", "text_crc32", "ids").mapInArrow(_decode(path), "doc_id long, text_crc32 long, ids array<int>, ids_crc32 long, text string")
+    return encoded.select("doc_id", "text_crc32", "ids").mapInArrow(_decode(path), DECODED)
+
 
+def round_trip(docs: DataFrame, model: str | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Each document with its ids, their number, checksums, and whether decoding gives its text back.
 
-def round_trip(docs: DataFrame, model: str | None = None) -> DataFrame:
-    """Each document with its ids, their number, checksums, and whether decoding gives its text back."""
-    back = decode(encode(docs, model), model)
-    return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", F.crc32("text").alias("decoded_crc32"), (F.crc32("text") == F.col("text_crc32")).alias("round_trip"), "ids")
+    Texts of fewer than `chunk` characters are encoded and decoded by one Python process of a task, as two would hold the pieces twice.
+    """
+    path, texts = model or default_model(), _texts(docs)
+    there, back = _encode_short(path), _decode(path)
+    short = texts.where(F.length("text") < chunk).mapInArrow(lambda batches: back(there(batches)), DECODED)
+    both = short.union(decode(_scanned(texts, path, chunk), model))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_crc32", F.crc32("text").alias("decoded_crc32"), (F.crc32("text") == F.col("text_crc32")).alias("round_trip"), "ids")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
