@@ -26,6 +26,7 @@ def test_like_the_library_on_whole_and_chunked_texts(spark):
 def test_round_trip_and_empty_table(spark):
     got = {r.doc_id: r for r in S.round_trip(docs(spark, HARD)).collect()}
     assert [r.round_trip for _, r in sorted(got.items())] == ["▁" not in (t or "") for t in HARD]
+    assert sorted(S.round_trip(docs(spark, HARD), chunk=64).collect()) == sorted(got.values())
     assert S.round_trip(docs(spark, [])).count() == 0
     twice = docs(spark, ["a b"]).union(docs(spark, ["a b"]))
     assert S.round_trip(twice).count() == 2
