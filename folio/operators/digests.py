@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.functions.text import terms, token_count
-from folio.operators.packing import pack
+from folio.functions.text import token_count
+from folio.operators.markdown import each_document
+from folio.operators.packing import pack_twice
+from folio.operators.sentences import mean_weights, number_sentences, split_sentences
+from folio.sources.shared import shared_folder
 
 BUDGET, PACK, VERSION = 3600, 4200, "v1"
 TITLE, SUMMARY, KEYS, FACTS, SOURCES = 120, 600, 6, 8, 12
@@ -18,13 +21,7 @@ def pack_sections(blocks: DataFrame, key: str = "doc_id", limit: int = PACK, siz
     A section's blocks are packed into its parts first, and then a document's parts into packs, both in order and of
     `limit` tokens at most; what is larger by itself stands alone. Parts are numbered over the document.
     """
-    inner = pack(blocks, [key, "section_no"], "block_no", size, limit, "_part")
-    parts = inner.groupBy(key, "section_no", "_part").agg(F.sum(size).alias("_size"))
-    # A part's place is its section and number, side by side.
-    place = F.col("section_no").cast("long") * (1 << 31) + F.col("_part")
-    packed = pack(parts.withColumn("_place", place), [key], "_place", "_size", limit, "pack")
-    packed = packed.withColumn("part", (F.row_number().over(Window.partitionBy(key).orderBy("_place")) - 1).cast("int")).select(key, "section_no", "_part", "part", "pack")
-    return inner.join(packed.hint("merge"), [key, "section_no", "_part"]).drop("_part")
+    return pack_twice(blocks, key, ["section_no"], "block_no", size, limit)
 
 
 def budget_gate(docs: DataFrame, text: str, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
@@ -51,21 +48,31 @@ def digest(packs: DataFrame, key: tuple[str, ...], sources: str | None = None) -
     come in the text's order, and ties go to the earlier one.
     """
     ids = F.slice(F.col(sources), 1, SOURCES) if sources else F.array().cast("array<string>")
-    sentences = packs.select(*key, ids.alias("ids"), F.posexplode(F.filter(F.split("content", r"(?<=[.!?])\s+"), lambda x: F.trim(x) != "")).alias("n", "sentence"))
-    sentences = sentences.withColumn("ids", F.when(F.col("n") == 0, F.col("ids")))
-    each = sentences.select(*key, "n", F.explode(terms("sentence")).alias("term"))
-    counts = each.groupBy(*key, "term").agg(F.log1p(F.count(F.lit(1)).cast("double")).alias("w"))
-    weight = each.join(counts.hint("merge"), [*key, "term"]).groupBy(*key, "n").agg(F.round(F.avg("w"), 9).alias("weight"))
-    rows = sentences.join(weight.hint("merge"), [*key, "n"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))).withColumn("fact", F.col("sentence").rlike("[0-9]"))
-    best = Window.partitionBy(*key).orderBy(F.desc("weight"), "n")
-    facts = Window.partitionBy(*key).orderBy(F.desc("fact"), F.desc("weight"), "n")
-    rows = rows.withColumn("best", F.row_number().over(best)).withColumn("fact_no", F.when(F.col("fact"), F.row_number().over(facts)))
+    split = packs.select(*key, ids.alias("source_block_ids"), F.filter(split_sentences("content"), lambda x: F.trim(x) != "").alias("sentences")).where(F.size("sentences") > 0)
+    weighed = number_sentences(split, "weights", mean_weights)
+    heaviest = F.array_sort(F.transform("weights", lambda w, n: F.struct((-F.round(w, 9)).alias("w"), n.alias("n"))))
+    weighed = weighed.withColumn("_best", F.transform(heaviest, lambda x: x.n))
 
-    def listed(keep: Column) -> Column:
-        return F.transform(F.array_sort(F.collect_list(F.when(keep, F.struct("n", "sentence")))), lambda x: x.sentence)
+    def listed(places: Column, many: int) -> Column:
+        return F.transform(F.array_sort(F.slice(places, 1, many)), lambda n: F.get("sentences", n))
 
-    made = rows.groupBy(*key).agg(F.min_by("sentence", "n").alias("lead"), listed(F.col("best") <= KEYS).alias("key_points"), listed(F.col("fact_no") <= FACTS).alias("facts"), F.first("ids", ignorenulls=True).alias("source_block_ids"))
-    return made.select(*key, F.substring("lead", 1, TITLE).alias("title"), F.substring(F.array_join("key_points", " "), 1, SUMMARY).alias("summary"), "key_points", "facts", "source_block_ids")
+    made = weighed.withColumn("key_points", listed(F.col("_best"), KEYS)).withColumn("facts", listed(F.filter("_best", lambda n: F.get("sentences", n).rlike("[0-9]")), FACTS))
+    return made.select(*key, F.substring(F.get("sentences", F.lit(0)), 1, TITLE).alias("title"), F.substring(F.array_join("key_points", " "), 1, SUMMARY).alias("summary"), "key_points", "facts", "source_block_ids")
+
+
+def _packs(text: str) -> list[tuple[int, str]]:
+    """A text's lines in packs of at most PACK tokens, in order; a larger line stands alone."""
+    packs: list[list[str]] = []
+    held = 0
+    for line in text.split("\n"):
+        size = max(1, (len(line) + 2) // 3)
+        if packs and held + size <= PACK:
+            packs[-1].append(line)
+            held += size
+        else:
+            packs.append([line])
+            held = size
+    return [(k, "\n".join(lines)) for k, lines in enumerate(packs)]
 
 
 def tree_reduce(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds: int = 2, budget: int = BUDGET) -> DataFrame:
@@ -76,8 +83,10 @@ def tree_reduce(docs: DataFrame, key: str = "doc_id", text: str = "text", rounds
         finished = fits.select(key, "text", F.lit(k).alias("rounds"))
         done = finished if done is None else done.unionByName(finished)
         if rest is not None:
-            pieces = rest.select(key, F.posexplode(F.split("text", "\n")).alias("n", "piece")).withColumn("size", token_count("piece"))
-            packs = pack(pieces, [key], "n", "size", PACK).groupBy(key, "pack").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "piece"))), lambda x: x.piece), "\n").alias("content"))
+            packs = each_document(rest, key, "text", _packs, "pack int, content string")
             made = digest(packs, (key, "pack"))
             now = made.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pack", "summary"))), lambda x: x.summary), "\n").alias("text"))
+            # Digests are small and read twice, by those that fit and by the next round.
+            shared_folder(docs.sparkSession)
+            now = now.checkpoint()
     return done
