@@ -30,7 +30,10 @@ def _docs(s, d):
 
 
 def _packed(s, d):
-    blocks = B.compact_block(B.compact_sections(_paths(s, d))).withColumn("size", token_count("compact"))
+    # Sizes come first, so that of the texts only headings go to the windows.
+    sized = B.compact_block(_blocks(s, d)).withColumn("size", token_count("compact"))
+    sized = sized.select("doc_id", "block_no", "kind", "level", F.when(F.col("kind") == "heading", F.col("text")).alias("text"), "size")
+    blocks = B.compact_sections(B.with_section_path(sized)).select("doc_id", "section_no", "block_no", "size")
     return G.pack_sections(blocks, limit=250).select("doc_id", "section_no", "block_no", "size", "part", "pack")
 
 
