@@ -1,7 +1,7 @@
 """The structure of Markdown documents: their blocks (markdown.py), and what blocks hold.
 
 Lists are nested by two spaces a level; images and `<!-- slide: ... -->` directives are found in paragraphs. Emphasis, code and
-link marks go from the text of headings, paragraphs and list items.
+link marks go from the text of headings, paragraphs and list items. A document's blocks are made within its row, without a shuffle.
 """
 
 from __future__ import annotations
@@ -9,16 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.operators.markdown import each_document, parse
+from folio.operators.markdown import document_blocks
 
 UNTITLED = "Untitled Presentation"
-CODE_CHARS, DEPTHS = 2400, 6
+CODE_CHARS = 2400
 IMAGE = r"!\[([^\]]*)\]\(([^)\s]+)[^)]*\)"
 DIRECTIVE = r"<!--\s*slide:\s*(.*?)\s*-->"
 ITEM = r"^\s*(?:[-*+]|\d{1,9}[.)])\s+"
 #: The names of a contents section, folded.
 CONTENTS = ("muc luc", "table of contents", "contents")
-FIELDS = ("kind", "text", "level", "language", "url", "alt")
 
 
 def plain(text: Column) -> Column:
@@ -26,29 +25,26 @@ def plain(text: Column) -> Column:
 
 
 def line_blocks(docs: DataFrame, key: str = "doc_id", text: str = "md") -> DataFrame:
-    """key, line_no (the first), kind, lines of each block, as markdown.parse gives them; no shuffle."""
-    return each_document(docs, key, text, lambda md: parse(md)[0], "line_no int, kind string, lines array<string>")
+    """key, line_no (the first), kind, lines of each block, as markdown.parse gives them, and depths, numbers of a list's items; no shuffle."""
+    return document_blocks(docs, key, text).select(key, F.inline("blocks"))
 
 
 def list_items(lined: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, line_no, item, depth, ordered, number, text: an ordered list counts on from its first number."""
-    items = lined.where("kind = 'list'").select(key, "line_no", F.posexplode("lines").alias("item", "line"))
-    indent = F.length(F.regexp_extract("line", r"^(\s*)", 1))
-    mark = F.regexp_extract("line", r"^\s*(\d{1,9})[.)]", 1)
-    items = items.select(key, "line_no", "item", F.least(F.lit(DEPTHS - 1), F.floor(indent / 2)).cast("int").alias("depth"), (mark != "").alias("ordered"), mark.try_cast("int").alias("mark"), plain(F.regexp_replace("line", ITEM, "")).alias("text"))
-    upto = Window.partitionBy(key, "line_no").orderBy("item")
-    # Items of one list at one depth are those with as many shallower items before them.
-    above = F.array(*(F.sum((F.col("depth") < k).cast("int")).over(upto) for k in range(DEPTHS)))
-    items = items.withColumn("parent", above[F.col("depth")])
-    sisters = Window.partitionBy(key, "line_no", "depth", "parent").orderBy("item")
-    number = F.when(F.col("ordered"), F.first("mark").over(sisters) + F.row_number().over(sisters) - 1)
-    return items.select(key, "line_no", "item", "depth", "ordered", number.cast("int").alias("number"), "text")
+    items = lined.where("kind = 'list'").select(key, "line_no", F.posexplode(F.arrays_zip("lines", "depths", "numbers")).alias("item", "x"))
+    ordered = F.regexp_extract("x.lines", r"^\s*(\d{1,9})[.)]", 1) != ""
+    return items.select(key, "line_no", "item", F.col("x.depths").alias("depth"), ordered.alias("ordered"), F.col("x.numbers").alias("number"), _item(F.col("x.lines")).alias("text"))
 
 
-def list_text(items: DataFrame, key: str = "doc_id") -> DataFrame:
-    mark = F.when(F.col("number").isNotNull(), F.concat(F.col("number").cast("string"), F.lit("."))).otherwise("-")
-    line = F.concat(F.repeat(F.lit("  "), F.col("depth")), mark, F.lit(" "), "text")
-    return items.groupBy(key, "line_no").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item", line.alias("line")))), lambda x: x.line), "\n").alias("list_text"))
+def _item(line: Column) -> Column:
+    return plain(F.regexp_replace(line, ITEM, ""))
+
+
+def list_text(block: Column) -> Column:
+    """The text of a list (lines, depths, numbers): a line for each item, indented and marked anew."""
+    mark = lambda x: F.coalesce(F.concat(x.numbers.cast("string"), F.lit(".")), F.lit("-"))
+    line = lambda x: F.concat(F.repeat(F.lit("  "), x.depths), mark(x), F.lit(" "), _item(x.lines))
+    return F.array_join(F.transform(F.arrays_zip(block.lines.alias("lines"), block.depths.alias("depths"), block.numbers.alias("numbers")), line), "\n")
 
 
 def cells(line: Column) -> Column:
@@ -56,48 +52,64 @@ def cells(line: Column) -> Column:
     return F.transform(F.split(inner, r"\|"), lambda c: F.trim(F.replace(c, F.lit("\x01"), F.lit("|"))))
 
 
+def _table_rows(lines: Column) -> Column:
+    return F.transform(F.filter(F.slice(lines, 2, F.size(lines)), lambda x: ~x.rlike(r"^\|[\s:|-]*\|\s*$")), cells)
+
+
+def _table_text(lines: Column) -> Column:
+    return F.concat(F.lit("Table with headers: "), F.array_join(cells(F.get(lines, F.lit(0))), ", "))
+
+
 def extract_tables(lined: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, line_no, headers, rows (lists of cells; the delimiter line goes), text."""
-    body = F.filter(F.slice(F.col("lines"), 2, F.size("lines")), lambda x: ~x.rlike(r"^\|[\s:|-]*\|\s*$"))
-    headers = cells(F.col("lines")[0])
-    return lined.where("kind = 'table'").select(key, "line_no", headers.alias("headers"), F.transform(body, cells).alias("rows"), F.concat(F.lit("Table with headers: "), F.array_join(headers, ", ")).alias("text"))
+    lines = F.col("lines")
+    return lined.where("kind = 'table'").select(key, "line_no", cells(lines[0]).alias("headers"), _table_rows(lines).alias("rows"), _table_text(lines).alias("text"))
 
 
-def _paragraph_parts() -> Column:
-    """The blocks of a paragraph: its prose, its images, its directives."""
-    text = F.array_join("lines", "\n")
-    prose = F.regexp_replace(F.regexp_replace(text, IMAGE, ""), DIRECTIVE, "")
-    prose = plain(F.regexp_replace(F.regexp_replace(prose, r"[ \t]+\n", "\n"), r"\n{2,}|[ \t]{2,}", " "))
-    image = F.zip_with(F.regexp_extract_all(text, F.lit(IMAGE), F.lit(1)), F.regexp_extract_all(text, F.lit(IMAGE), F.lit(2)), lambda alt, url: _block("image", F.coalesce(F.nullif(alt, F.lit("")), url), url=url, alt=alt))
-    directive = F.transform(F.regexp_extract_all(text, F.lit(DIRECTIVE), F.lit(1)), lambda x: _block("directive", x))
-    return F.concat(F.when(prose != "", F.array(_block("paragraph", prose))).otherwise(F.array().cast(BLOCKS)), image, directive)
+FIELD_TYPES = {"kind": "string", "text": "string", "level": "int", "language": "string", "url": "string", "alt": "string", "headers": "array<string>", "rows": "array<array<string>>"}
+BLOCKS = f"array<struct<{','.join(f'{n}:{t}' for n, t in FIELD_TYPES.items())}>>"
 
 
-BLOCKS = "array<struct<kind:string,text:string,level:int,language:string,url:string,alt:string>>"
+def _block(kind: str, text: Column, **more: Column) -> Column:
+    given = {"kind": F.lit(kind), "text": text, **more}
+    return F.struct(*(given.get(n, F.lit(None)).cast(t).alias(n) for n, t in FIELD_TYPES.items()))
 
 
-def _block(kind: str, text: Column, **more: Column) -> Column:
-    none = {"level": "int", "language": "string", "url": "string", "alt": "string"}
-    return F.struct(F.lit(kind).alias("kind"), text.alias("text"), *(more.get(n, F.lit(None)).cast(t).alias(n) for n, t in none.items()))
+def _paragraph_parts(lines: Column) -> Column:
+    """The blocks of a paragraph: its prose, its images, its directives."""
+
+    def parts(text: Column) -> Column:
+        images, directives, none = F.contains(text, F.lit("![")), F.contains(text, F.lit("<!--")), F.array().cast(BLOCKS)
+        prose = F.when(images, F.regexp_replace(text, IMAGE, "")).otherwise(text)
+        prose = F.when(directives, F.regexp_replace(prose, DIRECTIVE, "")).otherwise(prose)
+        prose = plain(F.regexp_replace(F.regexp_replace(prose, r"[ \t]+\n", "\n"), r"\n{2,}|[ \t]{2,}", " "))
+        image = F.zip_with(F.regexp_extract_all(text, F.lit(IMAGE), F.lit(1)), F.regexp_extract_all(text, F.lit(IMAGE), F.lit(2)), lambda alt, url: _block("image", F.coalesce(F.nullif(alt, F.lit("")), url), url=url, alt=alt))
+        directive = F.transform(F.regexp_extract_all(text, F.lit(DIRECTIVE), F.lit(1)), lambda x: _block("directive", x))
+        said = F.filter(F.array(_block("paragraph", prose)), lambda x: x.text != "")
+        return F.concat(said, F.when(images, image).otherwise(none), F.when(directives, directive).otherwise(none))
+
+    return F.flatten(F.transform(F.array(F.array_join(lines, "\n")), parts))
+
+
+def _parts(block: Column) -> Column:
+    """What a block of lines holds, as BLOCKS."""
+    kind, lines = block.kind, block.lines
+    first = F.get(lines, F.lit(0))
+    code = F.regexp_replace(F.array_join(F.slice(lines, F.lit(2), F.size(lines) - 2), "\n"), r"^\s+|\s+$", "")
+    return (
+        F.when(kind == "heading", F.array(_block("heading", plain(F.regexp_replace(first, r"^#{1,6}(?:[ \t]+|$)|[ \t]+#*[ \t]*$", "")), level=F.length(F.regexp_extract(first, r"^(#{1,6})", 1)))))
+        .when(kind == "code", F.array(_block("code", code, language=F.substring(first, 4, 1 << 30))))
+        .when(kind == "list", F.array(_block("list", list_text(block))))
+        .when(kind == "table", F.array(_block("table", _table_text(lines), headers=cells(first), rows=_table_rows(lines))))
+        .otherwise(_paragraph_parts(lines))
+    )
 
 
 def extract_blocks(docs: DataFrame, key: str = "doc_id", text: str = "md") -> DataFrame:
-    """key, block_no (from 1), id, kind, text, level, language, url, alt, headers, rows of each block in order; none of a blank text."""
-    lined = line_blocks(docs, key, text)
-    texts = list_text(list_items(lined, key), key)
-    tables = extract_tables(lined, key).select(key, "line_no", F.col("text").alias("table_text"), "headers", "rows")
-    first = F.col("lines")[0]
-    code = F.regexp_replace(F.array_join(F.slice("lines", F.lit(2), F.size("lines") - 2), "\n"), r"^\s+|\s+$", "")
-    parts = (
-        F.when(F.col("kind") == "heading", F.array(_block("heading", plain(F.regexp_replace(first, r"^#{1,6}(?:[ \t]+|$)|[ \t]+#*[ \t]*$", "")), level=F.length(F.regexp_extract(first, r"^(#{1,6})", 1)))))
-        .when(F.col("kind") == "code", F.array(_block("code", code, language=F.substring(first, 4, 1 << 30))))
-        .when(F.col("kind") == "list", F.array(_block("list", F.col("list_text"))))
-        .when(F.col("kind") == "table", F.array(_block("table", F.col("table_text"))))
-        .otherwise(_paragraph_parts())
-    )
-    found = lined.join(texts.hint("merge"), [key, "line_no"], "left").join(tables.hint("merge"), [key, "line_no"], "left").select(key, "line_no", "headers", "rows", F.posexplode(parts).alias("part", "b"))
-    number = F.row_number().over(Window.partitionBy(key).orderBy("line_no", "part"))
-    return found.select(key, "line_no", number.alias("block_no"), *(F.col(f"b.{c}").alias(c) for c in FIELDS), "headers", "rows").withColumn("id", F.format_string("src-%04d", "block_no"))
+    """key, block_no (from 1), id, kind, text, level, language, url, alt, headers, rows of each block in order, and its line_no; none of a blank text."""
+    parts = F.flatten(F.transform("blocks", lambda x: F.transform(_parts(x), lambda b: F.struct(x.line_no.alias("line_no"), b.alias("b")))))
+    found = document_blocks(docs, key, text).select(key, F.posexplode(parts).alias("at", "x")).select(key, F.col("x.line_no").alias("line_no"), (F.col("at") + 1).alias("block_no"), "x.b.*")
+    return found.withColumn("id", F.format_string("src-%04d", "block_no"))
 
 
 def with_section_path(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
