@@ -14,10 +14,10 @@ SENT_PARTS = 10_000
 
 def placeholders(parts: DataFrame) -> DataFrame:
     """tpl_id, fields: the distinct names in a template's parts (tpl_id, part_no, part), in the order first seen."""
-    found = parts.select("tpl_id", "part_no", F.posexplode(F.regexp_extract_all("part", F.lit(MARKER), F.lit(1))).alias("pos", "name"))
-    first = found.groupBy("tpl_id", "name").agg(F.min(F.struct("part_no", "pos")).alias("first"))
-    fields = first.groupBy("tpl_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "name"))), lambda x: x["name"]).alias("fields"))
-    return parts.select("tpl_id").distinct().join(fields.hint("merge"), "tpl_id", "left").select("tpl_id", F.coalesce("fields", F.array().cast("array<string>")).alias("fields"))
+    # Each part's distinct names first, so that a name goes to its template once for each part and nothing is joined.
+    names = F.array_distinct(F.regexp_extract_all("part", F.lit(MARKER), F.lit(1)))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("part_no", F.coalesce(names, F.array().cast("array<string>")).alias("names")))), lambda x: x["names"])
+    return parts.groupBy("tpl_id").agg(F.array_distinct(F.flatten(ordered)).alias("fields"))
 
 
 def fill(text: str, values: str) -> Column:
