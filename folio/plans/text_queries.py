@@ -77,10 +77,8 @@ def _append_trim(s, d):
 def _markdown(s, d):
     docs = fixture(s, d, "fx_doc").withColumn("document_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id").cast("string")))
     root = new_folder(s, "markdown")
-    A.write_markdown(docs, root)
-    files = s.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/ocr")
-    path = F.concat(F.lit("ocr/"), F.element_at(F.split("path", "/ocr/"), -1))
-    return files.select(F.element_at(F.split(path, "/"), 2).alias("tenant_id"), path.alias("path"), F.col("length").cast("int").alias("size"), F.md5("content").alias("md5"))
+    files = A.read_markdown(A.write_markdown(docs, root), root)
+    return files.select("tenant_id", "path", F.octet_length("content").alias("size"), F.md5("content").alias("md5"))
 
 
 def _texts(s, d):
