@@ -20,6 +20,8 @@ from folio.functions.text import terms
 
 #: Questions that are sent to the tasks at once, pairs that are made at once, and how far below its bound a sum must stay.
 BLOCK, PAIRS, SLACK = 4096, 1 << 20, 1e-5
+#: Words of the chunks that a task has at once.
+WORDS = 1 << 20
 
 
 def hashed_terms(text: Column | str) -> Column:
@@ -106,6 +108,17 @@ def _scores(of: np.ndarray, term: np.ndarray, weight: np.ndarray, bound: np.ndar
         at = stop
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of some WORDS words, one row at least, so that what is made of their postings stays bounded."""
+    for batch in batches:
+        ends = np.cumsum(batch.column("words").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            stop = max(at + 1, int(np.searchsorted(ends, WORDS + (ends[at - 1] if at else 0), side="right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def _task(sent, n: int, places: int, made=None):
     """A task's best rows of each question: qid, point_id, score."""
 
@@ -114,7 +127,7 @@ def _task(sent, n: int, places: int, made=None):
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         bound = np.full(len(asked.qids), -np.inf)
         count = [0, 0]
-        for batch in batches:
+        for batch in _parts(batches):
             if not batch.num_rows or not len(asked.vocabulary):
                 continue
             ids = batch.column("point_id").to_numpy(zero_copy_only=False)
