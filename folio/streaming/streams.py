@@ -31,18 +31,24 @@ class Newest(StatefulProcessor):
         self.state = handle.getListState("messages", "seq long, role string, content string, at long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        columns = ["seq", "role", "content", "at"]
-        held = pd.concat([pd.DataFrame(list(self.state.get()), columns=columns), *(r[columns] for r in rows)]).drop_duplicates("seq")
+        held = {m[0]: tuple(m) for m in self.state.get()}
+        before = max((m[3] for m in held.values()), default=None)
+        for part in rows:
+            for m in zip(*(part[c].tolist() for c in ("seq", "role", "content", "at")), strict=True):
+                held.setdefault(m[0], m)
+        kept = sorted(held.values(), key=lambda m: (m[3], m[0]))  # rows of a batch come in any order
         if self.ttl:
-            held = held.sort_values(["at", "seq"])
-            gap = held["at"].diff() >= self.ttl * 1000
-            held = held[gap.cumsum() == gap.sum()]
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(held["at"].max()) + self.ttl * 1000)
-        held = held.sort_values(["at", "seq"]).tail(self.kept)  # rows of a batch come in any order
-        self.state.put([(int(s), r, c, int(t)) for s, r, c, t in held.astype(object).itertuples(index=False)])
-        yield pd.DataFrame({"tenant_id": key[0], "employee_id": key[1], "seq": held.seq.astype("int64"), "role": held.role, "content": held.content})
+            idle = self.ttl * 1000
+            gaps = [k for k in range(1, len(kept)) if kept[k][3] - kept[k - 1][3] >= idle]
+            kept = kept[gaps[-1] :] if gaps else kept
+            if before != kept[-1][3]:  # a key has one timer, at its last message
+                if before is not None:
+                    self.handle.deleteTimer(before + idle)
+                self.handle.registerTimer(kept[-1][3] + idle)
+        kept = kept[-self.kept :]
+        self.state.put(kept)
+        seq, role, content, _ = (list(x) for x in zip(*kept, strict=True))
+        yield pd.DataFrame({"tenant_id": key[0], "employee_id": key[1], "seq": seq, "role": role, "content": content})
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         self.state.clear()
