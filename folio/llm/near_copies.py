@@ -1,6 +1,8 @@
 """Near copies: texts whose distinct five-word shingles have a Jaccard similarity of 0.8 or more.
 
-Distinct shingle sets are nodes. MinHash bands bring candidates together: a pair at 0.8 shares none of the BANDS keys
+Distinct shingle sets are nodes. Candidates are the pairs that SimHash brings together: each node has a fingerprint of its shingles, and
+the Gray-order index of simhash.py links those at 2 or fewer differing bits. Pairs at 0.8 differ in more bits than that, so MinHash bands
+bring together the rest: a pair at 0.8 shares none of the BANDS keys
 with a probability of about (1 - 0.8 ** ROWS) ** BANDS, 1.2e-7. Every candidate pair is then verified on its exact sets. In
 a bucket of more than PAIRED nodes, each is first compared with one of up to HUBS of them, and these with each other. Where that leaves several
 components in a bucket, the nodes of such buckets that hang together form a group, each set once, and what is outside
@@ -20,7 +22,7 @@ from pyspark.sql import types as T
 
 from folio.llm.common import cut, held, whole, without
 from folio.llm.components import components
-from folio.llm.simhash import SEED, word_blocks
+from folio.llm.simhash import SEED, near_links as near_prints, word_blocks
 
 SHINGLE = 5
 #: The similarity, as a fraction of whole numbers.
@@ -67,6 +69,14 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
     return key
 
 
+def simhash(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of hashes: a bit is 1 if set in over half of them."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), BLOCK):
+        ones += np.unpackbits(hashes[k : k + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def _node(hashes: np.ndarray) -> int:
     """The number of a set."""
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
@@ -82,15 +92,16 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held("near copies")
     for batch in _parts(batches):
-        nodes, sizes, keys = [], [], [np.empty(0, np.uint64)]
+        nodes, sizes, fps, keys = [], [], [], [np.empty(0, np.uint64)]
         for x in batch.column("text"):
             found = shingles(x.as_buffer().to_pybytes())
             nodes.append(_node(found))
             sizes.append(len(found))
+            fps.append(simhash(found))
             keys.append(band_keys(found))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys).view(np.int64)))
-        columns = [batch.column("doc_id"), batch.column("nameless"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "nameless", "node", "size", "keys"])
+        columns = [batch.column("doc_id"), batch.column("nameless"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.int64()), lists]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "nameless", "node", "size", "fp", "keys"])
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +188,25 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     return cut(pairs.join(one.hint("merge"), "a").join(other.hint("merge"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_similar, "a long, b long"))
 
 
+#: For two nodes x and y: only sets of about one size can be similar.
+ALIKE = f"{OF} * least(x.size, y.size) >= {SIMILAR} * greatest(x.size, y.size)"
+
+
+def _by_simhash(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, size, fp): each with the least of its fingerprint, and these as the index links their fingerprints."""
+    leads = cut(nodes.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("lead"), F.count(F.lit(1)).alias("n")).select("fp", "lead.node", "lead.size", "n"))
+    ordered = (F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b"))
+    same = nodes.alias("x").join(leads.where("n > 1").alias("y").hint("merge"), F.expr(f"x.fp = y.fp and x.node <> y.node and {ALIKE}")).select(*ordered)
+    links = near_prints(leads.select("fp")).distinct()
+    one = links.join(leads.hint("merge"), links.a == leads.fp).select("node", "size", "b")
+    return same.union(one.alias("x").join(leads.alias("y").hint("merge"), F.expr(f"x.b = y.fp and {ALIKE}")).select(*ordered))
+
+
 def near_links(prints: DataFrame, texts: DataFrame, paired: int = PAIRED, together: int = TOGETHER) -> DataFrame:
-    """Links (a, b) between nodes that connect all similar ones. prints: doc_id, node, size, keys; texts: doc_id, text."""
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    """Links (a, b) between nodes that connect all similar ones. prints: doc_id, node, size, fp, keys; texts: doc_id, text."""
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
     nodes = cut(nodes)
+    printed = _by_simhash(nodes.where("size > 0").select("node", "size", "fp"))
     dealt = nodes.where("size > 0").select("node", "size", F.explode("keys").alias("key"))
     counts = cut(dealt.groupBy("key").count().where("count > 1"))
     shared = cut(dealt.join(counts.hint("merge"), "key"))
@@ -188,19 +214,18 @@ def near_links(prints: DataFrame, texts: DataFrame, paired: int = PAIRED, togeth
 
     def between(x: DataFrame, y: DataFrame, where: str) -> DataFrame:
         x, y = x.alias("x"), y.alias("y").hint("merge")
-        alike = f"{OF} * least(x.size, y.size) >= {SIMILAR} * greatest(x.size, y.size)"
-        return x.join(y, F.expr(f"x.key = y.key and {where} and {alike}")).select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
+        return x.join(y, F.expr(f"x.key = y.key and {where} and {ALIKE}")).select(F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")).distinct()
 
     few, many = shared.where(F.col("count") <= paired), shared.where(F.col("count") > paired)
-    pairs = between(few, few, "x.node < y.node")
+    pairs = printed.union(between(few, few, "x.node < y.node"))
     crowded = not many.isEmpty()
     if crowded:
         # A node meets one hub of each of its buckets, and the hubs of a bucket meet each other: rows by node, not by node and hub.
         slot = lambda *by: F.pmod(F.xxhash64(*by), F.lit(HUBS))
         hubs = cut(many.groupBy("key", slot("node").alias("slot")).agg(F.min(F.struct("node", "size")).alias("hub")).select("key", "slot", "hub.node", "hub.size"))
         met = many.withColumn("slot", slot("key", "node"))
-        pairs = pairs.union(between(met, hubs, "x.slot = y.slot and x.node <> y.node")).union(between(hubs, hubs, "x.node < y.node")).distinct()
-    pairs = cut(pairs)
+        pairs = pairs.union(between(met, hubs, "x.slot = y.slot and x.node <> y.node")).union(between(hubs, hubs, "x.node < y.node"))
+    pairs = cut(pairs.distinct())
     links = _verified(pairs, nodes, texts)
     if crowded:
         roots = components(links)
@@ -225,7 +250,7 @@ def keep_one(docs: DataFrame, paired: int = PAIRED, together: int = TOGETHER) ->
     # Rows without an id take a hash of their text as one; what has the same by chance is told apart by its node.
     named = (F.coalesce(own, F.xxhash64(text)).alias("doc_id"), own.isNull().alias("nameless"))
     texts = docs.select(*named, text.alias("text"))
-    prints = cut(texts.mapInArrow(_sketches, "doc_id long, nameless boolean, node long, size long, keys array<long>"))
+    prints = cut(texts.mapInArrow(_sketches, "doc_id long, nameless boolean, node long, size long, fp long, keys array<long>"))
     found = components(near_links(prints, texts.select("doc_id", "text"), paired, together))
     rooted = cut(prints.select("doc_id", "nameless", "node").join(found.hint("merge"), "node", "left").select("doc_id", "nameless", F.coalesce("root", "node").alias("root")))
     stay = cut(rooted.groupBy("root").agg(F.min(F.struct("nameless", "doc_id")).alias("least")))

@@ -77,3 +77,18 @@ def test_rows_that_share_an_id_or_have_none(spark):
     assert got.columns == frame.columns
     kept = sorted((r.doc_id or 0, (r.text or "")[:2]) for r in got.collect())
     assert kept == [(0, ""), (0, "a0"), (5, "d0"), (6, "ot"), (7, "b0"), (7, "c0")]
+
+
+def test_simhash_brings_candidates_together(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randint(0, 999)}" for _ in range(900)]
+    texts = {1: " ".join(words), 2: " ".join([*words, "end"]), 3: " ".join(rng.sample(words, 900)), 4: " ".join(words[:60])}
+    sets = {i: near_copies.shingles(t.encode()) for i, t in texts.items()}
+    fps = {i: near_copies.simhash(x) for i, x in sets.items()}
+    for i, x in sets.items():
+        assert fps[i] & (1 << 64) - 1 == sum(1 << k for k in range(64) if 2 * sum(int(h) >> k & 1 for h in x) > len(x))
+    assert ((fps[1] ^ fps[2]) & (1 << 64) - 1).bit_count() <= 2 < ((fps[1] ^ fps[3]) & (1 << 64) - 1).bit_count()
+    rows = [(i, int(near_copies._node(x)), len(x), fps[i], []) for i, x in sets.items()]
+    prints = spark.createDataFrame(rows, "doc_id long, node long, size long, fp long, keys array<long>")  # without bands
+    frame = spark.createDataFrame([(i, t.encode()) for i, t in texts.items()], "doc_id long, text binary")
+    assert [{r.a, r.b} for r in near_copies.near_links(prints, frame).collect()] == [{rows[0][1], rows[1][1]}]
