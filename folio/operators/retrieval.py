@@ -151,8 +151,8 @@ def hybrid_search(questions: DataFrame, chunks: DataFrame, k: int = 20, top: int
     """
     asked, held = questions, chunks
     if "vector" not in questions.columns or "vector" not in chunks.columns:
-        asked = questions.drop("vector").join(hashed_vectors(questions, "qid", "question").hint("merge"), "qid")
-        held = chunks.drop("vector").join(hashed_vectors(chunks, "point_id", "content").hint("merge"), "point_id")
+        asked = hashed_vectors(questions.drop("vector"), "question").where("exists(vector, x -> x > 0)")
+        held = hashed_vectors(chunks.drop("vector"), "content")
     fused = rrf([dense_topk(asked, held, 2 * k), sparse_topk(questions, chunks, 2 * k)], k).drop("score")
     # At most k rows of each question are wanted: few questions meet the texts in place, many by a shuffle of what is wanted.
     few = questions.count() <= BLOCK

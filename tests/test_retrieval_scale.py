@@ -1,5 +1,6 @@
 """Approximate search against the exact one, packing of long keys, and the Markdown sink."""
 
+import hashlib
 import math
 import random
 import re
@@ -7,6 +8,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from folio.functions.plugs import hashed_vectors
 from folio.operators import lists as L
 from folio.operators import retrieval as R
 from folio.operators.packing import pack
@@ -156,3 +158,15 @@ def test_markdown_files(spark, tmp_path):
     got = {(r.path, r.size) for r in A.write_markdown(docs, str(tmp_path)).collect()}
     assert got == {("ocr/t/a.md", 3), ("ocr/t/7.md", 0), ("ocr/u/c.md", 1)}
     assert {p: (tmp_path / p).read_bytes().decode() for p, _ in got} == {"ocr/t/a.md": "é\n", "ocr/t/7.md": "", "ocr/u/c.md": "x"}
+
+
+def test_hashed_vectors_are_made_in_the_row(spark):
+    texts = ["Red red BLUE, green", "", None, "!?", "cá đỏ cá-1"] + [f"w{k % 7} w{k % 11} w{k}" for k in range(600)]
+    rows = hashed_vectors(spark.createDataFrame(list(enumerate(texts)), "point_id long, content string"), "content")
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan
+    for r in rows.collect():
+        want = [0.0] * 64
+        for term, n in Counter("".join(c if c.isalnum() else " " for c in (r.content or "").lower()).split()).items():
+            want[int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % 64] += math.log1p(n)
+        assert all(abs(x - y) < 1e-12 for x, y in zip(r.vector, want, strict=True))
