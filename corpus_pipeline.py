@@ -25,7 +25,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of the least doc_id: five-word shingles, similarity 0.8 or more.
 
-    SimHash prints are too coarse for this bound (README, 2), so near_copies takes candidates from MinHash bands and verifies each.
+    Candidates come from SimHash prints and their Gray-order index and, as these are too coarse for this bound alone (README, 2), from
+    MinHash bands; near_copies verifies each.
     Rows without an id count after those with one.
     """
     return near_copies.keep_one(docs)
